@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe
+from quillon.llm import bpe, exact_dedup, mixing, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +34,27 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by the multilingual rank file."""
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@_query
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token records of all documents, written and read back."""
+    return records.token_records(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@_query
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents' sources."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
+ORACLES["op6_mix"] = mixing.ORACLE
+
+
+@_query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents."""
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+ORACLES["op9_exact_dedup"] = exact_dedup.ORACLE
