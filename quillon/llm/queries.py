@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, exact_dedup, mixing, records
+from quillon.llm import bpe, exact_dedup, mixing, near_dup, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,3 +58,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op9_exact_dedup"] = exact_dedup.ORACLE
+
+
+@_query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: five words, similarity 0.8 or more."""
+    return near_dup.near_groups(documents(spark, sf_dir), k=5, num=80, den=100)
+
+
+ORACLES["op2_ngram_jaccard_join"] = near_dup.ORACLE
