@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, mixing, near_dup, records
+from quillon.llm import bpe, exact_dedup, mixing, near_dup, records, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,15 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_ngram_jaccard_join"] = near_dup.ORACLE
+
+
+@_query
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand at two places of the documents."""
+    found = repeats.repeated_spans(documents(spark, sf_dir), min_words=50)
+    text = F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    extra = F.transform("extra", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return found.select("doc_id", "n_words", "repeated_words", "extra_words", F.array_join(text, ",").alias("spans"), F.array_join(extra, ",").alias("extra_spans"))
+
+
+ORACLES["op10_repeated_passages"] = repeats.ORACLE
