@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, mixing, near_dup, records, repeats
+from quillon.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, records, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,9 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_repeated_passages"] = repeats.ORACLE
+
+
+@_query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.fingerprints(documents(spark, sf_dir))

@@ -164,15 +164,9 @@ def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0,
     n = shared.partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        cuts = [F.lit(i / n) for i in range(1, n)]
-        found = rows.select(F.percentile_approx("id", F.array(*cuts), 10_000).alias("c")).first()["c"] if n > 1 else []
-        bounds = sorted(set(found or []))
-        # a bound opens a part; binary search over the few bounds, as a tree of comparisons
-        part = F.when(F.col("id").isNull(), len(bounds)).otherwise(_place(F.col("id"), bounds, 0))
-        rows = rows.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_last(), "text")
-    else:
-        rows = rows.repartitionByRange(n, F.col("id").asc_nulls_last(), "text").sortWithinPartitions(F.col("id").asc_nulls_last(), "text").withColumn("part", F.spark_partition_id())
+    bounds = shared.range_bounds(rows, "id", n)
+    part = F.when(F.col("id").isNull(), len(bounds)).otherwise(shared.place(F.col("id"), bounds))
+    rows = rows.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, special, size = library_encoder(vocabulary)
@@ -211,14 +205,6 @@ def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0,
     return spark.read.parquet(f"{path}/index")
 
 
-def _place(x, bounds: list, lo: int):
-    """Number of bounds that are below x, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(lo)
-    m = len(bounds) // 2
-    return F.when(x <= F.lit(bounds[m]), _place(x, bounds[:m], lo)).otherwise(_place(x, bounds[m + 1 :], lo + m + 1))
-
-
 def read_records(index: DataFrame, path: str, result: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], schema: str) -> DataFrame:
     """Read the records of the index's rows, in any order, and turn each group of them into columns.
 
