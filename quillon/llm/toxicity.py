@@ -216,14 +216,16 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
     nystrom = np.concatenate([nystrom, np.zeros((len(nystrom), 1))], 1)
 
     def features(a: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Nyström features of the windows that start at the places `at`."""
+        """Nyström features of the windows that start at the places `at`, laid out apart from each other."""
+        span = WINDOW + 5
+        apart = np.zeros((len(at), span + PAD), np.uint8)
+        apart[:, :span] = a[np.minimum(at[:, None] + np.arange(span), len(a) - 1)]
         z = np.zeros((len(at), len(nystrom)))
-        for gap, code in sequences(a):
-            u = index[code]
+        for gap, code in sequences(apart.ravel()):
+            u = index[code].reshape(len(at), -1)
             for k in range(WINDOW):
-                hit = u[np.minimum(at + k, len(a) - 1)]
-                on = np.flatnonzero(hit < len(columns))
-                z[on] += DECAY**gap * nystrom[:, hit[on]].T
+                on = np.flatnonzero(u[:, k] < len(columns))
+                z[on] += DECAY**gap * nystrom[:, u[on, k]].T
         return z
 
     def weights(w: np.ndarray) -> np.ndarray:
@@ -245,8 +247,9 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
     v = none.copy()
     v[list(columns)] = start @ (f / np.square(f).sum(1, keepdims=True))
     for turn in range(4):
-        s = windows(a, v)
         ends = np.append(begins[1:], len(a))
+        cuts = [0, *begins[np.flatnonzero(np.diff(begins // CHUNK)) + 1].tolist(), len(a)]
+        s = np.concatenate([windows(a[x:y], v) for x, y in zip(cuts[:-1], cuts[1:])])
         best = np.array([b + int(s[b:e].argmax()) for b, e in zip(begins.tolist(), ends.tolist())])
         top = s[best]
         # the witness of a toxic document is its worst sentence; all sentences of the others are harmless
