@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, records, repeats, toxicity
+from quillon.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, records, repeats, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +94,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; learnt from the labels outside the held-out rows."""
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@_query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLES["op1_url_filter"] = url_filter.ORACLE
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
