@@ -1 +1,105 @@
-"""Queries, still to come."""
+"""Window and ordered-analytic queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.operators import relational as R
+from quillon.operators import statistics as S
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+
+@query("first_per_group", "SELECT product_id, strain_id, value FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY value DESC, measurement_id, strain_id) AS rn FROM v_measurement) x WHERE rn = 1")
+def first_per_group(t: Tables) -> DataFrame:
+    return R.first_rows(t.v_measurement, ["product_id"], [F.col("value").desc(), F.col("measurement_id"), F.col("strain_id")]).select("product_id", "strain_id", "value")
+
+
+@query("best_per_class", "SELECT feedstock, context_id, sugar FROM (SELECT *, row_number() OVER (PARTITION BY feedstock ORDER BY sugar DESC, context_id) AS rn FROM v_context) x WHERE rn = 1")
+def best_per_class(t: Tables) -> DataFrame:
+    # of equal values the first seen wins; as one aggregate, so that a large class is summed before the shuffle
+    best = F.max(F.struct("sugar", (-F.col("context_id")).alias("neg")))
+    return t.v_context.groupBy("feedstock").agg(best.alias("b")).select("feedstock", (-F.col("b.neg")).alias("context_id"), "b.sugar")
+
+
+@query("first_with_count", "SELECT step_role, part_id, variants FROM (SELECT step_role, part_id, count(*) OVER (PARTITION BY step_role) AS variants, row_number() OVER (PARTITION BY step_role ORDER BY part_id) AS rn FROM v_route_part) x WHERE rn = 1")
+def first_with_count(t: Tables) -> DataFrame:
+    return R.first_rows(t.v_route_part, ["step_role"], [F.col("part_id")], "variants").select("step_role", "part_id", "variants")
+
+
+_P = "SELECT p_partkey AS id, p_brand AS contrast, ((p_partkey * 7919) % 10007 + 1) / 10008.0 AS p FROM part"
+
+
+@query(
+    "bh_fdr",
+    f"""WITH p AS ({_P}), r AS (SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY p, id) AS rn, count(*) OVER (PARTITION BY contrast) AS n FROM p)
+    SELECT id, round(least(1.0, min(p * n / rn) OVER (PARTITION BY contrast ORDER BY rn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE, 8) AS q FROM r""",
+)
+def bh_fdr(t: Tables) -> DataFrame:
+    p = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("contrast"), (((F.col("p_partkey") * 7919) % 10007 + 1) / F.lit(10008.0)).alias("p"))
+    return S.benjamini_hochberg(p, ["contrast"], "p", "id").select("id", F.round("q", 8).alias("q"))
+
+
+@query(
+    "largest_gap_split",
+    """WITH g AS (SELECT feedstock, sugar, context_id, lead(sugar) OVER (PARTITION BY feedstock ORDER BY sugar, context_id) - sugar AS gap FROM v_context),
+    b AS (SELECT feedstock, arg_max(sugar, struct_pack(gap := gap, s := -sugar)) AS edge FROM g WHERE gap IS NOT NULL GROUP BY feedstock)
+    SELECT c.feedstock, count(*) FILTER (c.sugar <= b.edge) AS low, count(*) FILTER (c.sugar > b.edge) AS high FROM v_context c JOIN b ON c.feedstock = b.feedstock GROUP BY c.feedstock""",
+)
+def largest_gap_split(t: Tables) -> DataFrame:
+    edge = S.largest_gap(t.v_context, ["feedstock"], "sugar", "context_id")
+    j = t.v_context.join(edge, "feedstock")
+    return j.groupBy("feedstock").agg(F.count_if(F.col("sugar") <= F.col("edge")).alias("low"), F.count_if(F.col("sugar") > F.col("edge")).alias("high"))
+
+
+@query("neighbours_range", "SELECT feature_id, count(*) OVER (PARTITION BY seqid ORDER BY start_pos RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) - 1 AS neighbours FROM v_feature")
+def neighbours_range(t: Tables) -> DataFrame:
+    near = Window.partitionBy("seqid").orderBy("start_pos").rangeBetween(-1000, 1000)
+    return t.v_feature.select("feature_id", (F.count("*").over(near) - 1).alias("neighbours"))
+
+
+@query("minmax_norm", "SELECT product_id, round(CASE WHEN max(ceiling) OVER w = min(ceiling) OVER w THEN 1.0 ELSE (ceiling - min(ceiling) OVER w) / (max(ceiling) OVER w - min(ceiling) OVER w) END, 8) AS scaled FROM v_product WINDOW w AS (PARTITION BY tier)")
+def minmax_norm(t: Tables) -> DataFrame:
+    w = Window.partitionBy("tier")
+    low, high = F.min("ceiling").over(w), F.max("ceiling").over(w)
+    return t.v_product.select("product_id", F.round(F.when(high == low, 1.0).otherwise(F.try_divide(F.col("ceiling") - low, high - low)), 8).alias("scaled"))
+
+
+@query(
+    "robust_z",
+    """WITH m AS (SELECT feedstock, median(sugar) AS med FROM v_context GROUP BY feedstock), d AS (SELECT c.*, m.med, abs(c.sugar - m.med) AS dev FROM v_context c JOIN m ON c.feedstock = m.feedstock),
+    a AS (SELECT feedstock, median(dev) AS mad FROM d GROUP BY feedstock)
+    SELECT d.context_id, round(CASE WHEN a.mad = 0 THEN 0 ELSE (d.sugar - d.med) / (1.4826 * a.mad) END, 6) AS z FROM d JOIN a ON d.feedstock = a.feedstock""",
+)
+def robust_z(t: Tables) -> DataFrame:
+    return S.robust_z(t.v_context, ["feedstock"], "sugar").select("context_id", F.round("z", 6).alias("z"))
+
+
+@query(
+    "prev_rejected",
+    """SELECT o.o_orderkey AS task_id, min(p.o_orderkey) AS repeat_of FROM orders o JOIN (SELECT o_custkey, arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) p
+    ON o.o_custkey = p.o_custkey WHERE o.o_orderstatus = 'O' GROUP BY o.o_orderkey""",
+)
+def prev_rejected(t: Tables) -> DataFrame:
+    first = t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("repeat_of"))
+    return t.orders.where("o_orderstatus = 'O'").join(first, "o_custkey").select(F.col("o_orderkey").alias("task_id"), "repeat_of")
+
+
+@query("running_phase", "SELECT feature_id, (coalesce(sum(end_pos - start_pos) OVER (PARTITION BY seqid ORDER BY start_pos, feature_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3)::INT AS phase FROM v_feature")
+def running_phase(t: Tables) -> DataFrame:
+    before = Window.partitionBy("seqid").orderBy("start_pos", "feature_id").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum(F.col("end_pos") - F.col("start_pos")).over(before), F.lit(0))
+    return t.v_feature.select("feature_id", F.pmod(total, F.lit(3)).cast("int").alias("phase"))
+
+
+@query(
+    "nearest_occurrence",
+    """WITH p AS (SELECT doc_id, length(text) // 2 AS claimed, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 4) = ' the') AS places FROM documents WHERE length(text) < 3000)
+    SELECT doc_id, list_min(list_transform(places, lambda i: abs(i - 1 - claimed))) AS distance FROM p WHERE len(places) > 0""",
+)
+def nearest_occurrence(t: Tables) -> DataFrame:
+    from quillon.functions import text as X
+
+    d = t.documents.where(F.length("text") < 3000).select("doc_id", F.floor(F.length("text") / 2).alias("claimed"), X.find_all(F.col("text"), F.lit(" the")).alias("at"))
+    return d.where(F.size("at") > 0).select("doc_id", F.array_min(F.transform("at", lambda i: F.abs(i - F.col("claimed")))).alias("distance"))
