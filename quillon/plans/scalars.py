@@ -1 +1,394 @@
-"""Queries, still to come."""
+"""Queries of scalar functions: text, numbers, JSON, states, sequences."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import sequence as Q
+from quillon.functions import text as X
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+
+
+
+@query("tokenize", "SELECT doc_id, len(tk) AS n, array_to_string(tk[1:8], ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents) x")
+def tokenize(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.tokens(F.col("text")).alias("tk")).select("doc_id", F.size("tk").cast("long").alias("n"), F.array_join(F.slice("tk", 1, 8), " ").alias("head"))
+
+
+@query("normalize_title", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
+def normalize_title(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.normalize_title(F.substring("text", 1, 80)).alias("title"))
+
+
+@query("extract_id", "SELECT page_id, nullif(regexp_extract(lower(url), '/([a-z]{2})/([0-9]+)', 2), '') AS number, nullif(regexp_extract(lower(url), '/([a-z]{2})/([0-9]+)', 1), '') || ':' || nullif(regexp_extract(lower(url), '/([a-z]{2})/([0-9]+)', 2), '') AS canonical FROM pages")
+def extract_id(t: Tables) -> DataFrame:
+    part = lambda i: F.nullif(F.regexp_extract(F.lower("url"), "/([a-z]{2})/([0-9]+)", i), F.lit(""))
+    return t.pages.select("page_id", part(2).alias("number"), F.concat(part(1), F.lit(":"), part(2)).alias("canonical"))
+
+
+@query("parse_year", "SELECT doc_id, TRY_CAST(nullif(regexp_extract('published ' || year || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '-03' END, '(19|20)[0-9]{2}'), '') AS INT) AS parsed FROM v_document")
+def parse_year(t: Tables) -> DataFrame:
+    shown = F.concat(F.lit("published "), F.col("year").cast("string"), F.when(F.col("doc_id") % 4 == 0, "").otherwise("-03"))
+    return t.v_document.select("doc_id", F.nullif(F.regexp_extract(shown, "(19|20)[0-9]{2}", 0), F.lit("")).try_cast("int").alias("parsed"))
+
+
+@query("slugify", "SELECT p_partkey, 'part:' || regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS curie FROM part")
+def slugify(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.concat(F.lit("part:"), X.slug(F.col("p_name"))).alias("curie"))
+
+
+@query("stable_digest", """SELECT p_partkey, substr(sha256('{"brand":"' || p_brand || '","size":' || p_size || '}'), 1, 16) AS digest FROM part""")
+def stable_digest(t: Tables) -> DataFrame:
+    payload = F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size")))  # keys in a fixed order
+    return t.part.select("p_partkey", F.substr(F.sha2(payload, 256), F.lit(1), F.lit(16)).alias("digest"))
+
+
+@query("proposal_hash", """SELECT measurement_id, sha256('{"kind":"' || quantity_kind || '","unit":"' || unit || '","product":' || product_id || '}') AS h FROM v_measurement WHERE line = 1""")
+def proposal_hash(t: Tables) -> DataFrame:
+    # what is hashed leaves the span's offsets out
+    record = F.struct(F.col("quantity_kind").alias("kind"), "unit", F.col("product_id").alias("product"))
+    return t.v_measurement.where("line = 1").select("measurement_id", F.sha2(F.to_json(record), 256).alias("h"))
+
+
+_CTX = "sha256('aeration=' || aeration || '|feedstock=' || feedstock || '|temperature=' || temperature_c)"
+
+
+@query("context_hash", f"SELECT context_id, {_CTX} AS h FROM v_context")
+def context_hash(t: Tables) -> DataFrame:
+    facets = F.array(F.concat(F.lit("temperature="), F.col("temperature_c").cast("string")), F.concat(F.lit("feedstock="), "feedstock"), F.concat(F.lit("aeration="), "aeration"))
+    return t.v_context.select("context_id", F.sha2(F.array_join(F.array_sort(facets), "|"), 256).alias("h"))
+
+
+@query("context_collisions", "SELECT aeration || '|' || feedstock AS k, count(*) AS contexts FROM v_context GROUP BY 1 HAVING count(DISTINCT temperature_c) > 1")
+def context_collisions(t: Tables) -> DataFrame:
+    # contexts that become one when the temperature facet is dropped
+    facets = F.array(F.struct(F.lit("aeration").alias("f"), F.col("aeration").alias("v")), F.struct(F.lit("feedstock").alias("f"), F.col("feedstock").alias("v")), F.struct(F.lit("temperature").alias("f"), F.col("temperature_c").cast("string").alias("v")))
+    kept = F.transform(F.filter(facets, lambda x: x["f"] != "temperature"), lambda x: x["v"])
+    g = t.v_context.groupBy(F.array_join(kept, "|").alias("k")).agg(F.count("*").alias("contexts"), F.count_distinct("temperature_c").alias("d"))
+    return g.where("d > 1").select("k", "contexts")
+
+
+@query("normalize_text")
+def normalize_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", X.nfkc("text").alias("normal"))
+
+
+@query("corroborate_number", "SELECT p_partkey, contains(p_name || ' size ' || p_size || ' mm', cast(p_size AS VARCHAR)) AS number_found, contains(p_name || ' size ' || p_size || ' mm', 'mm') OR contains(p_name, 'millimetre') AS unit_found FROM part")
+def corroborate_number(t: Tables) -> DataFrame:
+    quote = F.concat("p_name", F.lit(" size "), F.col("p_size").cast("string"), F.lit(" mm"))
+    spellings = F.array(F.col("p_size").cast("string"), F.concat(F.col("p_size").cast("string"), F.lit(".0")))
+    units = F.array(F.lit("mm"), F.lit("millimetre"))
+    found = lambda a: F.exists(a, lambda x: F.contains(quote, x))
+    return t.part.select("p_partkey", found(spellings).alias("number_found"), found(units).alias("unit_found"))
+
+
+@query("distinguishing", "SELECT p_partkey, regexp_matches(p_name, '[0-9]') OR length(p_name) > 12 AS distinct_name, len(list_filter(string_split(p_name, ' '), lambda x: x <> '')) <= 1 AS one_thing FROM part")
+def distinguishing(t: Tables) -> DataFrame:
+    one = F.size(F.filter(F.split("p_name", " "), lambda x: x != "")) <= 1
+    return t.part.select("p_partkey", (F.col("p_name").rlike("[0-9]") | (F.length("p_name") > 12)).alias("distinct_name"), one.alias("one_thing"))
+
+
+@query(
+    "verify_span",
+    """SELECT d.doc_id, b.item_id, CASE WHEN substr(d.text, 11, length(b.text)) = b.text THEN 'exact' WHEN (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) = 1 THEN 'moved'
+    WHEN contains(d.text, b.text) THEN 'ambiguous' ELSE 'absent' END AS verdict FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE d.doc_id < 200""",
+)
+def verify_span(t: Tables) -> DataFrame:
+    b = t.benchmark.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("k"))
+    d = t.documents.where("doc_id < 200").withColumn("k", F.col("doc_id") % 40)
+    n = (F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote")
+    verdict = F.when(F.substr(F.col("text"), F.lit(11), F.length("quote")) == F.col("quote"), "exact").when(F.floor(n) == 1, "moved").when(F.floor(n) > 1, "ambiguous").otherwise("absent")
+    return d.join(b, "k").select("doc_id", "item_id", verdict.alias("verdict"))
+
+
+@query("find_all", "SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, length(p_name) + 1), lambda i: substr(p_name, i, 1) = 'a'), lambda i: i - 1), ',') AS places FROM part")
+def find_all(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.array_join(X.find_all(F.col("p_name"), F.lit("a")), ",").alias("places"))
+
+
+@query("snippet", "SELECT doc_id, trim(regexp_replace(substr(text, greatest(1, strpos(text, 'License') - 30), 67), '\\s+', ' ', 'g')) AS snip FROM documents WHERE contains(text, 'License')")
+def snippet(t: Tables) -> DataFrame:
+    at = F.greatest(F.lit(1), F.locate("License", F.col("text")) - 30)
+    return t.documents.where(F.col("text").contains("License")).select("doc_id", X.collapse(F.substr(F.col("text"), at, F.lit(67))).alias("snip"))
+
+
+@query(
+    "split_sections",
+    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 300),
+    h AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)
+    SELECT doc_id, section::BIGINT AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM h GROUP BY doc_id, section""",
+)
+def split_sections(t: Tables) -> DataFrame:
+    lines = t.documents.where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    heading = F.when(F.length("line") < 60, 1).otherwise(0)
+    h = lines.withColumn("section", F.sum(heading).over(Window.partitionBy("doc_id").orderBy("i")))
+    return h.groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query(
+    "excerpt_offsets",
+    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 300)
+    SELECT doc_id, i - 1 AS piece, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_offset FROM l""",
+)
+def excerpt_offsets(t: Tables) -> DataFrame:
+    lines = t.documents.where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("piece", "line"))
+    before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("doc_id", F.col("piece").cast("long").alias("piece"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("doc_offset"))
+
+
+@query("looks_like_review", "SELECT doc_id, text ILIKE '%overview%' AND NOT text ILIKE '%license%' AS review FROM documents")
+def looks_like_review(t: Tables) -> DataFrame:
+    names = F.array_compact(F.array(*(F.when(F.col("text").ilike(f"%{w}%"), F.lit(w)) for w in ("overview", "license"))))
+    has = lambda *w: F.size(F.array_intersect(names, F.array(*map(F.lit, w)))) > 0
+    return t.documents.select("doc_id", (has("overview") & ~has("license")).alias("review"))
+
+
+@query("licence_class", "SELECT doc_id, CASE WHEN lower(text) LIKE '%apache license%' OR lower(text) LIKE '%mit license%' THEN 'yes' WHEN lower(text) LIKE '%all rights reserved%' THEN 'no' ELSE 'unknown' END AS allowed FROM documents")
+def licence_class(t: Tables) -> DataFrame:
+    low = F.lower("text")
+    return t.documents.select("doc_id", F.when(low.contains("apache license") | low.contains("mit license"), "yes").when(low.contains("all rights reserved"), "no").otherwise("unknown").alias("allowed"))
+
+
+@query(
+    "title_overlap",
+    """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+'), lambda x: length(x) > 3)) AS ws, lower(substr(text, 61, 500)) AS head FROM documents)
+    SELECT doc_id, CASE WHEN len(ws) >= 3 THEN round(len(list_filter(ws, lambda x: contains(head, x))) / len(ws)::DOUBLE, 6) END AS overlap FROM w""",
+)
+def title_overlap(t: Tables) -> DataFrame:
+    ws = F.array_distinct(F.filter(X.tokens(F.substring("text", 1, 60)), lambda x: F.length(x) > 3))
+    d = t.documents.select("doc_id", ws.alias("ws"), F.lower(F.substring("text", 61, 500)).alias("head"))
+    share = F.size(F.filter("ws", lambda x: F.contains(F.col("head"), x))) / F.size("ws")
+    return d.select("doc_id", F.when(F.size("ws") >= 3, F.round(share, 6)).alias("overlap"))
+
+
+@query("split_tokens", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS token FROM part")
+def split_tokens(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.explode(F.split("p_type", " ")).alias("token"))
+
+
+@query("parse_timepoint", "SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(regexp_extract('T' || l_linenumber || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ' - hour ' || cast(l_quantity AS INT) END, 'hour ([0-9.]+)', 1), '') AS DOUBLE) AS hours FROM lineitem WHERE l_orderkey < 500")
+def parse_timepoint(t: Tables) -> DataFrame:
+    n = F.col("l_linenumber")
+    said = F.concat(F.lit("T"), n.cast("string"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(" - hour "), F.round("l_quantity").cast("int").cast("string"))))
+    return t.lineitem.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.nullif(F.regexp_extract(said, "hour ([0-9.]+)", 1), F.lit("")).try_cast("double").alias("hours"))
+
+
+_STATE = "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NA' WHEN 2 THEN 'unknown' ELSE p_brand END"
+
+
+@query("three_state", f"SELECT p_partkey, CASE WHEN r IS NOT NULL AND r NOT IN ('NA', 'unknown') THEN r END AS value, CASE WHEN r IS NULL THEN 'not_recorded' WHEN r = 'NA' THEN 'not_applicable' WHEN r = 'unknown' THEN 'unknown' END AS absence FROM (SELECT p_partkey, {_STATE} AS r FROM part) x")
+def three_state(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", X.three_state(F.expr(_STATE)).alias("v")).select("p_partkey", "v.value", "v.absence")
+
+
+@query("quantity_display", "SELECT p_partkey, CASE WHEN p_size < 5 THEN '< ' WHEN p_size < 10 THEN '≤ ' ELSE '' END || p_size || ' g/L' AS shown FROM part")
+def quantity_display(t: Tables) -> DataFrame:
+    sign = F.when(F.col("p_size") < 5, "< ").when(F.col("p_size") < 10, "≤ ").otherwise("")
+    return t.part.select("p_partkey", F.concat(sign, F.col("p_size").cast("string"), F.lit(" g/L")).alias("shown"))
+
+
+@query("unit_convert", "SELECT m.measurement_id, m.product_id, round(m.value * u.factor, 6) AS si FROM v_measurement m JOIN (VALUES ('F', 0.001), ('O', 3.6)) u(unit, factor) ON m.unit = u.unit WHERE m.line = 2")
+def unit_convert(t: Tables) -> DataFrame:
+    units = t._spark.createDataFrame([("F", 0.001), ("O", 3.6)], "unit string, factor double")
+    return t.v_measurement.where("line = 2").join(F.broadcast(units), "unit").select("measurement_id", "product_id", F.round(F.col("value") * F.col("factor"), 6).alias("si"))
+
+
+@query("pct_of_max", "SELECT product_id, round(100 * carbons / nullif(ceiling, 0), 6) AS pct FROM v_product")
+def pct_of_max(t: Tables) -> DataFrame:
+    return t.v_product.select("product_id", F.round(F.try_divide(100 * F.col("carbons"), F.col("ceiling")), 6).alias("pct"))
+
+
+@query("json_extract", "SELECT event_id, cast(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+def json_extract(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("json_coalesce", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN cast(event_id AS VARCHAR) END, json_extract_string(props, '$.k')) AS k FROM events")
+def json_coalesce(t: Tables) -> DataFrame:
+    edited = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_id").cast("string").alias("k"))))
+    return t.events.select("event_id", F.coalesce(F.get_json_object(edited, "$.k"), F.get_json_object("props", "$.k")).alias("k"))
+
+
+@query("json_flatten_diff", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'differs' ELSE 'same' END AS k_state FROM events WHERE event_id < 2000")
+def json_flatten_diff(t: Tables) -> DataFrame:
+    # two passes as path -> leaf maps; the diff is over the union of their paths
+    e = t.events.where("event_id < 2000")
+    one = F.from_json("props", "map<string,string>")
+    two = F.transform_values(one, lambda k, v: F.when(F.col("event_id") % 4 == 0, F.concat(v, F.lit("'"))).otherwise(v))
+    paths = F.array_union(F.map_keys(one), F.map_keys(two))
+    differs = F.exists(paths, lambda p: ~F.try_element_at(one, p).eqNullSafe(F.try_element_at(two, p)))
+    return e.select("event_id", F.when(differs, "differs").otherwise("same").alias("k_state"))
+
+
+@query("posexplode_kinds", "SELECT p_partkey, 'type' AS kind, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS i, unnest(string_split(p_type, ' ')) AS record FROM part UNION ALL SELECT p_partkey, 'name', generate_subscripts(string_split(p_name, ' '), 1) - 1, unnest(string_split(p_name, ' ')) FROM part")
+def posexplode_kinds(t: Tables) -> DataFrame:
+    one = lambda k, c: t.part.select("p_partkey", F.lit(k).alias("kind"), F.posexplode(F.split(c, " ")).alias("i", "record"))
+    both = one("type", "p_type").union(one("name", "p_name"))
+    return both.withColumn("i", F.col("i").cast("long"))
+
+
+@query("parse_json_text", """SELECT event_id, json_extract_string(regexp_extract('Sure: ```' || props || '```', '\\{.*\\}'), '$.k') AS k FROM events""")
+def parse_json_text(t: Tables) -> DataFrame:
+    reply = F.concat(F.lit("Sure: ```"), "props", F.lit("```"))
+    return t.events.select("event_id", F.get_json_object(F.regexp_extract(reply, "(?s)\\{.*\\}", 0), "$.k").alias("k"))
+
+
+@query("lease_expiry", "SELECT task_id, lease_expires_at FROM v_queue WHERE status = 'in_progress'")
+def lease_expiry(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderstatus NOT IN ('O', 'F')").select(F.col("o_orderkey").alias("task_id"), (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("lease_expires_at"))
+
+
+@query("safe_cast", "SELECT p_partkey, TRY_CAST(regexp_replace(p_brand, 'Brand#', '', 'g') AS INT) AS brand_no, TRY_CAST(p_name AS DOUBLE) AS name_no FROM part")
+def safe_cast(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.regexp_replace("p_brand", "Brand#", "").try_cast("int").alias("brand_no"), F.col("p_name").try_cast("double").alias("name_no"))
+
+
+@query("recency", "SELECT doc_id, round(greatest(0.0, least(1.0, (year - 1990) / 30.0))::DOUBLE, 8) AS recency FROM v_document")
+def recency(t: Tables) -> DataFrame:
+    return t.v_document.select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("year") - 1990) / 30.0)), 8).alias("recency"))
+
+
+@query("map_lookup", "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'experimental' WHEN 'signup' THEN 'experimental' WHEN 'view' THEN 'computational' ELSE 'other' END AS category FROM events")
+def map_lookup(t: Tables) -> DataFrame:
+    table = F.create_map(*(F.lit(x) for x in ("purchase", "experimental", "signup", "experimental", "view", "computational")))
+    return t.events.select("event_id", F.coalesce(F.try_element_at(table, F.col("event_type")), F.lit("other")).alias("category"))
+
+
+@query("html_to_text", "SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS chars FROM pages")
+def html_to_text(t: Tables) -> DataFrame:
+    plain = F.regexp_replace(F.regexp_replace("html", "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
+    return t.pages.select("page_id", F.length(X.collapse(plain)).cast("long").alias("chars"))
+
+
+@query("alpha_ratio", "SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(text), 0)::DOUBLE, 6) AS ratio FROM documents")
+def alpha_ratio(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.round(F.try_divide(F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length("text")), 6).alias("ratio"))
+
+
+@query("canonical_text", "SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS h FROM documents")
+def canonical_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(X.collapse(F.col("text"))).alias("h"))
+
+
+@query("content_hash", "SELECT doc_id, sha256(text) AS h, substr(sha256(text), 1, 2) AS shard FROM documents")
+def content_hash(t: Tables) -> DataFrame:
+    h = F.sha2("text", 256)
+    return t.documents.select("doc_id", h.alias("h"), F.substr(h, F.lit(1), F.lit(2)).alias("shard"))
+
+
+@query("classify_payload", "SELECT page_id, CASE WHEN length(html) < 100 THEN 'too_short' WHEN lower(substr(html, 1, 200)) LIKE '%<html%' THEN 'html' WHEN substr(html, 1, 4) = '%PDF' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages")
+def classify_payload(t: Tables) -> DataFrame:
+    head = F.lower(F.substring("html", 1, 200))
+    return t.pages.select("page_id", F.when(F.length("html") < 100, "too_short").when(head.contains("<html"), "html").when(F.col("html").startswith("%PDF"), "pdf").otherwise("unknown").alias("kind"))
+
+
+@query(
+    "coalesce_priority",
+    "SELECT o_custkey, arg_min(o_orderkey, struct_pack(p := o_orderpriority, k := o_orderkey)) AS chosen FROM orders GROUP BY o_custkey",
+)
+def coalesce_priority(t: Tables) -> DataFrame:
+    return t.orders.groupBy("o_custkey").agg(F.min(F.struct("o_orderpriority", "o_orderkey"))["o_orderkey"].alias("chosen"))
+
+
+@query(
+    "keyword_windows",
+    """WITH p AS (SELECT doc_id, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 8) = ' License')) AS i FROM documents WHERE contains(text, ' License')),
+    w AS (SELECT doc_id, i, trim(regexp_replace(substr(text, greatest(1, i - 40), 80), '\\s+', ' ', 'g')) AS win FROM p),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substr(win, 1, 60) ORDER BY i) AS rn FROM w)
+    SELECT doc_id, win FROM r WHERE rn = 1""",
+)
+def keyword_windows(t: Tables) -> DataFrame:
+    d = t.documents.where(F.col("text").contains(" License"))
+    p = d.select("doc_id", "text", F.explode(X.find_all(F.col("text"), F.lit(" License"))).alias("i"))
+    w = p.select("doc_id", "i", X.collapse(F.substr(F.col("text"), F.greatest(F.lit(1), F.col("i") - 39), F.lit(80))).alias("win"))
+    rn = F.row_number().over(Window.partitionBy("doc_id", F.substring("win", 1, 60)).orderBy("i"))
+    return w.withColumn("rn", rn).where("rn = 1").select("doc_id", "win")
+
+
+# ---------------------------------------------------------------- sequences
+
+_D = "(SELECT doc_id, regexp_replace(upper(substr(text, 1, 900)), '[^ACGT]', '', 'g') AS s FROM documents)"
+
+
+def _sequences(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.regexp_replace(F.upper(F.substring("text", 1, 900)), "[^ACGT]", "").alias("s"))
+
+
+_CODONS = "regexp_extract_all(s, '...')"
+
+
+def _case(values: dict[str, str], key: str, otherwise: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(values.items()))
+    return f"CASE {key} {whens} ELSE {otherwise} END"
+
+
+@query("codons", f"SELECT doc_id, len({_CODONS}) AS n, array_to_string({_CODONS}[1:3], ',') AS head FROM {_D} x")
+def codons(t: Tables) -> DataFrame:
+    return _sequences(t).select("doc_id", Q.codons(F.col("s")).alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join(F.slice("c", 1, 3), ",").alias("head"))
+
+
+@query("translate", f"SELECT doc_id, array_to_string(list_transform({_CODONS}, lambda c: {_case(Q.code(3), 'c', chr(39) + 'X' + chr(39))}), '') AS protein FROM {_D} x")
+def translate(t: Tables) -> DataFrame:
+    return _sequences(t).select("doc_id", Q.translate(F.col("s"), 3).alias("protein"))
+
+
+_DIFF = ", ".join(f"'{c}'" for c in sorted(Q.code(1)) if Q.code(1)[c] != Q.code(3)[c])
+
+
+@query("codon_diff", f"SELECT doc_id, len(list_filter({_CODONS}, lambda c: c IN ({_DIFF}))) AS differing FROM {_D} x")
+def codon_diff(t: Tables) -> DataFrame:
+    return _sequences(t).select("doc_id", F.size(Q.codon_diff(F.col("s"))).cast("long").alias("differing"))
+
+
+@query("at_fraction", f"SELECT doc_id, round(length(regexp_replace(s, '[^AT]', '', 'g')) / nullif(length(s), 0)::DOUBLE, 6) AS at_share FROM {_D} x")
+def at_fraction(t: Tables) -> DataFrame:
+    return _sequences(t).select("doc_id", F.round(Q.at_fraction(F.col("s")), 6).alias("at_share"))
+
+
+@query("recode", f"SELECT doc_id, array_to_string(list_transform({_CODONS}, lambda c: {_case(Q.dual_safe(), 'c', 'c')}), '') AS recoded FROM {_D} x")
+def recode(t: Tables) -> DataFrame:
+    return _sequences(t).select("doc_id", Q.recode(F.col("s"), "dual_safe").alias("recoded"))
+
+
+@query("codon_compare", f"SELECT doc_id, len(list_filter({_CODONS}, lambda c: c <> {_case(Q.dual_safe(), 'c', 'c')})) AS changed FROM {_D} x")
+def codon_compare(t: Tables) -> DataFrame:
+    s = _sequences(t).withColumn("r", Q.recode(F.col("s"), "dual_safe"))
+    pairs = F.zip_with(Q.codons(F.col("s")), Q.codons(F.col("r")), lambda a, b: a != b)
+    return s.select("doc_id", F.size(F.filter(pairs, lambda x: x)).cast("long").alias("changed"))
+
+
+@query("revcomp", f"SELECT doc_id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM {_D} x")
+def revcomp(t: Tables) -> DataFrame:
+    return _sequences(t).select("doc_id", Q.reverse_complement(F.col("s")).alias("rc"))
+
+
+@query("splice", f"SELECT doc_id, substr(s, 1, 9) || substr(s, 16, 12) AS cds FROM {_D} x")
+def splice(t: Tables) -> DataFrame:
+    seg = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    return _sequences(t).select("doc_id", Q.splice(F.col("s"), F.array(seg(15, 27), seg(0, 9))).alias("cds"))
+
+
+_PROTEIN = "array_to_string(list_transform(regexp_extract_all(s, '...'), lambda c: {}), '')"
+
+
+@query(
+    "peptide_compare",
+    f"""WITH p AS (SELECT doc_id, {_PROTEIN.format(_case(Q.code(1), 'c', "'X'"))} AS a, {_PROTEIN.format(_case(Q.code(3), 'c', "'X'"))} AS b FROM {_D} x)
+    SELECT doc_id, CASE WHEN a = b THEN 'exact' WHEN contains(substr(a, 1, least(length(a), length(b)) - 1), '*') THEN 'internal_stop' ELSE 'mismatch' END AS verdict FROM p""",
+)
+def peptide_compare(t: Tables) -> DataFrame:
+    p = _sequences(t).select("doc_id", Q.translate(F.col("s"), 1).alias("a"), Q.translate(F.col("s"), 3).alias("b"))
+    return p.select("doc_id", Q.peptide_verdict(F.col("a"), F.col("b")).alias("verdict"))
+
+
+@query(
+    "qc_identity",
+    f"""WITH p AS (SELECT doc_id, {_PROTEIN.format(_case(Q.code(1), 'c', "'X'"))} AS a, {_PROTEIN.format(_case(Q.code(3), 'c', "'X'"))} AS b FROM {_D} x)
+    SELECT count(*) AS n, count(*) FILTER (a = b) AS identical, count(*) FILTER (a = b) / count(*)::DOUBLE >= 0.995 AS passed FROM p""",
+)
+def qc_identity(t: Tables) -> DataFrame:
+    p = _sequences(t).select((Q.translate(F.col("s"), 1) == Q.translate(F.col("s"), 3)).alias("same"))
+    return p.agg(F.count("*").alias("n"), F.count_if("same").alias("identical")).withColumn("passed", F.col("identical") / F.col("n") >= 0.995)
