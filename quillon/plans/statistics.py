@@ -1 +1,212 @@
-"""Queries, still to come."""
+"""Statistical queries over the stand-in matrix and contexts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.operators import statistics as S
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+_FACTORS = """
+    k AS (SELECT count(DISTINCT sample) AS k FROM v_matrix),
+    g AS (SELECT gene, avg(ln(n)) AS m FROM v_matrix WHERE n > 0 GROUP BY gene HAVING count(*) = (SELECT k FROM k)),
+    f AS (SELECT sample, exp(median(ln(n) - m)) AS factor FROM v_matrix JOIN g ON v_matrix.gene = g.gene GROUP BY sample)"""
+
+
+@query("size_factors", f"WITH {_FACTORS} SELECT sample, round(factor, 6) AS factor FROM f")
+def size_factors(t: Tables) -> DataFrame:
+    return S.size_factors(t.v_matrix, "gene", "sample", "n").select("sample", F.round("factor", 6).alias("factor"))
+
+
+def _normalised(t: Tables) -> DataFrame:
+    factors = S.size_factors(t.v_matrix, "gene", "sample", "n")
+    return t.v_matrix.join(F.broadcast(factors), "sample").withColumn("x", F.col("n") / F.col("factor"))
+
+
+_MEANS = f"""WITH {_FACTORS},
+    x AS (SELECT v.gene, v.grp, v.n / f.factor AS x FROM v_matrix v JOIN f ON v.sample = f.sample),
+    m AS (SELECT gene, avg(x) FILTER (grp = 'ref') AS ref, avg(x) FILTER (grp = 'trt') AS trt, avg(x) AS base, count(*) FILTER (grp = 'ref') AS n_ref, count(*) FILTER (grp = 'trt') AS n_trt,
+      var_samp(x) FILTER (grp = 'ref') AS v_ref, var_samp(x) FILTER (grp = 'trt') AS v_trt FROM x GROUP BY gene)"""
+
+
+def _means(t: Tables) -> DataFrame:
+    of = lambda g: F.when(F.col("grp") == g, F.col("x"))
+    return _normalised(t).groupBy("gene").agg(
+        F.avg(of("ref")).alias("ref"), F.avg(of("trt")).alias("trt"), F.avg("x").alias("base"), F.count(of("ref")).alias("n_ref"), F.count(of("trt")).alias("n_trt"),
+        F.var_samp(of("ref")).alias("v_ref"), F.var_samp(of("trt")).alias("v_trt"),
+    )
+
+
+@query("log2fc", f"{_MEANS} SELECT gene, round(log2(trt + 1) - log2(ref + 1), 6) AS lfc, round(base, 6) AS base_mean FROM m WHERE base >= 10")
+def log2fc(t: Tables) -> DataFrame:
+    return _means(t).where("base >= 10").select("gene", F.round(F.log2(F.col("trt") + 1) - F.log2(F.col("ref") + 1), 6).alias("lfc"), F.round("base", 6).alias("base_mean"))
+
+
+@query("underpowered", f"{_MEANS} SELECT gene, n_ref < 2 OR n_trt < 2 AS underpowered FROM m")
+def underpowered(t: Tables) -> DataFrame:
+    return _means(t).select("gene", ((F.col("n_ref") < 2) | (F.col("n_trt") < 2)).alias("underpowered"))
+
+
+_SE = "(v_ref / n_ref + v_trt / n_trt)"
+
+
+@query(
+    "welch_t",
+    f"""{_MEANS} SELECT gene, round((trt - ref) / sqrt{_SE}, 5) AS t, round(pow{_SE.replace(')', ', 2)')} / (pow(v_ref / n_ref, 2) / (n_ref - 1) + pow(v_trt / n_trt, 2) / (n_trt - 1)), 5) AS df
+    FROM m WHERE n_ref >= 2 AND n_trt >= 2 AND {_SE} > 1e-9""",
+)
+def welch_t(t: Tables) -> DataFrame:
+    m = _means(t).where("n_ref >= 2 AND n_trt >= 2").withColumn("a", F.col("v_ref") / F.col("n_ref")).withColumn("b", F.col("v_trt") / F.col("n_trt")).where("a + b > 1e-9")
+    df = F.pow(F.col("a") + F.col("b"), 2) / (F.pow("a", F.lit(2)) / (F.col("n_ref") - 1) + F.pow("b", F.lit(2)) / (F.col("n_trt") - 1))
+    return m.select("gene", F.round((F.col("trt") - F.col("ref")) / F.sqrt(F.col("a") + F.col("b")), 5).alias("t"), F.round(df, 5).alias("df"))
+
+
+@query("welch_p")
+def welch_p(t: Tables) -> DataFrame:
+    return welch_t(t).select("gene", "t", "df", S.t_p_value("t", "df").alias("p"))
+
+
+_S2 = "((n_ref - 1) * v_ref + (n_trt - 1) * v_trt) / (n_ref + n_trt - 2)"
+
+
+@query("variance_prior_moments", f"{_MEANS} SELECT round(avg(ln(s2)), 6) AS mean_log, round(var_samp(ln(s2)), 6) AS var_log, count(*) AS genes FROM (SELECT {_S2} AS s2 FROM m WHERE n_ref = 3 AND n_trt = 3) y WHERE s2 > 1e-9")
+def variance_prior_moments(t: Tables) -> DataFrame:
+    s2 = _means(t).where("n_ref = 3 AND n_trt = 3").select(F.expr(_S2).alias("s2")).where("s2 > 1e-9")
+    return s2.agg(F.round(F.avg(F.log("s2")), 6).alias("mean_log"), F.round(F.var_samp(F.log("s2")), 6).alias("var_log"), F.count("*").alias("genes"))
+
+
+@query("moderated_t")
+def moderated_t(t: Tables) -> DataFrame:
+    m = _means(t).where("n_ref = 3 AND n_trt = 3").withColumn("s2", F.expr(_S2)).where("s2 > 1e-9")
+    moments = m.agg(F.avg(F.log("s2")), F.var_samp(F.log("s2"))).first()  # two numbers
+    s0, d0 = S.variance_prior(moments[0], moments[1], 4.0)
+    d0 = min(d0, 1e6)
+    post = (F.lit(d0 * s0) + 4.0 * F.col("s2")) / F.lit(d0 + 4.0)
+    out = m.withColumn("t", (F.col("trt") - F.col("ref")) / F.sqrt(post * F.lit(2.0 / 3))).withColumn("df", F.lit(4.0 + d0))
+    return out.select("gene", "t", "df", S.t_p_value("t", "df").alias("p"))
+
+
+@query("bonferroni", "SELECT id, round(least(1.0, p * count(*) OVER ())::DOUBLE, 8) AS p_adjusted FROM (SELECT p_partkey AS id, ((p_partkey * 7919) % 10007 + 1) / 100080000.0 AS p FROM part) x")
+def bonferroni(t: Tables) -> DataFrame:
+    p = t.part.select(F.col("p_partkey").alias("id"), (((F.col("p_partkey") * 7919) % 10007 + 1) / F.lit(100080000.0)).alias("p"))
+    n = p.agg(F.count("*").alias("tests"))  # a single row
+    return p.crossJoin(F.broadcast(n)).select("id", F.round(F.least(F.lit(1.0), F.col("p") * F.col("tests")), 8).alias("p_adjusted"))
+
+
+_RHO = """WITH p AS (SELECT a.sample AS a, b.sample AS b, a.n AS x, b.n AS y FROM v_matrix a JOIN v_matrix b ON a.gene = b.gene AND a.sample <> b.sample),
+    r AS (SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY x) AS i, row_number() OVER (PARTITION BY a, b ORDER BY y) AS j, x, y FROM p),
+    k AS (SELECT a, b, avg(i) OVER (PARTITION BY a, b, x) AS rx, avg(j) OVER (PARTITION BY a, b, y) AS ry FROM r),
+    rho AS (SELECT a, b, corr(rx, ry) AS rho FROM k GROUP BY a, b)"""
+
+
+@query("spearman", f"{_RHO} SELECT a, b, round(rho, 6) AS rho FROM rho")
+def spearman(t: Tables) -> DataFrame:
+    return S.spearman_pairs(t.v_matrix, "gene", "sample", "n").select("a", "b", F.round("rho", 6).alias("rho"))
+
+
+@query("cohesion", f"{_RHO} SELECT a AS sample, round(max(rho), 6) AS cohesion FROM rho WHERE (a < 3) = (b < 3) GROUP BY a")
+def cohesion(t: Tables) -> DataFrame:
+    rho = S.spearman_pairs(t.v_matrix, "gene", "sample", "n").where("(a < 3) = (b < 3)")
+    return rho.groupBy(F.col("a").alias("sample")).agg(F.round(F.max("rho"), 6).alias("cohesion"))
+
+
+@query(
+    "coherence_flags",
+    f"{_RHO} SELECT a AS sample, round(max(rho) FILTER ((a < 3) = (b < 3)) - max(rho) FILTER ((a < 3) <> (b < 3)), 6) AS margin, arg_max(b, round(rho, 9)) AS resembles FROM rho GROUP BY a",
+)
+def coherence_flags(t: Tables) -> DataFrame:
+    own = (F.col("a") < 3) == (F.col("b") < 3)
+    rho = S.spearman_pairs(t.v_matrix, "gene", "sample", "n")
+    margin = F.max(F.when(own, F.col("rho"))) - F.max(F.when(~own, F.col("rho")))
+    return rho.groupBy(F.col("a").alias("sample")).agg(F.round(margin, 6).alias("margin"), F.max_by("b", "rho").alias("resembles"))
+
+
+@query(
+    "marker_flags",
+    """WITH m AS (SELECT sample, grp, sum(n) AS n FROM v_matrix WHERE gene % 97 = 0 GROUP BY sample, grp), g AS (SELECT *, lead(n) OVER (ORDER BY n, sample) - n AS gap FROM m),
+    e AS (SELECT arg_max(n, gap) AS edge FROM g WHERE gap IS NOT NULL) SELECT m.sample, m.n > e.edge AS high, (m.n > e.edge) <> (m.grp = 'trt') AS flagged FROM m, e""",
+)
+def marker_flags(t: Tables) -> DataFrame:
+    m = t.v_matrix.where("gene % 97 = 0").groupBy("sample", "grp").agg(F.sum("n").alias("n")).withColumn("marker", F.lit(1))
+    j = m.join(F.broadcast(S.largest_gap(m, ["marker"], "n", "sample")), "marker")
+    high = F.col("n") > F.col("edge")
+    return j.select("sample", high.alias("high"), (high != (F.col("grp") == "trt")).alias("flagged"))
+
+
+@query("quarantine_exclude", "SELECT measurement_id, strain_id FROM v_measurement WHERE line = 1 AND strain_id NOT IN (SELECT target_id FROM v_flag WHERE status IN ('active', 'confirmed'))")
+def quarantine_exclude(t: Tables) -> DataFrame:
+    held = t.v_flag.where("status IN ('active', 'confirmed')").select(F.col("target_id").alias("strain_id"))
+    return t.v_measurement.where("line = 1").join(held, "strain_id", "left_anti").select("measurement_id", "strain_id")
+
+
+_REFUSALS = [("too_few_members", "count(*) < 4"), ("no_reference", "count(sample_id) = 0"), ("mixed_units", "count(DISTINCT unit) > 1"), ("one_kind", "count(DISTINCT quantity_kind) = 1"), ("no_strain_difference", "count(DISTINCT strain_id) < 2")]
+
+
+@query("contrast_refusals", "SELECT experiment_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _REFUSALS) + ") AS reasons FROM v_measurement GROUP BY experiment_id")
+def contrast_refusals(t: Tables) -> DataFrame:
+    g = t.v_measurement.groupBy("experiment_id")
+    tests = {"too_few_members": F.count("*") < 4, "no_reference": F.count("sample_id") == 0, "mixed_units": F.count_distinct("unit") > 1, "one_kind": F.count_distinct("quantity_kind") == 1, "no_strain_difference": F.count_distinct("strain_id") < 2}
+    return g.agg(F.concat_ws(",", *(F.when(c, F.lit(k)) for k, c in tests.items())).alias("reasons"))
+
+
+@query("contrast_pairs", "SELECT a.context_id AS a, b.context_id AS b FROM v_context a JOIN v_context b ON a.aeration = b.aeration AND a.temperature_c = b.temperature_c AND a.context_id < b.context_id AND a.feedstock <> b.feedstock")
+def contrast_pairs(t: Tables) -> DataFrame:
+    c = t.v_context
+    b = c.select("aeration", "temperature_c", F.col("context_id").alias("b"), F.col("feedstock").alias("fb"))
+    return c.join(b, ["aeration", "temperature_c"]).where("context_id < b AND feedstock <> fb").select(F.col("context_id").alias("a"), "b")
+
+
+@query("power_table", "SELECT n, sigma, round(2.8015852182 * sigma * sqrt(2.0 / n), 6) AS detectable, ceil(2 * pow(2.8015852182 * sigma, 2))::BIGINT AS needed FROM (VALUES (3, 0.2), (4, 0.5), (10, 0.9)) v(n, sigma)")
+def power_table(t: Tables) -> DataFrame:
+    v = t._spark.createDataFrame([(3, 0.2), (4, 0.5), (10, 0.9)], "n int, sigma double")
+    return v.select("n", "sigma", F.round(S.min_detectable(F.col("sigma"), F.col("n")), 6).alias("detectable"), S.required_n(F.col("sigma"), F.lit(1.0)).alias("needed"))
+
+
+@query("sign_test", "SELECT n, round(2 * pow(0.5, n), 12) AS p, n >= 6 AS enough FROM (SELECT unnest(range(1, 11)) AS n) x")
+def sign_test(t: Tables) -> DataFrame:
+    return t._spark.range(1, 11).select(F.col("id").alias("n"), F.round(2 * F.pow(F.lit(0.5), "id"), 12).alias("p"), (F.col("id") >= 6).alias("enough"))
+
+
+@query(
+    "study_dispersion",
+    """WITH g AS (SELECT grp, gene, stddev_samp(log2(n + 1)) AS sd FROM v_matrix GROUP BY grp, gene HAVING median(n) >= 10 AND count(*) > 1) SELECT grp, round(median(sd), 6) AS dispersion, count(*) AS genes FROM g GROUP BY grp""",
+)
+def study_dispersion(t: Tables) -> DataFrame:
+    g = t.v_matrix.groupBy("grp", "gene").agg(F.stddev_samp(F.log2(F.col("n") + 1)).alias("sd"), F.median("n").alias("med"), F.count("*").alias("k")).where("med >= 10 AND k > 1")
+    return g.groupBy("grp").agg(F.round(F.median("sd"), 6).alias("dispersion"), F.count("*").alias("genes"))
+
+
+@query(
+    "closest_pair_sd",
+    """WITH d AS (SELECT a.sample AS a, b.sample AS b, ln(a.n / b.n) AS d FROM v_matrix a JOIN v_matrix b ON a.gene = b.gene AND a.sample < b.sample AND a.grp = b.grp WHERE a.n > 0 AND b.n > 0),
+    m AS (SELECT a, b, median(d) AS med FROM d GROUP BY a, b), s AS (SELECT d.a, d.b, 1.4826 * median(abs(d - med)) / sqrt(2) AS sd FROM d JOIN m ON d.a = m.a AND d.b = m.b GROUP BY d.a, d.b)
+    SELECT round(min(sd), 6) AS sd FROM s""",
+)
+def closest_pair_sd(t: Tables) -> DataFrame:
+    m = t.v_matrix.where("n > 0")
+    b = m.select("gene", "grp", F.col("sample").alias("b"), F.col("n").alias("y"))
+    d = m.join(b, ["gene", "grp"]).where("sample < b").select(F.col("sample").alias("a"), "b", F.log(F.col("n") / F.col("y")).alias("d"))
+    med = d.groupBy("a", "b").agg(F.median("d").alias("med"))
+    sd = d.join(med, ["a", "b"]).groupBy("a", "b").agg((1.4826 * F.median(F.abs(F.col("d") - F.col("med"))) / F.sqrt(F.lit(2.0))).alias("sd"))
+    return sd.agg(F.round(F.min("sd"), 6).alias("sd"))
+
+
+@query("baseline_profile", "SELECT gene, round(count(*) / 6.0, 6)::DOUBLE AS detection, min(n) AS low, median(n) AS mid, max(n) AS high, CASE WHEN min(n) > 0 THEN round(max(n) / min(n), 6) END AS fold FROM v_matrix GROUP BY gene")
+def baseline_profile(t: Tables) -> DataFrame:
+    fold = F.when(F.min("n") > 0, F.round(F.try_divide(F.max("n"), F.min("n")), 6))
+    return t.v_matrix.groupBy("gene").agg(F.round(F.count("*") / 6.0, 6).alias("detection"), F.min("n").alias("low"), F.median("n").alias("mid"), F.max("n").alias("high"), fold.alias("fold"))
+
+
+@query("library_split", "SELECT CASE WHEN sample % 3 = 0 THEN 'total' ELSE 'depleted' END AS library, count(DISTINCT sample) AS samples, sum(n) AS reads FROM v_matrix GROUP BY 1")
+def library_split(t: Tables) -> DataFrame:
+    selection = F.when(F.col("sample") % 3 == 0, "total").when(F.col("sample") % 3 == 1, "poly_a")  # unknown counts as depleted
+    kind = F.when(selection == "total", "total").otherwise("depleted")
+    return t.v_matrix.groupBy(kind.alias("library")).agg(F.count_distinct("sample").alias("samples"), F.sum("n").alias("reads"))
+
+
+@query("gene_profile", "SELECT gene, string_agg(sample || '=' || n, ';' ORDER BY sample) AS profile FROM v_matrix WHERE gene < 50 GROUP BY gene")
+def gene_profile(t: Tables) -> DataFrame:
+    rows = F.array_sort(F.collect_list(F.struct("sample", "n")))  # as many as there are samples
+    return t.v_matrix.where("gene < 50").groupBy("gene").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws("=", x["sample"].cast("string"), x["n"].cast("string"))), ";").alias("profile"))
