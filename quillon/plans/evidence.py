@@ -1 +1,185 @@
-"""Queries, still to come."""
+"""Evidence, comparability and quality decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.operators import evidence as E
+from quillon.operators import relational as R
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+_LEVELS = """
+    s AS (SELECT a.assertion_id, a.level_override, a.open_conflict, count(e.evidence_id) AS n,
+      count(e.evidence_id) FILTER (e.evidence_type IN ('direct_perturbation', 'direct_biochemical')) AS direct,
+      count(DISTINCT e.independent_group) FILTER (e.evidence_type IN ('direct_perturbation', 'direct_biochemical')) AS grps,
+      count(DISTINCT e.direction) FILTER (e.evidence_type IN ('direct_perturbation', 'direct_biochemical')) AS dirs,
+      count(DISTINCT e.publication_id) FILTER (e.evidence_type IN ('correlative_omics', 'comparative_genomic')) AS pubs,
+      count(DISTINCT e.direction) FILTER (e.evidence_type IN ('correlative_omics', 'comparative_genomic')) AS adirs,
+      count(e.evidence_id) FILTER (e.evidence_type = 'computational_model') AS models, count(e.evidence_id) FILTER (e.evidence_type IN ('literature_assertion', 'ai_inference')) AS weak
+      FROM v_assertion a LEFT JOIN v_evidence_item e ON e.assertion_id = a.assertion_id AND e.status = 'active' GROUP BY ALL),
+    l AS (SELECT *, CASE WHEN n = 0 THEN 'no_evidence' WHEN direct > 0 AND open_conflict THEN 'direct_evidence_discordant' WHEN grps >= 2 AND dirs <= 1 THEN 'replicated_direct' WHEN direct > 0 THEN 'single_direct'
+      WHEN pubs >= 3 AND adirs <= 1 THEN 'concordant_association' WHEN models > 0 AND pubs = 0 AND weak = 0 THEN 'model_only' ELSE 'weak' END AS reason FROM s),
+    g AS (SELECT assertion_id, reason, level_override, CASE reason WHEN 'replicated_direct' THEN 'L2' WHEN 'single_direct' THEN 'L1' WHEN 'concordant_association' THEN 'L3' WHEN 'model_only' THEN 'L4' WHEN 'weak' THEN 'L5' END AS derived_level FROM l)"""
+
+
+@query("evidence_level", f"WITH {_LEVELS} SELECT assertion_id, derived_level, reason, coalesce(level_override, derived_level) AS level FROM g")
+def evidence_level(t: Tables) -> DataFrame:
+    return E.evidence_levels(t.v_assertion, t.v_evidence_item)
+
+
+@query("conflicted", f"WITH {_LEVELS} SELECT assertion_id, reason FROM g WHERE coalesce(level_override, derived_level) IS NULL")
+def conflicted(t: Tables) -> DataFrame:
+    return evidence_level(t).where("level IS NULL").select("assertion_id", "reason")
+
+
+@query("absences", "SELECT 'unlabelled' AS kind, count(*) FILTER (quality IS NULL) AS n FROM v_document UNION ALL SELECT 'no_sample', count(*) FILTER (sample_id IS NULL) FROM v_measurement UNION ALL SELECT 'unknown_aeration', count(*) FILTER (aeration = 'unknown') FROM v_context")
+def absences(t: Tables) -> DataFrame:
+    one = lambda k, df, c: df.agg(F.lit(k).alias("kind"), F.count_if(c).alias("n"))
+    return one("unlabelled", t.v_document, F.col("quality").isNull()).union(one("no_sample", t.v_measurement, F.col("sample_id").isNull())).union(one("unknown_aeration", t.v_context, F.col("aeration") == "unknown"))
+
+
+_CLASS = "CASE WHEN aeration = 'unknown' THEN '?' ELSE aeration END || '|' || feedstock"
+
+
+@query("comparability_class", f"SELECT context_id, {_CLASS} AS class_key, CASE WHEN aeration = 'unknown' THEN 'provisional' ELSE 'classified' END AS standing FROM v_context")
+def comparability_class(t: Tables) -> DataFrame:
+    key, standing = E.comparability_class("aeration", "feedstock")
+    return t.v_context.select("context_id", key.alias("class_key"), standing.alias("standing"))
+
+
+@query(
+    "facet_differences",
+    """SELECT feedstock, count(DISTINCT aeration) > 1 AS aeration_differs, max(temperature_c) - min(temperature_c) > 2 AS temperature_differs,
+    max(sugar) - min(sugar) > 0.25 * greatest(abs(max(sugar)), abs(min(sugar))) AS sugar_differs FROM v_context WHERE context_id % 40 < 3 GROUP BY feedstock, context_id % 40""",
+)
+def facet_differences(t: Tables) -> DataFrame:
+    spread = lambda c: F.max(c) - F.min(c)
+    g = t.v_context.where("context_id % 40 < 3").groupBy("feedstock", (F.col("context_id") % 40).alias("k"))
+    sugar = spread("sugar") > 0.25 * F.greatest(F.abs(F.max("sugar")), F.abs(F.min("sugar")))
+    return g.agg((F.count_distinct("aeration") > 1).alias("aeration_differs"), (spread("temperature_c") > 2).alias("temperature_differs"), sugar.alias("sugar_differs")).drop("k")
+
+
+_COMPARE = "CASE WHEN count(DISTINCT unit) > 1 THEN 'refuse' WHEN count(DISTINCT quantity_kind) > 1 OR count(sample_id) < count(*) THEN 'warn' ELSE 'comparable' END"
+
+
+@query("compare_verdict", f"SELECT experiment_id, {_COMPARE} AS verdict FROM v_measurement GROUP BY experiment_id")
+def compare_verdict(t: Tables) -> DataFrame:
+    verdict = F.when(F.count_distinct("unit") > 1, "refuse").when((F.count_distinct("quantity_kind") > 1) | (F.count("sample_id") < F.count("*")), "warn").otherwise("comparable")
+    return t.v_measurement.groupBy("experiment_id").agg(verdict.alias("verdict"))
+
+
+@query("compare_candidates", "SELECT strain_id, count(*) AS n FROM v_measurement GROUP BY strain_id ORDER BY n DESC, strain_id LIMIT 20")
+def compare_candidates(t: Tables) -> DataFrame:
+    return t.v_measurement.groupBy("strain_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "strain_id").limit(20)
+
+
+_RANKABLE = f"""WITH c AS (SELECT m.*, {_CLASS} AS class_key FROM v_measurement m JOIN v_context c ON c.context_id = m.product_id)
+    SELECT class_key, count(*) AS n, NOT class_key LIKE '%?%' AND count(DISTINCT unit) = 1 AND count(*) > 1 AND bool_and(quantity_kind IN ('A', 'N')) AS rankable FROM c WHERE product_id % 5 = 0 GROUP BY class_key"""
+
+
+@query("rankable_classes", _RANKABLE)
+def rankable_classes(t: Tables) -> DataFrame:
+    key, _ = E.comparability_class("aeration", "feedstock")
+    c = t.v_measurement.where("product_id % 5 = 0").join(t.v_context, F.col("product_id") == F.col("context_id")).withColumn("class_key", key)
+    ok = ~F.col("class_key").contains("?") & (F.count_distinct("unit") == 1) & (F.count("*") > 1) & F.bool_and(F.col("quantity_kind").isin("A", "N"))
+    return c.groupBy("class_key").agg(F.count("*").alias("n"), ok.alias("rankable"))
+
+
+@query("row_warnings", "SELECT measurement_id, product_id, concat_ws(',', CASE WHEN sample_id IS NULL THEN 'no_sample' END, CASE WHEN value > 45 THEN 'high' END, CASE WHEN discount = 0 THEN 'no_basis' END) AS warnings FROM v_measurement")
+def row_warnings(t: Tables) -> DataFrame:
+    w = F.array_compact(F.array(F.when(F.col("sample_id").isNull(), F.lit("no_sample")), F.when(F.col("value") > 45, F.lit("high")), F.when(F.col("discount") == 0, F.lit("no_basis"))))
+    return t.v_measurement.select("measurement_id", "product_id", F.array_join(w, ",").alias("warnings"))
+
+
+@query(
+    "bound_check",
+    """SELECT m.measurement_id, m.product_id, CASE WHEN p.ceiling IS NULL OR m.line = 7 THEN 'not_evaluable' WHEN m.unit <> 'F' THEN 'refused' WHEN m.price / 10 > p.ceiling * (1 + 1e-9) THEN 'flag' ELSE 'pass' END AS verdict
+    FROM v_measurement m LEFT JOIN v_product p ON m.product_id = p.product_id AND p.carbons > 3""",
+)
+def bound_check(t: Tables) -> DataFrame:
+    p = t.v_product.where("carbons > 3").select("product_id", "ceiling")
+    j = t.v_measurement.join(p, "product_id", "left")
+    verdict = F.when(F.col("ceiling").isNull() | (F.col("line") == 7), "not_evaluable").when(F.col("unit") != "F", "refused").when(F.col("price") / 10 > F.col("ceiling") * (1 + 1e-9), "flag").otherwise("pass")
+    return j.select("measurement_id", "product_id", verdict.alias("verdict"))
+
+
+_STEP = "CASE WHEN bool_or(value >= 45 AND tax <= 0.05) AND bool_or(value <= 5 AND tax <= 0.05) THEN 'contradicted' WHEN bool_or(value >= 45 AND tax <= 0.05) THEN 'elevated' WHEN bool_or(value <= 5 AND tax <= 0.05) THEN 'reduced' WHEN count(*) FILTER (tax <= 0.05) = 0 THEN 'not_measured' ELSE 'unchanged' END"
+
+
+@query("step_verdict", f"SELECT product_id, {_STEP} AS verdict, max(abs(value - 25)) AS strongest FROM v_measurement GROUP BY product_id")
+def step_verdict(t: Tables) -> DataFrame:
+    sure = F.col("tax") <= 0.05
+    up, down = F.bool_or((F.col("value") >= 45) & sure), F.bool_or((F.col("value") <= 5) & sure)
+    verdict = F.when(up & down, "contradicted").when(up, "elevated").when(down, "reduced").when(F.count_if(sure) == 0, "not_measured").otherwise("unchanged")
+    return t.v_measurement.groupBy("product_id").agg(verdict.alias("verdict"), F.max(F.abs(F.col("value") - 25)).alias("strongest"))
+
+
+@query("route_score", "SELECT reaction_id, CASE WHEN count(*) FILTER (role = 'product') > 0 THEN round(count(*) FILTER (role = 'product' AND coefficient > 20) / count(*) FILTER (role = 'product')::DOUBLE, 6) END AS score FROM v_participant GROUP BY reaction_id")
+def route_score(t: Tables) -> DataFrame:
+    product = F.col("role") == "product"
+    score = F.try_divide(F.count_if(product & (F.col("coefficient") > 20)), F.count_if(product))
+    return t.v_participant.groupBy("reaction_id").agg(F.round(score, 6).alias("score"))
+
+
+_HEAD = """WITH q AS (SELECT target_id FROM v_flag WHERE status = 'active'), m AS (SELECT * FROM v_measurement WHERE strain_id NOT IN (SELECT target_id FROM q)),
+    best AS (SELECT p.tier, m.product_id, m.strain_id, m.value, row_number() OVER (PARTITION BY p.tier ORDER BY m.value DESC, m.price DESC, m.measurement_id, m.product_id) AS rn, count(*) OVER (PARTITION BY p.tier) AS variants FROM m JOIN v_product p ON p.product_id = m.product_id),
+    y AS (SELECT strain_id, max(value) AS best_yield, count(DISTINCT product_id) AS products FROM m GROUP BY strain_id)
+    SELECT b.tier, b.product_id, b.value, b.variants, s.canonical_name, y.best_yield, y.products FROM best b JOIN v_strain s ON s.strain_id = b.strain_id LEFT JOIN y ON y.strain_id = b.strain_id WHERE b.rn = 1"""
+
+
+@query("headline_answer", _HEAD)
+def headline_answer(t: Tables) -> DataFrame:
+    held = t.v_flag.where("status = 'active'").select(F.col("target_id").alias("strain_id"))
+    m = t.v_measurement.join(held, "strain_id", "left_anti")
+    ranked = m.join(t.v_product.select("product_id", "tier"), "product_id")
+    # best and count in one aggregate: a tier with a third of all rows is summed before the shuffle
+    best = F.max(F.struct("value", "price", (-F.col("measurement_id")).alias("neg"), (-F.col("product_id")).alias("negp"), "product_id", "strain_id"))
+    b = ranked.groupBy("tier").agg(best.alias("b"), F.count("*").alias("variants")).select("tier", "variants", "b.product_id", "b.strain_id", "b.value")
+    y = m.groupBy("strain_id").agg(F.max("value").alias("best_yield"), F.count_distinct("product_id").alias("products"))
+    return b.join(t.v_strain, "strain_id").join(y, "strain_id", "left").select("tier", "product_id", "value", "variants", "canonical_name", "best_yield", "products")
+
+
+@query("assert_distinct", "SELECT DISTINCT product_id, strain_id, quantity_kind FROM v_measurement WHERE value >= 45 AND tax <= 0.05")
+def assert_distinct(t: Tables) -> DataFrame:
+    return t.v_measurement.where("value >= 45 AND tax <= 0.05").select("product_id", "strain_id", "quantity_kind").dropDuplicates()
+
+
+@query(
+    "plan_blockers",
+    "SELECT task_id, status, concat_ws(',', CASE WHEN status <> 'pending' THEN 'not_pending' END, CASE WHEN attempts >= 3 THEN 'stalled' END, CASE WHEN c.c_custkey IS NULL THEN 'no_extraction' END, CASE WHEN c.c_acctbal < 0 THEN 'quarantined' END) AS blockers FROM v_queue q LEFT JOIN customer c ON c.c_custkey = q.extraction_id AND c.c_custkey % 3 <> 0",
+)
+def plan_blockers(t: Tables) -> DataFrame:
+    c = t.customer.where("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal")
+    j = t.v_queue.join(c, F.col("extraction_id") == F.col("c_custkey"), "left")
+    b = F.array_compact(F.array(F.when(F.col("status") != "pending", F.lit("not_pending")), F.when(F.col("attempts") >= 3, F.lit("stalled")), F.when(F.col("c_custkey").isNull(), F.lit("no_extraction")), F.when(F.col("c_acctbal") < 0, F.lit("quarantined"))))
+    return j.select("task_id", "status", F.array_join(b, ",").alias("blockers"))
+
+
+@query("validate_records", "SELECT measurement_id, product_id, concat_ws(',', CASE WHEN value <= 0 THEN 'not_positive' END, CASE WHEN sample_id IS NULL THEN 'no_provenance' END, CASE WHEN unit NOT IN ('F') THEN 'unknown_unit' END) AS issues, NOT (value <= 0 OR unit NOT IN ('F')) AS accepted FROM v_measurement WHERE line < 3")
+def validate_records(t: Tables) -> DataFrame:
+    fatal = {"not_positive": F.col("value") <= 0, "unknown_unit": ~R.in_values("unit", ["F"])}
+    tests = {"not_positive": fatal["not_positive"], "no_provenance": F.col("sample_id").isNull(), "unknown_unit": fatal["unknown_unit"]}
+    issues = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in tests.items())))
+    return t.v_measurement.where("line < 3").select("measurement_id", "product_id", F.array_join(issues, ",").alias("issues"), (~(fatal["not_positive"] | fatal["unknown_unit"])).alias("accepted"))
+
+
+@query("corroborate", "SELECT p_partkey, CASE WHEN contains(lower(p_name), lower(split_part(p_type, ' ', 1))) AND contains(p_brand, '1') THEN 'corroborated' WHEN contains(p_brand, '1') THEN 'partial' ELSE 'unsupported' END AS verdict FROM part")
+def corroborate(t: Tables) -> DataFrame:
+    named = F.contains(F.lower("p_name"), F.lower(F.element_at(F.split("p_type", " "), 1)))
+    numbered = F.col("p_brand").contains("1")
+    return t.part.select("p_partkey", F.when(named & numbered, "corroborated").when(numbered, "partial").otherwise("unsupported").alias("verdict"))
+
+
+@query(
+    "coverage_state",
+    """SELECT entity, n, pending, CASE WHEN n > 0 THEN 'populated' WHEN pending > 0 THEN 'awaiting_curation' ELSE 'never_populated' END AS state FROM (
+    SELECT 'documents' AS entity, (SELECT count(*) FROM documents) AS n, 0 AS pending UNION ALL SELECT 'flags', (SELECT count(*) FROM v_flag WHERE statistic > 0), (SELECT count(*) FROM v_queue WHERE status = 'pending') UNION ALL SELECT 'routes', 0, 0) x""",
+)
+def coverage_state(t: Tables) -> DataFrame:
+    zero = lambda k: t._spark.createDataFrame([(k, 0)], "entity string, n long")
+    counts = t.documents.agg(F.lit("documents").alias("entity"), F.count("*").alias("n")).union(t.v_flag.agg(F.lit("flags"), F.count_if(F.col("statistic") > 0))).union(zero("routes"))
+    pending = t.v_queue.where("status = 'pending'").agg(F.lit("flags").alias("entity"), F.count("*").alias("pending"))
+    j = counts.join(pending, "entity", "left").na.fill(0, ["pending"])
+    return j.withColumn("state", F.when(F.col("n") > 0, "populated").when(F.col("pending") > 0, "awaiting_curation").otherwise("never_populated"))

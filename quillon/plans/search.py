@@ -1 +1,77 @@
-"""Queries, still to come."""
+"""Lexical search: postings, BM25, ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.operators import search as L
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+_TK = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+_NAME = "array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:8], ' ')"
+
+
+def _docs(t: Tables) -> DataFrame:
+    """Documents with their first eight words as a name."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
+    return t.documents.select("doc_id", F.array_join(F.slice(words, 1, 8), " ").alias("name"), F.col("text").alias("body"))
+
+
+@query("index_postings", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, {_TK} AS term FROM documents) x GROUP BY term, doc_id")
+def index_postings(t: Tables) -> DataFrame:
+    return L.postings(t.documents, "doc_id", {"text": 1.0}).select("term", "doc_id", F.col("text").cast("long").alias("tf"))
+
+
+@query("index_doclen", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM documents")
+def index_doclen(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.size(L.terms("text")).cast("long").alias("terms"))
+
+
+_BM25 = f"""d AS (SELECT doc_id, {_NAME} AS name, text AS body FROM documents),
+    tk AS (SELECT doc_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) AS term, 10.0::DOUBLE AS w FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')), 1.0 FROM d),
+    l AS (SELECT doc_id, count(*) AS len FROM tk GROUP BY doc_id), n AS (SELECT (SELECT count(*) FROM d) AS n, avg(len) AS av FROM l),
+    f AS (SELECT doc_id, term, sum(w) AS f FROM tk WHERE term IN ('license', 'stupid') GROUP BY doc_id, term),
+    i AS (SELECT term, greatest(1e-6, ln(((SELECT n FROM n) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM f GROUP BY term),
+    b AS (SELECT f.doc_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / av))) AS score FROM f JOIN i ON i.term = f.term JOIN l ON l.doc_id = f.doc_id, n GROUP BY f.doc_id)"""
+
+
+@query("bm25", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b")
+def bm25(t: Tables) -> DataFrame:
+    return L.bm25(_docs(t), "doc_id", {"name": 10.0, "body": 1.0}, ["license", "stupid"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "lexical_rank",
+    f"""WITH {_BM25}, m AS (SELECT b.doc_id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS txt,
+      CASE d.quality WHEN 1 THEN 1.0 WHEN 0 THEN 0.2 ELSE 0.0 END AS ev, greatest(0.0, least(1.0, (d.year - 1990) / 30.0)) AS rec FROM b JOIN v_document d ON d.doc_id = b.doc_id)
+    SELECT doc_id, round((txt + 7.0 * ev + 0.25 * rec)::DOUBLE, 6) AS score FROM m ORDER BY score DESC, doc_id LIMIT 20""",
+)
+def lexical_rank(t: Tables) -> DataFrame:
+    hits = L.bm25(_docs(t), "doc_id", {"name": 10.0, "body": 1.0}, ["license", "stupid"])
+    j = hits.join(t.v_document.select("doc_id", "quality", "year"), "doc_id")
+    span = hits.agg(F.min("score").alias("low"), F.max("score").alias("high"))  # a single row
+    j = j.crossJoin(F.broadcast(span))
+    txt = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.try_divide(F.col("score") - F.col("low"), F.col("high") - F.col("low")))
+    ev = F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.2).otherwise(0.0)
+    rec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("year") - 1990) / 30.0))
+    return j.select("doc_id", F.round(txt + 7.0 * ev + 0.25 * rec, 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
+
+
+@query("match_phrase_and", "SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents) x WHERE contains(t, ' apache license ') AND (contains(t, ' version ') OR contains(t, ' edition '))")
+def match_phrase_and(t: Tables) -> DataFrame:
+    return t.documents.where(L.match("text", [["apache license"], ["version", "edition"]])).select("doc_id")
+
+
+@query("synonym_pairs", "SELECT a.n_name AS name, b.n_name AS synonym FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name <> b.n_name")
+def synonym_pairs(t: Tables) -> DataFrame:
+    return L.synonyms(t.nation, "n_regionkey", "n_name")
+
+
+@query("cross_search", "SELECT 'product' AS kind, product_id::BIGINT AS id FROM (SELECT product_id FROM v_product WHERE name ILIKE '%1%' ORDER BY product_id LIMIT 10) x UNION ALL SELECT 'strain', strain_id FROM (SELECT strain_id FROM v_strain WHERE canonical_name ILIKE '%1%' ORDER BY strain_id LIMIT 10) y")
+def cross_search(t: Tables) -> DataFrame:
+    from quillon.operators.relational import contains_any
+
+    p = t.v_product.where(contains_any("1", "name")).orderBy("product_id").limit(10).select(F.lit("product").alias("kind"), F.col("product_id").alias("id"))
+    return p.union(t.v_strain.where(contains_any("1", "canonical_name")).orderBy("strain_id").limit(10).select(F.lit("strain"), "strain_id"))
