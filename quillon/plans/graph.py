@@ -1 +1,107 @@
-"""Queries, still to come."""
+"""Routes, balances and provenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillon.operators import graph as G
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+
+@query(
+    "route_product",
+    "SELECT a.part_id AS part_0, b.part_id AS part_1, c.part_id AS part_2 FROM v_route_part a, v_route_part b, v_route_part c WHERE a.step_role = 0 AND b.step_role = 1 AND c.step_role = 2",
+)
+def route_product(t: Tables) -> DataFrame:
+    return G.route_product(t.v_route_part, [0, 1, 2], "part_id", "step_role")
+
+
+@query(
+    "power_set",
+    """WITH i AS (SELECT list_sort(list(part_id)) AS a FROM v_route_part WHERE step_role = 3), m AS (SELECT a, unnest(range(0, 1 << len(a))) AS mask FROM i),
+    s AS (SELECT list_filter(a, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s FROM m) SELECT array_to_string(s, ',') AS subset, len(s)::INT AS size FROM s""",
+)
+def power_set(t: Tables) -> DataFrame:
+    out = G.power_set(t.v_route_part.where("step_role = 3"), "part_id")
+    return out.select(F.array_join(F.transform("subset", lambda x: x.cast("string")), ",").alias("subset"), "size")
+
+
+@query(
+    "balance_by_bucket",
+    """SELECT p.reaction_id, v.tier AS compartment, round(sum(CASE WHEN p.role = 'substrate' THEN -p.coefficient ELSE p.coefficient END), 6) AS net, bool_or(v.carbons < 3) AS unknown,
+    CASE WHEN bool_or(v.carbons < 3) THEN 'unknown' WHEN abs(sum(CASE WHEN p.role = 'substrate' THEN -p.coefficient ELSE p.coefficient END)) < 1e-9 THEN 'balanced' ELSE 'unbalanced' END AS status
+    FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id GROUP BY p.reaction_id, v.tier""",
+)
+def balance_by_bucket(t: Tables) -> DataFrame:
+    j = t.v_participant.join(t.v_product.select(F.col("product_id").alias("metabolite_id"), F.col("tier").alias("compartment"), "carbons"), "metabolite_id")
+    net = F.sum(F.when(F.col("role") == "substrate", -F.col("coefficient")).otherwise(F.col("coefficient")))
+    unknown = F.bool_or(F.col("carbons") < 3)  # unknown beats balanced
+    g = j.groupBy("reaction_id", "compartment").agg(F.round(net, 6).alias("net"), unknown.alias("unknown"), F.when(unknown, "unknown").when(F.abs(net) < 1e-9, "balanced").otherwise("unbalanced").alias("status"))
+    return g
+
+
+@query(
+    "transport_gaps",
+    """WITH s AS (SELECT p.reaction_id, v.tier AS c, lead(v.tier) OVER (PARTITION BY p.reaction_id ORDER BY p.line, p.metabolite_id) AS n FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id WHERE p.reaction_id % 10 = 0)
+    SELECT DISTINCT reaction_id, c AS source, n AS target FROM s WHERE n <> c AND NOT (c = 'Brand#11' AND n = 'Brand#12') AND NOT (c = 'Brand#13' AND n = 'Brand#21')""",
+)
+def transport_gaps(t: Tables) -> DataFrame:
+    tiers = t.v_product.select(F.col("product_id").alias("metabolite_id"), F.col("tier").alias("compartment"))
+    steps = t.v_participant.where("reaction_id % 10 = 0").join(tiers, "metabolite_id").withColumn("place", F.struct("line", "metabolite_id"))
+    carriers = t._spark.createDataFrame([("Brand#11", "Brand#12"), ("Brand#13", "Brand#21")], "source string, target string")
+    return G.transport_gaps(steps, "reaction_id", "place", "compartment", carriers)
+
+
+@query("cofactor_demand", "SELECT tier, family, count(*) AS demand FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id WHERE role = 'substrate' AND carbons >= 3 GROUP BY tier, family")
+def cofactor_demand(t: Tables) -> DataFrame:
+    v = t.v_product.where("carbons >= 3").select(F.col("product_id").alias("metabolite_id"), "tier", "family")
+    return t.v_participant.where("role = 'substrate'").join(v, "metabolite_id").groupBy("tier", "family").agg(F.count("*").alias("demand"))
+
+
+@query("gate_rules", "SELECT s.strain_id, r.rule, r.effect FROM v_strain s JOIN (VALUES ('low_score', 'exclude', -1000.0, 0.0), ('mid_score', 'burden', 0.0, 3000.0)) r(rule, effect, lo, hi) ON s.score >= r.lo AND s.score < r.hi")
+def gate_rules(t: Tables) -> DataFrame:
+    rules = t._spark.createDataFrame([("low_score", "exclude", -1000.0, 0.0), ("mid_score", "burden", 0.0, 3000.0)], "rule string, effect string, lo double, hi double")
+    return t.v_strain.join(F.broadcast(rules), (F.col("score") >= F.col("lo")) & (F.col("score") < F.col("hi"))).select("strain_id", "rule", "effect")
+
+
+@query("reaction_balance", "SELECT reaction_id, sum(CASE WHEN role = 'substrate' THEN -1 ELSE 1 END * carbons * coefficient) AS carbon_net, count(*) FILTER (role = 'substrate') > 0 AND count(*) FILTER (role = 'product') > 0 AS two_sided FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id GROUP BY reaction_id")
+def reaction_balance(t: Tables) -> DataFrame:
+    j = t.v_participant.join(t.v_product.select(F.col("product_id").alias("metabolite_id"), "carbons"), "metabolite_id")
+    sign = F.when(F.col("role") == "substrate", -1).otherwise(1)
+    sides = (F.count_if(F.col("role") == "substrate") > 0) & (F.count_if(F.col("role") == "product") > 0)
+    return j.groupBy("reaction_id").agg(F.sum(sign * F.col("carbons") * F.col("coefficient")).alias("carbon_net"), sides.alias("two_sided"))
+
+
+@query("locus_filter", "SELECT part_id FROM v_route_part WHERE compartment <> 'Brand#11' AND NOT contains(enzyme, 'STEEL')")
+def locus_filter(t: Tables) -> DataFrame:
+    return t.v_route_part.where((F.col("compartment") != "Brand#11") & ~F.col("enzyme").contains("STEEL")).select("part_id")
+
+
+@query(
+    "relational_division",
+    """WITH w AS (SELECT l_suppkey AS wish, l_returnflag || l_linestatus AS item FROM lineitem WHERE l_suppkey < 10 AND l_quantity > 48 GROUP BY 1, 2), h AS (SELECT DISTINCT l_orderkey AS owner, l_returnflag || l_linestatus AS item FROM lineitem)
+    SELECT w.wish, h.owner FROM w JOIN h ON w.item = h.item GROUP BY w.wish, h.owner HAVING count(*) = (SELECT count(*) FROM w x WHERE x.wish = w.wish)""",
+)
+def relational_division(t: Tables) -> DataFrame:
+    item = F.concat("l_returnflag", "l_linestatus").alias("item")
+    want = t.lineitem.where("l_suppkey < 10 AND l_quantity > 48").select(F.col("l_suppkey").alias("wish"), item).distinct()
+    return G.relational_division(t.lineitem.select(F.col("l_orderkey").alias("owner"), item), want, "owner", "item", "wish")
+
+
+_TRACE = [("no_sample", "m.sample_id IS NULL"), ("no_order", "o.o_orderkey IS NULL"), ("no_customer", "c.c_custkey IS NULL"), ("quarantined", "f.target_id IS NOT NULL")]
+
+
+@query(
+    "trace_breaks",
+    "SELECT m.measurement_id, m.product_id, concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _TRACE) + """) AS breaks
+    FROM v_measurement m LEFT JOIN orders o ON o.o_orderkey = m.sample_id AND o.o_orderkey % 9 <> 0 LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 7 <> 0 LEFT JOIN v_flag f ON f.target_id = m.strain_id AND f.status = 'active'""",
+)
+def trace_breaks(t: Tables) -> DataFrame:
+    o = t.orders.where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("sample_id"), "o_custkey", F.lit(True).alias("has_order"))
+    c = t.customer.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("has_customer"))
+    f = t.v_flag.where("status = 'active'").select(F.col("target_id").alias("strain_id"), F.lit(True).alias("held"))
+    j = t.v_measurement.join(o, "sample_id", "left").join(c, "o_custkey", "left").join(f, "strain_id", "left")
+    tests = {"no_sample": F.col("sample_id").isNull(), "no_order": F.col("has_order").isNull(), "no_customer": F.col("has_customer").isNull(), "quarantined": F.col("held").isNotNull()}
+    return j.select("measurement_id", "product_id", F.concat_ws(",", *(F.when(x, F.lit(k)) for k, x in tests.items())).alias("breaks"))

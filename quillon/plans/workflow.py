@@ -1 +1,154 @@
-"""Queries, still to come."""
+"""Literature corpus and workflow queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quillon.operators import relational as R
+from quillon.registry import query
+from quillon.sources.standins import Tables
+
+
+@query("triage", "SELECT doc_id, CASE WHEN lang = 'en' AND quality = 0 THEN 'excluded' WHEN lang = 'en' THEN 'included' WHEN quality = 1 THEN 'admitted' ELSE 'needs_full_text' END AS state FROM v_document")
+def triage(t: Tables) -> DataFrame:
+    en = F.col("lang") == "en"  # include unless excluded; the other families exclude unless admitted
+    return t.v_document.select("doc_id", F.when(en & (F.col("quality") == 0), "excluded").when(en, "included").when(F.col("quality") == 1, "admitted").otherwise("needs_full_text").alias("state"))
+
+
+@query(
+    "family_drift",
+    """WITH r AS (SELECT o_orderpriority AS family, arg_max(o_totalprice, struct_pack(d := o_orderdate, k := o_orderkey)) AS hits FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+    SELECT v.family, round(r.hits - v.expected, 2) AS drift FROM (VALUES ('1-URGENT', 1000.0), ('3-MEDIUM', 50000.0), ('9-NONE', 10.0)) v(family, expected) LEFT JOIN r ON r.family = v.family""",
+)
+def family_drift(t: Tables) -> DataFrame:
+    latest = t.orders.where("o_orderstatus <> 'P'").groupBy(F.col("o_orderpriority").alias("family")).agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))["o_totalprice"].alias("hits"))
+    expected = t._spark.createDataFrame([("1-URGENT", 1000.0), ("3-MEDIUM", 50000.0), ("9-NONE", 10.0)], "family string, expected double")
+    return expected.join(latest, "family", "left").select("family", F.round(F.col("hits") - F.col("expected"), 2).alias("drift"))
+
+
+@query("rescreen", "SELECT doc_id, len(regexp_extract_all(lower(text), 'license|copyright')) AS mentions, CASE WHEN regexp_matches(lower(substr(text, 301)), 'license|copyright') THEN 'body' ELSE 'head' END AS best FROM documents WHERE len(regexp_extract_all(lower(text), 'license|copyright')) >= 2")
+def rescreen(t: Tables) -> DataFrame:
+    pattern = "license|copyright"
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).cast("long")
+    body = F.lower(F.expr("substring(text, 301)")).rlike(pattern)
+    return t.documents.select("doc_id", n.alias("mentions"), F.when(body, "body").otherwise("head").alias("best")).where("mentions >= 2")
+
+
+@query(
+    "admission_cap",
+    """WITH n AS (SELECT lang, count(*) AS n FROM v_document WHERE quality = 1 GROUP BY lang) SELECT c.criterion, coalesce(n.n, 0) AS admitted, coalesce(n.n, 0) > c.cap AS over_cap, (SELECT sum(n) FROM n) > 300 AS over_total
+    FROM (VALUES ('en', 150), ('de', 30), ('fr', 99), ('it', 5)) c(criterion, cap) LEFT JOIN n ON n.lang = c.criterion""",
+)
+def admission_cap(t: Tables) -> DataFrame:
+    n = t.v_document.where("quality = 1").groupBy(F.col("lang").alias("criterion")).agg(F.count("*").alias("n"))
+    caps = t._spark.createDataFrame([("en", 150), ("de", 30), ("fr", 99), ("it", 5)], "criterion string, cap int")
+    total = n.agg((F.sum("n") > 300).alias("over_total"))
+    j = caps.join(n, "criterion", "left").na.fill(0, ["n"]).crossJoin(F.broadcast(total))  # a single row
+    return j.select("criterion", F.col("n").alias("admitted"), (F.col("n") > F.col("cap")).alias("over_cap"), "over_total")
+
+
+@query(
+    "publication_findings",
+    "SELECT o_custkey, count(*) AS findings, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS ids FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey",
+)
+def publication_findings(t: Tables) -> DataFrame:
+    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string"))
+    return t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("findings"), F.array_join(ids, ",").alias("ids"))
+
+
+@query("search_publications", "SELECT DISTINCT d.doc_id, d.year FROM v_document d JOIN labels l ON l.doc_id = d.doc_id WHERE d.text ILIKE '%license%' AND d.year >= 1995")
+def search_publications(t: Tables) -> DataFrame:
+    d = t.v_document.where((F.col("year") >= 1995) & R.contains_any("license", "text"))
+    return d.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "year").distinct()
+
+
+@query("dedupe_checksum", "SELECT doc_id, owner, doc_id <> owner AS refused FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS owner FROM documents) x")
+def dedupe_checksum(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    owner = d.groupBy("h").agg(F.min("doc_id").alias("owner"))  # summed before the shuffle
+    return d.join(owner, "h").select("doc_id", "owner", (F.col("doc_id") != F.col("owner")).alias("refused"))
+
+
+# ---------------------------------------------------------------- queue and events
+
+
+@query("claimable", "SELECT task_id FROM v_queue WHERE status = 'pending' OR (status = 'in_progress' AND lease_expires_at <= TIMESTAMP '1997-06-01')")
+def claimable(t: Tables) -> DataFrame:
+    now = F.lit("1997-06-01").cast("timestamp_ntz")
+    return t.v_queue.where((F.col("status") == "pending") | ((F.col("status") == "in_progress") & (F.col("lease_expires_at") <= now))).select("task_id")
+
+
+@query("latest_event_state", "SELECT user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS state, count(*) AS events FROM events GROUP BY user_id")
+def latest_event_state(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type"))["event_type"].alias("state"), F.count("*").alias("events"))
+
+
+@query("latest_turn", "SELECT conv_id, arg_max(role, turn) AS last_role, max(turn) AS turns FROM conversations GROUP BY conv_id")
+def latest_turn(t: Tables) -> DataFrame:
+    return t.conversations.groupBy("conv_id").agg(F.max(F.struct("turn", "role"))["role"].alias("last_role"), F.max("turn").alias("turns"))
+
+
+@query(
+    "enqueue_idempotent",
+    "SELECT o_custkey AS extraction, o_orderpriority AS path, min(o_orderkey) AS task_id, bool_or(o_orderstatus = 'F') AS rejected_before FROM orders GROUP BY o_custkey, o_orderpriority",
+)
+def enqueue_idempotent(t: Tables) -> DataFrame:
+    g = t.orders.groupBy(F.col("o_custkey").alias("extraction"), F.col("o_orderpriority").alias("path"))
+    return g.agg(F.min("o_orderkey").alias("task_id"), F.bool_or(F.col("o_orderstatus") == "F").alias("rejected_before"))
+
+
+@query(
+    "context_candidates",
+    "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_type) >= 2 THEN 'span' WHEN p_size < 10 THEN 'strain' ELSE 'unattributed' END AS basis FROM part",
+)
+def context_candidates(t: Tables) -> DataFrame:
+    n = F.count("*").over(Window.partitionBy("p_brand", "p_type"))
+    return t.part.select("p_partkey", F.when(n >= 2, "span").when(F.col("p_size") < 10, "strain").otherwise("unattributed").alias("basis"))
+
+
+@query(
+    "review_alternatives",
+    "SELECT a.measurement_id, count(DISTINCT b.measurement_id) AS alternatives FROM v_measurement a JOIN v_measurement b ON a.product_id = b.product_id AND a.quantity_kind = b.quantity_kind AND a.value = b.value AND a.unit = b.unit AND a.measurement_id <> b.measurement_id WHERE a.line = 1 GROUP BY a.measurement_id",
+)
+def review_alternatives(t: Tables) -> DataFrame:
+    key = ["product_id", "quantity_kind", "value", "unit"]
+    m = t.v_measurement.select(*key, "measurement_id", "line")
+    b = m.select(*key, F.col("measurement_id").alias("other"))
+    return m.where("line = 1").join(b, key).where("measurement_id <> other").groupBy("measurement_id").agg(F.count_distinct("other").alias("alternatives"))
+
+
+@query("running_budget", "SELECT o_orderkey, o_orderpriority, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey), 2) > 1000000 AS spent FROM orders WHERE o_custkey < 200")
+def running_budget(t: Tables) -> DataFrame:
+    w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    return t.orders.where("o_custkey < 200").select("o_orderkey", "o_orderpriority", (F.round(F.sum("o_totalprice").over(w), 2) > 1000000).alias("spent"))
+
+
+@query("derive_experiments", "SELECT coalesce(sample_id, -1) AS dataset, count(*) AS samples, count(DISTINCT strain_id) AS strains FROM v_measurement GROUP BY 1")
+def derive_experiments(t: Tables) -> DataFrame:
+    return t.v_measurement.groupBy(F.coalesce("sample_id", F.lit(-1)).alias("dataset")).agg(F.count("*").alias("samples"), F.count_distinct("strain_id").alias("strains"))
+
+
+@query("constraint_violations", "SELECT measurement_id, product_id, CASE WHEN value NOT BETWEEN 2 AND 49 THEN 'value_range' ELSE 'discount_range' END AS broken FROM v_measurement WHERE value NOT BETWEEN 2 AND 49 OR discount > 0.09")
+def constraint_violations(t: Tables) -> DataFrame:
+    bad = ~F.col("value").between(2, 49)
+    return t.v_measurement.where(bad | (F.col("discount") > 0.09)).select("measurement_id", "product_id", F.when(bad, "value_range").otherwise("discount_range").alias("broken"))
+
+
+@query("regen_gene_group", "SELECT lower(p_brand) AS gene_group, count(*) AS members, min(p_partkey) AS anchor FROM part GROUP BY 1")
+def regen_gene_group(t: Tables) -> DataFrame:
+    return t.part.groupBy(F.lower("p_brand").alias("gene_group")).agg(F.count("*").alias("members"), F.min("p_partkey").alias("anchor"))
+
+
+@query(
+    "gff_parse",
+    """WITH l AS (SELECT event_id, 'chr' || user_id % 17 AS seqid, event_id * 37 % 1000000 + 1 AS s, 'ID=g' || event_id || ';Parent=p' || (event_id % 50) AS attrs FROM events WHERE event_id < 3000)
+    SELECT regexp_extract(attrs, 'Parent=([^;]+)', 1) AS owner, count(*) AS children, min(s - 1) AS start_pos FROM l GROUP BY 1""",
+)
+def gff_parse(t: Tables) -> DataFrame:
+    e = t.events.where("event_id < 3000")
+    line = F.concat_ws("\t", F.concat(F.lit("chr"), (F.col("user_id") % 17).cast("string")), F.lit("src"), F.lit("gene"), (F.col("event_id") * 37 % 1000000 + 1).cast("string"), F.lit("9"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=g"), F.col("event_id").cast("string"), F.lit(";Parent=p"), (F.col("event_id") % 50).cast("string")))
+    cols = F.split(line, "\t")
+    attrs = F.str_to_map(F.element_at(cols, 9), F.lit(";"), F.lit("="))
+    g = e.select(F.try_element_at(attrs, F.lit("Parent")).alias("owner"), (F.element_at(cols, 4).cast("long") - 1).alias("s"))  # 1-based to half-open
+    return g.groupBy("owner").agg(F.count("*").alias("children"), F.min("s").alias("start_pos"))
