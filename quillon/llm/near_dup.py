@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 2): exact links between texts whose shingle sets are alike, and their components.
 
 1.  Every text becomes a sorted set of shingle hashes, a hashed bitmap of about two bits a shingle, and a node named by
-    128 bits of its set, so equal sets are one node.
+    64 bits of its set, so equal sets are one node.
 2.  Two sets can only be alike enough if they share a shingle among the first few of each in a common order. A fixed
     order that puts frequent shingles last makes those keys rare. (A sketch of a sample's frequencies sets the order;
     any order gives the same links.)
@@ -34,12 +34,12 @@ TILE = 1024
 FILTER_BITS = 19
 
 
-def _node(s: np.ndarray) -> bytes | None:
-    """Name of a set: 128 bits that depend on all its hashes; None for the empty set."""
-    if not len(s):
-        return None
-    x = mix(s ^ np.uint64(0x5851F42D4C957F2D))
-    return np.array([mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))]))[0], mix(np.array([np.add.reduce(x)]))[0]], "<u8").tobytes()
+def _node(s: np.ndarray) -> int | None:
+    """Name of a set: 64 bits that depend on all its hashes; None for the empty set.
+
+    Two of N different sets share a name with a chance of about N**2 / 2**65.
+    """
+    return int(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -113,17 +113,18 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     maps.append(bitmap(s))
                     order = np.argsort(weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     keys.append(s[order[: len(s) - least_overlap(len(s), num, den) + 1]].view(np.int64))
-                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "bitmap", "keys"])
 
-    return shared.table(docs.mapInArrow(run, f"id {kind}, n long, node binary, bitmap binary, keys array<long>"))
+    return shared.table(docs.mapInArrow(run, f"id {kind}, n long, node long, bitmap binary, keys array<long>"))
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) of nodes those whose sizes and bitmaps leave it open that they are alike."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    rows = pairs.join(left, "a").join(right, "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    sized = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
+    rows = shared.table(sized).join(left.drop("na"), "a").join(right.drop("nb"), "b")  # bitmaps where sizes fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,13 +134,13 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFram
                 keep.append(may_link(n1, n2, (fold(x, width) ^ fold(y, width)).bit_count(), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a binary, b binary")
+    return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _marks(nodes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _marks(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word and bit of each node in the filter."""
-    x = np.frombuffer(b"".join(nodes), "<u8").reshape(-1, 2)
-    return (x[:, 0] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64), np.uint64(1) << (x[:, 1] & np.uint64(63))
+    x = nodes.view(np.uint64)
+    return (x & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64), np.uint64(1) << (x >> np.uint64(58))
 
 
 def _filter(pairs: DataFrame) -> np.ndarray:
@@ -150,7 +151,7 @@ def _filter(pairs: DataFrame) -> np.ndarray:
         for batch in batches:
             for c in (0, 1):
                 if batch.num_rows:
-                    np.bitwise_or.at(words, *_marks(batch.column(c).to_pylist()))
+                    np.bitwise_or.at(words, *_marks(batch.column(c).to_numpy()))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["i", "w"])
 
@@ -176,7 +177,7 @@ def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                 names, kept = [], []
                 nodes = [(x, t) for x, t in zip(map(_node, shingle_sets(texts, k)), texts) if x is not None and x not in seen]
                 if nodes:
-                    i, bit = _marks([x for x, _ in nodes])
+                    i, bit = _marks(np.array([x for x, _ in nodes]))
                     for (x, t), hit in zip(nodes, (words[i] & bit != 0).tolist()):
                         if hit and x not in seen:
                             if len(seen) >= 1 << 20:
@@ -184,7 +185,7 @@ def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                             seen.add(x)
                             names.append(x)
                             kept.append(t)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(kept, pa.binary())], names=["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kept, pa.binary())], names=["node", "text"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[bytes, np.ndarray]] = {}
@@ -211,32 +212,40 @@ def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # copies of a node in several tasks: one text stays
-    texts = docs.select("text").mapInArrow(texts_of, "node binary, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    texts = docs.select("text").mapInArrow(texts_of, "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return shared.table(two.select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary"))
+    return shared.table(two.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
 
-def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one hub's nodes (hub, node, n, root, linked, bitmap) that may be alike and aren't yet joined.
+def _tiles(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of one hub's nodes (hub, node, n, root, linked) that may be alike and aren't yet joined.
 
-    A hub's nodes stand by size; tiles of TILE nodes meet the tiles whose sizes may still fit, and in a tile pair the
-    bit counts of all pairs are taken together. Pairs of which both are linked with the hub need no look.
+    A hub's nodes stand by size, and those whose neighbours are too far off in size go. Tiles of TILE nodes of a size
+    band, so that their bitmaps are about equally wide, meet the tiles whose sizes may still fit, and in a tile pair the bit counts of all pairs are taken together. Pairs of which
+    both are linked with the hub need no look. Bitmaps come last, to the nodes that are left.
     """
     size = Window.partitionBy("hub").orderBy("n", "node")
-    m = members.withColumn("tile", F.floor((F.row_number().over(size) - 1) / TILE).cast("int"))
+    near = (F.lag("n").over(size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(size) * num)
+    m = members.withColumn("near", near).where("near")
+    group = Window.partitionBy("hub")
+    differs = (F.min("root").over(group) != F.max("root").over(group)) & ~F.min("linked").over(group)
+    m = m.withColumn("differs", differs).where("differs").withColumn("band", F.floor(F.log2("n")))
+    place = F.row_number().over(Window.partitionBy("hub", "band").orderBy("n", "node"))
+    m = m.withColumn("tile", F.shiftleft("band", 40) + F.floor((place - 1) / TILE))  # no tile spans two bands
+    m = shared.table(m.select("hub", "node", "n", "root", "linked", "tile"))
     span = m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = span.toDF("hub", "t", "low", "high"), span.toDF("hub2", "u", "low2", "high2")
     meet = x.join(y, (F.col("hub") == F.col("hub2")) & (F.col("t") <= F.col("u")) & (F.col("high") * den >= F.col("low2") * num)).select("hub", "t", "u")
     sides = meet.select("hub", "t", "u", F.col("t").alias("tile"), F.lit(0).alias("side")).union(meet.where("t < u").select("hub", "t", "u", F.col("u").alias("tile"), F.lit(1).alias("side")))
-    rows = m.join(sides, ["hub", "tile"]).select("hub", "t", "u", "side", "node", "n", "root", "linked", "bitmap")
+    rows = m.join(sides, ["hub", "tile"]).join(nodes.select("node", "bitmap"), "node").select("hub", "t", "u", "side", "node", "n", "root", "linked", "bitmap")
 
     def run(table: pa.Table) -> pa.Table:
         side, n = table["side"].to_numpy(), table["n"].to_numpy()
         maps, linked = table["bitmap"].to_pylist(), table["linked"].to_numpy(zero_copy_only=False)
         width = min(map(len, maps))
         bits = np.frombuffer(b"".join(fold(b, width).to_bytes(width, "little") for b in maps), "<u8").reshape(len(maps), -1)
-        root = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)[1]
+        root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
         left = np.flatnonzero(side == 0)
         right = left if (side == 0).all() else np.flatnonzero(side == 1)
         a, b = [], []
@@ -252,7 +261,34 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
         nodes = table["node"].combine_chunks()
         return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
 
-    return rows.groupBy("hub", "t", "u").applyInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.groupBy("hub", "t", "u").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hub_pairs(posts: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each key's smallest node a and its other nodes b, from posts (key, node).
+
+    One shuffle and sort by key; a key's nodes stream by, so none is held but the hub.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hub = None, None
+        for batch in batches:
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            at = np.flatnonzero(first)
+            hubs = node[at][np.cumsum(first) - 1]
+            if last is not None and key[0] == last:
+                hubs[: at[1] if len(at) > 1 else len(key)] = hub
+            last, hub = key[-1], hubs[-1]
+            other = hubs != node
+            pairs = np.unique(np.stack([hubs[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    n = shared.partitions(posts.sparkSession)
+    return posts.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -269,15 +305,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _sets(rows, k, num, den)
     nodes = shared.table(sets.where("bitmap is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
     posts = sets.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    hubs = posts.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("key", "hub")
-    near = shared.table(posts.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    near = shared.table(_hub_pairs(posts))
     links = _settled(_bounded(near, nodes, num, den), rows, k, num, den)
     found = components(links)
     # nodes that their hub didn't link, with all other nodes of that hub
     tested = near.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.coalesce("linked", F.lit(False)).alias("linked"))
     open_hubs = tested.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("unlinked")).where("unlinked > 0 and members > 1").select("hub")
-    members = tested.join(open_hubs, "hub", "left_semi").join(nodes, "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _settled(_tiles(members, num, den), rows, k, num, den)
+    members = tested.join(open_hubs, "hub", "left_semi").join(nodes.select("node", "n"), "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = _settled(_tiles(members, nodes, num, den), rows, k, num, den)
     if not more.isEmpty():
         found = components(links.union(more))
     root = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
