@@ -8,18 +8,20 @@ rejected if its share of blocked urls, smoothed towards its host's and that towa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import shared
 
 #: Levels of the tree; what lies deeper is one segment of the last level.
-DEPTH = 4
+DEPTH = 3
 #: A segment stays by name from so many urls and this share of its siblings' urls on, and when this many standard
 #: errors lie between its blocked share and its siblings'.
 SUPPORT, SHARE, ERRORS = 5, 0.05, 1.96
 #: A template is rejected from this smoothed share and so many labelled urls on; labels that smoothing is worth.
 PURITY, LABELS, PRIOR = 0.5, 3, 4.0
+#: A table of the tree with at most so many rows is broadcast.
+BROADCAST_ROWS = 50_000
 
 Rule = tuple[str, str, str]
 #: (verdict, host, path prefix)
@@ -54,25 +56,44 @@ KEEP = f"seg is null or (n >= {SUPPORT} and n >= {SHARE} * N_ and not (kids > 1
 STEP = f"case when {KEEP} then concat(prefix, coalesce(concat('/', seg), '')) else concat(prefix, '/*') end"
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """(host, path, template, share, rejected) of distinct (host, path, n, lab, blk)."""
-    deep = F.array_join(F.slice("parts", DEPTH, F.greatest(F.size("parts"), F.lit(1))), "/")
-    rows = urls.withColumn("parts", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("prefix", F.col("host"))
-    segment = lambda d: F.when(F.size("parts") <= d, None).otherwise(F.get("parts", F.lit(d)) if d < DEPTH - 1 else deep)
-    for d in range(DEPTH):
-        rows = rows.withColumn("seg", segment(d))
-        own = rows.where("seg is not null").groupBy("prefix", "seg").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
-        all_ = own.groupBy("prefix").agg(F.sum("n"), F.sum("lab"), F.sum("blk"), F.count("*")).toDF("p", "N_", "LAB_", "BLK_", "kids")
-        names = own.join(all_, F.col("prefix") == F.col("p")).select("prefix", "seg", F.expr(STEP).alias("next"))
-        rows = rows.join(names, ["prefix", "seg"], "left").withColumn("prefix", F.coalesce("next", "prefix")).drop("next", "seg")
-        rows = shared.table(rows)
-    total = rows.agg(F.coalesce(F.sum("lab"), F.lit(0)).alias("lab"), F.coalesce(F.sum("blk"), F.lit(0)).alias("blk")).first()
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of a table, which is broadcast if it is short and else shuffled."""
+    short = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if short else right, keys, "left")
+
+
+def _segment(level: int) -> Column:
+    """Segment of a path on a level; the last level takes the rest of the path."""
+    rest = F.array_join(F.slice("parts", DEPTH, F.greatest(F.size("parts"), F.lit(1))), "/")
+    return F.when(F.size("parts") > level, F.get("parts", F.lit(level)) if level < DEPTH - 1 else rest)
+
+
+def with_template(rows: DataFrame, names: list[DataFrame]) -> DataFrame:
+    """rows (host, path, ...) with parts and prefix: their template as far as the levels are named."""
+    rows = rows.withColumn("parts", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("prefix", F.col("host"))
+    for level, table in enumerate(names):
+        rows = _joined(rows.withColumn("seg", _segment(level)), table, ["prefix", "seg"])
+        rows = rows.withColumn("prefix", F.coalesce("next", "prefix")).drop("next", "seg")
+    return rows
+
+
+def grow(urls: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The tree of distinct (host, path, n, lab, blk): by level (prefix, seg, next), and (template, share, rejected)."""
+    names: list[DataFrame] = []
+    for level in range(DEPTH):
+        rows = with_template(urls, names).withColumn("seg", _segment(level)).where("seg is not null")
+        own = rows.groupBy("prefix", "seg").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
+        siblings = Window.partitionBy("prefix")
+        sums = {"N_": F.sum("n"), "LAB_": F.sum("lab"), "BLK_": F.sum("blk"), "kids": F.count("*")}
+        own = own.select("*", *(f.over(siblings).alias(k) for k, f in sums.items()))
+        names.append(shared.table(own.select("prefix", "seg", F.expr(STEP).alias("next"))))
+    total = urls.agg(F.coalesce(F.sum("lab"), F.lit(0)).alias("lab"), F.coalesce(F.sum("blk"), F.lit(0)).alias("blk")).first()
     top = (total["blk"] + 1) / (total["lab"] + 2)
-    hosts = rows.groupBy("host").agg(((F.sum("blk") + PRIOR * top) / (F.sum("lab") + PRIOR)).alias("base"))
-    kinds = rows.groupBy("host", F.col("prefix").alias("template")).agg(F.sum("lab").alias("tl"), F.sum("blk").alias("tb"))
-    kinds = kinds.join(hosts, "host").withColumn("share", (F.col("tb") + PRIOR * F.col("base")) / (F.col("tl") + PRIOR))
-    kinds = kinds.select(F.col("template").alias("t"), "share", ((F.col("share") >= PURITY) & (F.col("tl") >= LABELS)).alias("rejected"))
-    return rows.join(kinds, F.col("prefix") == F.col("t")).select("host", "path", F.col("prefix").alias("template"), "share", "rejected")
+    kinds = with_template(urls, names).groupBy("host", F.col("prefix").alias("template")).agg(F.sum("lab").alias("tl"), F.sum("blk").alias("tb"))
+    host = Window.partitionBy("host")
+    base = (F.sum("tb").over(host) + PRIOR * top) / (F.sum("tl").over(host) + PRIOR)
+    kinds = kinds.withColumn("share", (F.col("tb") + PRIOR * base) / (F.col("tl") + PRIOR))
+    return names, shared.table(kinds.select("template", "share", ((F.col("share") >= PURITY) & (F.col("tl") >= LABELS)).alias("rejected")))
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -89,8 +110,8 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id",
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "given": verdict})
     urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("given").alias("lab"), F.count_if(F.col("given") == "block").alias("blk"))
-    found = templates(shared.table(urls))
-    out = rows.join(found, ["host", "path"])
+    names, kinds = grow(shared.table(urls))
+    out = _joined(with_template(rows, names).withColumn("template", F.col("prefix")), kinds, ["template"])
     verdict = F.coalesce("given", F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "share")
 
