@@ -27,7 +27,7 @@ DECAY, WINDOW, PAD = 0.6, 8, 16
 #: (gap letters, offsets of the second, third and fourth letter)
 SHAPES = [(d - 3, b, c, d) for d in range(3, 6) for c in range(2, d) for b in range(1, c)]
 #: Most labelled documents of either class that a model is fitted on, landmarks of either kind, negative windows.
-PER_CLASS, LANDMARKS, NEGATIVES = 1500, 96, 20_000
+PER_CLASS, LANDMARKS, NEGATIVES = 800, 80, 6000
 CHUNK = 1 << 20
 
 _tables: dict[str, np.ndarray] = {}
@@ -143,13 +143,14 @@ class Model:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton's method; the last coefficient is the offset."""
-    x = np.concatenate([z, np.ones((len(z), 1))], 1)
+    x = np.concatenate([z, np.ones((len(z), 1), np.float32)], 1)
     w = np.zeros(x.shape[1])
     penalty = np.diag([ridge] * z.shape[1] + [1e-3])
     for _ in range(30):
         on = y * (x @ w) < 1
-        xw = x[on] * weight[on, None]
-        new = np.linalg.solve(penalty + xw.T @ x[on], xw.T @ y[on])
+        xo = x[on]
+        xw = xo * weight[on, None].astype(np.float32)
+        new = np.linalg.solve(penalty + xw.T @ xo, xw.T @ y[on])
         done = np.abs(new - w).max() < 1e-6
         w = new
         if done:
@@ -178,12 +179,12 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
         return Model(none, np.array([0, 0, 0, np.log(share / (1 - share))]))
     rng = np.random.default_rng(seed)
     # landmarks: words that tell the classes apart, and words of any kind
-    split = [["".join(c for c in w if c.isalpha()).lower() for w in t.split()] for t in texts]
     seen = [Counter(), Counter()]
-    for ws, label in zip(split, y.tolist()):
-        seen[label].update({w for w in ws if 3 < len(w) < 16})
+    for t, label in zip(texts, y.tolist()):
+        ws = {"".join(c for c in w if c.isalpha()) for w in t.lower().split()}
+        seen[label].update(w for w in ws if 3 < len(w) < 16)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    words = sorted(seen[1])
+    words = sorted(w for w, n in seen[1].items() if n > 1) or sorted(seen[1])
     tell = {w: (seen[1][w] / n1 - seen[0][w] / n0) / np.sqrt((seen[1][w] + seen[0][w] + 1) / (n1 + n0)) for w in words}
     marked: list[str] = []
     near: dict[int, set[int]] = {}  # the landmarks so far that have a sequence
@@ -201,6 +202,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
             break
     plain = sorted(set(seen[0]) - set(marked))
     landmarks = marked + [plain[i] for i in sorted(rng.choice(len(plain), min(2 * LANDMARKS, len(plain)), replace=False).tolist())]
+    del seen, plain
     profiles = [p for p in map(profile, landmarks) if p]
     if not profiles:
         return Model(none, np.array([0, 0, 0, np.log(n1 / n0)]))
@@ -220,7 +222,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
         span = WINDOW + 5
         apart = np.zeros((len(at), span + PAD), np.uint8)
         apart[:, :span] = a[np.minimum(at[:, None] + np.arange(span), len(a) - 1)]
-        z = np.zeros((len(at), len(nystrom)))
+        z = np.zeros((len(at), len(nystrom)), np.float32)
         for gap, code in sequences(apart.ravel()):
             u = index[code].reshape(len(at), -1)
             for k in range(WINDOW):
