@@ -22,9 +22,9 @@ from quillon.llm.pretoken import mix
 from quillon.llm.wordhash import Words, chunks
 
 #: Bytes of text whose passages a task compares before it sends them on.
-LOCAL = 12 << 20
+LOCAL = 6 << 20
 #: Passages that a task compares at once after the sort.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 NAMES = ["key", "uid", "rank", "start", "hashes", "id"]
 
 
