@@ -91,3 +91,32 @@ def peptide_verdict(a: Column, b: Column) -> Column:
     pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x == y) | (x == "X") | (y == "X"))
     alike = (F.length(a) == F.length(b)) & F.forall(pairs, lambda x: F.coalesce(x, F.lit(False)))
     return F.when(a == b, "exact").when(F.substr(a, F.lit(1), n - 1).contains("*"), "internal_stop").when(alike, "ambiguous").otherwise("mismatch")
+
+
+#: The code table of each genome that a compartment's proteins may be encoded in.
+GENOME_TABLE = {"nuclear": 1, "mitochondrial": 3}
+
+
+def table_for(compartment: str, genome: str | None, genomes: dict[str, tuple[str, ...]]) -> int:
+    """Code table of a compartment; where two genomes serve it, the genome must be named rather than guessed."""
+    choices = genomes.get(compartment)
+    if not choices:
+        raise ValueError(f"unknown compartment {compartment!r}")
+    if genome is None and len(choices) > 1:
+        raise ValueError(f"{compartment} is served by {', '.join(choices)}: name the encoding genome")
+    if genome is not None and genome not in choices:
+        raise ValueError(f"{compartment} has no genes in the {genome} genome")
+    return GENOME_TABLE[genome or choices[0]]
+
+
+def safety(seq: Column, table: int, other: int) -> Column:
+    """(safe, codons): codons that another table would read differently, and whether there are none."""
+    found = codon_diff(seq, table, other)
+    return F.struct((F.size(found) == 0).alias("safe"), found.alias("codons"))
+
+
+def code_source(annotated: Column, genome: Column, declared: Column) -> Column:
+    """(table, source): the CDS's own annotation, else its region's genome, else what is declared; none is a verdict."""
+    by_genome = F.try_element_at(F.create_map(*(F.lit(x) for kv in GENOME_TABLE.items() for x in kv)), genome)
+    source = F.when(annotated.isNotNull(), "annotation").when(by_genome.isNotNull(), "genome").when(declared.isNotNull(), "declared").otherwise("none")
+    return F.struct(F.coalesce(annotated, by_genome, declared).alias("table"), source.alias("source"))
