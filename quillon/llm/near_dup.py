@@ -8,7 +8,9 @@
 3.  The smallest node of each key is its hub; every node is compared with its hubs. Bit counts bound the overlap from
     above; what passes is settled by intersecting the sorted arrays.
 4.  Nodes that aren't linked with a hub meet the hub's other nodes in size-banded tiles, where bit counts bound all
-    overlaps together; pairs already in one component are left out, the rest is settled exactly.
+    overlaps together and what passes is settled at once, best first. Pairs already in one component are left out, so
+    a tile yields no more links than it has nodes. Tiles meet themselves first and each other afterwards, when most
+    groups have become one component.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from quillon.llm.wordhash import chunks, shingle_sets
 
 #: One document in so many is looked at for the order of shingles, in a sketch of so many counters (bits).
 SAMPLE, SKETCH_BITS = 50, 22
-#: Nodes of a hub that a tile takes on either side.
-TILE = 1024
+#: Nodes of a hub that a tile takes on either side, and about how many shingles together.
+TILE, TILE_SHINGLES = 1024, 1 << 19
 #: Words of 64 bits of the filter for nodes whose texts are needed (a fixed 4 MB).
 FILTER_BITS = 19
 
@@ -162,13 +164,12 @@ def _filter(pairs: DataFrame) -> np.ndarray:
     return words
 
 
-def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are alike, by intersecting their sorted arrays.
+def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, text) of the nodes in a table's columns a and b, and of a few strangers.
 
-    Texts of the nodes in question come from the documents once more, one per node and task.
+    Texts come from the documents once more, one per node and task; a node that several tasks hold keeps one.
     """
-    pairs = shared.table(pairs)
-    needed = docs.sparkSession.sparkContext.broadcast(_filter(pairs))
+    needed = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = needed.value, set()
@@ -187,6 +188,20 @@ def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                             kept.append(t)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kept, pa.binary())], names=["node", "text"])
 
+    return docs.select("text").mapInArrow(texts_of, "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets are alike, by intersecting them."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those that are alike, by intersecting their sorted arrays."""
+    pairs = shared.table(pairs)
+    texts = _texts(docs, pairs, k)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict[int, tuple[bytes, np.ndarray]] = {}
 
@@ -207,61 +222,80 @@ def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
             for at in range(0, len(a), step):
                 cut = slice(at, at + step)
                 for x, y in zip(sets(0, a[cut], ta[cut]), sets(1, b[cut], tb[cut])):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(den * both >= num * (len(x) + len(y) - both))
+                    keep.append(_alike(x, y, num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    # copies of a node in several tasks: one text stays
-    texts = docs.select("text").mapInArrow(texts_of, "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return shared.table(two.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
 
 
-def _tiles(members: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of one hub's nodes (hub, node, n, root, linked) that may be alike and aren't yet joined.
+def _tile_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int, across: bool) -> DataFrame:
+    """Links (a, b) that join components of one hub's nodes (hub, node, n, root, linked).
 
-    A hub's nodes stand by size, and those whose neighbours are too far off in size go. Tiles of TILE nodes of a size
-    band, so that their bitmaps are about equally wide, meet the tiles whose sizes may still fit, and in a tile pair the bit counts of all pairs are taken together. Pairs of which
-    both are linked with the hub need no look. Bitmaps come last, to the nodes that are left.
+    A hub's nodes stand by size; those whose neighbours are too far off in size go, and so do hubs whose nodes are one
+    component. Tiles hold nodes of one size band, so that their bitmaps are about equally wide, and meet themselves or,
+    across, also tiles whose sizes may still fit. In a tile pair the bit counts of a node with all others are taken
+    together. Texts come to the nodes of which that leaves something open, and settle it exactly, unless a link found
+    meanwhile has joined the two already.
     """
     size = Window.partitionBy("hub").orderBy("n", "node")
     near = (F.lag("n").over(size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(size) * num)
     m = members.withColumn("near", near).where("near")
     group = Window.partitionBy("hub")
     differs = (F.min("root").over(group) != F.max("root").over(group)) & ~F.min("linked").over(group)
-    m = m.withColumn("differs", differs).where("differs").withColumn("band", F.floor(F.log2("n")))
+    m = m.withColumn("differs", differs).where("differs").withColumn("band", F.floor(F.log2("n")).cast("int"))
     place = F.row_number().over(Window.partitionBy("hub", "band").orderBy("n", "node"))
-    m = m.withColumn("tile", F.shiftleft("band", 40) + F.floor((place - 1) / TILE))  # no tile spans two bands
-    m = shared.table(m.select("hub", "node", "n", "root", "linked", "tile"))
+    room = F.greatest(F.lit(2), F.least(F.lit(TILE), F.expr(f"shiftright({TILE_SHINGLES}, band)")))
+    m = m.withColumn("tile", F.shiftleft(F.col("band").cast("long"), 40) + F.floor((place - 1) / room))
+    m = shared.table(m.select("hub", "node", "n", "root", "tile"))
     span = m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = span.toDF("hub", "t", "low", "high"), span.toDF("hub2", "u", "low2", "high2")
-    meet = x.join(y, (F.col("hub") == F.col("hub2")) & (F.col("t") <= F.col("u")) & (F.col("high") * den >= F.col("low2") * num)).select("hub", "t", "u")
+    fits = (F.col("t") <= F.col("u")) & (F.col("high") * den >= F.col("low2") * num) if across else F.col("t") == F.col("u")
+    meet = x.join(y, (F.col("hub") == F.col("hub2")) & fits).select("hub", "t", "u")
     sides = meet.select("hub", "t", "u", F.col("t").alias("tile"), F.lit(0).alias("side")).union(meet.where("t < u").select("hub", "t", "u", F.col("u").alias("tile"), F.lit(1).alias("side")))
-    rows = m.join(sides, ["hub", "tile"]).join(nodes.select("node", "bitmap"), "node").select("hub", "t", "u", "side", "node", "n", "root", "linked", "bitmap")
+    names = ["hub", "t", "u", "side", "node", "n", "root", "bitmap"]
+    rows = m.join(sides, ["hub", "tile"]).join(nodes.select("node", "bitmap"), "node").select(*names)
 
-    def run(table: pa.Table) -> pa.Table:
+    def matches(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, rows on the other side that bit counts and components leave, best first), by rows; the components
+        are read anew for each row."""
         side, n = table["side"].to_numpy(), table["n"].to_numpy()
-        maps, linked = table["bitmap"].to_pylist(), table["linked"].to_numpy(zero_copy_only=False)
+        maps = table["bitmap"].to_pylist()
         width = min(map(len, maps))
         bits = np.frombuffer(b"".join(fold(b, width).to_bytes(width, "little") for b in maps), "<u8").reshape(len(maps), -1)
         root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
-        left = np.flatnonzero(side == 0)
-        right = left if (side == 0).all() else np.flatnonzero(side == 1)
-        a, b = [], []
-        for i in left.tolist():
-            j = right[right > i] if right is left else right
-            j = j[(root[j] != root[i]) & ~(linked[i] & linked[j])]
-            if len(j):
-                differing = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-                fits = (n[j] * den >= n[i] * num) & (n[i] * den >= n[j] * num)
-                j = j[fits & may_link(n[i], n[j], differing, num, den)]
-                a += [i] * len(j)
-                b += j.tolist()
-        nodes = table["node"].combine_chunks()
-        return pa.table({"a": nodes.take(pa.array(a, pa.int64())), "b": nodes.take(pa.array(b, pa.int64()))})
-
-    return rows.groupBy("hub", "t", "u").applyInArrow(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        alone = bool((side == 0).all())
+        right = np.flatnonzero(side == 0 if alone else side == 1)
+        for i in np.flatnonzero(side == 0).tolist():
+            j = right[right > i] if alone else right
+            j = j[root[j] != root[i]]
+            differing = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
+            good = (n[j] * den >= n[i] * num) & (n[i] * den >= n[j] * num) & may_link(n[i], n[j], differing, num, den)
+            if good.any():
+                yield i, j[good][np.argsort(differing[good], kind="stable")], root
+
+    def open_rows(table: pa.Table) -> pa.Table:
+        """The nodes of a tile pair of which bit counts leave something open."""
+        some = np.zeros(len(table), bool)
+        for i, j, _ in matches(table):
+            some[i] = some[j] = True
+        return table.filter(pa.array(some))
+
+    def links(table: pa.Table) -> pa.Table:
+        sets, node, a, b = shingle_sets(table["text"].to_pylist(), k), table["node"].to_numpy(), [], []
+        for i, others, root in matches(table):
+            for x in others.tolist():
+                if root[x] != root[i] and _alike(sets[i], sets[x], num, den):
+                    root[root == root[x]] = root[i]
+                    a.append(i)
+                    b.append(x)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    kinds = "hub long, t long, u long, side int, node long, n long, root long, bitmap binary"
+    left = shared.table(rows.groupBy("hub", "t", "u").applyInArrow(open_rows, kinds))
+    texts = _texts(docs, left.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct(), k)
+    return shared.table(left.join(texts, "node").select(*names, "text").groupBy("hub", "t", "u").applyInArrow(links, "a long, b long"))
 
 
 def _hub_pairs(posts: DataFrame) -> DataFrame:
@@ -311,10 +345,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # nodes that their hub didn't link, with all other nodes of that hub
     tested = near.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.coalesce("linked", F.lit(False)).alias("linked"))
     open_hubs = tested.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("unlinked")).where("unlinked > 0 and members > 1").select("hub")
-    members = tested.join(open_hubs, "hub", "left_semi").join(nodes.select("node", "n"), "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = _settled(_tiles(members, nodes, num, den), rows, k, num, den)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    members = shared.table(tested.join(open_hubs, "hub", "left_semi").join(nodes.select("node", "n"), "node"))
+    for across in (False, True):
+        rooted = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = _tile_links(rooted, nodes, rows, k, num, den, across)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
     root = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     named = root.join(least, "root").select("node", "component_id")
