@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import marshal
+import pickle
 import struct
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import shared
 
@@ -73,8 +74,8 @@ _HEAD = struct.Struct("<QQI")
 LEVELS = 16
 
 
-def grace(records: Iterator[Record], budget: int, folder: str, level: int = 0) -> Iterator[tuple[int, bytes, list[tuple]]]:
-    """(hash, text, payloads) of each distinct text among the records (hash, text, payload).
+def grace(records: Iterator[Record], budget: int, folder: str, level: int = 0, pick: Callable[[list[tuple]], tuple] | None = None) -> Iterator[tuple[int, bytes, list[tuple]]]:
+    """(hash, text, payloads) of each distinct text among the records (hash, text, payload); pick keeps one payload.
 
     Records go to a table while its distinct texts fit the budget. Once they don't, table and rest are dealt by four
     more bits of the hash to spill files in the task's own folder, and each file is treated alike. Texts whose hashes
@@ -85,7 +86,10 @@ def grace(records: Iterator[Record], budget: int, folder: str, level: int = 0) -
         if files is not None:
             _spill(files, level, h, text, payload)
             continue
-        table.values_of(h, text).append(payload)
+        values = table.values_of(h, text)
+        values.append(payload)
+        if pick and len(values) > 1:
+            values[:] = [pick(values)]
         if table.size > budget and level < LEVELS and len(table.texts) > 1:
             files = [tempfile.TemporaryFile(dir=folder) for _ in range(FAN_OUT)]
             for h, text, payloads in zip(table.hashes, table.texts, table.values):
@@ -95,19 +99,19 @@ def grace(records: Iterator[Record], budget: int, folder: str, level: int = 0) -
     yield from zip(table.hashes, table.texts, table.values)
     for f in files or ():
         f.seek(0)
-        yield from grace(_unspill(f), budget, folder, level + 1)
+        yield from grace(_unspill(f), budget, folder, level + 1, pick)
         f.close()
 
 
 def _spill(files: list, level: int, h: int, text: bytes, payload: tuple) -> None:
-    tail = marshal.dumps(payload)
+    tail = pickle.dumps(payload, 5)
     files[h >> 4 * level & FAN_OUT - 1].write(_HEAD.pack(h, len(text), len(tail)) + text + tail)
 
 
 def _unspill(f) -> Iterator[Record]:
     while head := f.read(_HEAD.size):
         h, n, k = _HEAD.unpack(head)
-        yield h, f.read(n), marshal.loads(f.read(k))
+        yield h, f.read(n), pickle.loads(f.read(k))
 
 
 def _order(key) -> tuple:
@@ -145,7 +149,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             batch_schema = pa.schema([("id", batch.schema.field(0).type), ("uid", pa.int64()), ("rep", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = normalise(text.as_py())
-                h = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+                h = _hash(text)
                 table.values_of(h, text).append((key, uid))
                 table.size += 16
                 uid += 1
@@ -187,17 +191,67 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows equal in id and text one stays.
+    """The rows of docs that stay by the rules of exact_groups, with all their columns.
 
-    Column names may be any, as the verdicts' own names are chosen apart from them.
+    Each task passes on one row of its own copies; rows are shuffled once, by hash, and the Grace tables keep the row
+    that stays. Columns may have any names but __h; their values are carried as they are.
     """
-    groups = exact_groups(docs, id_col, text_col, budget).where("kept").select(F.col(id_col).alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    # [\x20\x09-\x0D]+ in the JVM as in normalise()
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    keyed = docs.withColumns({"__id": F.col(id_col), "__sha": sha})
-    joined = keyed.join(groups, keyed["__id"].eqNullSafe(groups["__keep_id"]) & (keyed["__sha"] == groups["__keep_sha"]), "left_semi")
-    return joined.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    first = lambda rows: min(rows, key=lambda m: _order(m[0]))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, size = Table(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            chosen: list[list[tuple[int, int]]] = [[] for _ in held]
+            for h, ((_, k, i),) in zip(table.hashes, table.values):
+                chosen[k].append((i, h - (1 << 64) if h >> 63 else h))
+            for batch, rows in zip(held, chosen):
+                rows.sort()
+                kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([h for _, h in rows], pa.int64())], names=[*batch.schema.names, "__h"])
+
+        for batch in batches:
+            for i, (key, text) in enumerate(zip(batch.column(at_id).to_pylist(), batch.column(at_text))):
+                text = normalise(text.as_py())
+                values = table.values_of(_hash(text), text)
+                values.append((key, len(held), i))
+                if len(values) > 1:
+                    values[:] = [first(values)]
+            held.append(batch)
+            size += batch.nbytes
+            if max(size // 4, table.size) > budget:
+                yield from flush()
+                table, held, size = Table(), [], 0
+        yield from flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: list[pa.Field] = []
+
+        def records() -> Iterator[Record]:
+            for batch in batches:
+                fields[:] = list(batch.schema)[:-1]
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    yield row[-1] & 0xFFFFFFFFFFFFFFFF, normalise(row[at_text]), (row[at_id], row[:-1])
+
+        rows: list[tuple] = []
+        size = 0
+        for _, text, ((_, row),) in grace(records(), budget // 2, tempfile.gettempdir(), pick=first):
+            rows.append(row)
+            size += len(text)
+            if size > budget // 2:
+                yield _batch(rows, pa.schema(fields))
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, pa.schema(fields))
+
+    hashed = T.StructType([*docs.schema.fields, T.StructField("__h", T.LongType())])
+    return docs.mapInArrow(local, hashed).repartition(shared.partitions(docs.sparkSession), "__h").mapInArrow(merge, docs.schema)
 
 
 ORACLE = """
