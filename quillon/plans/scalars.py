@@ -94,11 +94,11 @@ def distinguishing(t: Tables) -> DataFrame:
 @query(
     "verify_span",
     """SELECT d.doc_id, b.item_id, CASE WHEN substr(d.text, 11, length(b.text)) = b.text THEN 'exact' WHEN (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) = 1 THEN 'moved'
-    WHEN contains(d.text, b.text) THEN 'ambiguous' ELSE 'absent' END AS verdict FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40 WHERE d.doc_id < 200""",
+    WHEN contains(d.text, b.text) THEN 'ambiguous' ELSE 'absent' END AS verdict FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40""",
 )
 def verify_span(t: Tables) -> DataFrame:
     b = t.benchmark.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("k"))
-    d = t.documents.where("doc_id < 200").withColumn("k", F.col("doc_id") % 40)
+    d = t.documents.withColumn("k", F.col("doc_id") % 40)
     n = (F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote")
     verdict = F.when(F.substr(F.col("text"), F.lit(11), F.length("quote")) == F.col("quote"), "exact").when(F.floor(n) == 1, "moved").when(F.floor(n) > 1, "ambiguous").otherwise("absent")
     return d.join(b, "k").select("doc_id", "item_id", verdict.alias("verdict"))
@@ -117,12 +117,12 @@ def snippet(t: Tables) -> DataFrame:
 
 @query(
     "split_sections",
-    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 300),
+    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
     h AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)
     SELECT doc_id, section::BIGINT AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM h GROUP BY doc_id, section""",
 )
 def split_sections(t: Tables) -> DataFrame:
-    lines = t.documents.where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     heading = F.when(F.length("line") < 60, 1).otherwise(0)
     h = lines.withColumn("section", F.sum(heading).over(Window.partitionBy("doc_id").orderBy("i")))
     return h.groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
@@ -130,11 +130,11 @@ def split_sections(t: Tables) -> DataFrame:
 
 @query(
     "excerpt_offsets",
-    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 300)
+    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)
     SELECT doc_id, i - 1 AS piece, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_offset FROM l""",
 )
 def excerpt_offsets(t: Tables) -> DataFrame:
-    lines = t.documents.where("doc_id < 300").select("doc_id", F.posexplode(F.split("text", "\n")).alias("piece", "line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("piece", "line"))
     before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     return lines.select("doc_id", F.col("piece").cast("long").alias("piece"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("doc_offset"))
 

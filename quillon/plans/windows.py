@@ -95,11 +95,17 @@ def running_phase(t: Tables) -> DataFrame:
 
 @query(
     "nearest_occurrence",
-    """WITH p AS (SELECT doc_id, length(text) // 2 AS claimed, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 4) = ' the') AS places FROM documents WHERE length(text) < 3000)
+    """WITH p AS (SELECT doc_id, length(text) // 2 AS claimed, list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 4) = ' the') AS places FROM documents)
     SELECT doc_id, list_min(list_transform(places, lambda i: abs(i - 1 - claimed))) AS distance FROM p WHERE len(places) > 0""",
 )
 def nearest_occurrence(t: Tables) -> DataFrame:
-    from quillon.functions import text as X
+    # places as running lengths of what stands between them: one pass over a text of any length; " the" can't overlap itself
+    d = t.documents.select("doc_id", F.floor(F.length("text") / 2).alias("claimed"), F.split("text", " the").alias("pieces"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("long").alias("best"))
 
-    d = t.documents.where(F.length("text") < 3000).select("doc_id", F.floor(F.length("text") / 2).alias("claimed"), X.find_all(F.col("text"), F.lit(" the")).alias("at"))
-    return d.where(F.size("at") > 0).select("doc_id", F.array_min(F.transform("at", lambda i: F.abs(i - F.col("claimed")))).alias("distance"))
+    def step(acc, piece):
+        place = acc["at"] + F.length(piece)
+        return F.struct((place + 4).alias("at"), F.least(acc["best"], F.abs(place - F.col("claimed"))).alias("best"))
+
+    before = F.slice("pieces", 1, F.size("pieces") - 1)
+    return d.where(F.size("pieces") > 1).select("doc_id", F.aggregate(before, zero, step)["best"].alias("distance"))
