@@ -310,11 +310,11 @@ def keyword_windows(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- sequences
 
-_D = "(SELECT doc_id, regexp_replace(upper(substr(text, 1, 900)), '[^ACGT]', '', 'g') AS s FROM documents)"
+_D = "(SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)"
 
 
 def _sequences(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.regexp_replace(F.upper(F.substring("text", 1, 900)), "[^ACGT]", "").alias("s"))
+    return t.documents.select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("s"))
 
 
 _CODONS = "regexp_extract_all(s, '...')"

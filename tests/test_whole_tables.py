@@ -58,3 +58,12 @@ def test_nearest_occurrence_in_long_documents(spark, documents):
             want[i] = min(abs(k - len(s) // 2) for k in places)
     assert 9000 in want
     assert {r.doc_id: r.distance for r in collected(spark, "nearest_occurrence", folder)} == want
+
+
+def test_sequences_of_whole_texts(spark, documents):
+    folder, texts = documents
+    whole = {i: "".join(c for c in s.upper() if c in "ACGT") for i, s in texts.items()}
+    assert len(whole[9000]) > 2100  # all of it beyond the first 900 letters
+    assert {r.doc_id: r.n for r in collected(spark, "codons", folder)} == {i: len(s) // 3 for i, s in whole.items()}
+    assert {r.doc_id: r.rc for r in collected(spark, "revcomp", folder)} == {i: s[::-1].translate(str.maketrans("ACGT", "TGCA")) for i, s in whole.items()}
+    assert all(len(r.protein) == len(whole[r.doc_id]) // 3 for r in collected(spark, "translate", folder))
