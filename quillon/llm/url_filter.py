@@ -1,6 +1,6 @@
 """URL filter by a tree of path templates (operator 1).
 
-Every host has a tree of its paths. Level by level, a segment that is rare among its siblings is variable and becomes
+Every host has a tree of its paths, as deep as they are. Level by level, a segment that is rare among its siblings is variable and becomes
 the wildcard `*`; a segment whose labelled share of blocked urls doesn't differ from its siblings' (two-proportion
 test) is merged into the wildcard as well. Paths that end up with the same template share their labels; a template is
 rejected if its share of blocked urls, smoothed towards its host's and that towards all hosts', is high enough.
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from quillon.llm import shared
 
-#: Levels of the tree; what lies deeper is one segment of the last level.
-DEPTH = 3
 #: A segment stays by name from so many urls and this share of its siblings' urls on, and when this many standard
 #: errors lie between its blocked share and its siblings'.
 SUPPORT, SHARE, ERRORS = 5, 0.05, 1.96
@@ -62,38 +60,37 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(F.broadcast(right) if short else right, keys, "left")
 
 
-def _segment(level: int) -> Column:
-    """Segment of a path on a level; the last level takes the rest of the path."""
-    rest = F.array_join(F.slice("parts", DEPTH, F.greatest(F.size("parts"), F.lit(1))), "/")
-    return F.when(F.size("parts") > level, F.get("parts", F.lit(level)) if level < DEPTH - 1 else rest)
+def grow(urls: DataFrame) -> DataFrame:
+    """(host, path, template, share, rejected) of distinct (host, path, n, lab, blk).
 
-
-def with_template(rows: DataFrame, names: list[DataFrame]) -> DataFrame:
-    """rows (host, path, ...) with parts and prefix: their template as far as the levels are named."""
-    rows = rows.withColumn("parts", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("prefix", F.col("host"))
-    for level, table in enumerate(names):
-        rows = _joined(rows.withColumn("seg", _segment(level)), table, ["prefix", "seg"])
-        rows = rows.withColumn("prefix", F.coalesce("next", "prefix")).drop("next", "seg")
-    return rows
-
-
-def grow(urls: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """The tree of distinct (host, path, n, lab, blk): by level (prefix, seg, next), and (template, share, rejected)."""
-    names: list[DataFrame] = []
-    for level in range(DEPTH):
-        rows = with_template(urls, names).withColumn("seg", _segment(level)).where("seg is not null")
-        own = rows.groupBy("prefix", "seg").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
+    The tree grows until no path has a further segment. Each level reads only the paths that reach it and writes them
+    with their prefix and the rest of their segments; a path is done when its rest is empty.
+    """
+    spark, base = urls.sparkSession, shared.folder(urls.sparkSession)
+    rows = urls.withColumn("rest", F.filter(F.split("path", "/"), lambda x: x != "")).withColumn("prefix", F.col("host"))
+    levels: list[str] = []
+    while True:
+        levels.append(f"{base}/level-{len(levels)}")
+        rows.write.parquet(levels[-1])
+        deeper = spark.read.schema(rows.schema).parquet(levels[-1]).where(F.size("rest") > 0)
+        if deeper.isEmpty():
+            break
+        deeper = deeper.withColumn("seg", F.get("rest", F.lit(0)))
+        own = deeper.groupBy("prefix", "seg").agg(F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
         siblings = Window.partitionBy("prefix")
         sums = {"N_": F.sum("n"), "LAB_": F.sum("lab"), "BLK_": F.sum("blk"), "kids": F.count("*")}
         own = own.select("*", *(f.over(siblings).alias(k) for k, f in sums.items()))
-        names.append(shared.table(own.select("prefix", "seg", F.expr(STEP).alias("next"))))
+        names = shared.table(own.select("prefix", "seg", F.expr(STEP).alias("next")))
+        rows = _joined(deeper, names, ["prefix", "seg"]).withColumns({"prefix": F.col("next"), "rest": F.slice("rest", 2, F.size("rest"))}).select(rows.columns)
+    done = spark.read.schema(rows.schema).parquet(*levels).where(F.size("rest") == 0).withColumn("template", F.col("prefix"))
     total = urls.agg(F.coalesce(F.sum("lab"), F.lit(0)).alias("lab"), F.coalesce(F.sum("blk"), F.lit(0)).alias("blk")).first()
     top = (total["blk"] + 1) / (total["lab"] + 2)
-    kinds = with_template(urls, names).groupBy("host", F.col("prefix").alias("template")).agg(F.sum("lab").alias("tl"), F.sum("blk").alias("tb"))
+    kinds = done.groupBy("host", "template").agg(F.sum("lab").alias("tl"), F.sum("blk").alias("tb"))
     host = Window.partitionBy("host")
-    base = (F.sum("tb").over(host) + PRIOR * top) / (F.sum("tl").over(host) + PRIOR)
-    kinds = kinds.withColumn("share", (F.col("tb") + PRIOR * base) / (F.col("tl") + PRIOR))
-    return names, shared.table(kinds.select("template", "share", ((F.col("share") >= PURITY) & (F.col("tl") >= LABELS)).alias("rejected")))
+    base_share = (F.sum("tb").over(host) + PRIOR * top) / (F.sum("tl").over(host) + PRIOR)
+    kinds = kinds.withColumn("share", (F.col("tb") + PRIOR * base_share) / (F.col("tl") + PRIOR))
+    kinds = shared.table(kinds.select("template", "share", ((F.col("share") >= PURITY) & (F.col("tl") >= LABELS)).alias("rejected")))
+    return shared.table(_joined(done.select("host", "path", "template"), kinds, ["template"]))
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -110,36 +107,31 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id",
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "given": verdict})
     urls = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("given").alias("lab"), F.count_if(F.col("given") == "block").alias("blk"))
-    names, kinds = grow(shared.table(urls))
-    out = _joined(with_template(rows, names).withColumn("template", F.col("prefix")), kinds, ["template"])
+    out = _joined(rows, grow(shared.table(urls)), ["host", "path"])
     verdict = F.coalesce("given", F.when(F.col("rejected"), "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "share")
 
 
 def _oracle() -> str:
-    sql = f"""
-WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    return f"""
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM r),
 rules AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{h}', '{p}')" for k, h, p in RULES)}) v(kind, rh, rp)),
 g AS (SELECT h.*, (SELECT arg_max(struct_pack(kind := kind, rule := rh || rp), length(rh || rp)) FROM rules
   WHERE (h.host = rh OR ends_with(h.host, '.' || rh)) AND starts_with(h.path, rp)) AS m FROM h),
 u AS (SELECT host, path, count(*) AS n, count(m) AS lab, count(*) FILTER (m.kind = 'block') AS blk FROM g GROUP BY host, path),
-l0 AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, host AS prefix FROM u)"""
-    for d in range(DEPTH):
-        seg = f"parts[{d + 1}]" if d < DEPTH - 1 else f"CASE WHEN len(parts) >= {DEPTH} THEN array_to_string(parts[{DEPTH}:], '/') END"
-        sql += f""",
-s{d} AS (SELECT *, {seg} AS seg FROM l{d}),
-o{d} AS (SELECT prefix, seg, sum(n) AS n, sum(lab) AS lab, sum(blk) AS blk FROM s{d} WHERE seg IS NOT NULL GROUP BY prefix, seg),
-a{d} AS (SELECT *, sum(n) OVER p AS N_, sum(lab) OVER p AS LAB_, sum(blk) OVER p AS BLK_, count(*) OVER p AS kids FROM o{d} WINDOW p AS (PARTITION BY prefix)),
-d{d} AS (SELECT prefix AS p, seg AS q, {STEP} AS next FROM a{d}),
-l{d + 1} AS (SELECT host, path, n, lab, blk, parts, coalesce(next, prefix) AS prefix FROM s{d} LEFT JOIN d{d} ON prefix = p AND seg = q)"""
-    return sql + f""",
-b AS (SELECT host, (sum(blk) + {PRIOR} * (SELECT (sum(blk) + 1) / (sum(lab) + 2)::DOUBLE FROM u)) / (sum(lab) + {PRIOR}) AS base FROM l{DEPTH} GROUP BY host),
-t AS (SELECT l.prefix, sum(lab) AS tl, (sum(blk) + {PRIOR} * any_value(base)) / (sum(lab) + {PRIOR}) AS share FROM l{DEPTH} l JOIN b ON l.host = b.host GROUP BY l.prefix)
+w AS (SELECT host, path, n AS n0, lab AS lab0, blk AS blk0, list_filter(string_split(path, '/'), lambda x: x <> '') AS rest, host AS prefix FROM u
+  UNION ALL SELECT host, path, n0, lab0, blk0, rest[2:] AS rest, {STEP} AS prefix FROM (
+    SELECT *, sum(n0) OVER s AS n, sum(lab0) OVER s AS lab, sum(blk0) OVER s AS blk,
+      sum(n0) OVER p AS N_, sum(lab0) OVER p AS LAB_, sum(blk0) OVER p AS BLK_, count(DISTINCT seg) OVER p AS kids
+    FROM (SELECT *, rest[1] AS seg FROM w WHERE len(rest) > 0) d WINDOW s AS (PARTITION BY prefix, seg), p AS (PARTITION BY prefix)) a),
+l AS (SELECT host, path, n0 AS n, lab0 AS lab, blk0 AS blk, prefix FROM w WHERE len(rest) = 0),
+b AS (SELECT host, (sum(blk) + {PRIOR} * (SELECT (sum(blk) + 1) / (sum(lab) + 2)::DOUBLE FROM u)) / (sum(lab) + {PRIOR}) AS base FROM l GROUP BY host),
+t AS (SELECT l.prefix, sum(lab) AS tl, (sum(blk) + {PRIOR} * any_value(base)) / (sum(lab) + {PRIOR}) AS share FROM l JOIN b ON l.host = b.host GROUP BY l.prefix)
 SELECT g.page_id, g.host, g.path, g.m.rule AS rule, coalesce(g.m.kind, CASE WHEN t.share >= {PURITY} AND t.tl >= {LABELS} THEN 'block' ELSE 'allow' END) AS verdict,
   l.prefix AS template, t.share::DOUBLE AS share
-FROM g JOIN l{DEPTH} l ON g.host = l.host AND g.path = l.path JOIN t ON t.prefix = l.prefix
+FROM g JOIN l ON g.host = l.host AND g.path = l.path JOIN t ON t.prefix = l.prefix
 """
 
 
