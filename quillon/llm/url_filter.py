@@ -1,7 +1,7 @@
 """URL filter by a tree of path templates (operator 1).
 
-Every host has a tree of its paths, as deep as they are. Level by level, a segment that is rare among its siblings is variable and becomes
-the wildcard `*`; a segment whose labelled share of blocked urls doesn't differ from its siblings' (two-proportion
+Every host has a tree of its paths, as deep as they are. Level by level, a segment with too few urls to judge is
+variable and becomes the wildcard `*`; a segment whose labelled share of blocked urls doesn't differ from its siblings' (two-proportion
 test) is merged into the wildcard as well. Paths that end up with the same template share their labels; a template is
 rejected if its share of blocked urls, smoothed towards its host's and that towards all hosts', is high enough.
 """
@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm import shared
 
-#: A segment stays by name from so many urls and this share of its siblings' urls on, and when this many standard
-#: errors lie between its blocked share and its siblings'.
-SUPPORT, SHARE, ERRORS = 5, 0.05, 1.96
+#: A segment stays by name from so many urls on, whatever its share of its siblings' urls, unless fewer than this many
+#: standard errors lie between its blocked share and its siblings'.
+SUPPORT, ERRORS = 5, 1.96
 #: A template is rejected from this smoothed share and so many labelled urls on; labels that smoothing is worth.
 PURITY, LABELS, PRIOR = 0.5, 3, 4.0
 #: A table of the tree with at most so many rows is broadcast.
@@ -50,7 +50,7 @@ _REST = "(BLK_ - blk) / cast(nullif(LAB_ - lab, 0) as double)"
 _POOLED = "BLK_ / cast(nullif(LAB_, 0) as double)"
 _ALIKE = f"""lab > 0 and LAB_ > lab and abs(blk / cast(nullif(lab, 0) as double) - {_REST})
  <= {ERRORS} * sqrt({_POOLED} * (1 - {_POOLED}) * (1.0 / nullif(lab, 0) + 1.0 / nullif(LAB_ - lab, 0))) + 1e-12"""
-KEEP = f"seg is null or (n >= {SUPPORT} and n >= {SHARE} * N_ and not (kids > 1 and coalesce({_ALIKE}, false)))"
+KEEP = f"seg is null or (n >= {SUPPORT} and not (kids > 1 and coalesce({_ALIKE}, false)))"
 STEP = f"case when {KEEP} then concat(prefix, coalesce(concat('/', seg), '')) else concat(prefix, '/*') end"
 
 

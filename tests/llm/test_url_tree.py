@@ -45,3 +45,11 @@ def test_deep_urls_against_sql(spark, seed):
     key = lambda r: (r[0], r[1], r[2], r[3], r[4], r[5], round(r[6], 9))
     assert len(want) == len(urls)
     assert sorted(map(repr, map(key, want))) == sorted(map(repr, (key(tuple(r)) for r in url_filter.judge(df).collect())))
+
+
+def test_branches_of_a_hot_host_are_judged_apart(spark):
+    branches = ["bad"] + [f"good{k}" for k in range(29)]  # each 3.3 % of the host
+    rules = [("block" if b == "bad" else "allow", "h.net", f"/{b}/1") for b in branches]
+    got = judged(spark, [f"http://h.net/{b}/{i}{b}" for b in branches for i in range(185, 215)], rules)
+    assert (got["http://h.net/bad/210bad"].template, got["http://h.net/bad/210bad"].verdict) == ("h.net/bad/*", "block")
+    assert (got["http://h.net/good7/210good7"].template, got["http://h.net/good7/210good7"].verdict) == ("h.net/*/*", "allow")
