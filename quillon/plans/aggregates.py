@@ -217,10 +217,12 @@ def matrix_long(t: Tables) -> DataFrame:
     return long.select("gene", F.col("sample").cast("int").alias("sample"), "n")
 
 
-@query("matrix_cpm", "SELECT m.gene, m.sample, round(m.n * 1e6 / s.total, 6) AS cpm FROM v_matrix m JOIN (SELECT sample, sum(n) AS total FROM v_matrix GROUP BY sample) s ON m.sample = s.sample WHERE m.gene % 10 = 0")
-def matrix_cpm(t: Tables) -> DataFrame:
+@query("matrix_cpm", "SELECT m.gene, m.sample, round(m.n * 1e6 / s.total, 6) AS cpm FROM v_matrix m JOIN (SELECT sample, sum(n) AS total FROM v_matrix GROUP BY sample) s ON m.sample = s.sample")
+def matrix_cpm(t: Tables, wanted: list[int] | None = None) -> DataFrame:
+    # the query wants all genes; a list keeps only its own
     total = t.v_matrix.groupBy("sample").agg(F.sum("n").alias("total"))  # over all genes, also those not wanted
-    return t.v_matrix.where("gene % 10 = 0").join(F.broadcast(total), "sample").select("gene", "sample", F.round(F.col("n") * 1e6 / F.col("total"), 6).alias("cpm"))
+    m = t.v_matrix if wanted is None else t.v_matrix.where(F.col("gene").isin(wanted))
+    return m.join(F.broadcast(total), "sample").select("gene", "sample", F.round(F.col("n") * 1e6 / F.col("total"), 6).alias("cpm"))
 
 
 @query("matrix_samples", "SELECT DISTINCT sample, grp FROM v_matrix")

@@ -52,11 +52,11 @@ def comparability_class(t: Tables) -> DataFrame:
 @query(
     "facet_differences",
     """SELECT feedstock, count(DISTINCT aeration) > 1 AS aeration_differs, max(temperature_c) - min(temperature_c) > 2 AS temperature_differs,
-    max(sugar) - min(sugar) > 0.25 * greatest(abs(max(sugar)), abs(min(sugar))) AS sugar_differs FROM v_context WHERE context_id % 40 < 3 GROUP BY feedstock, context_id % 40""",
+    max(sugar) - min(sugar) > 0.25 * greatest(abs(max(sugar)), abs(min(sugar))) AS sugar_differs FROM v_context GROUP BY feedstock, context_id % 40""",
 )
 def facet_differences(t: Tables) -> DataFrame:
     spread = lambda c: F.max(c) - F.min(c)
-    g = t.v_context.where("context_id % 40 < 3").groupBy("feedstock", (F.col("context_id") % 40).alias("k"))
+    g = t.v_context.groupBy("feedstock", (F.col("context_id") % 40).alias("k"))
     sugar = spread("sugar") > 0.25 * F.greatest(F.abs(F.max("sugar")), F.abs(F.min("sugar")))
     return g.agg((F.count_distinct("aeration") > 1).alias("aeration_differs"), (spread("temperature_c") > 2).alias("temperature_differs"), sugar.alias("sugar_differs")).drop("k")
 
@@ -76,13 +76,13 @@ def compare_candidates(t: Tables) -> DataFrame:
 
 
 _RANKABLE = f"""WITH c AS (SELECT m.*, {_CLASS} AS class_key FROM v_measurement m JOIN v_context c ON c.context_id = m.product_id)
-    SELECT class_key, count(*) AS n, NOT class_key LIKE '%?%' AND count(DISTINCT unit) = 1 AND count(*) > 1 AND bool_and(quantity_kind IN ('A', 'N')) AS rankable FROM c WHERE product_id % 5 = 0 GROUP BY class_key"""
+    SELECT class_key, count(*) AS n, NOT class_key LIKE '%?%' AND count(DISTINCT unit) = 1 AND count(*) > 1 AND bool_and(quantity_kind IN ('A', 'N')) AS rankable FROM c GROUP BY class_key"""
 
 
 @query("rankable_classes", _RANKABLE)
 def rankable_classes(t: Tables) -> DataFrame:
     key, _ = E.comparability_class("aeration", "feedstock")
-    c = t.v_measurement.where("product_id % 5 = 0").join(t.v_context, F.col("product_id") == F.col("context_id")).withColumn("class_key", key)
+    c = t.v_measurement.join(t.v_context, F.col("product_id") == F.col("context_id")).withColumn("class_key", key)
     ok = ~F.col("class_key").contains("?") & (F.count_distinct("unit") == 1) & (F.count("*") > 1) & F.bool_and(F.col("quantity_kind").isin("A", "N"))
     return c.groupBy("class_key").agg(F.count("*").alias("n"), ok.alias("rankable"))
 
@@ -157,12 +157,12 @@ def plan_blockers(t: Tables) -> DataFrame:
     return j.select("task_id", "status", F.array_join(b, ",").alias("blockers"))
 
 
-@query("validate_records", "SELECT measurement_id, product_id, concat_ws(',', CASE WHEN value <= 0 THEN 'not_positive' END, CASE WHEN sample_id IS NULL THEN 'no_provenance' END, CASE WHEN unit NOT IN ('F') THEN 'unknown_unit' END) AS issues, NOT (value <= 0 OR unit NOT IN ('F')) AS accepted FROM v_measurement WHERE line < 3")
+@query("validate_records", "SELECT measurement_id, product_id, concat_ws(',', CASE WHEN value <= 0 THEN 'not_positive' END, CASE WHEN sample_id IS NULL THEN 'no_provenance' END, CASE WHEN unit NOT IN ('F') THEN 'unknown_unit' END) AS issues, NOT (value <= 0 OR unit NOT IN ('F')) AS accepted FROM v_measurement")
 def validate_records(t: Tables) -> DataFrame:
     fatal = {"not_positive": F.col("value") <= 0, "unknown_unit": ~R.in_values("unit", ["F"])}
     tests = {"not_positive": fatal["not_positive"], "no_provenance": F.col("sample_id").isNull(), "unknown_unit": fatal["unknown_unit"]}
     issues = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in tests.items())))
-    return t.v_measurement.where("line < 3").select("measurement_id", "product_id", F.array_join(issues, ",").alias("issues"), (~(fatal["not_positive"] | fatal["unknown_unit"])).alias("accepted"))
+    return t.v_measurement.select("measurement_id", "product_id", F.array_join(issues, ",").alias("issues"), (~(fatal["not_positive"] | fatal["unknown_unit"])).alias("accepted"))
 
 
 @query("corroborate", "SELECT p_partkey, CASE WHEN contains(lower(p_name), lower(split_part(p_type, ' ', 1))) AND contains(p_brand, '1') THEN 'corroborated' WHEN contains(p_brand, '1') THEN 'partial' ELSE 'unsupported' END AS verdict FROM part")

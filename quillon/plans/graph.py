@@ -44,12 +44,12 @@ def balance_by_bucket(t: Tables) -> DataFrame:
 
 @query(
     "transport_gaps",
-    """WITH s AS (SELECT p.reaction_id, v.tier AS c, lead(v.tier) OVER (PARTITION BY p.reaction_id ORDER BY p.line, p.metabolite_id) AS n FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id WHERE p.reaction_id % 10 = 0)
+    """WITH s AS (SELECT p.reaction_id, v.tier AS c, lead(v.tier) OVER (PARTITION BY p.reaction_id ORDER BY p.line, p.metabolite_id) AS n FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id)
     SELECT DISTINCT reaction_id, c AS source, n AS target FROM s WHERE n <> c AND NOT (c = 'Brand#11' AND n = 'Brand#12') AND NOT (c = 'Brand#13' AND n = 'Brand#21')""",
 )
 def transport_gaps(t: Tables) -> DataFrame:
     tiers = t.v_product.select(F.col("product_id").alias("metabolite_id"), F.col("tier").alias("compartment"))
-    steps = t.v_participant.where("reaction_id % 10 = 0").join(tiers, "metabolite_id").withColumn("place", F.struct("line", "metabolite_id"))
+    steps = t.v_participant.join(tiers, "metabolite_id").withColumn("place", F.struct("line", "metabolite_id"))
     carriers = t._spark.createDataFrame([("Brand#11", "Brand#12"), ("Brand#13", "Brand#21")], "source string, target string")
     return G.transport_gaps(steps, "reaction_id", "place", "compartment", carriers)
 

@@ -30,9 +30,9 @@ def product_list(t: Tables) -> DataFrame:
     return t.v_product.join(m, "product_id", "left").na.fill(0, ["n"]).select("product_id", "name", "n", "best")
 
 
-@query("gene_page", "SELECT p.product_id, p.name, count(DISTINCT r.reaction_id) AS reactions, count(*) FILTER (r.role = 'substrate') AS as_substrate FROM v_product p JOIN v_participant r ON r.metabolite_id = p.product_id WHERE p.product_id < 100 GROUP BY p.product_id, p.name")
+@query("gene_page", "SELECT p.product_id, p.name, count(DISTINCT r.reaction_id) AS reactions, count(*) FILTER (r.role = 'substrate') AS as_substrate FROM v_product p JOIN v_participant r ON r.metabolite_id = p.product_id GROUP BY p.product_id, p.name")
 def gene_page(t: Tables) -> DataFrame:
-    p = t.v_product.where("product_id < 100").join(t.v_participant, F.col("metabolite_id") == F.col("product_id"))
+    p = t.v_product.join(t.v_participant, F.col("metabolite_id") == F.col("product_id"))
     return p.groupBy("product_id", "name").agg(F.count_distinct("reaction_id").alias("reactions"), F.count_if(F.col("role") == "substrate").alias("as_substrate"))
 
 

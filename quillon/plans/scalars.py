@@ -169,11 +169,11 @@ def split_tokens(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.explode(F.split("p_type", " ")).alias("token"))
 
 
-@query("parse_timepoint", "SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(regexp_extract('T' || l_linenumber || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ' - hour ' || cast(l_quantity AS INT) END, 'hour ([0-9.]+)', 1), '') AS DOUBLE) AS hours FROM lineitem WHERE l_orderkey < 500")
+@query("parse_timepoint", "SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(regexp_extract('T' || l_linenumber || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ' - hour ' || cast(l_quantity AS INT) END, 'hour ([0-9.]+)', 1), '') AS DOUBLE) AS hours FROM lineitem")
 def parse_timepoint(t: Tables) -> DataFrame:
     n = F.col("l_linenumber")
     said = F.concat(F.lit("T"), n.cast("string"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(" - hour "), F.round("l_quantity").cast("int").cast("string"))))
-    return t.lineitem.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.nullif(F.regexp_extract(said, "hour ([0-9.]+)", 1), F.lit("")).try_cast("double").alias("hours"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.nullif(F.regexp_extract(said, "hour ([0-9.]+)", 1), F.lit("")).try_cast("double").alias("hours"))
 
 
 _STATE = "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NA' WHEN 2 THEN 'unknown' ELSE p_brand END"
@@ -212,10 +212,10 @@ def json_coalesce(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(F.get_json_object(edited, "$.k"), F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("json_flatten_diff", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'differs' ELSE 'same' END AS k_state FROM events WHERE event_id < 2000")
+@query("json_flatten_diff", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'differs' ELSE 'same' END AS k_state FROM events")
 def json_flatten_diff(t: Tables) -> DataFrame:
     # two passes as path -> leaf maps; the diff is over the union of their paths
-    e = t.events.where("event_id < 2000")
+    e = t.events
     one = F.from_json("props", "map<string,string>")
     two = F.transform_values(one, lambda k, v: F.when(F.col("event_id") % 4 == 0, F.concat(v, F.lit("'"))).otherwise(v))
     paths = F.array_union(F.map_keys(one), F.map_keys(two))

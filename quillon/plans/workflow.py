@@ -118,10 +118,10 @@ def review_alternatives(t: Tables) -> DataFrame:
     return m.where("line = 1").join(b, key).where("measurement_id <> other").groupBy("measurement_id").agg(F.count_distinct("other").alias("alternatives"))
 
 
-@query("running_budget", "SELECT o_orderkey, o_orderpriority, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey), 2) > 1000000 AS spent FROM orders WHERE o_custkey < 200")
+@query("running_budget", "SELECT o_orderkey, o_orderpriority, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey), 2) > 1000000 AS spent FROM orders")
 def running_budget(t: Tables) -> DataFrame:
     w = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return t.orders.where("o_custkey < 200").select("o_orderkey", "o_orderpriority", (F.round(F.sum("o_totalprice").over(w), 2) > 1000000).alias("spent"))
+    return t.orders.select("o_orderkey", "o_orderpriority", (F.round(F.sum("o_totalprice").over(w), 2) > 1000000).alias("spent"))
 
 
 @query("derive_experiments", "SELECT coalesce(sample_id, -1) AS dataset, count(*) AS samples, count(DISTINCT strain_id) AS strains FROM v_measurement GROUP BY 1")
@@ -142,11 +142,11 @@ def regen_gene_group(t: Tables) -> DataFrame:
 
 @query(
     "gff_parse",
-    """WITH l AS (SELECT event_id, 'chr' || user_id % 17 AS seqid, event_id * 37 % 1000000 + 1 AS s, 'ID=g' || event_id || ';Parent=p' || (event_id % 50) AS attrs FROM events WHERE event_id < 3000)
+    """WITH l AS (SELECT event_id, 'chr' || user_id % 17 AS seqid, event_id * 37 % 1000000 + 1 AS s, 'ID=g' || event_id || ';Parent=p' || (event_id % 50) AS attrs FROM events)
     SELECT regexp_extract(attrs, 'Parent=([^;]+)', 1) AS owner, count(*) AS children, min(s - 1) AS start_pos FROM l GROUP BY 1""",
 )
 def gff_parse(t: Tables) -> DataFrame:
-    e = t.events.where("event_id < 3000")
+    e = t.events
     line = F.concat_ws("\t", F.concat(F.lit("chr"), (F.col("user_id") % 17).cast("string")), F.lit("src"), F.lit("gene"), (F.col("event_id") * 37 % 1000000 + 1).cast("string"), F.lit("9"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=g"), F.col("event_id").cast("string"), F.lit(";Parent=p"), (F.col("event_id") % 50).cast("string")))
     cols = F.split(line, "\t")
     attrs = F.str_to_map(F.element_at(cols, 9), F.lit(";"), F.lit("="))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon import registry
+from quillon.plans.aggregates import matrix_cpm
+from quillon.sources.standins import Tables
 
 registry.load()
 
@@ -67,3 +70,28 @@ def test_sequences_of_whole_texts(spark, documents):
     assert {r.doc_id: r.n for r in collected(spark, "codons", folder)} == {i: len(s) // 3 for i, s in whole.items()}
     assert {r.doc_id: r.rc for r in collected(spark, "revcomp", folder)} == {i: s[::-1].translate(str.maketrans("ACGT", "TGCA")) for i, s in whole.items()}
     assert all(len(r.protein) == len(whole[r.doc_id]) // 3 for r in collected(spark, "translate", folder))
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_queries_read_whole_tables(spark):
+    t = Tables(spark, SF)
+    for name, table in {"json_flatten_diff": t.events, "parse_timepoint": t.lineitem, "running_budget": t.orders, "validate_records": t.v_measurement}.items():
+        assert registry.QUERIES[name](spark, SF).count() == table.count(), name
+    total = lambda name, c: registry.QUERIES[name](spark, SF).agg(F.sum(c)).first()[0]
+    assert total("gff_parse", "children") == t.events.count()
+    assert total("rankable_classes", "n") == t.v_measurement.join(t.v_context, F.col("product_id") == F.col("context_id")).count()
+    kinds = t.v_context.select("feedstock", F.col("context_id") % 40).distinct().count()
+    assert registry.QUERIES["facet_differences"](spark, SF).count() == kinds
+    products = t.v_product.join(t.v_participant, F.col("metabolite_id") == F.col("product_id")).select("product_id").distinct().count()
+    assert registry.QUERIES["gene_page"](spark, SF).count() == products
+    assert registry.QUERIES["transport_gaps"](spark, SF).where("reaction_id % 10 <> 0").count()
+
+
+def test_cpm_of_all_and_of_wanted_genes(spark):
+    t = Tables(spark, SF)
+    assert registry.QUERIES["matrix_cpm"](spark, SF).count() == t.v_matrix.count()
+    genes = [r.gene for r in t.v_matrix.select("gene").distinct().orderBy("gene").limit(3).collect()]
+    everything = {tuple(r) for r in matrix_cpm(t).where(F.col("gene").isin(genes)).collect()}
+    assert {tuple(r) for r in matrix_cpm(t, genes).collect()} == everything
