@@ -27,7 +27,7 @@ DECAY, WINDOW, PAD = 0.6, 8, 16
 #: (gap letters, offsets of the second, third and fourth letter)
 SHAPES = [(d - 3, b, c, d) for d in range(3, 6) for c in range(2, d) for b in range(1, c)]
 #: Most labelled documents of either class that a model is fitted on, landmarks of either kind, negative windows.
-PER_CLASS, LANDMARKS, NEGATIVES = 800, 80, 6000
+PER_CLASS, LANDMARKS, NEGATIVES = 1500, 96, 20000
 CHUNK = 1 << 20
 
 _tables: dict[str, np.ndarray] = {}
@@ -61,6 +61,19 @@ def letters(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], begins
 
 
+def _in_blocks(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same as letters(), for many texts: only a block of them is wide at a time."""
+    block = np.cumsum([len(t) + PAD for t in texts]) // CHUNK if len(texts) else np.zeros(0, np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    codes, begins, size = [], [], 0
+    for x, y in zip(edges[:-1], edges[1:]):
+        a, b = letters(texts[x:y])
+        codes.append(a)
+        begins.append(b + size)
+        size += len(a)
+    return np.concatenate(codes), np.concatenate(begins)
+
+
 def _pairs(a: np.ndarray) -> list[np.ndarray]:
     """By distance d: codes of the letter pairs (i, i + d)."""
     wide = a.astype(np.int32)
@@ -184,7 +197,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
         ws = {"".join(c for c in w if c.isalpha()) for w in t.lower().split()}
         seen[label].update(w for w in ws if 3 < len(w) < 16)
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    words = sorted(w for w, n in seen[1].items() if n > 1) or sorted(seen[1])
+    words = sorted(seen[1])
     tell = {w: (seen[1][w] / n1 - seen[0][w] / n0) / np.sqrt((seen[1][w] + seen[0][w] + 1) / (n1 + n0)) for w in words}
     marked: list[str] = []
     near: dict[int, set[int]] = {}  # the landmarks so far that have a sequence
@@ -243,7 +256,7 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
                 sentences.append(s)
                 owner.append(i)
     owner = np.array(owner)
-    a, begins = letters(sentences)
+    a, begins = _in_blocks(sentences)
     start = np.zeros(len(profiles))
     start[: len(marked)] = [tell[w] for w in marked]
     v = none.copy()
@@ -251,9 +264,12 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
     for turn in range(4):
         ends = np.append(begins[1:], len(a))
         cuts = [0, *begins[np.flatnonzero(np.diff(begins // CHUNK)) + 1].tolist(), len(a)]
-        s = np.concatenate([windows(a[x:y], v) for x, y in zip(cuts[:-1], cuts[1:])])
-        best = np.array([b + int(s[b:e].argmax()) for b, e in zip(begins.tolist(), ends.tolist())])
-        top = s[best]
+        best, top, i = np.zeros(len(begins), np.int64), np.zeros(len(begins)), 0
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            s, j = windows(a[low:high], v), int(np.searchsorted(begins, high))
+            best[i:j] = [b + int(s[b - low : e - low].argmax()) for b, e in zip(begins[i:j].tolist(), ends[i:j].tolist())]
+            top[i:j] = s[best[i:j] - low]
+            i = j
         # the witness of a toxic document is its worst sentence; all sentences of the others are harmless
         order = np.lexsort((-top, owner))
         first = order[np.unique(owner[order], return_index=True)[1]]
@@ -264,7 +280,8 @@ def fit(texts: Sequence[str], labels: Sequence[int], seed: int = 5) -> Model:
         witness = witness[top[witness] > floor] if (top[witness] > floor).sum() >= 5 else witness
         others = np.flatnonzero(y[owner] == 0)
         others = np.union1d(worst, rng.choice(others, min(NEGATIVES, len(others)), replace=False)) if len(others) else worst
-        z = features(a, np.concatenate([best[witness], best[others]]))
+        places = np.concatenate([best[witness], best[others]])
+        z = np.concatenate([features(a, places[k : k + 2048]) for k in range(0, len(places), 2048)])
         target = np.concatenate([np.ones(len(witness)), -np.ones(len(others))])
         balance = np.where(target > 0, 0.5 * len(target) / max(len(witness), 1), 0.5 * len(target) / max(len(others), 1)) / 10
         w, _ = _svm(z, target, balance)
