@@ -42,11 +42,20 @@ class Words:
         word = ~_GAP[data]
         edge = np.flatnonzero(word[1:] != word[:-1]) + 1
         self.starts, self.ends = edge[::2], edge[1::2]
-        self.hash = hashes(_LOWER[data].astype(np.uint32), self.starts, self.ends)
+        self.data = _LOWER[data]
+        self.hash = hashes(self.data.astype(np.uint32), self.starts, self.ends)
         #: words of text i are first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, np.append(begins, len(data)))
         self.begins = begins
 
+    def spelt(self) -> pa.Array:
+        """The words themselves, lower-cased, each with one space after it."""
+        n = self.ends - self.starts + 1
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        out = self.data[np.arange(int(n.sum())) - np.repeat(offsets[:-1] - self.starts, n)]
+        out[offsets[1:] - 1] = 32
+        return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
+
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the k words from each word on, whether they end within the text)."""
         n = len(self.hash)

@@ -146,9 +146,10 @@ def test_components_of_a_chain(spark):
 # ---------------------------------------------------------------- repeated passages
 
 
-def test_repeated_spans(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BLOCK", 64)
-    monkeypatch.setattr(repeats, "LOCAL", 3000)
+@pytest.mark.parametrize("block, local, common", [(64, 3000, 8), (3, 900, 8), (1 << 16, 6 << 20, 2)])
+def test_repeated_spans(spark, monkeypatch, block, local, common):
+    for name, x in (("BLOCK", block), ("LOCAL", local), ("COMMON", common), ("VOCABULARY", 30)):
+        monkeypatch.setattr(repeats, name, x)
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(60)]
     passage = rng.choices(vocab, k=30)
@@ -174,7 +175,7 @@ def test_repeated_spans(spark, monkeypatch):
                 repeated[p[1]] |= set(range(p[2], p[2] + n))
                 if p != first:
                     extra[p[1]] |= set(range(p[2], p[2] + n))
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, uid int").repartition(3, "text")
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, uid int, id string").repartition(3, "text")
     got = {r.doc_id: r for r in repeats.repeated_spans(df, n).collect()}
     for k, (i, t) in enumerate(rows):
         cover = lambda spans: {x for s in spans for x in range(s.start, s.end)}
