@@ -115,66 +115,17 @@ def merge_bytes(piece: bytes, vocab: Vocabulary) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def _hash_bytes(keys: Sequence[bytes], seed: int) -> np.ndarray:
-    """64-bit hash of each key."""
-    data = np.frombuffer(b"".join(keys), np.uint8)
-    n = np.fromiter(map(len, keys), np.int64, len(keys))
-    ends = np.cumsum(n)
-    h = np.zeros(len(keys), np.uint64)
-    full = n > 0
-    if full.any():
-        h[full] = pretoken.hashes(data.astype(np.uint32), (ends - n)[full], ends[full])
-    return pretoken.mix(h + np.uint64(seed))
-
-
-class PerfectHash:
-    """Minimal perfect hash of distinct keys by hash and displace: a key's bucket names the displacement that
-    sends all keys of the bucket to free slots. A lookup compares the key in its slot, so strangers miss."""
-
-    def __init__(self, keys: Sequence[bytes], load: int = 4):
-        self.size, self.buckets = len(keys), max(1, len(keys) // load)
-        self.shift = np.zeros(self.buckets, np.int64)
-        self.slots = np.full(self.size, -1, np.int32)
-        self.keys = list(keys)
-        if not keys:
-            return
-        h = _hash_bytes(keys, 0)
-        if len(np.unique(h)) < len(h):
-            raise ValueError("two keys have the same hash, or a key stands twice")
-        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        n = np.diff(bounds)
-        for b in np.argsort(-n, kind="stable").tolist():  # the fullest first
-            own = order[bounds[b] : bounds[b + 1]]
-            if len(own) < 2:
-                break
-            tries = np.arange(256)
-            while True:
-                s = self._slot(h[own][None, :], tries[:, None])
-                good = (self.slots[s] < 0).all(1)
-                good[good] = [len(set(x)) == len(own) for x in s[good].tolist()]
-                if good.any():
-                    first = int(good.argmax())
-                    self.slots[s[first]], self.shift[b] = own, tries[first]
-                    break
-                tries += len(tries)
-        single = np.flatnonzero(n == 1)  # a bucket of one key names its slot
-        free = np.flatnonzero(self.slots < 0)
-        self.slots[free] = order[bounds[single]]
-        self.shift[single] = -1 - free
-
-    def _slot(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
-        hashed = pretoken.mix(h ^ pretoken.mix(d.astype(np.uint64))) % np.uint64(self.size)
-        return np.where(d < 0, -1 - d, hashed.astype(np.int64))
-
-    def find(self, keys: Sequence[bytes]) -> list[int]:
-        """Number of each key, or -1 for strangers."""
-        if not self.size or not keys:
-            return [-1] * len(keys)
-        h = _hash_bytes(keys, 0)
-        at = self.slots[self._slot(h, self.shift[(h % np.uint64(self.buckets)).astype(np.int64)])].tolist()
-        return [i if self.keys[i] == k else -1 for i, k in zip(at, keys)]
+def _strings(vocab: Vocabulary) -> dict[str, int]:
+    """Tokens that are whole UTF-8 strings; no other can be a pre-token."""
+    found = {}
+    for i, t in enumerate(vocab.tokens):
+        try:
+            s = t.decode()
+        except UnicodeDecodeError:
+            continue
+        if s and vocab.by_bytes.get(t) == i:
+            found[s] = i
+    return found
 
 
 def whole_tokens(vocab: Vocabulary) -> dict[str, int]:
@@ -182,34 +133,21 @@ def whole_tokens(vocab: Vocabulary) -> dict[str, int]:
 
     A string that the merges never reach whole is left out, and so goes through the merges each time.
     """
-    pattern, proven = regex.compile(PATTERN), {}
-    for i, t in enumerate(vocab.tokens):
-        try:
-            s = t.decode()
-        except UnicodeDecodeError:
-            continue
-        if s and vocab.by_bytes.get(t) == i and pattern.fullmatch(s) and len(pattern.findall(s)) == 1 and len(merge_bytes(t, vocab)) == 1:
-            proven[s] = i
-    return proven
+    pattern = regex.compile(PATTERN)
+    return {s: i for s, i in _strings(vocab).items() if pattern.fullmatch(s) and len(pattern.findall(s)) == 1 and len(merge_bytes(vocab.tokens[i], vocab)) == 1}
 
 
 _memos: dict[tuple[str, str], tuple[pretoken.Memo, Vocabulary]] = {}
 
 
 def encoder(path: str) -> tuple[pretoken.Memo, Vocabulary]:
-    """Two-tier encoder of this process: the perfect hash finds pre-tokens that are in the vocabulary; the heap
-    merges the rest. What was found is kept in a bounded memo."""
+    """Two-tier encoder of this process: the perfect hash of the vocabulary's strings comes first; pre-tokens that it
+    doesn't have are merged with the heap, once each while a bounded memo keeps them."""
     if ("two-tier", path) not in _memos:
         vocab = Vocabulary.from_file(path)
-        table = [t for t in vocab.tokens if t and t in vocab.by_bytes]
-        numbers = [vocab.by_bytes[t] for t in table]
-        perfect = PerfectHash(table)
-
-        def resolve(words: list[str]) -> list[Sequence[int]]:
-            raw = [w.encode() for w in words]
-            return [(numbers[k],) if k >= 0 and vocab.direct else merge_bytes(r, vocab) for r, k in zip(raw, perfect.find(raw))]
-
-        _memos["two-tier", path] = (pretoken.Memo(resolve), vocab)
+        strings = _strings(vocab) if vocab.direct else whole_tokens(vocab)
+        memo = pretoken.Memo(lambda words: [merge_bytes(w.encode(), vocab) for w in words], first=pretoken.PerfectHash(list(strings)), first_ids=list(strings.values()))
+        _memos["two-tier", path] = (memo, vocab)
     return _memos["two-tier", path]
 
 
@@ -217,11 +155,8 @@ def counter(path: str, proven: dict[str, int]) -> tuple[pretoken.Memo, Vocabular
     """Counter of this process: proven whole tokens count as one directly, the rest is merged."""
     if ("count", path) not in _memos:
         vocab = Vocabulary.from_file(path)
-
-        def resolve(words: list[str]) -> list[Sequence[int]]:
-            return [(proven[w],) if w in proven else merge_bytes(w.encode(), vocab) for w in words]
-
-        _memos["count", path] = (pretoken.Memo(resolve), vocab)
+        memo = pretoken.Memo(lambda words: [merge_bytes(w.encode(), vocab) for w in words], first=pretoken.PerfectHash(list(proven)), first_ids=list(proven.values()))
+        _memos["count", path] = (memo, vocab)
     return _memos["count", path]
 
 

@@ -131,25 +131,42 @@ def hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix(np.add.reduceat(x, np.cumsum(n) - n) + n.astype(np.uint64)) | np.uint64(1)
 
 
+def _grown(x: np.ndarray, size: int) -> np.ndarray:
+    """x with room for `size` elements, doubled as often as that takes."""
+    if size <= len(x):
+        return x
+    out = np.zeros(max(size, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Memo:
-    """Token ids of pre-tokens by 64-bit hash, in open addressing; emptied when it holds `cap` entries.
+    """Token ids of pre-tokens, in two tiers.
 
-    Two different pre-tokens in one memo share a hash with a chance of about cap**2 / 2**64.
+    The first tier is fixed: a perfect hash of strings whose ids are known. Other pre-tokens are resolved once each and
+    kept in open addressing, which is emptied when it holds `cap` of them. In both tiers a 64-bit hash only finds an
+    entry; the entry's characters are compared with the pre-token's, and pre-tokens that share a hash have entries each.
     """
 
-    def __init__(self, resolve: Callable[[list[str]], list[Sequence[int]]], cap: int = 1 << 20):
-        self.resolve, self.cap = resolve, cap
+    def __init__(self, resolve: Callable[[list[str]], list[Sequence[int]]], cap: int = 1 << 20, first: PerfectHash | None = None, first_ids: Sequence[int] = ()):
+        self.resolve, self.cap, self.first = resolve, cap, first
+        self.n = self.used = self.spelt = 0
+        self.counts, self.sizes, self.offsets, self.places = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.ids, self.points = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+        if first is not None:
+            self._append(first.keys, [(i,) for i in first_ids])
+        self.fixed = (self.n, self.used, self.spelt)
         self.clear()
 
     def clear(self) -> None:
+        self.n, self.used, self.spelt = self.fixed
         self.bits = 16
         self.keys, self.vals = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.known = np.zeros(1 << 14, np.uint64)
-        self.counts, self.offsets, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int64), 0
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.hashed: list[tuple[np.ndarray, np.ndarray]] = []
+        self.clash: dict[str, int] = {}  # pre-tokens whose hash another one has
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, or -1."""
+        """Entry that a hash leads to, or -1."""
         mask, slot = np.int64((1 << self.bits) - 1), (h >> np.uint64(64 - self.bits)).astype(np.int64)
         out, at = np.full(len(h), -1, np.int32), np.arange(len(h))
         while len(at):
@@ -169,41 +186,134 @@ class Memo:
             self.vals[slot[own]] = v[own]
             h, v, slot = h[~own], v[~own], (slot[~own] + 1) & mask
 
-    def _add(self, h: np.ndarray, found: list[Sequence[int]]) -> None:
-        n = len(h)
-        while self.n + n > len(self.counts):
-            self.known, self.counts, self.offsets = (np.concatenate([x, np.zeros_like(x)]) for x in (self.known, self.counts, self.offsets))
-        counts = np.fromiter(map(len, found), np.int32, n)
-        total = int(counts.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+    def _append(self, words: Sequence[str], found: Sequence[Sequence[int]]) -> np.ndarray:
+        """New entries: their numbers."""
+        counts, sizes = np.fromiter(map(len, found), np.int64, len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        total, spelt, n = int(counts.sum()), int(sizes.sum()), self.n + len(words)
+        self.counts, self.sizes, self.offsets, self.places = (_grown(x, n) for x in (self.counts, self.sizes, self.offsets, self.places))
+        self.ids, self.points = _grown(self.ids, self.used + total), _grown(self.points, self.spelt + spelt)
         self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.uint32, total)
-        new = slice(self.n, self.n + n)
-        self.known[new], self.counts[new], self.offsets[new] = h, counts, self.used + np.cumsum(counts) - counts
-        self.n, self.used = self.n + n, self.used + total
-        if self.n * 5 > 2 << self.bits:
-            self.bits = int(self.n).bit_length() + 2
+        self.points[self.spelt : self.spelt + spelt] = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        new = np.arange(self.n, n)
+        self.counts[new], self.sizes[new] = counts, sizes
+        self.offsets[new], self.places[new] = self.used + np.cumsum(counts) - counts, self.spelt + np.cumsum(sizes) - sizes
+        self.n, self.used, self.spelt = n, self.used + total, self.spelt + spelt
+        return new.astype(np.int32)
+
+    def _add(self, h: np.ndarray, words: list[str]) -> None:
+        self.hashed.append((h, self._append(words, self.resolve(words))))
+        if (self.n - self.fixed[0]) * 5 > 2 << self.bits:
+            self.bits = int(self.n - self.fixed[0]).bit_length() + 2
             self.keys, self.vals = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._put(self.known[: self.n], np.arange(self.n, dtype=np.int32))
+            self._put(*(np.concatenate(x) for x in zip(*self.hashed)))
         else:
-            self._put(h, np.arange(self.n - n, self.n, dtype=np.int32))
+            self._put(*self.hashed[-1])
+
+    def _same(self, entry: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """entry where its characters are those of the slice, else -1."""
+        n, out = ends - starts, entry.copy()
+        out[(entry >= 0) & (self.sizes[entry] != n)] = -1
+        some = np.flatnonzero(out >= 0)
+        if len(some):
+            n, at = n[some], np.cumsum(n[some]) - n[some]
+            inside = np.arange(int(n.sum())) - np.repeat(at, n)
+            equal = points[inside + np.repeat(starts[some], n)] == self.points[inside + np.repeat(self.places[out[some]], n)]
+            out[some[~np.logical_and.reduceat(equal, at)]] = -1
+        return out
 
     def entries(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Entry of each pre-token; those not seen before are resolved once each."""
+        """Entry of each pre-token: by the first tier, else by the second."""
         h = hashes(points, starts, ends)
-        out = self._find(h)
+        if self.first is None:
+            return self._second(points, starts, ends, h)
+        out = self._same(self.first.lookup(h), points, starts, ends)
         miss = np.flatnonzero(out < 0)
+        if len(miss):
+            out[miss] = self._second(points, starts[miss], ends[miss], h[miss])
+        return out
+
+    def _second(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        word = lambda k: points[starts[k] : ends[k]].tobytes().decode("utf-32-le")
+        found = self._find(h)
+        miss = np.flatnonzero(found < 0)
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
-            if self.n and self.n + len(new) > self.cap:
+            if self.n > self.fixed[0] and self.n - self.fixed[0] + len(new) > self.cap:
                 self.clear()
-                return self.entries(points, starts, ends)
-            at = miss[first]
-            self._add(new, self.resolve([points[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist())]))
-            out[miss] = self._find(h[miss])
+                return self._second(points, starts, ends, h)
+            self._add(new, [word(k) for k in miss[first].tolist()])
+            found[miss] = self._find(h[miss])
+        out = self._same(found, points, starts, ends)
+        for k in np.flatnonzero(out < 0).tolist():
+            w = word(k)
+            if w not in self.clash:
+                self.clash[w] = int(self._append([w], self.resolve([w]))[0])
+            out[k] = self.clash[w]
         return out
 
 
+def hash_strings(keys: Sequence[str]) -> np.ndarray:
+    """The same hashes for strings."""
+    n = np.fromiter(map(len, keys), np.int64, len(keys))
+    ends = np.cumsum(n)
+    return hashes(np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32), ends - n, ends)
+
+
+class PerfectHash:
+    """Minimal perfect hash of distinct, not empty strings by hash and displace: a key's bucket names the displacement
+    that sends all keys of the bucket to free slots. Strangers get some slot too, so whoever looks up compares the key."""
+
+    def __init__(self, keys: Sequence[str], load: int = 4):
+        self.size, self.buckets = len(keys), max(1, len(keys) // load)
+        self.shift = np.zeros(self.buckets, np.int64)
+        self.slots = np.full(self.size, -1, np.int32)
+        self.keys = list(keys)
+        if not keys:
+            return
+        h = mix(hash_strings(keys))  # hashes are odd; mixed ones fill all buckets
+        if len(np.unique(h)) < len(h):
+            raise ValueError("two keys have the same hash, or a key stands twice")
+        bucket = (h % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        n = np.diff(bounds)
+        for b in np.argsort(-n, kind="stable").tolist():  # the fullest first
+            own = order[bounds[b] : bounds[b + 1]]
+            if len(own) < 2:
+                break
+            tries = np.arange(256)
+            while True:
+                s = self._slot(h[own][None, :], tries[:, None])
+                good = (self.slots[s] < 0).all(1)
+                good[good] = [len(set(x)) == len(own) for x in s[good].tolist()]
+                if good.any():
+                    first = int(good.argmax())
+                    self.slots[s[first]], self.shift[b] = own, tries[first]
+                    break
+                tries += len(tries)
+        single = np.flatnonzero(n == 1)  # a bucket of one key names its slot
+        free = np.flatnonzero(self.slots < 0)
+        self.slots[free] = order[bounds[single]]
+        self.shift[single] = -1 - free
+
+    def _slot(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+        hashed = mix(h ^ mix(d.astype(np.uint64))) % np.uint64(self.size)
+        return np.where(d < 0, -1 - d, hashed.astype(np.int64))
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Number of the only key that may have each hash; -1 without keys."""
+        if not self.size:
+            return np.full(len(h), -1, np.int32)
+        h = mix(h)
+        return self.slots[self._slot(h, self.shift[(h % np.uint64(self.buckets)).astype(np.int64)])]
+
+    def find(self, keys: Sequence[str]) -> list[int]:
+        """Number of each key, or -1 for strangers."""
+        if not keys or not self.size:
+            return [-1] * len(keys)
+        return [i if self.keys[i] == k else -1 for i, k in zip(self.lookup(hash_strings(keys)).tolist(), keys)]
+
+
 def chunks(texts: Sequence[str], special: dict[str, int]) -> Iterable[tuple[list[str], list[int], list[tuple[int, int]]]]:
     """Pieces of about CHUNK characters together: (pieces, number of the text of each, specials).
 

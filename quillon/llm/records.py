@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import pretoken, shared
+from quillon.llm import shared
 from quillon.llm.bpe import texts_of
 
 # ---------------------------------------------------------------- checksums
@@ -129,23 +129,32 @@ def unframe(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, name: str)
 
 # ---------------------------------------------------------------- writing and reading
 
-#: Bytes of records that a task reads at once.
-BLOCK = 8 << 20
-_encoders: dict[str, tuple[pretoken.Memo, dict[str, int], int]] = {}
+#: Bytes of records that a task reads at once; characters of text that the library gets at once.
+BLOCK, CHARACTERS = 8 << 20, 1 << 18
+_libraries: dict[str, Tokenizer] = {}
 
 
-def library_encoder(path: str) -> tuple[pretoken.Memo, dict[str, int], int]:
-    """(memo, special strings, size) over the tokenizers library, which encodes each pre-token once."""
-    if path not in _encoders:
+def library(path: str) -> Tokenizer:
+    """The tokenizer of this process."""
+    if path not in _libraries:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        library = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        _libraries[path] = Tokenizer.from_file(path)
+    return _libraries[path]
 
-        def resolve(words: list[str]) -> list[Sequence[int]]:
-            return [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
 
-        _encoders[path] = (pretoken.Memo(resolve), special, library.get_vocab_size())
-    return _encoders[path]
+def encode(texts: list[str], tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all whole texts in a row, by the library, and len(texts) + 1 bounds."""
+    ids, sizes, at = [np.zeros(0, np.uint32)], [0], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= CHARACTERS):
+            size += len(texts[end])
+            end += 1
+        for e in tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append(len(ids[-1]))
+        at = end
+    return np.concatenate(ids), np.cumsum(sizes)
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -157,20 +166,19 @@ def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0,
 
     Files part-NNNNN.rec follow each other in id order. The index, a table below path/index, has a row per record:
     (part, id, offset, size, first, n_tokens, width), first being the tokens before it in its file. A task writes
-    under a name of its own and then renames, so a repeated task leaves one whole file. Null ids come last; of equal
-    ids the smaller text comes first.
+    under a name of its own and then renames, so a repeated task leaves one whole file. Null ids come last; equal ids
+    come in the order of a hash of their texts, so that one id's rows may fill several files.
     """
     spark = docs.sparkSession
     n = shared.partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = shared.range_bounds(rows, "id", n)
-    part = F.when(F.col("id").isNull(), len(bounds)).otherwise(shared.place(F.col("id"), bounds))
-    rows = rows.withColumn("part", part).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_last(), "text")
+    part, count = shared.range_parts(rows, "id", shared.tie(F.col("text")), n)
+    rows = rows.withColumn("part", part).repartitionById(count, F.col("part")).sortWithinPartitions("part", F.col("id").asc_nulls_last(), shared.tie(F.col("text")), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, special, size = library_encoder(vocabulary)
-        width = 2 if max(size, end_id + 1) <= 1 << 16 else 4
+        tokenizer = library(vocabulary)
+        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         files, folder = _open(path)
         files.create_dir(folder, recursive=True)
         out, part, own, at, first = None, None, "", 0, 0
@@ -189,7 +197,7 @@ def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0,
                     part, at, first = int(parts[a]), 0, 0
                     own = f"{folder}/part-{part:05d}.{uuid.uuid4().hex}"
                     out = files.open_output_stream(own)
-                ids, bounds = pretoken.encode(texts_of(batch.column(1).slice(a, b - a)), memo, special)
+                ids, bounds = encode(texts_of(batch.column(1).slice(a, b - a)), tokenizer)
                 ids = np.insert(ids, bounds[1:], end_id).astype(f"<u{width}")
                 tokens = np.diff(bounds) + 1
                 data, begins = frame(ids.view(np.uint8), tokens * width)
@@ -248,8 +256,8 @@ def _crc(ids: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
 def token_records(docs: DataFrame, vocabulary: str, end_id: int = 0, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write docs as records, read them back: (id, start, n_tokens, ids_crc32) (operator 5).
 
-    start counts the ids of all documents before in ascending id order, null ids last, equal ids by text. A null or
-    empty text is the end id alone. Repeated rows are records each; other columns are not read; an empty table makes
+    start counts the ids of all documents before in ascending id order, null ids last, equal ids by a hash of the text. A
+    null or empty text is the end id alone. Repeated rows are records each; other columns are not read; an empty table makes
     no records. Special strings in texts count as the library's default has it.
     """
     path = path or shared.folder(docs.sparkSession)

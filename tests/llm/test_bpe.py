@@ -12,9 +12,10 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm import bpe, pretoken, records
+from quillon.llm import bpe, pretoken, records, shared
 
 MULTI, GPT = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 PIECES = ["a", "b", "s", "re", "ll", "'", "'s", "'ll", " ", "  ", "\n", "\t", "1", "23", "é", "ß", "中", "!", "?", "<|endoftext|>", "\U0001f600", "́", "\x00", "Ᲊ", " ", " ", "'d"]
@@ -81,12 +82,32 @@ def test_memo_starts_anew_when_full():
     assert len(calls) > 100
 
 
+def test_pretokens_with_one_hash_stay_apart(library, monkeypatch):
+    """All pre-tokens of one length get one hash; ids are the library's all the same."""
+    monkeypatch.setattr(pretoken, "hashes", lambda points, starts, ends: ((ends - starts).astype(np.uint64) << np.uint64(40)) | np.uint64(1))
+    vocab = bpe.Vocabulary.from_file(MULTI)
+    memo = pretoken.Memo(lambda words: [bpe.merge_bytes(w.encode(), vocab) for w in words])
+    cases = texts(200) + ["ab cd ef gh", "abc abd abe"]
+    for _ in range(2):
+        ids, at = pretoken.encode(cases, memo)
+        for i, t in enumerate(cases):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode_ordinary(t), t
+
+
+def test_perfect_hash_comes_first(library):
+    memo, vocab = bpe.encoder(MULTI)
+    fixed = memo.fixed[0]
+    memo.clear()
+    pretoken.encode(["the house and the tree"], memo)
+    assert memo.n == fixed  # nothing was merged
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 500, 5000])
 def test_perfect_hash_is_minimal_and_knows_strangers(n):
-    keys = [f"key{i}".encode() for i in range(n)]
-    h = bpe.PerfectHash(keys)
+    keys = [f"key{i}" for i in range(n)]
+    h = pretoken.PerfectHash(keys)
     assert h.find(keys) == list(range(n))
-    assert set(h.find([b"stranger", b"", b"key99999"])) == {-1}
+    assert set(h.find(["stranger", "x", "key99999"])) == {-1}
     assert sorted(h.slots.tolist()) == list(range(n))
 
 
@@ -105,7 +126,7 @@ def test_round_trip_query(spark, library):
 
 
 def test_count_query(spark):
-    df = spark.createDataFrame([(1, None), (2, "hello world"), (None, "x " * 600), (2, "hello world")], "doc_id long, text string")
+    df = spark.createDataFrame([(i, t, 7, "c") for i, t in [(1, None), (2, "hello world"), (None, "x " * 600), (2, "hello world")]], "doc_id long, text string, n_tokens int, id string")
     got = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in bpe.count_tokens(df, GPT).collect()}
     n = len(Tokenizer.from_file(GPT).encode("x " * 600, add_special_tokens=False).ids)
     assert got == {(1, 0, 0, False), (2, 11, 2, False), (None, 1200, n, True)}
@@ -134,12 +155,14 @@ def test_crc32c():
 
 
 def test_records_round_trip(spark, tmp_path):
-    cases = [(5, "five"), (1, None), (3, "<|endoftext|> three"), (2, "zwei " * 700), (None, "none"), (3, "again three"), (9, "")]
-    df = spark.createDataFrame(cases, "doc_id long, text string")
+    cases = [(5, "five"), (1, None), (3, "<|endoftext|> three"), (2, "zwei " * 700), (None, "none"), (3, "again three"), (9, ""), (None, "none"), (4, "lang " * 90_000)]
+    cases += [(7, f"many rows of one id {i}") for i in range(40)] + [(None, f"many without {i}") for i in range(30)]
+    df = spark.createDataFrame([(i, t, "c", "d") for i, t in cases], "doc_id long, text string, part string, id string")
     got = [tuple(r) for r in records.token_records(df, GPT, 0, f"file://{tmp_path}/r").collect()]
     library = Tokenizer.from_file(GPT)
+    hashed = {r.text: r.t for r in df.select(F.coalesce("text", F.lit("")).alias("text"), shared.tie(F.coalesce("text", F.lit(""))).alias("t")).collect()}
     start, expected = 0, []
-    for key, t in sorted(cases, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+    for key, t in sorted(cases, key=lambda x: (x[0] is None, x[0] or 0, hashed[x[1] or ""])):
         ids = library.encode(t or "", add_special_tokens=False).ids + [0]
         expected.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
