@@ -6,12 +6,14 @@ import hashlib
 import itertools
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillon.llm import components, exact_dedup, fingerprint, mixing, near_dup, repeats, toxicity, url_filter
+from quillon.llm import components, exact_dedup, fingerprint, mixing, near_dup, repeats, shared, toxicity, url_filter
+from quillon.llm.wordhash import Words
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -192,24 +194,66 @@ def test_repeated_spans(spark, monkeypatch, block, local, common):
 # ---------------------------------------------------------------- fingerprints
 
 
+def own_paragraphs(t):
+    """Lines, cut behind words whose hash says so: by the rule, without the module's arrays."""
+    out = []
+    for line in t.split("\n") if t else []:
+        raw, start = line.encode(), 0
+        found = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+        for m in found[:-1]:
+            h = int(Words([m[0]]).hash[0])
+            if (h >> 13) % fingerprint.CUT == 0:
+                out.append(raw[start : m.end()])
+                start = m.end()
+        out.append(raw[start:])
+    return out
+
+
 def test_fingerprints(spark):
-    cases = [(5, "one\ntwo\nthree words here"), (3, None), (9, "äöü" * 2000), (4, "x"), (None, "null id\nhere"), (4, "x")]
-    df = spark.createDataFrame([(i, t, "c") for i, t in cases], "doc_id long, text string, part string")
-    got = sorted(map(tuple, fingerprint.fingerprints(df).collect()), key=str)
-    order = sorted(cases, key=lambda x: (x[0] is None, -(x[0] or 0), x[1] or ""))
+    cases = [(5, "one\ntwo\nthree words here"), (3, None), (9, "äöü" * 2000), (4, "x"), (None, "null id\nhere"), (4, "x"), (None, "another"), (6, "many words stand in this line " * 30 + "\n\nend"), (8, "w " * 60_000)]
+    cases += [(7, f"row {i} of one id\nwith a text of its own") for i in range(20)]
+    df = spark.createDataFrame([(i, t, "c", "d") for i, t in cases], "doc_id long, text string, part string, id string")
+    tie = {r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t"), shared.tie(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    got = sorted((tuple(r) for r in fingerprint.fingerprints(df).collect()), key=lambda r: (str(r[0]), r[1], r[2]))
+    order = sorted(cases, key=lambda x: (x[0] is None, -(x[0] or 0), -tie[x[1] or ""], x[1] or ""))
     expected = []
     for k, (i, t) in enumerate(order):
         t, u = t or "", order[(k + 1) % len(order)][1] or ""
         m = len(t) // 3
         e = t[: len(t) - m] + u[:m]
-        f = fingerprint.vectors([t.encode(), e.encode()])
-        expected.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.digest(f[0][0], f[1][0]), fingerprint.digest(f[0][1], f[1][1])))
-    assert [r[:5] for r in got] == sorted(expected, key=str)
-    assert all(0 <= r[5] <= 1 and 0 <= r[6] <= 1 for r in got)
+        expected.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), t, e, u))
+    expected.sort(key=lambda r: (str(r[0]), r[1], r[2]))
+    multiset = lambda t: tuple(sorted(own_paragraphs(t)))
+    prints = defaultdict(set)
+    for r, x in zip(got, expected):
+        assert r[:3] == x[:3]
+        prints[multiset(x[3])].add(r[3])
+        prints[multiset(x[4])].add(r[4])
+        for near, other in ((r[5], x[4]), (r[6], x[5])):
+            a, b = Counter(own_paragraphs(x[3])), Counter(own_paragraphs(other))
+            size = sum(v * v for v in a.values()) + sum(v * v for v in b.values())
+            true = 2 * sum(v * b[p] for p, v in a.items()) / size if size else 1.0
+            assert abs(near - true) < 0.25, (x[3][:40], near, true)
+    assert all(len(v) == 1 for v in prints.values()) and len(set.union(*prints.values())) == len(prints)
+    assert len(got) == len(cases)
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
     assert fingerprint.fingerprints(df.limit(1)).count() == 1
 
 
+def test_likeness_estimates_shared_paragraphs():
+    rng = random.Random(3)
+    line = lambda: "".join(rng.choices("abcdefgh", k=12)).encode()
+    for share in (0, 0.25, 0.5, 0.75, 1):
+        common = [line() for _ in range(int(80 * share))]
+        texts = [b"\n".join(rng.sample(x := common + [line() for _ in range(80 - len(common))], len(x))) for _ in range(2)]
+        v = fingerprint.vectors(texts)
+        near = fingerprint.likeness((v[0][:1], v[1][:1]), (v[0][1:], v[1][1:]))[0]
+        assert abs(near - share) < 0.2
+    v = fingerprint.vectors([b"same\n" * 40_000, b"same\n" * 40_000 + b"x"])
+    assert fingerprint.likeness((v[0][:1], v[1][:1]), (v[0][1:], v[1][1:]))[0] > 0.99
+    assert [list(map(int, x)) for x in fingerprint.parse(fingerprint.digest(v[0][0], v[1][0]))] == [v[0][0].tolist(), v[1][0].tolist()]
+
+
 def test_fingerprints_add_up():
     of = lambda t: fingerprint.digest(*(v[0] for v in fingerprint.vectors([t.encode()])))
     assert of("a b c\nd\n\ne") == of("e\n\nd\na b c")
