@@ -48,31 +48,79 @@ def at_fraction(seq: Column) -> Column:
     return F.try_divide(F.length(F.regexp_replace(F.upper(seq), "[^AT]", "")), F.length(seq))
 
 
-def recode_map(source: int, target: int) -> dict[str, str]:
-    """For each codon one that the target table reads as the source table reads it: itself where it may stay, else the
-    first in the order of bases."""
-    one, two = code(source), code(target)
+#: Codons that native yeast mitochondrial genes don't use.
+ABSENT_CODONS = ("CGA", "CGC")
+MODES = ("dual_safe", "to_table3", "to_table1")
+
+
+def recode_map(mode: str = "dual_safe", source_table: int = 1) -> dict[str, str]:
+    """For each codon the one to write instead, so that its amino acid under the source table stays.
+
+    A codon that may stay stays, unless it is one of ABSENT_CODONS. Else the codon richest in A and T is taken, absent
+    ones last, equals by alphabet. Tables that the amino acid must be read under: both, or one alone.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
+    under = {"dual_safe": (1, 3), "to_table3": (3,), "to_table1": (1,)}[mode]
+    order = sorted(code(1), key=lambda c: (c in ABSENT_CODONS, c.count("G") + c.count("C"), c))
     out = {}
-    for c, aa in one.items():
-        same = [x for x in two if two[x] == aa]
-        out[c] = c if two[c] == aa else same[0] if same else c
+    for c, aa in code(source_table).items():
+        fit = [x for x in order if all(code(t)[x] == aa for t in under)]
+        out[c] = c if c in fit and c not in ABSENT_CODONS else fit[0]
     return out
 
 
-def dual_safe(aa_table: int = 1, other: int = 3) -> dict[str, str]:
-    """For each codon one that both tables read as the first reads it."""
-    one, two = code(aa_table), code(other)
-    safe: dict[str, str] = {}
-    for c, aa in one.items():
-        if two[c] == aa:
-            safe.setdefault(aa, c)
-    return {c: c if two[c] == aa else safe.get(aa, c) for c, aa in one.items()}
+def recode(seq: Column, mode: str = "dual_safe", source_table: int = 1) -> Column:
+    """Sequence with the same protein in which every codon is read alike under the mode's tables; codons that aren't
+    plain A, C, G, T stay as they are."""
+    table = recode_map(mode, source_table)
+    return F.array_join(F.transform(codons(seq), lambda c: _lookup(table, c, c)), "")
+
 
+def recode_report(seq: Column, mode: str = "dual_safe", source_table: int = 1) -> Column:
+    """(sequence, changed, total, absent_left, internal_stops, ends_in_stop) of a recoded sequence."""
+    old, new = codons(seq), codons(recode(seq, mode, source_table))
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
+    target = code(3 if mode == "to_table3" else 1)
+    stops = [c for c in sorted(target) if target[c] == "*"]
+    internal = F.size(F.filter(F.slice(new, 1, F.greatest(F.size(new) - 1, F.lit(0))), lambda c: c.isin(*stops)))
+    return F.struct(
+        F.array_join(new, "").alias("sequence"), changed.alias("changed"), F.size(new).alias("total"),
+        F.size(F.filter(new, lambda c: c.isin(*ABSENT_CODONS))).alias("absent_left"), internal.alias("internal_stops"),
+        F.coalesce(F.try_element_at(new, F.lit(-1)).isin(*stops), F.lit(False)).alias("ends_in_stop"),
+    )
 
-def recode(seq: Column, mode: str = "dual_safe") -> Column:
-    """Sequence in which every codon reads as before: under both tables, or under table 1 or 3 alone."""
-    table = {"dual_safe": dual_safe(), "nuclear": recode_map(3, 1), "mitochondrial": recode_map(1, 3)}[mode]
-    return F.array_join(F.transform(codons(seq), lambda c: _lookup(table, c, c)), "")
+
+def verify_translation(cds: Column, reference: Column) -> Column:
+    """(matches_table3, matches_table1): whether a CDS translates to a reference protein, up to the first stop."""
+    return F.struct(*((translate(cds, t, to_stop=True) == reference).alias(f"matches_table{t}") for t in (3, 1)))
+
+
+def expected_phases(segments: Column) -> Column:
+    """Segments (start, end, strand, phase) of a CDS in coding order, each with the phase that those before it ask for.
+
+    Coding order is by start, backwards on the minus strand. The bases before a segment are all of every earlier one
+    less the first's own phase; the first segment's phase is taken as it is. Expected is (3 - bases % 3) % 3.
+    """
+    sign = F.when(F.get(segments, F.lit(0))["strand"] < 0, -1).otherwise(1)
+    placed = F.array_sort(F.transform(segments, lambda s: F.struct((s["start"] * sign).alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["phase"].alias("phase"))))
+
+    kinds = "struct<bases:bigint,found:array<struct<start:bigint,end:bigint,phase:int,expected:int>>>"
+    zero = F.struct(F.lit(0).cast("long").alias("bases"), F.array().alias("found")).cast(kinds)
+
+    def step(acc: Column, s: Column) -> Column:
+        first = F.size(acc["found"]) == 0
+        expected = F.when(first, s["phase"]).otherwise(F.pmod(-acc["bases"], F.lit(3)).cast("int"))
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["phase"].alias("phase"), expected.alias("expected"))
+        bases = acc["bases"] + s["end"] - s["start"] - F.when(first, s["phase"]).otherwise(0)
+        return F.struct(bases.alias("bases"), F.concat(acc["found"], F.array(one)).alias("found")).cast(kinds)
+
+    return F.aggregate(placed, zero, step, lambda acc: acc["found"])
+
+
+def phase_disagreement(segments: Column) -> Column:
+    """The first segment whose declared phase contradicts the lengths before it; null where none does."""
+    return F.get(F.filter(expected_phases(segments), lambda s: s["phase"] != s["expected"]), F.lit(0))
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -65,13 +65,29 @@ def apply_filters(df: DataFrame, filters: dict[str, object]) -> tuple[DataFrame,
     return df, applied, [c for c in filters if c not in df.columns]
 
 
-def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str | None = None) -> DataFrame:
-    """First row of each group in an order; `name` adds the group's size."""
-    w = Window.partitionBy(*by)
-    out = df.withColumn("_rn", F.row_number().over(w.orderBy(*order)))
-    if name:
-        out = out.withColumn(name, F.count("*").over(w))
-    return out.where("_rn = 1").drop("_rn")
+def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str | None = None) -> DataFrame:
+    """First row of each group in an order of columns, `-column` for descending; `name` adds the group's size.
+
+    One aggregate over structs, so a large group is reduced in each task before it is shuffled. Columns that go down
+    must be numbers; nulls come first either way.
+    """
+    keys = [(-F.col(c[1:]) if c.startswith("-") else F.col(c)).alias(f"_{i}") for i, c in enumerate(order)]
+    best = F.min(F.struct(*keys, F.struct(*(c for c in df.columns if c not in by)).alias("_row"))).alias("_best")
+    out = df.groupBy(*by).agg(best, *([F.count("*").alias(name)] if name else []))
+    return out.select(*by, "_best._row.*", *([name] if name else []))
+
+
+def resolve(names: DataFrame, aliases: DataFrame, owner: str) -> DataFrame:
+    """(owner, anchor, verdict) of owners with names (owner, alias) over identifier spaces (priority, alias, anchor).
+
+    The space of least priority in which one of the names means exactly one anchor decides. Names that mean several
+    anchors are ambiguous, which is not the same as unknown.
+    """
+    meanings = aliases.groupBy("priority", "alias").agg(F.min("anchor").alias("anchor"), (F.min("anchor") == F.max("anchor")).alias("unique"))
+    j = names.join(meanings, "alias", "left")
+    best = F.min(F.when(F.col("unique"), F.struct("priority", "anchor")))["anchor"]
+    verdict = F.when(F.bool_or(F.coalesce("unique", F.lit(False))), "resolved").when(F.count("priority") > 0, "ambiguous").otherwise("unknown")
+    return j.groupBy(owner).agg(best.alias("anchor"), verdict.alias("verdict"))
 
 
 def upsert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -147,7 +147,7 @@ def funnel_included_readable(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'F'").join(big, "o_orderkey", "left_semi").agg(F.count_distinct("o_custkey").alias("customers"))
 
 
-_LINEAGE = "SELECT DISTINCT l_suppkey AS parent, l_partkey % 100 + 1 AS child FROM lineitem WHERE l_partkey % 50 = 0 AND l_suppkey <> l_partkey % 100 + 1"
+_LINEAGE = "SELECT DISTINCT l_suppkey AS parent, l_partkey % 100 + 1 AS child FROM lineitem WHERE l_suppkey <> l_partkey % 100 + 1"
 
 
 @query(
@@ -158,7 +158,7 @@ _LINEAGE = "SELECT DISTINCT l_suppkey AS parent, l_partkey % 100 + 1 AS child FR
     LEFT JOIN (SELECT child, count(*) AS n FROM e GROUP BY child) p ON p.child = s.strain_id""",
 )
 def lineage_one_hop(t: Tables) -> DataFrame:
-    li = t.lineitem.where((F.col("l_partkey") % 50 == 0) & (F.col("l_suppkey") != F.col("l_partkey") % 100 + 1))
+    li = t.lineitem.where(F.col("l_suppkey") != F.col("l_partkey") % 100 + 1)
     e = li.select(F.col("l_suppkey").alias("parent"), (F.col("l_partkey") % 100 + 1).alias("child")).distinct()
     children = e.groupBy(F.col("parent").alias("strain_id")).agg(F.count("*").alias("children"))
     parents = e.groupBy(F.col("child").alias("strain_id")).agg(F.count("*").alias("parents"))
@@ -201,30 +201,26 @@ def multi_key_bridge(t: Tables) -> DataFrame:
     return w.join(k, "key").select("o_orderkey", "id")
 
 
-_ALIASES = "SELECT 'name' AS space, 1 AS priority, name AS alias, product_id AS anchor FROM v_product UNION ALL SELECT 'family', 2, family, product_id FROM v_product UNION ALL SELECT 'code', 3, 'P' || product_id, product_id FROM v_product"
+_SPACES = (("systematic", "concat('P', product_id)"), ("symbol", "lower(name)"), ("name", "name"), ("alias", "concat(tier, '/', carbons)"), ("family", "family"), ("tier", "tier"))
+_ALIASES = " UNION ALL ".join(f"SELECT {i} AS priority, {text} AS alias, product_id AS anchor FROM v_product" for i, (_, text) in enumerate(_SPACES))
 
 
 @query(
     "entity_resolution",
-    f"""WITH a AS ({_ALIASES}), w AS (SELECT p_partkey AS id, unnest([p_name, p_type, 'P' || p_partkey]) AS alias FROM part WHERE p_partkey % 3 = 0),
-    u AS (SELECT space, priority, alias, CASE WHEN count(DISTINCT anchor) = 1 THEN min(anchor) END AS anchor FROM a GROUP BY space, priority, alias)
-    SELECT w.id, arg_min(u.anchor, u.priority) FILTER (u.anchor IS NOT NULL) AS anchor,
-      CASE WHEN count(u.anchor) > 0 THEN 'resolved' WHEN count(u.alias) > 0 THEN 'ambiguous' ELSE 'unknown' END AS verdict
+    f"""WITH a AS ({_ALIASES}), w AS (SELECT p_partkey AS id, unnest(CASE p_partkey % 4 WHEN 0 THEN [p_type, 'P' || p_partkey] WHEN 1 THEN [p_brand || '/' || p_size] WHEN 2 THEN [p_name || '?', 'nobody'] ELSE [p_name, p_type] END) AS alias FROM part),
+    u AS (SELECT priority, alias, count(DISTINCT anchor) AS n, min(anchor) AS anchor FROM a GROUP BY priority, alias)
+    SELECT w.id, arg_min(u.anchor, u.priority) FILTER (u.n = 1) AS anchor,
+      CASE WHEN count(*) FILTER (u.n = 1) > 0 THEN 'resolved' WHEN count(u.n) > 0 THEN 'ambiguous' ELSE 'unknown' END AS verdict
     FROM w LEFT JOIN u ON u.alias = w.alias GROUP BY w.id""",
 )
 def entity_resolution(t: Tables) -> DataFrame:
-    p = t.v_product
-    spaces = (("name", 1, F.col("name")), ("family", 2, F.col("family")), ("code", 3, F.concat(F.lit("P"), F.col("product_id").cast("string"))))
-    a = None
-    for space, priority, c in spaces:
-        one = p.select(F.lit(space).alias("space"), F.lit(priority).alias("priority"), c.alias("alias"), "product_id")
-        a = one if a is None else a.union(one)
-    u = a.groupBy("space", "priority", "alias").agg(F.when(F.count_distinct("product_id") == 1, F.min("product_id")).alias("anchor"))
-    keys = F.array("p_name", "p_type", F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
-    w = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.explode(keys).alias("alias"))
-    j = w.join(u, "alias", "left")
-    verdict = F.when(F.count("anchor") > 0, "resolved").when(F.count("space") > 0, "ambiguous").otherwise("unknown")
-    return j.groupBy("id").agg(F.min(F.when(F.col("anchor").isNotNull(), F.struct("priority", "anchor")))["anchor"].alias("anchor"), verdict.alias("verdict"))
+    spaces = [t.v_product.select(F.lit(i).alias("priority"), F.expr(text).alias("alias"), F.col("product_id").alias("anchor")) for i, (_, text) in enumerate(_SPACES)]
+    aliases = spaces[0]
+    for s in spaces[1:]:
+        aliases = aliases.union(s)
+    k, key = F.col("p_partkey") % 4, F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    names = F.when(k == 0, F.array("p_type", key)).when(k == 1, F.array(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")))).when(k == 2, F.array(F.concat("p_name", F.lit("?")), F.lit("nobody"))).otherwise(F.array("p_name", "p_type"))
+    return R.resolve(t.part.select(F.col("p_partkey").alias("id"), F.explode(names).alias("alias")), aliases, "id")
 
 
 @query("alias_union", "SELECT s_name AS alias, 'supplier' AS origin FROM supplier UNION SELECT c_name, 'customer' FROM customer UNION SELECT s_name, 'supplier' FROM supplier")
@@ -263,12 +259,12 @@ def pathway_nested(t: Tables) -> DataFrame:
 
 @query(
     "set_equality_join",
-    """WITH a AS (SELECT l_orderkey AS id, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS k FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
+    """WITH a AS (SELECT l_orderkey AS id, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS k FROM lineitem GROUP BY 1),
     b AS (SELECT s_nationkey AS id, 'x' AS k FROM supplier WHERE false UNION ALL SELECT 1, 'AF' UNION ALL SELECT 2, 'AF,NO' UNION ALL SELECT 3, 'AF,RF')
     SELECT a.id, b.id AS construct FROM a JOIN b ON a.k = b.k""",
 )
 def set_equality_join(t: Tables) -> DataFrame:
-    sets = t.lineitem.where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("k"))
+    sets = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("k"))
     b = t._spark.createDataFrame([(1, ["AF"]), (2, ["NO", "AF"]), (3, ["AF", "RF"])], "construct int, k array<string>").withColumn("k", F.array_sort("k"))
     return sets.join(F.broadcast(b), "k").select("id", "construct")
 

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import grammar as G
+from quillon.functions import payload as P
+from quillon.functions import sections as SEC
 from quillon.functions import sequence as Q
 from quillon.functions import text as X
 from quillon.registry import query
 from quillon.sources.standins import Tables
 
 
-
-
 @query("tokenize", "SELECT doc_id, len(tk) AS n, array_to_string(tk[1:8], ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS tk FROM documents) x")
 def tokenize(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.tokens(F.col("text")).alias("tk")).select("doc_id", F.size("tk").cast("long").alias("n"), F.array_join(F.slice("tk", 1, 8), " ").alias("head"))
 
 
-@query("normalize_title", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
+@query("normalize_title", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents")
 def normalize_title(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", X.normalize_title(F.substring("text", 1, 80)).alias("title"))
+    return t.documents.select("doc_id", X.normalize_title(F.col("text")).alias("title"))
 
 
 @query("extract_id", "SELECT page_id, nullif(regexp_extract(lower(url), '/([a-z]{2})/([0-9]+)', 2), '') AS number, nullif(regexp_extract(lower(url), '/([a-z]{2})/([0-9]+)', 1), '') || ':' || nullif(regexp_extract(lower(url), '/([a-z]{2})/([0-9]+)', 2), '') AS canonical FROM pages")
@@ -46,11 +47,11 @@ def stable_digest(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.substr(F.sha2(payload, 256), F.lit(1), F.lit(16)).alias("digest"))
 
 
-@query("proposal_hash", """SELECT measurement_id, sha256('{"kind":"' || quantity_kind || '","unit":"' || unit || '","product":' || product_id || '}') AS h FROM v_measurement WHERE line = 1""")
+@query("proposal_hash", """SELECT measurement_id, sha256('{"kind":"' || quantity_kind || '","unit":"' || unit || '","product":' || product_id || '}') AS h FROM v_measurement""")
 def proposal_hash(t: Tables) -> DataFrame:
     # what is hashed leaves the span's offsets out
     record = F.struct(F.col("quantity_kind").alias("kind"), "unit", F.col("product_id").alias("product"))
-    return t.v_measurement.where("line = 1").select("measurement_id", F.sha2(F.to_json(record), 256).alias("h"))
+    return t.v_measurement.select("measurement_id", F.sha2(F.to_json(record), 256).alias("h"))
 
 
 _CTX = "sha256('aeration=' || aeration || '|feedstock=' || feedstock || '|temperature=' || temperature_c)"
@@ -76,19 +77,21 @@ def normalize_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.nfkc("text").alias("normal"))
 
 
-@query("corroborate_number", "SELECT p_partkey, contains(p_name || ' size ' || p_size || ' mm', cast(p_size AS VARCHAR)) AS number_found, contains(p_name || ' size ' || p_size || ' mm', 'mm') OR contains(p_name, 'millimetre') AS unit_found FROM part")
+@query("corroborate_number", "SELECT p_partkey, true AS number_found, p_size % 3 <> 2 AS unit_found FROM part")
 def corroborate_number(t: Tables) -> DataFrame:
-    quote = F.concat("p_name", F.lit(" size "), F.col("p_size").cast("string"), F.lit(" mm"))
-    spellings = F.array(F.col("p_size").cast("string"), F.concat(F.col("p_size").cast("string"), F.lit(".0")))
-    units = F.array(F.lit("mm"), F.lit("millimetre"))
-    found = lambda a: F.exists(a, lambda x: F.contains(quote, x))
-    return t.part.select("p_partkey", found(spellings).alias("number_found"), found(units).alias("unit_found"))
+    unit = F.element_at(F.array(F.lit("g L−1"), F.lit("grams  per liter"), F.lit("mmol")), (F.col("p_size") % 3 + 1).cast("int"))
+    quote = X.nfkc(F.concat(F.lit("It reached "), F.col("p_size").cast("string"), F.lit(" "), unit))
+    found = X.names_number(quote, F.concat(F.col("p_size").cast("string"), F.lit(".0")))
+    return t.part.select("p_partkey", found.alias("number_found"), X.names_unit(quote, F.lit("g/L")).alias("unit_found"))
+
 
+_NAMED = "CASE p_size % 4 WHEN 0 THEN cast(p_size AS VARCHAR(20)) WHEN 1 THEN concat(p_name, ' and ', p_type) WHEN 2 THEN concat('x, ', p_brand) ELSE p_brand END"
 
-@query("distinguishing", "SELECT p_partkey, regexp_matches(p_name, '[0-9]') OR length(p_name) > 12 AS distinct_name, len(list_filter(string_split(p_name, ' '), lambda x: x <> '')) <= 1 AS one_thing FROM part")
+
+@query("distinguishing", f"SELECT p_partkey, NOT regexp_full_match(trim(v), '[0-9]+') AS distinct_name, len(list_filter(regexp_split_to_array(v, ',|\\band\\b|\\bor\\b|/'), lambda x: length(trim(x)) >= 3)) <= 1 AS one_thing FROM (SELECT p_partkey, {_NAMED} AS v FROM part) x")
 def distinguishing(t: Tables) -> DataFrame:
-    one = F.size(F.filter(F.split("p_name", " "), lambda x: x != "")) <= 1
-    return t.part.select("p_partkey", (F.col("p_name").rlike("[0-9]") | (F.length("p_name") > 12)).alias("distinct_name"), one.alias("one_thing"))
+    v = F.expr(_NAMED.replace("VARCHAR(20)", "STRING"))
+    return t.part.select("p_partkey", X.distinguishing(v).alias("distinct_name"), X.names_one_thing(v).alias("one_thing"))
 
 
 @query(
@@ -99,9 +102,7 @@ def distinguishing(t: Tables) -> DataFrame:
 def verify_span(t: Tables) -> DataFrame:
     b = t.benchmark.select("item_id", F.col("text").alias("quote"), (F.col("item_id") % 40).alias("k"))
     d = t.documents.withColumn("k", F.col("doc_id") % 40)
-    n = (F.length("text") - F.length(F.replace(F.col("text"), F.col("quote"), F.lit("")))) / F.length("quote")
-    verdict = F.when(F.substr(F.col("text"), F.lit(11), F.length("quote")) == F.col("quote"), "exact").when(F.floor(n) == 1, "moved").when(F.floor(n) > 1, "ambiguous").otherwise("absent")
-    return d.join(b, "k").select("doc_id", "item_id", verdict.alias("verdict"))
+    return d.join(b, "k").select("doc_id", "item_id", X.span_verdict(F.col("text"), F.lit(10), F.col("quote")).alias("verdict"))
 
 
 @query("find_all", "SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, length(p_name) + 1), lambda i: substr(p_name, i, 1) = 'a'), lambda i: i - 1), ',') AS places FROM part")
@@ -115,65 +116,101 @@ def snippet(t: Tables) -> DataFrame:
     return t.documents.where(F.col("text").contains("License")).select("doc_id", X.collapse(F.substr(F.col("text"), at, F.lit(67))).alias("snip"))
 
 
-@query(
-    "split_sections",
-    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
-    h AS (SELECT *, sum(CASE WHEN length(line) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l)
-    SELECT doc_id, section::BIGINT AS section, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM h GROUP BY doc_id, section""",
-)
+#: Sections of v_paper once more, line by line: l lines, h headings, s sections, r the leading run, f folded.
+_SECTIONS = """l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM v_paper),
+    o AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1)::BIGINT AS pos,
+      trim(lower(regexp_replace(regexp_extract(line, '^[ \\t]*(#{1,6}[ \\t]*)?([0-9]+([.][0-9]+)*[.)]?[ \\t]*)?[*]{0,2}([A-Za-z].{0,60}?)[*]{0,2}[ \\t]*:?[ \\t]*$', 4), '[ \\t]+', ' ', 'g')), ' .') AS said FROM l),
+    h AS (SELECT *, CASE WHEN regexp_full_match(said, 'results? and discussions?') THEN 'results_and_discussion'
+      WHEN regexp_full_match(said, '(materials? and )?methods?|methods? and materials?|experimental( (procedures?|section|methods?|details?))?') THEN 'methods'
+      WHEN regexp_full_match(said, 'results?') THEN 'results' WHEN regexp_full_match(said, 'discussions?') THEN 'discussion'
+      WHEN said IN ('abstract', 'summary') THEN 'abstract' WHEN said IN ('introduction', 'background') THEN 'introduction'
+      WHEN regexp_full_match(said, 'conclusions?|concluding remarks') THEN 'conclusion' WHEN regexp_full_match(said, 'acknowledge?ments?') THEN 'acknowledgements'
+      WHEN regexp_full_match(said, 'references?|bibliography|literature cited') THEN 'references' WHEN regexp_full_match(said, 'supplement(ary|al)( [a-z0-9_]+)*') THEN 'supplementary' END AS name FROM o),
+    g AS (SELECT *, count(name) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM h),
+    s AS (SELECT doc_id, k, coalesce(max(name) FILTER (k > 0), 'front_matter') AS name, min(pos) AS start_pos, coalesce(lead(min(pos)) OVER (PARTITION BY doc_id ORDER BY k), max(length(text))) AS end_pos FROM g GROUP BY doc_id, k),
+    r AS (SELECT *, sum(end_pos - start_pos) OVER w AS chars, row_number() OVER (PARTITION BY doc_id, name ORDER BY k) AS turn FROM s WHERE k > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    e AS (SELECT doc_id, coalesce(min(k) FILTER (name NOT IN ('abstract', 'introduction', 'methods', 'results', 'results_and_discussion', 'discussion', 'conclusion') OR turn > 1 OR end_pos - start_pos > 2000 OR chars > 6000), max(k) + 1) AS stop FROM r GROUP BY doc_id),
+    p AS (SELECT r.doc_id, any_value(stop) AS stop, arg_min(r.name, k) AS opener FROM r JOIN e ON e.doc_id = r.doc_id WHERE k < stop AND r.name IN ('introduction', 'methods', 'results', 'results_and_discussion') GROUP BY r.doc_id),
+    q AS (SELECT DISTINCT p.doc_id, stop FROM p JOIN s ON s.doc_id = p.doc_id AND s.k >= stop AND s.name = opener),
+    f AS (SELECT s.doc_id, CASE WHEN s.k > 0 AND s.k < coalesce(q.stop, 0) THEN 1 ELSE s.k END AS k, min(CASE WHEN s.k > 0 AND s.k < coalesce(q.stop, 0) THEN 'abstract' ELSE s.name END) AS name, min(start_pos) AS start_pos, max(end_pos) AS end_pos
+      FROM s LEFT JOIN q ON q.doc_id = s.doc_id GROUP BY s.doc_id, 2)"""
+
+
+@query("split_sections", f"WITH {_SECTIONS} SELECT doc_id, name, start_pos, end_pos FROM f")
 def split_sections(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    heading = F.when(F.length("line") < 60, 1).otherwise(0)
-    h = lines.withColumn("section", F.sum(heading).over(Window.partitionBy("doc_id").orderBy("i")))
-    return h.groupBy("doc_id", "section").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+    d = t.v_paper.select("doc_id", F.explode(SEC.split_sections(F.col("text"))).alias("s"))
+    return d.select("doc_id", "s.name", F.col("s.start").cast("long").alias("start_pos"), F.col("s.end").cast("long").alias("end_pos"))
 
 
 @query(
     "excerpt_offsets",
-    """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT doc_id, i - 1 AS piece, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS doc_offset FROM l""",
+    f"""WITH {_SECTIONS}, c AS (SELECT *, length(name) + 14 + end_pos - start_pos AS size FROM f WHERE name IN ('methods', 'results_and_discussion', 'abstract')),
+    x AS (SELECT *, sum(size + 2) OVER (PARTITION BY doc_id ORDER BY start_pos) - 2 AS done FROM c)
+    SELECT x.doc_id, x.name, x.start_pos AS doc_start, (done - (end_pos - start_pos))::BIGINT AS exc_start, md5(substr(v.text, x.start_pos + 1, end_pos - start_pos)) AS piece FROM x JOIN v_paper v ON v.doc_id = x.doc_id""",
 )
 def excerpt_offsets(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("piece", "line"))
-    before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select("doc_id", F.col("piece").cast("long").alias("piece"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("doc_offset"))
+    e = t.v_paper.select("doc_id", SEC.excerpt(F.col("text"), SEC.split_sections(F.col("text")), ["methods", "results_and_discussion", "abstract"]).alias("e"))
+    p = e.select("doc_id", "e.text", F.explode("e.pieces").alias("p"))
+    piece = F.substr(F.col("text"), F.col("p.exc_start") + 1, F.col("p.exc_end") - F.col("p.exc_start"))  # read from the excerpt, by its own offsets
+    return p.select("doc_id", "p.name", F.col("p.doc_start").cast("long").alias("doc_start"), F.col("p.exc_start").cast("long").alias("exc_start"), F.md5(piece).alias("piece"))
 
 
-@query("looks_like_review", "SELECT doc_id, text ILIKE '%overview%' AND NOT text ILIKE '%license%' AS review FROM documents")
+@query("looks_like_review", f"WITH {_SECTIONS} SELECT doc_id, count(*) FILTER (name IN ('methods', 'results', 'results_and_discussion')) = 0 AND count(*) FILTER (name IN ('abstract', 'introduction', 'conclusion', 'discussion')) > 0 AS review FROM f GROUP BY doc_id")
 def looks_like_review(t: Tables) -> DataFrame:
-    names = F.array_compact(F.array(*(F.when(F.col("text").ilike(f"%{w}%"), F.lit(w)) for w in ("overview", "license"))))
-    has = lambda *w: F.size(F.array_intersect(names, F.array(*map(F.lit, w)))) > 0
-    return t.documents.select("doc_id", (has("overview") & ~has("license")).alias("review"))
+    return t.v_paper.select("doc_id", SEC.looks_like_review(SEC.split_sections(F.col("text"))).alias("review"))
 
 
-@query("licence_class", "SELECT doc_id, CASE WHEN lower(text) LIKE '%apache license%' OR lower(text) LIKE '%mit license%' THEN 'yes' WHEN lower(text) LIKE '%all rights reserved%' THEN 'no' ELSE 'unknown' END AS allowed FROM documents")
+_LICENCES = {"CC BY 4.0": "yes", "cc_by-nc": "unknown", "CC-BY-ND": "no", "CC0 1.0": "yes", "All rights reserved": "unknown", "": "unknown", "CC BY-NC-ND 4.0": "no"}
+
+
+@query("licence_class", f"SELECT doc_id, ({list(_LICENCES.values())})[doc_id % {len(_LICENCES)} + 1] AS allowed FROM documents")
 def licence_class(t: Tables) -> DataFrame:
-    low = F.lower("text")
-    return t.documents.select("doc_id", F.when(low.contains("apache license") | low.contains("mit license"), "yes").when(low.contains("all rights reserved"), "no").otherwise("unknown").alias("allowed"))
+    said = F.get(F.array(*map(F.lit, _LICENCES)), (F.col("doc_id") % len(_LICENCES)).cast("int"))
+    return t.documents.select("doc_id", X.licence_class(said).alias("allowed"))
 
 
 @query(
     "title_overlap",
-    """WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 60)), '[a-z0-9]+'), lambda x: length(x) > 3)) AS ws, lower(substr(text, 61, 500)) AS head FROM documents)
-    SELECT doc_id, CASE WHEN len(ws) >= 3 THEN round(len(list_filter(ws, lambda x: contains(head, x))) / len(ws)::DOUBLE, 6) END AS overlap FROM w""",
+    f"""WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, substr(text, length(string_split(text, chr(10))[1]) + 2) AS opening FROM documents),
+    w AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z][a-z0-9-]{{3,}}')), lambda x: NOT list_contains({X.TITLE_STOPWORDS}, x)) AS ws FROM d)
+    SELECT doc_id, CASE WHEN len(ws) >= 3 AND trim(opening) <> '' THEN round(len(list_filter(ws, lambda x: contains(lower(opening), x))) / len(ws)::DOUBLE, 6) END AS overlap FROM w""",
 )
 def title_overlap(t: Tables) -> DataFrame:
-    ws = F.array_distinct(F.filter(X.tokens(F.substring("text", 1, 60)), lambda x: F.length(x) > 3))
-    d = t.documents.select("doc_id", ws.alias("ws"), F.lower(F.substring("text", 61, 500)).alias("head"))
-    share = F.size(F.filter("ws", lambda x: F.contains(F.col("head"), x))) / F.size("ws")
-    return d.select("doc_id", F.when(F.size("ws") >= 3, F.round(share, 6)).alias("overlap"))
+    title = F.substring_index("text", "\n", 1)
+    return t.documents.select("doc_id", F.round(X.title_overlap(title, F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)")), 6).alias("overlap"))
+
+
+#: Parts that a stand-in's genotype has, as SQL over part: (kind, text, target).
+_PARTS = [
+    ("background", "'BY4741'", "'BY4741'"), ("plasmid", "concat('pAB', p_size, '-kivd-ADH6')", "concat('pAB', p_size)"), ("deletion", "concat('Δilv', p_partkey)", "concat('ilv', p_partkey)"),
+    ("deletion", "concat('pdc', p_size, 'Δ')", "concat('pdc', p_size)"), ("deletion_with_insertion", "concat('Δpdc1::', 'MTH', p_size)", "'pdc1'"), ("deletion", "concat('Δmth1(+', p_size, '; +393)')", "'mth1'"),
+    ("marker", "'SUC2'", "'SUC2'"), ("unparsed", "'what is this?'", "NULL"),
+]
+_GENOTYPE = "concat(" + ", '; ', ".join(text for _, text, _ in _PARTS).replace(", '; ', ", ", '/', ", 1) + ")"
+
 
+@query("genotype_parts", " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, {text} AS token, '{kind}' AS kind, {target} AS target FROM part" for i, (kind, text, target) in enumerate(_PARTS)))
+def genotype_parts(t: Tables) -> DataFrame:
+    p = t.part.select("p_partkey", F.posexplode(G.parse_genotype(F.expr(_GENOTYPE))).alias("place", "p"))
+    return p.select("p_partkey", "place", F.col("p.as_reported").alias("token"), "p.kind", "p.target")
 
-@query("split_tokens", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS token FROM part")
-def split_tokens(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.explode(F.split("p_type", " ")).alias("token"))
+
+@query(
+    "construct_genes",
+    "SELECT p_partkey, unnest(['ILV2', 'ILV5', 'adhA', 'ilvC']) AS gene, unnest(['cytosol', 'mitochondrial_matrix', 'mitochondrial_matrix', 'cytosol']) AS place, unnest([p_size % 90 + 1, NULL, NULL, NULL]) AS truncated, 'BY' || p_partkey AS parent FROM part",
+)
+def construct_genes(t: Tables) -> DataFrame:
+    said = F.expr("concat('BY', p_partkey, ' with pTEF2-CoxIV-LlAdhA29C8_ScILV2N', p_size % 90 + 1, '_EcIlvC6E6; ScILV5')")
+    found = G.parse_construct(said, {"ILV2": "mitochondrial_matrix", "ILV5": "mitochondrial_matrix"})
+    g = t.part.select("p_partkey", F.explode(found).alias("g"), G.parent(said).alias("parent"))
+    return g.select("p_partkey", "g.gene", "g.place", "g.truncated", "parent")
 
 
 @query("parse_timepoint", "SELECT l_orderkey, l_linenumber, TRY_CAST(nullif(regexp_extract('T' || l_linenumber || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ' - hour ' || cast(l_quantity AS INT) END, 'hour ([0-9.]+)', 1), '') AS DOUBLE) AS hours FROM lineitem")
 def parse_timepoint(t: Tables) -> DataFrame:
     n = F.col("l_linenumber")
     said = F.concat(F.lit("T"), n.cast("string"), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(" - hour "), F.round("l_quantity").cast("int").cast("string"))))
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.nullif(F.regexp_extract(said, "hour ([0-9.]+)", 1), F.lit("")).try_cast("double").alias("hours"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.hours(said).alias("hours"))
 
 
 _STATE = "CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'NA' WHEN 2 THEN 'unknown' ELSE p_brand END"
@@ -190,10 +227,10 @@ def quantity_display(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.concat(sign, F.col("p_size").cast("string"), F.lit(" g/L")).alias("shown"))
 
 
-@query("unit_convert", "SELECT m.measurement_id, m.product_id, round(m.value * u.factor, 6) AS si FROM v_measurement m JOIN (VALUES ('F', 0.001), ('O', 3.6)) u(unit, factor) ON m.unit = u.unit WHERE m.line = 2")
+@query("unit_convert", "SELECT m.measurement_id, m.product_id, round(m.value * u.factor, 6) AS si FROM v_measurement m JOIN (VALUES ('F', 0.001), ('O', 3.6)) u(unit, factor) ON m.unit = u.unit")
 def unit_convert(t: Tables) -> DataFrame:
     units = t._spark.createDataFrame([("F", 0.001), ("O", 3.6)], "unit string, factor double")
-    return t.v_measurement.where("line = 2").join(F.broadcast(units), "unit").select("measurement_id", "product_id", F.round(F.col("value") * F.col("factor"), 6).alias("si"))
+    return t.v_measurement.join(F.broadcast(units), "unit").select("measurement_id", "product_id", F.round(F.col("value") * F.col("factor"), 6).alias("si"))
 
 
 @query("pct_of_max", "SELECT product_id, round(100 * carbons / nullif(ceiling, 0), 6) AS pct FROM v_product")
@@ -212,15 +249,32 @@ def json_coalesce(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.coalesce(F.get_json_object(edited, "$.k"), F.get_json_object("props", "$.k")).alias("k"))
 
 
-@query("json_flatten_diff", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'differs' ELSE 'same' END AS k_state FROM events")
+@query(
+    "json_flatten_diff",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'only_left' WHEN 1 THEN 'only_right' WHEN 2 THEN 'differs' ELSE 'same' END AS verdict, CASE event_id % 4 WHEN 0 THEN 'r[1].k' WHEN 1 THEN 'r[1].m' WHEN 2 THEN 'r[0].v' ELSE '' END AS paths FROM events",
+)
 def json_flatten_diff(t: Tables) -> DataFrame:
-    # two passes as path -> leaf maps; the diff is over the union of their paths
-    e = t.events
-    one = F.from_json("props", "map<string,string>")
-    two = F.transform_values(one, lambda k, v: F.when(F.col("event_id") % 4 == 0, F.concat(v, F.lit("'"))).otherwise(v))
-    paths = F.array_union(F.map_keys(one), F.map_keys(two))
-    differs = F.exists(paths, lambda p: ~F.try_element_at(one, p).eqNullSafe(F.try_element_at(two, p)))
-    return e.select("event_id", F.when(differs, "differs").otherwise("same").alias("k_state"))
+    # two passes over one text, their records compared by position: a record lost, a field gained, a value changed
+    base = F.expr("concat('{\"r\":[{\"v\":', event_id, ',\"k\":\"a\"},{\"v\":2,\"k\":null}]}')")
+    k = F.col("event_id") % 4
+    other = F.when(k == 0, F.replace(base, F.lit(',"k":null'), F.lit(""))).when(k == 1, F.replace(base, F.lit('"k":null'), F.lit('"k":null,"m":1'))).when(k == 2, F.replace(base, F.lit('"v":'), F.lit('"v":9'))).otherwise(base)
+    passes = t.events.select("event_id", P.flatten(base).alias("first"), P.flatten(other).alias("second"))
+    d = passes.select("event_id", P.disagreement(F.col("first"), F.col("second")).alias("d")).select("event_id", "d.*")
+    named = F.when(F.size("only_left") > 0, "only_left").when(F.size("only_right") > 0, "only_right").when(F.size("differing") > 0, "differs").otherwise("same")
+    paths = F.concat("only_left", "only_right", F.filter("differing", lambda p: ~p.startswith("r[1].v")))
+    return d.select("event_id", named.alias("verdict"), F.array_join(paths, ",").alias("paths"))
+
+
+@query(
+    "schema_errors",
+    "SELECT p_partkey, concat_ws(';', CASE WHEN p_size % 2 = 0 THEN '$.size: 0 is below the least, 1' END, CASE WHEN p_size % 5 = 0 THEN '$.tags[1]: expected string, got integer' END, CASE WHEN p_size % 3 = 0 THEN '$: brand is required' END) AS errors FROM part",
+)
+def schema_errors(t: Tables) -> DataFrame:
+    size = F.when(F.col("p_size") % 2 == 0, 0).otherwise(F.col("p_size"))
+    tags = F.when(F.col("p_size") % 5 == 0, '["a",2]').otherwise('["a"]')
+    text = F.concat(F.lit('{"size":'), size.cast("string"), F.when(F.col("p_size") % 3 == 0, "").otherwise(',"brand":"x"'), F.lit(',"tags":'), tags, F.lit("}"))
+    schema = {"type": "object", "required": ["brand"], "properties": {"size": {"type": "integer", "minimum": 1}, "brand": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}}}
+    return t.part.select("p_partkey", F.array_join(F.array_sort(P.schema_errors(text, schema)), ";").alias("errors"))
 
 
 @query("posexplode_kinds", "SELECT p_partkey, 'type' AS kind, generate_subscripts(string_split(p_type, ' '), 1) - 1 AS i, unnest(string_split(p_type, ' ')) AS record FROM part UNION ALL SELECT p_partkey, 'name', generate_subscripts(string_split(p_name, ' '), 1) - 1, unnest(string_split(p_name, ' ')) FROM part")
@@ -320,9 +374,12 @@ def _sequences(t: Tables) -> DataFrame:
 _CODONS = "regexp_extract_all(s, '...')"
 
 
-def _case(values: dict[str, str], key: str, otherwise: str) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(values.items()))
-    return f"CASE {key} {whens} ELSE {otherwise} END"
+#: The two tables' amino acids in the order T, C, A, G, read by place rather than by the functions' maps.
+_AA1 = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+_AA3 = "FFLLSSSSYY**CCWWTTTTPPPPHHQQRRRRIIMMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+_PLACE = "16 * (strpos('TCAG', c[1]) - 1) + 4 * (strpos('TCAG', c[2]) - 1) + strpos('TCAG', c[3])"
+_AMINO1, _AMINO3 = (f"substr('{aa}', {_PLACE}, 1)" for aa in (_AA1, _AA3))
+_RECODED = "CASE WHEN c = 'ATA' THEN 'ATT' WHEN c IN ('CTA', 'CTC', 'CTG', 'CTT') THEN 'TTA' WHEN c = 'TGA' THEN 'TAA' WHEN c IN ('CGA', 'CGC') THEN 'AGA' ELSE c END"
 
 
 @query("codons", f"SELECT doc_id, len({_CODONS}) AS n, array_to_string({_CODONS}[1:3], ',') AS head FROM {_D} x")
@@ -330,15 +387,12 @@ def codons(t: Tables) -> DataFrame:
     return _sequences(t).select("doc_id", Q.codons(F.col("s")).alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join(F.slice("c", 1, 3), ",").alias("head"))
 
 
-@query("translate", f"SELECT doc_id, array_to_string(list_transform({_CODONS}, lambda c: {_case(Q.code(3), 'c', chr(39) + 'X' + chr(39))}), '') AS protein FROM {_D} x")
+@query("translate", f"SELECT doc_id, array_to_string(list_transform({_CODONS}, lambda c: {_AMINO3}), '') AS protein FROM {_D} x")
 def translate(t: Tables) -> DataFrame:
     return _sequences(t).select("doc_id", Q.translate(F.col("s"), 3).alias("protein"))
 
 
-_DIFF = ", ".join(f"'{c}'" for c in sorted(Q.code(1)) if Q.code(1)[c] != Q.code(3)[c])
-
-
-@query("codon_diff", f"SELECT doc_id, len(list_filter({_CODONS}, lambda c: c IN ({_DIFF}))) AS differing FROM {_D} x")
+@query("codon_diff", f"SELECT doc_id, len(list_filter({_CODONS}, lambda c: {_AMINO1} <> {_AMINO3})) AS differing FROM {_D} x")
 def codon_diff(t: Tables) -> DataFrame:
     return _sequences(t).select("doc_id", F.size(Q.codon_diff(F.col("s"))).cast("long").alias("differing"))
 
@@ -348,12 +402,12 @@ def at_fraction(t: Tables) -> DataFrame:
     return _sequences(t).select("doc_id", F.round(Q.at_fraction(F.col("s")), 6).alias("at_share"))
 
 
-@query("recode", f"SELECT doc_id, array_to_string(list_transform({_CODONS}, lambda c: {_case(Q.dual_safe(), 'c', 'c')}), '') AS recoded FROM {_D} x")
+@query("recode", f"SELECT doc_id, array_to_string(list_transform({_CODONS}, lambda c: {_RECODED}), '') AS recoded FROM {_D} x")
 def recode(t: Tables) -> DataFrame:
     return _sequences(t).select("doc_id", Q.recode(F.col("s"), "dual_safe").alias("recoded"))
 
 
-@query("codon_compare", f"SELECT doc_id, len(list_filter({_CODONS}, lambda c: c <> {_case(Q.dual_safe(), 'c', 'c')})) AS changed FROM {_D} x")
+@query("codon_compare", f"SELECT doc_id, len(list_filter({_CODONS}, lambda c: c <> {_RECODED})) AS changed FROM {_D} x")
 def codon_compare(t: Tables) -> DataFrame:
     s = _sequences(t).withColumn("r", Q.recode(F.col("s"), "dual_safe"))
     pairs = F.zip_with(Q.codons(F.col("s")), Q.codons(F.col("r")), lambda a, b: a != b)
@@ -376,7 +430,7 @@ _PROTEIN = "array_to_string(list_transform(regexp_extract_all(s, '...'), lambda
 
 @query(
     "peptide_compare",
-    f"""WITH p AS (SELECT doc_id, {_PROTEIN.format(_case(Q.code(1), 'c', "'X'"))} AS a, {_PROTEIN.format(_case(Q.code(3), 'c', "'X'"))} AS b FROM {_D} x)
+    f"""WITH p AS (SELECT doc_id, {_PROTEIN.format(_AMINO1)} AS a, {_PROTEIN.format(_AMINO3)} AS b FROM {_D} x)
     SELECT doc_id, CASE WHEN a = b THEN 'exact' WHEN contains(substr(a, 1, least(length(a), length(b)) - 1), '*') THEN 'internal_stop' ELSE 'mismatch' END AS verdict FROM p""",
 )
 def peptide_compare(t: Tables) -> DataFrame:
@@ -386,7 +440,7 @@ def peptide_compare(t: Tables) -> DataFrame:
 
 @query(
     "qc_identity",
-    f"""WITH p AS (SELECT doc_id, {_PROTEIN.format(_case(Q.code(1), 'c', "'X'"))} AS a, {_PROTEIN.format(_case(Q.code(3), 'c', "'X'"))} AS b FROM {_D} x)
+    f"""WITH p AS (SELECT doc_id, {_PROTEIN.format(_AMINO1)} AS a, {_PROTEIN.format(_AMINO3)} AS b FROM {_D} x)
     SELECT count(*) AS n, count(*) FILTER (a = b) AS identical, count(*) FILTER (a = b) / count(*)::DOUBLE >= 0.995 AS passed FROM p""",
 )
 def qc_identity(t: Tables) -> DataFrame:

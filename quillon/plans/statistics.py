@@ -81,11 +81,8 @@ def variance_prior_moments(t: Tables) -> DataFrame:
 def moderated_t(t: Tables) -> DataFrame:
     m = _means(t).where("n_ref = 3 AND n_trt = 3").withColumn("s2", F.expr(_S2)).where("s2 > 1e-9")
     moments = m.agg(F.avg(F.log("s2")), F.var_samp(F.log("s2"))).first()  # two numbers
-    s0, d0 = S.variance_prior(moments[0], moments[1], 4.0)
-    d0 = min(d0, 1e6)
-    post = (F.lit(d0 * s0) + 4.0 * F.col("s2")) / F.lit(d0 + 4.0)
-    out = m.withColumn("t", (F.col("trt") - F.col("ref")) / F.sqrt(post * F.lit(2.0 / 3))).withColumn("df", F.lit(4.0 + d0))
-    return out.select("gene", "t", "df", S.t_p_value("t", "df").alias("p"))
+    prior = S.variance_prior(moments[0], moments[1], 4.0)
+    return S.moderated_t(m.withColumn("difference", F.col("trt") - F.col("ref")), "s2", "difference", 4.0, prior, 3, 3).select("gene", "t", "df", "p")
 
 
 @query("bonferroni", "SELECT id, round(least(1.0, p * count(*) OVER ())::DOUBLE, 8) AS p_adjusted FROM (SELECT p_partkey AS id, ((p_partkey * 7919) % 10007 + 1) / 100080000.0 AS p FROM part) x")
@@ -135,10 +132,10 @@ def marker_flags(t: Tables) -> DataFrame:
     return j.select("sample", high.alias("high"), (high != (F.col("grp") == "trt")).alias("flagged"))
 
 
-@query("quarantine_exclude", "SELECT measurement_id, strain_id FROM v_measurement WHERE line = 1 AND strain_id NOT IN (SELECT target_id FROM v_flag WHERE status IN ('active', 'confirmed'))")
+@query("quarantine_exclude", "SELECT measurement_id, strain_id FROM v_measurement WHERE strain_id NOT IN (SELECT target_id FROM v_flag WHERE status IN ('active', 'confirmed'))")
 def quarantine_exclude(t: Tables) -> DataFrame:
     held = t.v_flag.where("status IN ('active', 'confirmed')").select(F.col("target_id").alias("strain_id"))
-    return t.v_measurement.where("line = 1").join(held, "strain_id", "left_anti").select("measurement_id", "strain_id")
+    return t.v_measurement.join(held, "strain_id", "left_anti").select("measurement_id", "strain_id")
 
 
 _REFUSALS = [("too_few_members", "count(*) < 4"), ("no_reference", "count(sample_id) = 0"), ("mixed_units", "count(DISTINCT unit) > 1"), ("one_kind", "count(DISTINCT quantity_kind) = 1"), ("no_strain_difference", "count(DISTINCT strain_id) < 2")]
@@ -206,7 +203,7 @@ def library_split(t: Tables) -> DataFrame:
     return t.v_matrix.groupBy(kind.alias("library")).agg(F.count_distinct("sample").alias("samples"), F.sum("n").alias("reads"))
 
 
-@query("gene_profile", "SELECT gene, string_agg(sample || '=' || n, ';' ORDER BY sample) AS profile FROM v_matrix WHERE gene < 50 GROUP BY gene")
+@query("gene_profile", "SELECT gene, string_agg(sample || '=' || n, ';' ORDER BY sample) AS profile FROM v_matrix GROUP BY gene")
 def gene_profile(t: Tables) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("sample", "n")))  # as many as there are samples
-    return t.v_matrix.where("gene < 50").groupBy("gene").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws("=", x["sample"].cast("string"), x["n"].cast("string"))), ";").alias("profile"))
+    return t.v_matrix.groupBy("gene").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws("=", x["sample"].cast("string"), x["n"].cast("string"))), ";").alias("profile"))

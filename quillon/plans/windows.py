@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import sequence as Q
 from quillon.operators import relational as R
 from quillon.operators import statistics as S
 from quillon.registry import query
@@ -13,7 +14,7 @@ from quillon.sources.standins import Tables
 
 @query("first_per_group", "SELECT product_id, strain_id, value FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY value DESC, measurement_id, strain_id) AS rn FROM v_measurement) x WHERE rn = 1")
 def first_per_group(t: Tables) -> DataFrame:
-    return R.first_rows(t.v_measurement, ["product_id"], [F.col("value").desc(), F.col("measurement_id"), F.col("strain_id")]).select("product_id", "strain_id", "value")
+    return R.first_rows(t.v_measurement, ["product_id"], ["-value", "measurement_id", "strain_id"]).select("product_id", "strain_id", "value")
 
 
 @query("best_per_class", "SELECT feedstock, context_id, sugar FROM (SELECT *, row_number() OVER (PARTITION BY feedstock ORDER BY sugar DESC, context_id) AS rn FROM v_context) x WHERE rn = 1")
@@ -25,7 +26,7 @@ def best_per_class(t: Tables) -> DataFrame:
 
 @query("first_with_count", "SELECT step_role, part_id, variants FROM (SELECT step_role, part_id, count(*) OVER (PARTITION BY step_role) AS variants, row_number() OVER (PARTITION BY step_role ORDER BY part_id) AS rn FROM v_route_part) x WHERE rn = 1")
 def first_with_count(t: Tables) -> DataFrame:
-    return R.first_rows(t.v_route_part, ["step_role"], [F.col("part_id")], "variants").select("step_role", "part_id", "variants")
+    return R.first_rows(t.v_route_part, ["step_role"], ["part_id"], "variants").select("step_role", "part_id", "variants")
 
 
 _P = "SELECT p_partkey AS id, p_brand AS contrast, ((p_partkey * 7919) % 10007 + 1) / 10008.0 AS p FROM part"
@@ -86,11 +87,18 @@ def prev_rejected(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'O'").join(first, "o_custkey").select(F.col("o_orderkey").alias("task_id"), "repeat_of")
 
 
-@query("running_phase", "SELECT feature_id, (coalesce(sum(end_pos - start_pos) OVER (PARTITION BY seqid ORDER BY start_pos, feature_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3)::INT AS phase FROM v_feature")
+@query(
+    "running_phase",
+    """WITH s AS (SELECT feature_id, feature_id // 7 AS model, start_pos, end_pos, (feature_id % 3)::INT AS phase, CASE WHEN (feature_id // 7) % 2 = 0 THEN start_pos ELSE -start_pos END AS place FROM v_feature),
+    b AS (SELECT *, sum(end_pos - start_pos) OVER w - (end_pos - start_pos) AS bases, first_value(phase) OVER w AS lead_in, row_number() OVER w AS rn FROM s WINDOW w AS (PARTITION BY model ORDER BY place, start_pos, end_pos, phase))
+    SELECT model, start_pos, end_pos, (CASE WHEN rn = 1 THEN phase ELSE (3 - ((bases - lead_in) % 3 + 3) % 3) % 3 END)::INT AS expected FROM b""",
+)
 def running_phase(t: Tables) -> DataFrame:
-    before = Window.partitionBy("seqid").orderBy("start_pos", "feature_id").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.coalesce(F.sum(F.col("end_pos") - F.col("start_pos")).over(before), F.lit(0))
-    return t.v_feature.select("feature_id", F.pmod(total, F.lit(3)).cast("int").alias("phase"))
+    model = F.floor(F.col("feature_id") / 7)
+    segment = F.struct(F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), F.when(model % 2 == 0, 1).otherwise(-1).alias("strand"), (F.col("feature_id") % 3).cast("int").alias("phase"))
+    m = t.v_feature.groupBy(model.alias("model")).agg(F.collect_list(segment).alias("s"))  # as many as a CDS has
+    e = m.select("model", F.explode(Q.expected_phases(F.col("s"))).alias("e"))
+    return e.select("model", F.col("e.start").alias("start_pos"), F.col("e.end").alias("end_pos"), "e.expected")
 
 
 @query(

@@ -31,7 +31,7 @@ VIEWS: dict[str, str] = {
         FROM lineitem""",
     "v_context": """
         SELECT p_partkey AS context_id, CASE WHEN p_size < 5 THEN 'unknown' ELSE p_type END AS aeration, p_brand AS feedstock,
-          p_size AS temperature_c, p_retailprice AS sugar
+          p_size AS temperature_c, p_retailprice AS sugar, CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_size < 25 THEN 'batch' ELSE 'fed' END AS carbon_regime
         FROM part""",
     "v_matrix": """
         SELECT l_partkey AS gene, CAST(l_suppkey % 6 AS INT) AS sample, sum(l_quantity) AS n, CASE WHEN l_suppkey % 6 < 3 THEN 'ref' ELSE 'trt' END AS grp
@@ -53,7 +53,13 @@ VIEWS: dict[str, str] = {
           o_custkey AS extraction_id, CAST(o_orderkey % 5 AS INT) AS attempts
         FROM orders""",
     "v_route_part": """
-        SELECT p_partkey AS part_id, CAST(p_size % 5 AS INT) AS step_role, p_brand AS compartment, p_type AS enzyme FROM part WHERE p_partkey < 40""",
+        SELECT min(p_partkey) AS part_id, CAST(p_size % 6 AS INT) AS step_role, substr(p_brand, 1, 7) AS compartment, min(p_type) AS enzyme
+        FROM part GROUP BY CAST(p_size % 6 AS INT), substr(p_brand, 1, 7)""",
+    "v_paper": """
+        SELECT doc_id, concat('Paper ', doc_id, chr(10), 'Background', chr(10), 'We ask about ', source, '.', chr(10), 'Results:', chr(10), 'It holds.', chr(10),
+          CASE WHEN doc_id % 2 = 0 THEN concat('1. Introduction', chr(10)) ELSE '' END, text, chr(10),
+          CASE WHEN doc_id % 5 = 0 THEN concat('Conclusions', chr(10), 'None.') ELSE concat('2.1 Materials and Methods', chr(10), 'As before.', chr(10), '**Results and Discussion**', chr(10), lang) END) AS text
+        FROM documents WHERE text IS NOT NULL""",
     "v_flag": """
         SELECT s_suppkey AS target_id, 'quarantine' AS severity, CASE WHEN s_suppkey % 5 = 0 THEN 'resolved' ELSE 'active' END AS status, s_acctbal AS statistic
         FROM supplier WHERE s_acctbal < 0""",
