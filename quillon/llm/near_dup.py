@@ -1,47 +1,50 @@
 """N-gram Jaccard join (operator 2): exact links between texts whose shingle sets are alike, and their components.
 
-1.  Every text becomes a sorted set of shingle hashes, a hashed bitmap of about two bits a shingle, and a node named by
-    64 bits of its set, so equal sets are one node.
-2.  Two sets can only be alike enough if they share a shingle among the first few of each in a common order. A fixed
-    order that puts frequent shingles last makes those keys rare. (A sketch of a sample's frequencies sets the order;
-    any order gives the same links.)
-3.  The smallest node of each key is its hub; every node is compared with its hubs. Bit counts bound the overlap from
-    above; what passes is settled by intersecting the sorted arrays.
-4.  Nodes that aren't linked with a hub meet the hub's other nodes in size-banded tiles, where bit counts bound all
-    overlaps together and what passes is settled at once, best first. Pairs already in one component are left out, so
-    a tile yields no more links than it has nodes. Tiles meet themselves first and each other afterwards, when most
-    groups have become one component.
+1.  Every text becomes a sorted set of shingle hashes and a hashed bitmap of about two bits a shingle. Equal sets, by 128
+    bits of all their hashes, are one node. Texts without words are set apart; they link with nothing.
+2.  Two sets can only be alike enough if they share a shingle among the first few of each in a common order. An order
+    that puts frequent shingles last makes those keys rare. (Frequencies of a bounded sample set the order; any order
+    gives the same links.) The nodes of a key form the group that is named by the key's smallest node, its hub.
+3.  A group is laid out in tiles: by size band, and within a band by hash, so that no tile holds more nodes than it
+    should. Each tile also gets the hub. In a tile bit counts bound all overlaps from above; the pairs that they leave
+    open are settled by intersecting the sorted arrays, best first, and pairs already in one component are left out, so a
+    tile yields no more links than it has nodes.
+4.  Tiles of one group meet afterwards, but only those nodes that aren't in their hub's component by then meet the others.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillon.llm import shared
 from quillon.llm.components import components
 from quillon.llm.pretoken import mix
 from quillon.llm.wordhash import chunks, shingle_sets
 
-#: One document in so many is looked at for the order of shingles, in a sketch of so many counters (bits).
-SAMPLE, SKETCH_BITS = 50, 22
-#: Nodes of a hub that a tile takes on either side, and about how many shingles together.
-TILE, TILE_SHINGLES = 1024, 1 << 19
-#: Words of 64 bits of the filter for nodes whose texts are needed (a fixed 4 MB).
-FILTER_BITS = 19
+#: About so many documents are looked at for the order of shingles, in a sketch of so many counters (bits).
+SAMPLE, SKETCH_BITS = 10_000, 22
+#: Nodes that a tile takes of a band, and about how many shingles together.
+TILE, TILE_SHINGLES = 512, 1 << 19
+#: Words of 64 bits of the filter for nodes whose texts are needed (a fixed 4 MB); from so many nodes on it isn't used.
+FILTER_BITS, FILTER_NODES = 19, 1 << 22
+#: Tiles of at most so many nodes are compared pair by pair, larger ones node by node.
+SMALL = 12
 
 
-def _node(s: np.ndarray) -> int | None:
-    """Name of a set: 64 bits that depend on all its hashes; None for the empty set.
+def _name(s: np.ndarray) -> bytes | None:
+    """Name of a set: 128 bits that depend on all its hashes; None for the empty set.
 
-    Two of N different sets share a name with a chance of about N**2 / 2**65.
+    Two of N different sets share a name with a chance of about N**2 / 2**129.
     """
-    return int(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))]))[0].view(np.int64)) if len(s) else None
+    if not len(s):
+        return None
+    low, high = np.add.reduce(mix(s)), np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return mix(np.array([low + np.uint64(len(s)), high ^ np.uint64(len(s))])).tobytes()
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -72,7 +75,10 @@ def may_link(n1, n2, differing, num: int, den: int):
 
 
 def _order_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """Weight of a shingle by the top bits of its hash: about log2 of the sampled documents that have it, if four do."""
+    """Weight of a shingle by the top bits of its hash: about log2 of the sampled documents that have it, if four do.
+
+    The sample is about SAMPLE documents at any size, so that the counters stay sparse.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -83,7 +89,8 @@ def _order_sketch(docs: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["b", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(SAMPLE)) == 0).select("text")
+    step = max(1, docs.count() // SAMPLE)
+    sample = docs.where(F.pmod(F.xxhash64("id", F.length("text")), F.lit(step)) == 0).select("text")
     found = sample.mapInArrow(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).where("n >= 4").toArrow()  # at most 2**SKETCH_BITS rows
     weight = np.zeros(1 << SKETCH_BITS, np.uint8)
     if found.num_rows:
@@ -92,7 +99,7 @@ def _order_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, node, bitmap, keys) of every document; bitmap and keys only where a task first meets a node."""
+    """(id, n, name, bitmap, keys) of every document; bitmap and keys only where a task first meets a set."""
     kind = docs.schema["id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(_order_sketch(docs, k))
 
@@ -100,64 +107,69 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         weight, seen = weights.value, set()
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
-                n, nodes, maps, keys = [], [], [], []
+                n, names, maps, keys = [], [], [], []
                 for s in shingle_sets(texts, k):
-                    node = _node(s)
+                    name = _name(s)
                     n.append(len(s))
-                    nodes.append(node)
-                    if node is None or node in seen:
+                    names.append(name)
+                    if name is None or name in seen:
                         maps.append(None)
                         keys.append(None)
                         continue
                     if len(seen) >= 1 << 20:
                         seen.clear()
-                    seen.add(node)
+                    seen.add(name)
                     maps.append(bitmap(s))
                     order = np.argsort(weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     keys.append(s[order[: len(s) - least_overlap(len(s), num, den) + 1]].view(np.int64))
-                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "node", "bitmap", "keys"])
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "name", "bitmap", "keys"])
 
-    return shared.table(docs.mapInArrow(run, f"id {kind}, n long, node long, bitmap binary, keys array<long>"))
+    return shared.table(docs.mapInArrow(run, f"id {kind}, n long, name binary, bitmap binary, keys array<long>"))
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sizes and bitmaps leave it open that they are alike."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    sized = pairs.join(left.drop("ma"), "a").join(right.drop("mb"), "b").where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num))
-    rows = shared.table(sized).join(left.drop("na"), "a").join(right.drop("nb"), "b")  # bitmaps where sizes fit
+def _groups(nodes: DataFrame) -> DataFrame:
+    """(hub, node, n) of the groups of two nodes or more, the hub being one of them.
+
+    A key's smallest node and size are summed before the shuffle; only keys that two nodes have are joined back, the
+    largest by broadcast, so that a key which a third of all nodes have is no one task's.
+    """
+    posts = nodes.select(F.explode("keys").alias("key"), "node", "n")
+    hubs = posts.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    return shared.joined(posts, shared.table(hubs), ["key"], "members", "inner").select("hub", "node", "n").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for n1, n2, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                width = min(len(x), len(y))
-                keep.append(may_link(n1, n2, (fold(x, width) ^ fold(y, width)).bit_count(), num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
+def _tiled(members: DataFrame) -> DataFrame:
+    """members with their tile: the size band and a part of it by hash, as many parts as the band needs."""
+    band = F.floor(F.log2("n")).cast("int")
+    room = F.greatest(F.lit(2), F.least(F.lit(TILE), F.expr(f"shiftright({TILE_SHINGLES}, band)")))
+    m = members.withColumn("band", band)
+    sizes = shared.table(m.groupBy("hub", "band").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / room)).where("parts > 1"))
+    m = shared.joined(m, sizes, ["hub", "band"], "members")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    return m.withColumn("tile", F.shiftleft(F.col("band").cast("long"), 40) + part).drop("band", "parts")
 
 
-def _marks(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit of each node in the filter."""
-    x = nodes.view(np.uint64)
+def _marks(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each name in the filter."""
+    x = np.frombuffer(b"".join(names), "<u8")[::2]
     return (x & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64), np.uint64(1) << (x >> np.uint64(58))
 
 
-def _filter(pairs: DataFrame) -> np.ndarray:
-    """Filter of the nodes in pairs; of fixed size, so that strangers may pass but no node is lost."""
+def _filter(wanted: DataFrame) -> np.ndarray | None:
+    """Filter of names, of fixed size, so that strangers may pass but none is lost; None where it would be full."""
+    if wanted.count() > FILTER_NODES:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << FILTER_BITS, np.uint64)
         for batch in batches:
-            for c in (0, 1):
-                if batch.num_rows:
-                    np.bitwise_or.at(words, *_marks(batch.column(c).to_numpy()))
+            if batch.num_rows:
+                np.bitwise_or.at(words, *_marks(batch.column(0).to_pylist()))
         at = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at].view(np.int64))], names=["i", "w"])
 
-    found = pairs.mapInArrow(run, "i long, w long").groupBy("i").agg(F.expr("bit_or(w)").alias("w")).toArrow()  # at most 2**FILTER_BITS rows
+    found = wanted.mapInArrow(run, "i long, w long").groupBy("i").agg(F.expr("bit_or(w)").alias("w")).toArrow()  # at most 2**FILTER_BITS rows
     words = np.zeros(1 << FILTER_BITS, np.uint64)
     if found.num_rows:
         words[found["i"].to_numpy()] = np.array(found["w"].to_numpy()).view(np.uint64)
@@ -165,9 +177,9 @@ def _filter(pairs: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the nodes in a table's columns a and b, and of a few strangers.
+    """(name, text) of the sets named in a table (name) of distinct names, each once.
 
-    Texts come from the documents once more, one per node and task; a node that several tasks hold keeps one.
+    Texts come from the documents once more, one per name and task. A filter spares most of the others the shuffle.
     """
     needed = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
@@ -176,153 +188,159 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for _, texts in chunks(batch.column(0)):
                 names, kept = [], []
-                nodes = [(x, t) for x, t in zip(map(_node, shingle_sets(texts, k)), texts) if x is not None and x not in seen]
-                if nodes:
-                    i, bit = _marks(np.array([x for x, _ in nodes]))
-                    for (x, t), hit in zip(nodes, (words[i] & bit != 0).tolist()):
+                found = [(x, t) for x, t in zip(map(_name, shingle_sets(texts, k)), texts) if x is not None and x not in seen]
+                if found:
+                    at, bit = _marks([x for x, _ in found])
+                    hits = [True] * len(found) if words is None else (words[at] & bit != 0).tolist()
+                    for (x, t), hit in zip(found, hits):
                         if hit and x not in seen:
                             if len(seen) >= 1 << 20:
                                 seen.clear()
                             seen.add(x)
                             names.append(x)
                             kept.append(t)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(kept, pa.binary())], names=["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(kept, pa.binary())], names=["name", "text"])
 
-    return docs.select("text").mapInArrow(texts_of, "node long, text binary").groupBy("node").agg(F.first("text").alias("text"))
+    found = docs.select("text").mapInArrow(texts_of, "name binary, text binary").groupBy("name").agg(F.first("text").alias("text"))
+    return found.join(wanted, "name", "left_semi")
 
 
-def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Whether two sorted sets are alike, by intersecting them."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _settled(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are alike, by intersecting their sorted arrays."""
-    pairs = shared.table(pairs)
-    texts = _texts(docs, pairs, k)
+# ---------------------------------------------------------------- tiles
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, tuple[bytes, np.ndarray]] = {}
+TILES = "hub long, t long, u long, side int, node long, n long, root long, name binary, bitmap binary"
 
-        def sets(side: int, names: list[bytes], texts: list[bytes]) -> list[np.ndarray]:
-            """Sets by row; a text that stands in rows after each other is looked at once."""
-            new = [i for i, x in enumerate(names) if x != (names[i - 1] if i else last.get(side, (None,))[0])]
-            made = dict(zip(new, shingle_sets([texts[i] for i in new], k)))
-            out = []
-            for i, x in enumerate(names):
-                if i in made:
-                    last[side] = (x, made[i])
-                out.append(last[side][1])
-            return out
 
-        for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            step, keep = 512, []
-            for at in range(0, len(a), step):
-                cut = slice(at, at + step)
-                for x, y in zip(sets(0, a[cut], ta[cut]), sets(1, b[cut], tb[cut])):
-                    keep.append(_alike(x, y, num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return shared.table(two.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"))
-
-
-def _tile_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int, across: bool) -> DataFrame:
-    """Links (a, b) that join components of one hub's nodes (hub, node, n, root, linked).
-
-    A hub's nodes stand by size; those whose neighbours are too far off in size go, and so do hubs whose nodes are one
-    component. Tiles hold nodes of one size band, so that their bitmaps are about equally wide, and meet themselves or,
-    across, also tiles whose sizes may still fit. In a tile pair the bit counts of a node with all others are taken
-    together. Texts come to the nodes of which that leaves something open, and settle it exactly, unless a link found
-    meanwhile has joined the two already.
-    """
-    size = Window.partitionBy("hub").orderBy("n", "node")
-    near = (F.lag("n").over(size) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(size) * num)
-    m = members.withColumn("near", near).where("near")
-    group = Window.partitionBy("hub")
-    differs = (F.min("root").over(group) != F.max("root").over(group)) & ~F.min("linked").over(group)
-    m = m.withColumn("differs", differs).where("differs").withColumn("band", F.floor(F.log2("n")).cast("int"))
-    place = F.row_number().over(Window.partitionBy("hub", "band").orderBy("n", "node"))
-    room = F.greatest(F.lit(2), F.least(F.lit(TILE), F.expr(f"shiftright({TILE_SHINGLES}, band)")))
-    m = m.withColumn("tile", F.shiftleft(F.col("band").cast("long"), 40) + F.floor((place - 1) / room))
-    m = shared.table(m.select("hub", "node", "n", "root", "tile"))
-    span = m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = span.toDF("hub", "t", "low", "high"), span.toDF("hub2", "u", "low2", "high2")
-    fits = (F.col("t") <= F.col("u")) & (F.col("high") * den >= F.col("low2") * num) if across else F.col("t") == F.col("u")
-    meet = x.join(y, (F.col("hub") == F.col("hub2")) & fits).select("hub", "t", "u")
-    sides = meet.select("hub", "t", "u", F.col("t").alias("tile"), F.lit(0).alias("side")).union(meet.where("t < u").select("hub", "t", "u", F.col("u").alias("tile"), F.lit(1).alias("side")))
-    names = ["hub", "t", "u", "side", "node", "n", "root", "bitmap"]
-    rows = m.join(sides, ["hub", "tile"]).join(nodes.select("node", "bitmap"), "node").select(*names)
-
-    def matches(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(row, rows on the other side that bit counts and components leave, best first), by rows; the components
-        are read anew for each row."""
-        side, n = table["side"].to_numpy(), table["n"].to_numpy()
-        maps = table["bitmap"].to_pylist()
-        width = min(map(len, maps))
-        bits = np.frombuffer(b"".join(fold(b, width).to_bytes(width, "little") for b in maps), "<u8").reshape(len(maps), -1)
-        root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
-        alone = bool((side == 0).all())
-        right = np.flatnonzero(side == 0 if alone else side == 1)
-        for i in np.flatnonzero(side == 0).tolist():
-            j = right[right > i] if alone else right
-            j = j[root[j] != root[i]]
-            differing = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-            good = (n[j] * den >= n[i] * num) & (n[i] * den >= n[j] * num) & may_link(n[i], n[j], differing, num, den)
-            if good.any():
-                yield i, j[good][np.argsort(differing[good], kind="stable")], root
+def by_tile(handle: Callable[[pa.Table], pa.Table], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """handle of the rows of each tile pair (hub, t, u), whose rows follow each other; a tile pair is bounded."""
+    held: list[pa.Table] = []
 
-    def open_rows(table: pa.Table) -> pa.Table:
-        """The nodes of a tile pair of which bit counts leave something open."""
-        some = np.zeros(len(table), bool)
-        for i, j, _ in matches(table):
-            some[i] = some[j] = True
-        return table.filter(pa.array(some))
-
-    def links(table: pa.Table) -> pa.Table:
-        sets, node, a, b = shingle_sets(table["text"].to_pylist(), k), table["node"].to_numpy(), [], []
-        for i, others, root in matches(table):
-            for x in others.tolist():
-                if root[x] != root[i] and _alike(sets[i], sets[x], num, den):
-                    root[root == root[x]] = root[i]
-                    a.append(i)
-                    b.append(x)
-        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+    def done() -> Iterator[pa.RecordBatch]:
+        yield from handle(pa.concat_tables(held).combine_chunks()).to_batches()
 
-    kinds = "hub long, t long, u long, side int, node long, n long, root long, bitmap binary"
-    left = shared.table(rows.groupBy("hub", "t", "u").applyInArrow(open_rows, kinds))
-    texts = _texts(docs, left.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct(), k)
-    return shared.table(left.join(texts, "node").select(*names, "text").groupBy("hub", "t", "u").applyInArrow(links, "a long, b long"))
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        keys = np.stack([t[c].to_numpy() for c in ("hub", "t", "u")], 1)
+        edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(t)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            key = tuple(keys[a].tolist())
+            if last is not None and key != last:
+                yield from done()
+                held = []
+            held.append(t.slice(a, b - a))
+            last = key
+    if held:
+        yield from done()
 
 
-def _hub_pairs(posts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of each key's smallest node a and its other nodes b, from posts (key, node).
+def open_pairs(table: pa.Table, num: int, den: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(row, rows on the other side that bit counts leave open and whose component differs, best first; components).
 
-    One shuffle and sort by key; a key's nodes stream by, so none is held but the hub.
+    Components are read anew for each row, so that whoever links two rows in the list of components spares the rest.
     """
+    side, n, root = table["side"].to_pylist(), table["n"].to_pylist(), table["root"].to_pylist()
+    maps = table["bitmap"].to_pylist()
+    alone = 1 not in side
+    left = [i for i, x in enumerate(side) if x == 0]
+    right = left if alone else [i for i, x in enumerate(side) if x == 1]
+    if len(left) + len(right) <= 2 * SMALL:
+        folded: dict[tuple[int, int], int] = {}
+
+        def bits(i: int, width: int) -> int:
+            if (i, width) not in folded:
+                folded[i, width] = fold(maps[i], width)
+            return folded[i, width]
+
+        for x, i in enumerate(left):
+            found = []
+            for j in right[x + 1 :] if alone else right:
+                if root[i] != root[j] and n[j] * den >= n[i] * num and n[i] * den >= n[j] * num:
+                    width = min(len(maps[i]), len(maps[j]))
+                    differing = (bits(i, width) ^ bits(j, width)).bit_count()
+                    if may_link(n[i], n[j], differing, num, den):
+                        found.append((differing, j))
+            if found:
+                yield i, [j for _, j in sorted(found)], root
+        return
+    width = min(map(len, maps))
+    grid = np.frombuffer(b"".join(fold(b, width).to_bytes(width, "little") for b in maps), "<u8").reshape(len(maps), -1)
+    sizes, other = np.array(n), np.array(right)
+    for x, i in enumerate(left):
+        j = other[x + 1 :] if alone else other
+        j = j[(np.array(root)[j] != root[i]) & (sizes[j] * den >= n[i] * num) & (n[i] * den >= sizes[j] * num)]
+        differing = np.bitwise_count(grid[j] ^ grid[i]).sum(1).astype(np.int64)
+        good = may_link(n[i], sizes[j], differing, num, den)
+        if good.any():
+            yield i, j[good][np.argsort(differing[good], kind="stable")].tolist(), root
+
+
+def _tile_links(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join components, from the rows of tile pairs (TILES).
+
+    Bit counts are taken for all rows; only nodes that they leave open get their texts, once for each tile pair.
+    """
+    spark = docs.sparkSession
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
-        for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            at = np.flatnonzero(first)
-            hubs = node[at][np.cumsum(first) - 1]
-            if last is not None and key[0] == last:
-                hubs[: at[1] if len(at) > 1 else len(key)] = hub
-            last, hub = key[-1], hubs[-1]
-            other = hubs != node
-            pairs = np.unique(np.stack([hubs[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    n = shared.partitions(posts.sparkSession)
-    return posts.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+    def open_rows(table: pa.Table) -> pa.Table:
+        some = np.zeros(len(table), bool)
+        for i, others, _ in open_pairs(table, num, den):
+            some[i] = True
+            some[others] = True
+        return table.filter(pa.array(some))
+
+    def links(table: pa.Table) -> pa.Table:
+        sets, node, a, b = shingle_sets(table["text"].to_pylist(), k), table["node"].to_pylist(), [], []
+        for i, others, root in open_pairs(table, num, den):
+            for j in others:
+                if root[i] != root[j] and alike(sets[i], sets[j], num, den):
+                    old, new = root[j], root[i]
+                    root[:] = [new if x == old else x for x in root]
+                    a.append(node[i])
+                    b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(shared.partitions(spark), "hub", "t", "u").sortWithinPartitions("hub", "t", "u", "side", "n", "node")
+
+    left = shared.table(dealt(rows).mapInArrow(lambda x: by_tile(open_rows, x), TILES))
+    wanted = shared.table(left.select("name").distinct())
+    with_text = left.join(_texts(docs, wanted, k), "name").select(*left.columns, "text")
+    return shared.table(dealt(with_text).mapInArrow(lambda x: by_tile(links, x), "a long, b long"))
+
+
+def _first_tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of every tile with itself, the group's hub in each tile whose sizes may fit it."""
+    fields = nodes.select("node", "name", "bitmap")
+    tiles = members.groupBy("hub", "tile").agg(F.count("*").alias("members"), F.bool_or(F.col("node") == F.col("hub")).alias("has_hub"))
+    guests = tiles.where("NOT has_hub").select("hub", "tile", F.col("hub").alias("node")).join(nodes.select("node", "n"), "node").select("hub", "node", "n", "tile")
+    rows = members.select("hub", "node", "n", "tile").union(guests).join(fields, "node")
+    return rows.select("hub", F.col("tile").alias("t"), F.col("tile").alias("u"), F.lit(0).alias("side"), "node", "n", F.col("node").alias("root"), "name", "bitmap")
+
+
+def _later_tiles(members: DataFrame, nodes: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of the tile pairs of a group in which a node that isn't in its hub's component meets the other tiles."""
+    several = members.groupBy("hub").agg(F.min("tile").alias("low"), F.max("tile").alias("high"), F.count("*").alias("members")).where("low < high").select("hub", "members")
+    m = shared.joined(members, shared.table(several), ["hub"], "members", "inner").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    m = shared.table(m.select("hub", "node", "n", "tile", "root"))
+    home = m.where("hub = node").select("hub", F.col("root").alias("home"))
+    counts = m.groupBy("hub").agg(F.count("*").alias("members"))
+    m = shared.table(shared.joined(m, shared.table(home.join(counts, "hub")), ["hub"], "members", "inner").withColumn("stranger", F.col("root") != F.col("home")))
+    span = m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_if("stranger").alias("strangers"))
+    span = shared.table(span)
+    x, y = span.where("strangers > 0").toDF("hub", "t", "low", "high", "strangers"), span.toDF("hub2", "u", "low2", "high2", "strangers2")
+    fits = (F.col("hub") == F.col("hub2")) & (F.col("t") != F.col("u")) & (F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num)
+    meet = shared.table(x.join(y, fits).select("hub", "t", "u"))
+    left = m.where("stranger").join(meet.withColumnRenamed("t", "tile"), ["hub", "tile"]).select("hub", F.col("tile").alias("t"), "u", F.lit(0).alias("side"), "node", "n", "root")
+    right = m.join(meet.withColumnRenamed("u", "tile"), ["hub", "tile"]).select("hub", "t", F.col("tile").alias("u"), F.lit(1).alias("side"), "node", "n", "root")
+    return left.union(right).join(nodes.select("node", "name", "bitmap"), "node").select("hub", "t", "u", "side", "node", "n", "root", "name", "bitmap")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -333,39 +351,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wordless texts have none and link with nothing. component_id is the smallest id that links reach, itself
     included; null ids are passed over, and stand only where a component has no other. Repeated rows and ties are
     rows of their own; other columns, of any name, are not read; an empty table gives no rows. No link is lost: keys
-    and bit counts only leave out pairs that cannot be alike.
+    and bit counts only leave out pairs that cannot be alike. A very long text is a tile's rows like any other.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = _sets(rows, k, num, den)
-    nodes = shared.table(sets.where("bitmap is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")))
-    posts = sets.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-    near = shared.table(_hub_pairs(posts))
-    links = _settled(_bounded(near, nodes, num, den), rows, k, num, den)
+    distinct = sets.where("bitmap is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"))
+    nodes = shared.table(distinct.withColumn("node", F.monotonically_increasing_id()))
+    members = shared.table(_tiled(shared.table(_groups(nodes))))
+    links = _tile_links(_first_tiles(members, nodes), rows, k, num, den)
     found = components(links)
-    # nodes that their hub didn't link, with all other nodes of that hub
-    tested = near.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("node"), F.coalesce("linked", F.lit(False)).alias("linked"))
-    open_hubs = tested.groupBy("hub").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("unlinked")).where("unlinked > 0 and members > 1").select("hub")
-    members = shared.table(tested.join(open_hubs, "hub", "left_semi").join(nodes.select("node", "n"), "node"))
-    for across in (False, True):
-        rooted = members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = _tile_links(rooted, nodes, rows, k, num, den, across)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-    root = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(least, "root").select("node", "component_id")
-    out = sets.select("id", "n", "node").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    more = _tile_links(_later_tiles(members, nodes, found, num, den), rows, k, num, den)
+    if not more.isEmpty():
+        found = components(links.union(more))
+    least = sets.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    rooted = least.join(nodes.select("name", "node"), "name").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = shared.table(rooted.select("name", "root", "least", "copies"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("names"))
+    named = shared.table(shared.joined(rooted, named, ["root"], "names").select("name", "component_id", "copies"))
+    worded = shared.joined(sets.where("name is not null").select("id", "n", "name"), named, ["name"], "copies").select("id", "n", "component_id")
+    out = worded.union(sets.where("name is null").select("id", "n", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that isn't taken yet."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose id is their component's id, with all columns; rows without an id stay, for want of a name.
 
-    Ids name documents: rows that share an id stay or go together.
+    Ids name documents: rows that share an id stay or go together. Null, empty and wordless texts stay; other columns may
+    have any names; an empty table gives no rows.
     """
-    gone = near_groups(docs, id_col, text_col, k, num, den).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = free_name(docs.columns, "gone")
+    out = near_groups(docs, id_col, text_col, k, num, den).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(out, docs[id_col] == out[gone], "left_anti")
 
 
 ORACLE = """

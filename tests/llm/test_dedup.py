@@ -100,7 +100,7 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("tile", [4, 1024])
+@pytest.mark.parametrize("tile", [3, 512])
 def test_near_groups(spark, monkeypatch, tile):
     monkeypatch.setattr(near_dup, "TILE", tile)
     rows = list(enumerate(random_texts()))
