@@ -17,12 +17,65 @@ def route_product(parts: DataFrame, roles: Sequence[int], part: str, role: str)
     return out
 
 
+#: Items that have no more subsets than a job can count (fixed by the width of a long).
+MOST_ITEMS = 62
+
+
 def power_set(items: DataFrame, item: str) -> DataFrame:
-    """(subset, size) of all subsets of at most 20 items, the empty one first."""
-    rows = items.agg(F.array_sort(F.collect_set(item)).alias("items")).where(F.size("items") <= 20)
-    masks = rows.select("items", F.explode(F.expr("sequence(0L, shiftleft(1L, size(items)) - 1L)")).alias("mask"))
+    """(subset, size) of all subsets, the empty one first, then by size and items. More than MOST_ITEMS are an error.
+
+    The items are one short row; the subsets' bit masks are a range, so they are made where they are needed.
+    """
+    rows = items.agg(F.array_sort(F.collect_set(item)).alias("items"))
+    n = len(rows.first()["items"])
+    if n > MOST_ITEMS:
+        raise ValueError(f"{n} items have too many subsets")
+    masks = items.sparkSession.range(1 << n).withColumnRenamed("id", "mask").crossJoin(F.broadcast(rows))  # a single row
     subset = F.expr("filter(items, (x, i) -> shiftright(mask, i) & 1L = 1L)")
-    return masks.select(subset.alias("subset")).select("subset", F.size("subset").alias("size"))
+    return masks.select(subset.alias("subset")).select("subset", F.size("subset").alias("size")).orderBy("size", "subset")
+
+
+def enumerate_routes(parts: DataFrame, strategies: DataFrame, roles: Sequence[int], optional: int, handoffs: Sequence[tuple[int, int]], carriers: DataFrame) -> DataFrame:
+    """(route_id, strategy, parts, cycle, requirements, gaps, balance_score, transport_score, feasibility): every part of
+    each role x strategy x set of optional parts, gated and scored.
+
+    parts are (part_id, step_role, compartment, encoding); strategies (strategy, role, compartment, encoding,
+    feasibility) place each role; carriers (source, target) are the known ones. A role without parts is an error: an
+    empty product would read as if no routes existed. The empty set of optional parts comes first and adds nothing to a
+    route's id. A part carried in mitochondrial DNA must be recoded; a handoff between compartments without a carrier is
+    a gap; neither excludes a route.
+    """
+    have = {r["step_role"] for r in parts.select("step_role").distinct().collect()}  # as many as there are roles
+    if missing := [r for r in roles if r not in have]:
+        raise ValueError(f"no part for role {', '.join(map(str, missing))}: the catalogue is incomplete")
+    product = route_product(parts, roles, "part_id", "step_role")
+    cycles = power_set(parts.where(F.col("step_role") == optional), "part_id").withColumnRenamed("subset", "cycle").select("cycle")
+    placed = strategies.groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct("compartment", "encoding")))).alias("plan"), F.first("feasibility").alias("feasibility"))
+    known = carriers.agg(F.collect_set(F.struct("source", "target")).alias("known"))  # a short list
+    routes = product.crossJoin(F.broadcast(placed)).crossJoin(F.broadcast(cycles)).crossJoin(F.broadcast(known))
+    at = lambda role: F.element_at(F.col("plan"), F.lit(role))
+    recode = F.array_compact(F.array(*(F.when(at(r)["encoding"] == "mitochondrial", F.concat(F.lit(f"recode role {r}: part "), F.col(f"part_{r}").cast("string"))) for r in roles)))
+    hops = [F.struct(at(a)["compartment"].alias("source"), at(b)["compartment"].alias("target")) for a, b in handoffs]
+    gaps = F.array_compact(F.array(*(F.when((h["source"] != h["target"]) & ~F.array_contains("known", h), F.concat_ws(">", h["source"], h["target"])) for h in hops)))
+    own = F.array(*(F.col(f"part_{r}") for r in roles))
+    route_id = F.concat(F.col("strategy"), F.lit(":"), F.array_join(F.transform(own, lambda x: x.cast("string")), "+"), F.when(F.size("cycle") > 0, F.concat(F.lit("+cycle:"), F.array_join(F.transform("cycle", lambda x: x.cast("string")), "+"))).otherwise(""))
+    out = routes.select(route_id.alias("route_id"), "strategy", own.alias("parts"), "cycle", recode.alias("requirements"), gaps.alias("gaps"), "feasibility")
+    return out.withColumns({"balance_score": 1.0 / (1 + F.size("requirements")), "transport_score": 1.0 / (1 + F.size("gaps"))})
+
+
+def insertion_plan(carried: DataFrame, loci: DataFrame) -> DataFrame:
+    """(route_id, part, locus, leader, displaces, keeps_respiration, alternatives) for parts carried in mitochondrial DNA.
+
+    The first free locus by name is offered; without one the first that has an activator, whose gene it displaces.
+    alternatives counts the other loci that would cost a gene. Loci are a short list: (locus, leader, activators,
+    displaces, free).
+    """
+    order = F.struct(F.when(F.col("free"), 0).otherwise(1).alias("cost"), "locus", "leader", "displaces", "free")
+    usable = loci.where(F.col("free") | (F.size("activators") > 0))
+    best = usable.agg(F.min(order).alias("site"), F.count_if(~F.col("free")).alias("costly"))
+    out = carried.crossJoin(F.broadcast(best)).where("site IS NOT NULL")  # a single row
+    free = F.col("site.free")
+    return out.select("route_id", "part", F.col("site.locus").alias("locus"), F.col("site.leader").alias("leader"), F.when(~free, F.col("site.displaces")).alias("displaces"), free.alias("keeps_respiration"), (F.col("costly") - F.when(free, 0).otherwise(1)).alias("alternatives"))
 
 
 def transport_gaps(steps: DataFrame, route: str, order: str, compartment: str, carriers: DataFrame) -> DataFrame:

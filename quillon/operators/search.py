@@ -1,20 +1,27 @@
-"""Lexical search operators over token postings."""
+"""Lexical search: a persisted index of postings, BM25 over words and phrases, synonyms, ranking, staleness."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Postings are partitioned by a hash of the term, so that a search reads the files of its own terms; version of the index.
+BUCKETS, BUILDER = 32, 2
+#: Weight of a word in a name; of text, evidence and recency in the final score; BM25's k1 and b; the worth of
+#: each evidence level.
+NAME_WEIGHT, TEXT, EVIDENCE, RECENCY, K1, B = 10.0, 1.0, 7.0, 0.25, 1.2, 0.75
+KEY = ["kind", "id"]
 
-def terms(column: str) -> Column:
+
+def terms(column: str | Column) -> Column:
     """Lower-cased [a-z0-9]+ runs."""
-    return F.regexp_extract_all(F.lower(F.col(column)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.col(column) if isinstance(column, str) else column), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(term, key, one count per field): an inverted index, to be written as a table."""
+    """(term, key, one count per field): an inverted index without positions."""
     every = None
     for f in fields:
         one = docs.select(key, F.explode(terms(f)).alias("term"), F.lit(f).alias("field"))
@@ -23,25 +30,108 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     return every.groupBy("term", key).agg(*counts)
 
 
-def bm25(docs: DataFrame, key: str, fields: dict[str, float], query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of documents with any of the query's terms.
+def build_index(entities: DataFrame, path: str, source: str) -> None:
+    """Write the index of entities (kind, id, name, body, year, evidence) below path; source is their digest.
+
+    A posting holds the places of a term in an entity's name and body, and beside them what a score needs of the entity,
+    so a search joins nothing. The index knows the entities' number and mean length, its builder's version and source.
+    """
+    docs = entities.select(*KEY, "year", "evidence", terms("name").alias("n"), terms("body").alias("b"))
+    docs = docs.withColumn("len", F.size("n") + F.size("b"))
+    of = lambda c, field: docs.select(*KEY, "year", "evidence", "len", F.posexplode(c).alias("at", "term"), F.lit(field).alias("field"))
+    placed = of("n", "name").union(of("b", "body"))
+    places = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("at"))))  # noqa: E731  # bounded by one text
+    rows = placed.groupBy("term", *KEY, "year", "evidence", "len").agg(places("name").alias("name"), places("body").alias("body"))
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    # lengths from the entities alone: the sizes of both token lists, in one narrow pass
+    stats = docs.agg(F.count("*").alias("entities"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean_len"))
+    meta = stats.select("*", F.lit(BUILDER).alias("builder"), F.lit(source).alias("source"), F.current_timestamp().alias("built_at"))
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")  # written last: an index without it isn't whole
+
+
+META = "entities long, mean_len double, builder int, source string, built_at timestamp"
+
+
+def index_status(spark: SparkSession, path: str, source: str) -> str:
+    """missing, outdated (another builder made it), stale (the entities have changed since) or fresh."""
+    from quillon.sources.store import exists
+
+    if not exists(spark, f"{path}/meta/_SUCCESS"):
+        return "missing"
+    meta = spark.read.schema(META).json(f"{path}/meta").first()
+    return "outdated" if meta["builder"] != BUILDER else "stale" if meta["source"] != source else "fresh"
+
+
+def ensure_index(spark: SparkSession, entities: DataFrame, path: str, source: str) -> str:
+    """Build the index unless it is fresh; returns the status it had."""
+    status = index_status(spark, path, source)
+    if status != "fresh":
+        build_index(entities, path, source)
+    return status
+
+
+def phrase_hits(spark: SparkSession, path: str, groups: Sequence[Sequence[str]]) -> DataFrame:
+    """(phrase, grp, kind, id, year, evidence, len, tf) of the phrases of each group; tf weighs names more.
+
+    Only the partitions and row groups of the phrases' terms are read. The words of a phrase must follow each other in
+    one field.
+    """
+    phrases = [(g, p.split()) for g, group in enumerate(groups) for p in dict.fromkeys(x.lower() for x in group)]
+    wanted = [(i, g, len(words), at, w) for i, (g, words) in enumerate(phrases) for at, w in enumerate(words)]
+    query = spark.createDataFrame(wanted, "phrase int, grp int, size int, at int, term string")  # as long as the query
+    names = sorted({w[4] for w in wanted})
+    buckets = spark.createDataFrame([(n,) for n in names], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    rows = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(*{r[0] for r in buckets.collect()}) & F.col("term").isin(*names))
+    hits = rows.join(F.broadcast(query), "term")
+    info = ["phrase", "grp", *KEY, "year", "evidence", "len"]
+    single = hits.where("size = 1").select(*info, (NAME_WEIGHT * F.size("name") + F.size("body")).alias("tf"))
+    starts = lambda f: F.transform(F.col(f), lambda x: F.struct(F.lit(NAME_WEIGHT if f == "name" else 1.0).alias("w"), F.lit(f).alias("field"), (x - F.col("at")).alias("start")))
+    places = hits.where("size > 1").select(*info, "size", "at", F.explode(F.concat(starts("name"), starts("body"))).alias("p"))
+    whole = places.groupBy(*info, "size", "p").agg(F.count("*").alias("got")).where("got = size")
+    several = whole.groupBy(*info).agg(F.sum("p.w").alias("tf"))
+    return single.union(several)
+
 
-    A term's frequency is weighted by field; a document's length is all its tokens, unweighted. Rare terms weigh
-    ln((N - n + 0.5) / (n + 0.5)), at least 1e-6. Counts of the query's terms are taken in one narrow pass.
+def bm25(spark: SparkSession, path: str, groups: Sequence[Sequence[str]], every: bool = True, kinds: Sequence[str] | None = None) -> DataFrame:
+    """(kind, id, year, evidence, text): BM25 of the entities that have a phrase of every group, or of any group.
+
+    A rare phrase weighs ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; an entity's length is all its words.
     """
-    count = lambda f, q: F.size(F.filter(terms(f), lambda x: x == q))
-    length = sum((F.size(terms(f)) for f in fields), F.lit(0))
-    freqs = [sum((F.lit(w) * count(f, q) for f, w in fields.items()), F.lit(0.0)).alias(f"f{i}") for i, q in enumerate(query)]
-    d = docs.select(key, length.alias("len"), *freqs)
-    stats = d.agg(F.count("*").alias("N"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg_len"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(query))))
-    d = d.crossJoin(F.broadcast(stats))  # a single row
-    score, found = F.lit(0.0), F.lit(False)
-    for i in range(len(query)):
-        f, n = F.col(f"f{i}"), F.col(f"n{i}")
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("N") - n + 0.5) / (n + 0.5)))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-        found = found | (f > 0)
-    return d.where(found).select(key, score.alias("score"))
+    hits = phrase_hits(spark, path, groups)
+    n = F.broadcast(hits.groupBy("phrase").agg(F.count("*").alias("n")))  # a row a phrase
+    meta = F.broadcast(spark.read.schema(META).json(f"{path}/meta").select("entities", "mean_len"))  # a single row
+    if kinds is not None:
+        hits = hits.where(F.col("kind").isin(*kinds))
+    h = hits.join(n, "phrase").crossJoin(meta)
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("entities") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    worth = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+    found = h.groupBy(*KEY, "year", "evidence").agg(F.sum(worth).alias("text"), F.count_distinct("grp").alias("_groups"))
+    return (found.where(F.col("_groups") == len(groups)) if every else found).drop("_groups")
+
+
+def recency(year: str, first: int = 1990, span: float = 30.0) -> Column:
+    """0 for an old or unknown year, 1 for a new one, a ramp between."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(year) - first) / span)), F.lit(0.0))
+
+
+def ranked(hits: DataFrame, limit: int) -> DataFrame:
+    """(kind, id, text, evidence, recency, score): the best hits by text, evidence and recency; ties by kind and id.
+
+    Text scores are stretched to 0 to 1 over all hits; a flat pool counts as 1.
+    """
+    span = F.broadcast(hits.agg(F.min("text").alias("_low"), F.max("text").alias("_high")))  # a single row
+    flat = F.col("_high") == F.col("_low")
+    text = F.when(flat, 1.0).otherwise(F.try_divide(F.col("text") - F.col("_low"), F.col("_high") - F.col("_low")))
+    s = hits.crossJoin(span).select(*KEY, text.alias("text"), F.coalesce("evidence", F.lit(0.0)).alias("evidence"), recency("year").alias("recency"))
+    s = s.withColumn("score", F.bround(TEXT * F.col("text") + EVIDENCE * F.col("evidence") + RECENCY * F.col("recency"), 6))
+    return s.orderBy(F.desc("score"), *KEY).limit(limit)
+
+
+def search(spark: SparkSession, path: str, words: Sequence[str], synonyms: dict[str, Sequence[str]] | None = None, kinds: Sequence[str] | None = None, limit: int = 10) -> DataFrame:
+    """Entities that have every word or a synonym of it, ranked; each word or synonym is a phrase."""
+    groups = [[w, *(synonyms or {}).get(w.lower(), ())] for w in words]
+    return ranked(bm25(spark, path, groups, True, kinds), limit)
 
 
 def match(column: str, groups: Sequence[Sequence[str]]) -> Column:
@@ -57,6 +147,13 @@ def match(column: str, groups: Sequence[Sequence[str]]) -> Column:
 
 
 def synonyms(df: DataFrame, entity: str, name: str) -> DataFrame:
-    """Ordered pairs of different names of one entity."""
+    """Ordered pairs of different names of one entity: n * (n - 1) for n names."""
     other = df.select(entity, F.col(name).alias("synonym"))
     return df.select(entity, F.col(name).alias("name")).join(other, entity).where("name <> synonym").select("name", "synonym").distinct()
+
+
+def dictionary(pairs: DataFrame, words: Sequence[str]) -> dict[str, list[str]]:
+    """Synonyms of a query's words from pairs (name, synonym); only the words' own rows come to the driver."""
+    low = [w.lower() for w in words]
+    rows = pairs.where(F.lower("name").isin(*low)).select(F.lower("name").alias("name"), F.lower("synonym").alias("synonym")).distinct().orderBy("name", "synonym").collect()
+    return {w: [r["synonym"] for r in rows if r["name"] == w] for w in low}

@@ -47,8 +47,9 @@ def size_factors(long: DataFrame, gene: str, sample: str, count: str) -> DataFra
     A cell that the long table lacks is a zero, so a gene must have as many positive cells as there are samples.
     """
     samples = long.select(sample).distinct()
-    n = samples.count()
-    full = long.where(F.col(count) > 0).groupBy(gene).agg(F.avg(F.log(count)).alias("_m"), F.count("*").alias("_k")).where(F.col("_k") == n)
+    n = F.broadcast(samples.agg(F.count("*").alias("_n")))  # a single row
+    genes = long.where(F.col(count) > 0).groupBy(gene).agg(F.avg(F.log(count)).alias("_m"), F.count("*").alias("_k"))
+    full = genes.crossJoin(n).where("_k = _n").select(gene, "_m")
     ratio = long.join(full, gene).groupBy(sample).agg(F.exp(F.median(F.log(count) - F.col("_m"))).alias("factor"))
     return samples.join(ratio, sample, "left").na.fill(1.0, ["factor"])
 
@@ -60,13 +61,43 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> Da
 
 
 def spearman_pairs(long: DataFrame, gene: str, sample: str, count: str) -> DataFrame:
-    """(a, b, rho) of every ordered pair of different samples, over the genes that both have; NaN becomes 0."""
+    """(a, b, rho) of every ordered pair of different samples, over the genes that both have; NaN becomes 0.
+
+    Each pair is worked out once and mirrored. Samples that have all genes of either are ranked once each; only pairs that
+    lack a gene on one side, which shifts the ranks, are ranked pair by pair.
+    """
     a = long.select(gene, F.col(sample).alias("a"), F.col(count).alias("x"))
     b = long.select(gene, F.col(sample).alias("b"), F.col(count).alias("y"))
-    both = a.join(b, gene).where("a <> b")
+    size = long.groupBy(F.col(sample).alias("_s")).agg(F.count("*").alias("_genes"))
+    whole = average_ranks(long, [sample], count, "_rank")
+    left = whole.select(gene, F.col(sample).alias("a"), F.col("_rank").alias("rx"))
+    right = whole.select(gene, F.col(sample).alias("b"), F.col("_rank").alias("ry"))
+    once = left.join(right, gene).where("a < b").groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("_both"))
+    once = once.join(F.broadcast(size.toDF("a", "_na")), "a").join(F.broadcast(size.toDF("b", "_nb")), "b")  # a row a sample
+    same = (F.col("_both") == F.col("_na")) & (F.col("_both") == F.col("_nb"))
+    partial = once.where(~same).select("a", "b")
+    both = a.join(b, gene).join(partial, ["a", "b"])
     ranked = average_ranks(average_ranks(both, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
-    rho = ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"))
-    return rho.withColumn("rho", F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0)))
+    rho = once.where(same).select("a", "b", "rho").union(ranked.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho")))
+    rho = rho.withColumn("rho", F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0)))
+    return rho.union(rho.select("b", "a", "rho"))
+
+
+def library_limits(long: DataFrame, gene: str, sample: str, count: str, study: str, expressed: float = 1.0) -> DataFrame:
+    """(study, samples, genes, sd_closest, detectable_log2fc): what a matrix of samples in studies lets a contrast find.
+
+    sd_closest is half the spread, as 1.4826 * MAD / sqrt(2), of the log ratio of a study's two most alike samples over
+    genes that are expressed in both; null for a study of one sample. detectable_log2fc is the least change that two
+    groups of three such samples show with 80 % power at 5 %.
+    """
+    logs = long.select(study, gene, F.col(sample).alias("a"), F.log2(F.col(count) + 1).alias("x"), F.col(count).alias("_c"))
+    both = logs.join(logs.select(study, gene, F.col("a").alias("b"), F.col("x").alias("y"), F.col("_c").alias("_d")), [study, gene])
+    pairs = both.where(F.col("a") < F.col("b")).where((F.col("_c") >= expressed) & (F.col("_d") >= expressed)).withColumn("r", F.col("x") - F.col("y"))
+    mid = pairs.groupBy(study, "a", "b").agg(F.median("r").alias("m"))
+    spread = pairs.join(mid, [study, "a", "b"]).groupBy(study, "a", "b").agg((1.4826 * F.median(F.abs(F.col("r") - F.col("m"))) / math.sqrt(2)).alias("sd"))
+    sd = spread.groupBy(study).agg(F.min("sd").alias("sd_closest"))
+    size = long.groupBy(study).agg(F.count_distinct(sample).alias("samples"), F.count_distinct(gene).alias("genes"))
+    return size.join(sd, study, "left").withColumn("detectable_log2fc", (1.959963985 + 0.841621234) * F.col("sd_closest") * math.sqrt(2 / 3))
 
 
 # ---------------------------------------------------------------- distributions

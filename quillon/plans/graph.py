@@ -12,22 +12,54 @@ from quillon.sources.standins import Tables
 
 @query(
     "route_product",
-    "SELECT a.part_id AS part_0, b.part_id AS part_1, c.part_id AS part_2 FROM v_route_part a, v_route_part b, v_route_part c WHERE a.step_role = 0 AND b.step_role = 1 AND c.step_role = 2",
+    "SELECT a.part_id AS part_0, b.part_id AS part_1, c.part_id AS part_2, d.part_id AS part_3, e.part_id AS part_4 FROM v_route_part a, v_route_part b, v_route_part c, v_route_part d, v_route_part e WHERE a.step_role = 0 AND b.step_role = 1 AND c.step_role = 2 AND d.step_role = 3 AND e.step_role = 4",
 )
 def route_product(t: Tables) -> DataFrame:
-    return G.route_product(t.v_route_part, [0, 1, 2], "part_id", "step_role")
+    return G.route_product(t.v_route_part, [0, 1, 2, 3, 4], "part_id", "step_role")
 
 
 @query(
     "power_set",
-    """WITH i AS (SELECT list_sort(list(part_id)) AS a FROM v_route_part WHERE step_role = 3), m AS (SELECT a, unnest(range(0, 1 << len(a))) AS mask FROM i),
+    """WITH i AS (SELECT list_sort(list(part_id)) AS a FROM v_route_part WHERE step_role = 5), m AS (SELECT a, unnest(range(0, 1 << len(a))) AS mask FROM i),
     s AS (SELECT list_filter(a, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS s FROM m) SELECT array_to_string(s, ',') AS subset, len(s)::INT AS size FROM s""",
 )
 def power_set(t: Tables) -> DataFrame:
-    out = G.power_set(t.v_route_part.where("step_role = 3"), "part_id")
+    out = G.power_set(t.v_route_part.where("step_role = 5"), "part_id")
     return out.select(F.array_join(F.transform("subset", lambda x: x.cast("string")), ",").alias("subset"), "size")
 
 
+#: (strategy, role, compartment, encoding, feasibility), and carriers between compartments.
+_STRATEGIES = [(s, r, "matrix" if s == "B" or (s == "C" and r < 3) else "cytosol", "mitochondrial" if s == "C" and r in (1, 2) else "nuclear", f) for s, f in (("A", 1.0), ("B", 0.7), ("C", 0.4)) for r in range(5)]
+_PLAN = "(VALUES " + ", ".join(f"('{s}', {r}, '{c}', '{e}', {f})" for s, r, c, e, f in _STRATEGIES) + ") p(strategy, role, compartment, encoding, feasibility)"
+
+
+@query(
+    "route_enumerate",
+    f"""WITH c AS (SELECT a.part_id AS p0, b.part_id AS p1, c.part_id AS p2, d.part_id AS p3, e.part_id AS p4 FROM v_route_part a, v_route_part b, v_route_part c, v_route_part d, v_route_part e
+      WHERE a.step_role = 0 AND b.step_role = 1 AND c.step_role = 2 AND d.step_role = 3 AND e.step_role = 4),
+    i AS (SELECT coalesce(list_sort(list(part_id)), []) AS a FROM v_route_part WHERE step_role = 5), m AS (SELECT a, unnest(range(0, 1 << len(a))) AS mask FROM i),
+    s AS (SELECT list_filter(a, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS cycle FROM m),
+    g AS (SELECT strategy, max(feasibility)::DOUBLE AS feasibility, count(*) FILTER (encoding = 'mitochondrial') AS recodings, (max(compartment) FILTER (role = 2) <> max(compartment) FILTER (role = 3))::INT AS gaps FROM {_PLAN} GROUP BY strategy)
+    SELECT strategy || ':' || p0 || '+' || p1 || '+' || p2 || '+' || p3 || '+' || p4 || CASE WHEN len(cycle) > 0 THEN '+cycle:' || array_to_string(cycle, '+') ELSE '' END AS route_id, strategy, len(cycle)::INT AS cycle_size,
+      round(1.0 / (1 + recodings), 6)::DOUBLE AS balance_score, round(1.0 / (1 + gaps), 6)::DOUBLE AS transport_score, feasibility FROM c, s, g""",
+)
+def route_enumerate(t: Tables) -> DataFrame:
+    strategies = t._spark.createDataFrame(_STRATEGIES, "strategy string, role int, compartment string, encoding string, feasibility double")
+    carriers = t._spark.createDataFrame([("cytosol", "matrix")], "source string, target string")
+    r = G.enumerate_routes(t.v_route_part, strategies, [0, 1, 2, 3, 4], 5, [(0, 1), (1, 2), (2, 3), (3, 4)], carriers)
+    return r.select("route_id", "strategy", F.size("cycle").alias("cycle_size"), F.round("balance_score", 6).alias("balance_score"), F.round("transport_score", 6).alias("transport_score"), "feasibility")
+
+
+@query(
+    "insertion_plan",
+    "WITH f AS (SELECT min(n_nationkey) FILTER (n_regionkey = 2) AS free, count(*) FILTER (n_regionkey <> 2 AND n_nationkey % 2 = 0) AS costly FROM nation) SELECT 'r' || part_id AS route_id, part_id AS part, n.n_name AS locus, n.n_regionkey = 2 AS keeps_respiration, f.costly AS alternatives FROM v_route_part, f JOIN nation n ON n.n_name = (SELECT min(n_name) FROM nation WHERE n_regionkey = 2) WHERE step_role IN (1, 2)",
+)
+def insertion_plan(t: Tables) -> DataFrame:
+    loci = t.nation.select(F.col("n_name").alias("locus"), F.concat(F.lit("leader "), F.col("n_nationkey").cast("string")).alias("leader"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")).alias("activators"), F.lower("n_name").alias("displaces"), (F.col("n_regionkey") == 2).alias("free"))
+    carried = t.v_route_part.where("step_role IN (1, 2)").select(F.concat(F.lit("r"), F.col("part_id").cast("string")).alias("route_id"), F.col("part_id").alias("part"))
+    return G.insertion_plan(carried, loci).select("route_id", "part", "locus", "keeps_respiration", "alternatives")
+
+
 @query(
     "balance_by_bucket",
     """SELECT p.reaction_id, v.tier AS compartment, round(sum(CASE WHEN p.role = 'substrate' THEN -p.coefficient ELSE p.coefficient END), 6) AS net, bool_or(v.carbons < 3) AS unknown,

@@ -36,10 +36,10 @@ def gene_page(t: Tables) -> DataFrame:
     return p.groupBy("product_id", "name").agg(F.count_distinct("reaction_id").alias("reactions"), F.count_if(F.col("role") == "substrate").alias("as_substrate"))
 
 
-@query("dual_coded", "SELECT p_brand AS compartment, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genomes, count(DISTINCT p_type) > 1 AS dual FROM part WHERE p_size < 4 GROUP BY p_brand")
+@query("dual_coded", "SELECT p_brand AS compartment, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS genomes, count(DISTINCT p_type) > 1 AS dual FROM part GROUP BY p_brand")
 def dual_coded(t: Tables) -> DataFrame:
     kinds = F.array_sort(F.collect_set("p_type"))
-    return t.part.where("p_size < 4").groupBy(F.col("p_brand").alias("compartment")).agg(F.array_join(kinds, ",").alias("genomes"), (F.size(kinds) > 1).alias("dual"))
+    return t.part.groupBy(F.col("p_brand").alias("compartment")).agg(F.array_join(kinds, ",").alias("genomes"), (F.size(kinds) > 1).alias("dual"))
 
 
 @query("runs_list", "SELECT event_id, user_id, value FROM events WHERE event_type = 'signup' AND value > 100 ORDER BY value DESC, event_id LIMIT 100")

@@ -11,6 +11,8 @@ from quillon.functions import sections as SEC
 from quillon.functions import sequence as Q
 from quillon.functions import text as X
 from quillon.registry import query
+from quillon.sources.files import location
+from quillon.sources.landed import first_hit, go_annotations, search_ids, series
 from quillon.sources.standins import Tables
 
 
@@ -446,3 +448,62 @@ def peptide_compare(t: Tables) -> DataFrame:
 def qc_identity(t: Tables) -> DataFrame:
     p = _sequences(t).select((Q.translate(F.col("s"), 1) == Q.translate(F.col("s"), 3)).alias("same"))
     return p.agg(F.count("*").alias("n"), F.count_if("same").alias("identical")).withColumn("passed", F.col("identical") / F.col("n") >= 0.995)
+
+
+@query(
+    "mito_translation",
+    f"""WITH p AS (SELECT doc_id, split_part({_PROTEIN.format(_AMINO1)}, '*', 1) AS a, split_part({_PROTEIN.format(_AMINO3)}, '*', 1) AS b FROM {_D} x)
+    SELECT doc_id, doc_id % 2 = 0 OR a = b AS matches_table3, doc_id % 2 = 1 OR a = b AS matches_table1 FROM p""",
+)
+def mito_translation(t: Tables) -> DataFrame:
+    # every second reference protein was made under the other table
+    s = _sequences(t).withColumn("reference", F.when(F.col("doc_id") % 2 == 0, Q.translate(F.col("s"), 3, to_stop=True)).otherwise(Q.translate(F.col("s"), 1, to_stop=True)))
+    return s.select("doc_id", Q.verify_translation(F.col("s"), F.col("reference")).alias("v")).select("doc_id", "v.matches_table3", "v.matches_table1")
+
+
+@query(
+    "insdc_location",
+    "SELECT p_partkey, p_size - 1 AS start_pos, p_size + 300 AS end_pos, CASE WHEN p_partkey % 2 = 0 THEN -1 ELSE 1 END AS strand, 3 AS segments, p_partkey % 3 = 0 AS open_start FROM part",
+)
+def insdc_location(t: Tables) -> DataFrame:
+    n = lambda by: (F.col("p_size") + by).cast("string")
+    spans = F.concat(F.lit("join("), F.when(F.col("p_partkey") % 3 == 0, "<").otherwise(""), n(0), F.lit(".."), n(90), F.lit(",J00194.1:1..99,"), n(200), F.lit("..>"), n(300), F.lit(")"))
+    said = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("complement("), spans, F.lit(")"))).otherwise(spans)
+    l = t.part.select("p_partkey", location(said).alias("l"))  # noqa: E741
+    return l.select("p_partkey", F.col("l.start").alias("start_pos"), F.col("l.end").alias("end_pos"), "l.strand", F.size("l.segments").alias("segments"), F.col("l.segments")[0]["open_start"].alias("open_start"))
+
+
+_SOURCES = [("europe", "CASE WHEN p_size % 2 = 0 THEN concat('e', p_partkey) END"), ("unpaid", "CASE WHEN p_size % 3 = 0 THEN concat('u', p_partkey) END"), ("archive", "CASE WHEN p_size % 5 = 0 THEN concat('a', p_partkey) END")]
+
+
+@query("open_access", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'europe' WHEN p_size % 3 = 0 THEN 'unpaid' WHEN p_size % 5 = 0 THEN 'archive' ELSE 'none' END AS source, CASE WHEN p_size % 2 = 0 THEN 'e' || p_partkey WHEN p_size % 3 = 0 THEN 'u' || p_partkey WHEN p_size % 5 = 0 THEN 'a' || p_partkey END AS url FROM part")
+def open_access(t: Tables) -> DataFrame:
+    return first_hit([(name, t.part.select("p_partkey", F.expr(sql).alias("url"))) for name, sql in _SOURCES], "p_partkey", F.col("url").isNotNull())
+
+
+@query(
+    "search_pages",
+    "SELECT 'id' || (k * 7) AS id, min(i) AS place FROM (SELECT event_id % 400 AS k, event_id AS i FROM events) x GROUP BY k",
+)
+def search_pages(t: Tables) -> DataFrame:
+    # answers of ten records a page, in which records come again
+    page = F.floor(F.col("event_id") / 10)
+    one = F.struct(F.col("event_id").alias("i"), F.concat(F.lit("id"), (F.col("event_id") % 400 * 7).cast("string")).alias("id"))
+    p = t.events.groupBy(page.alias("page")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["id"]).alias("ids"))
+    body = F.to_json(F.struct(F.struct((F.col("page") * 10).cast("string").alias("retstart"), F.col("ids").alias("idlist")).alias("esearchresult")))
+    return search_ids(p.select(body.alias("body")))
+
+
+@query("series_records", "SELECT 'GSE' || p_partkey AS accession, 'Study of ' || p_name AS title, p_size AS n_samples, 2 AS papers FROM part WHERE p_partkey % 3 <> 0")
+def series_records(t: Tables) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    record = F.struct(F.concat(F.when(F.col("p_partkey") % 3 == 0, "GPL").otherwise("GSE"), text("p_partkey")).alias("accession"), F.concat(F.lit("Study of "), "p_name").alias("title"), F.lit("yeast").alias("taxon"), F.col("p_size").alias("n_samples"), F.array(F.lit("1"), F.lit("2")).alias("pubmedids"))
+    body = F.concat(F.lit('{"result":{"uids":["1"],"'), text("p_partkey"), F.lit('":'), F.to_json(record), F.lit("}}"))
+    return series(t.part.select(body.alias("body"))).select("accession", "title", "n_samples", F.size("pubmed_ids").alias("papers"))
+
+
+@query("go_answers", "SELECT p_partkey AS gene, 'GO:' || p_size AS term, 'IDA' AS evidence, p_size % 2 = 0 AS negated FROM part")
+def go_answers(t: Tables) -> DataFrame:
+    one = F.struct(F.concat(F.lit("GO:"), F.col("p_size").cast("string")).alias("goId"), F.lit("IDA").alias("goEvidence"), F.when(F.col("p_size") % 2 == 0, "NOT|part_of").otherwise("part_of").alias("qualifier"))
+    body = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.struct(F.array(one).alias("results")))).otherwise(F.to_json(F.array(one)))
+    return go_annotations(t.part.select(F.col("p_partkey").alias("gene"), body.alias("body")), "gene").select("gene", "term", "evidence", "negated")

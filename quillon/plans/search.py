@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from quillon.operators import search as L
 from quillon.registry import query
+from quillon.sources import store
 from quillon.sources.standins import Tables
 
 _TK = "unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 _NAME = "array_to_string(regexp_extract_all(text, '[A-Za-z0-9]+')[1:8], ' ')"
 
 
-def _docs(t: Tables) -> DataFrame:
-    """Documents with their first eight words as a name."""
+def _documents(t: Tables) -> DataFrame:
+    """Documents as entities, with their first eight words as a name."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return t.documents.select("doc_id", F.array_join(F.slice(words, 1, 8), " ").alias("name"), F.col("text").alias("body"))
+    evidence = F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.2).otherwise(0.0)
+    return t.v_document.select(F.lit("publication").alias("kind"), F.col("doc_id").alias("id"), F.array_join(F.slice(words, 1, 8), " ").alias("name"), F.col("text").alias("body"), "year", evidence.alias("evidence"))
+
+
+def _index(t: Tables, name: str, entities: DataFrame, *sources: DataFrame) -> str:
+    """Path of a fresh index of entities, built unless it is there."""
+    path = store.scratch(t._spark, f"index-{name}-{t._dir.strip('/').replace('/', '-')}")
+    L.ensure_index(t._spark, entities, path, "-".join(map(store.fingerprint, sources)))
+    return path
 
 
 @query("index_postings", f"SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, {_TK} AS term FROM documents) x GROUP BY term, doc_id")
@@ -39,7 +48,8 @@ _BM25 = f"""d AS (SELECT doc_id, {_NAME} AS name, text AS body FROM documents),
 
 @query("bm25", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM b")
 def bm25(t: Tables) -> DataFrame:
-    return L.bm25(_docs(t), "doc_id", {"name": 10.0, "body": 1.0}, ["license", "stupid"]).select("doc_id", F.round("score", 6).alias("score"))
+    path = _index(t, "documents", _documents(t), t.documents, t.labels)
+    return L.bm25(t._spark, path, [["license"], ["stupid"]], every=False).select(F.col("id").alias("doc_id"), F.round("text", 6).alias("score"))
 
 
 @query(
@@ -49,14 +59,35 @@ def bm25(t: Tables) -> DataFrame:
     SELECT doc_id, round((txt + 7.0 * ev + 0.25 * rec)::DOUBLE, 6) AS score FROM m ORDER BY score DESC, doc_id LIMIT 20""",
 )
 def lexical_rank(t: Tables) -> DataFrame:
-    hits = L.bm25(_docs(t), "doc_id", {"name": 10.0, "body": 1.0}, ["license", "stupid"])
-    j = hits.join(t.v_document.select("doc_id", "quality", "year"), "doc_id")
-    span = hits.agg(F.min("score").alias("low"), F.max("score").alias("high"))  # a single row
-    j = j.crossJoin(F.broadcast(span))
-    txt = F.when(F.col("high") == F.col("low"), 1.0).otherwise(F.try_divide(F.col("score") - F.col("low"), F.col("high") - F.col("low")))
-    ev = F.when(F.col("quality") == 1, 1.0).when(F.col("quality") == 0, 0.2).otherwise(0.0)
-    rec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("year") - 1990) / 30.0))
-    return j.select("doc_id", F.round(txt + 7.0 * ev + 0.25 * rec, 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
+    path = _index(t, "documents", _documents(t), t.documents, t.labels)
+    hits = L.bm25(t._spark, path, [["license"], ["stupid"]], every=False)
+    return L.ranked(hits, 20).select(F.col("id").alias("doc_id"), "score")
+
+
+@query(
+    "search_entities",
+    """WITH g AS (SELECT kind, id, year, evidence, ' ' || array_to_string(regexp_extract_all(lower(name), '[a-z0-9]+'), ' ') || ' ' AS n, ' ' || array_to_string(regexp_extract_all(lower(body), '[a-z0-9]+'), ' ') || ' ' AS b,
+      len(regexp_extract_all(lower(name), '[a-z0-9]+')) + len(regexp_extract_all(lower(body), '[a-z0-9]+')) AS len FROM v_entity),
+    p AS (SELECT * FROM (VALUES (0, 'brand'), (0, 'apache license'), (0, 'nation'), (1, '1'), (1, 'version 2')) p(grp, phrase)),
+    f AS (SELECT g.*, p.grp, p.phrase, 10.0::DOUBLE * (len(string_split(n, ' ' || phrase || ' ')) - 1) + len(string_split(replace(b, ' ', '  '), ' ' || replace(phrase, ' ', '  ') || ' ')) - 1 AS tf FROM g, p),
+    h AS (SELECT *, count(*) OVER (PARTITION BY phrase) AS df FROM f WHERE tf > 0),
+    s AS (SELECT kind, id, year, evidence, sum(greatest(1e-6, ln(((SELECT count(*) FROM g) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len) FROM g WHERE len > 0)))) AS text
+      FROM h GROUP BY ALL HAVING count(DISTINCT grp) = 2),
+    m AS (SELECT *, CASE WHEN max(text) OVER () = min(text) OVER () THEN 1.0 ELSE (text - min(text) OVER ()) / (max(text) OVER () - min(text) OVER ()) END AS txt FROM s)
+    SELECT kind, id, round((txt + 7.0 * evidence + 0.25 * greatest(0.0, least(1.0, (year - 1990) / 30.0)))::DOUBLE, 6) AS score FROM m ORDER BY score DESC, kind, id LIMIT 25""",
+)
+def search_entities(t: Tables) -> DataFrame:
+    path = _index(t, "entities", t.v_entity, t.documents, t.supplier, t.part, t.nation, t.customer, t.region, t.benchmark, t.pages)
+    groups = {"brand": ["apache license", "nation"], "1": ["version 2"]}
+    return L.search(t._spark, path, list(groups), groups, limit=25).select("kind", "id", "score")
+
+
+@query("index_report", "SELECT 'fresh' AS status, 'stale' AS other_source, count(*) AS entities FROM v_entity")
+def index_report(t: Tables) -> DataFrame:
+    path = _index(t, "entities", t.v_entity, t.documents, t.supplier, t.part, t.nation, t.customer, t.region, t.benchmark, t.pages)
+    source = "-".join(map(store.fingerprint, (t.documents, t.supplier, t.part, t.nation, t.customer, t.region, t.benchmark, t.pages)))
+    status = [F.lit(L.index_status(t._spark, path, x)) for x in (source, "another")]
+    return t._spark.read.schema(L.META).json(f"{path}/meta").select(status[0].alias("status"), status[1].alias("other_source"), "entities")
 
 
 @query("match_phrase_and", "SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents) x WHERE contains(t, ' apache license ') AND (contains(t, ' version ') OR contains(t, ' edition '))")

@@ -207,3 +207,15 @@ def library_split(t: Tables) -> DataFrame:
 def gene_profile(t: Tables) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("sample", "n")))  # as many as there are samples
     return t.v_matrix.groupBy("gene").agg(F.array_join(F.transform(rows, lambda x: F.concat_ws("=", x["sample"].cast("string"), x["n"].cast("string"))), ";").alias("profile"))
+
+
+@query(
+    "library_limits",
+    """WITH m AS (SELECT *, sample % 2 AS study FROM v_matrix), p AS (SELECT a.study, a.sample AS a, b.sample AS b, log2(a.n + 1) - log2(b.n + 1) AS r FROM m a JOIN m b ON a.study = b.study AND a.gene = b.gene AND a.sample < b.sample AND a.n >= 1 AND b.n >= 1),
+    d AS (SELECT study, a, b, r, median(r) OVER (PARTITION BY study, a, b) AS mid FROM p), s AS (SELECT study, a, b, 1.4826 * median(abs(r - mid)) / sqrt(2) AS sd FROM d GROUP BY study, a, b), c AS (SELECT study, min(sd) AS sd FROM s GROUP BY study)
+    SELECT m.study, count(DISTINCT sample) AS samples, count(DISTINCT gene) AS genes, round(any_value(c.sd), 6) AS sd_closest, round(2.801585219 * any_value(c.sd) * sqrt(2.0 / 3), 6) AS detectable FROM m LEFT JOIN c ON c.study = m.study GROUP BY m.study""",
+)
+def library_limits(t: Tables) -> DataFrame:
+    m = t.v_matrix.withColumn("study", F.col("sample") % 2)
+    r = S.library_limits(m, "gene", "sample", "n", "study")
+    return r.select("study", "samples", "genes", F.round("sd_closest", 6).alias("sd_closest"), F.round("detectable_log2fc", 6).alias("detectable"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GFF3 = "seqid string, source string, type string, start long, end long, score string, strand string, phase string, attributes string"
@@ -17,7 +17,7 @@ GAF = (
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Tab-separated text with a heading; lines that begin with # are comments, blanks are NULL and never 0."""
-    reader = spark.read.option("comment", "#").option("sep", "\t").option("header", True).option("nullValue", "")
+    reader = spark.read.option("comment", "#").option("sep", "\t").option("header", True).option("nullValue", "").option("quote", "")
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -37,13 +37,27 @@ def matrix_samples(spark: SparkSession, path: str) -> list[str]:
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     """Features with half-open starts from 0, attributes as a map of lists, and the owner: the parent, or the id itself."""
-    rows = spark.read.option("sep", "\t").option("comment", "#").schema(GFF3).csv(path)
-    pairs = F.transform(F.filter(F.split("attributes", ";"), lambda x: x.contains("=")), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.split(F.regexp_replace(x, "^[^=]*=", ""), ",").alias("v")))
-    out = rows.withColumn("attributes", F.map_from_entries(pairs))
+    rows = spark.read.option("sep", "\t").option("comment", "#").option("quote", "").schema(GFF3).csv(path)
+    out = rows.withColumn("attributes", gff_attributes(F.col("attributes")))
     first = lambda k: F.get(F.try_element_at("attributes", F.lit(k)), F.lit(0))
     return out.withColumns({"start": F.col("start") - 1, "id": first("ID"), "owner": F.coalesce(first("Parent"), first("ID"))})
 
 
+def unescaped(c: Column) -> Column:
+    """Text with its %XX escapes read as UTF-8; a plus sign is a plus sign."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def gff_attributes(c: Column) -> Column:
+    """Attributes of a line as a map of lists. Lists are split before they are unescaped, so an escaped comma stays in its
+    value; a tag that stands twice has both lists' values. An entry without `=` is left out."""
+    entries = F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x.contains("="))
+    pairs = F.transform(entries, lambda x: F.struct(unescaped(F.trim(F.substring_index(x, "=", 1))).alias("k"), F.transform(F.split(F.regexp_replace(x, "^[^=]*=", ""), ","), unescaped).alias("v")))
+    tags = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    values = F.transform(tags, lambda k: F.flatten(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])))
+    return F.map_from_arrays(tags, values)
+
+
 def gene_records(features: DataFrame) -> DataFrame:
     """One row per owner: its span and how many features it owns, of each type."""
     g = features.where("owner IS NOT NULL").groupBy("seqid", "owner")
@@ -52,13 +66,13 @@ def gene_records(features: DataFrame) -> DataFrame:
 
 def read_gaf(spark: SparkSession, path: str) -> DataFrame:
     """Gene annotation lines; `negated` marks NOT qualifiers, which state an absence."""
-    rows = spark.read.option("sep", "\t").option("comment", "!").schema(GAF).csv(path)
+    rows = spark.read.option("sep", "\t").option("comment", "!").option("quote", "").schema(GAF).csv(path)
     return rows.withColumn("negated", F.array_contains(F.split(F.coalesce("qualifier", F.lit("")), "\\|"), "NOT"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(name, description, sequence) of each record; gzip by suffix."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    rows = spark.read.option("lineSep", "\n>").text(path).withColumn("value", F.regexp_replace("value", "^>", "")).where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     body = F.expr("substring(value, length(substring_index(value, '\\n', 1)) + 2)")
     return rows.select(F.substring_index(head, " ", 1).alias("name"), F.trim(F.regexp_replace(head, "^\\S+", "")).alias("description"), F.upper(F.regexp_replace(body, "\\s", "")).alias("sequence"))
@@ -106,9 +120,27 @@ def read_genbank(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "key", "location", "qualifiers"])
 
     out = files.mapInPandas(run, "path string, key string, location string, qualifiers map<string,string>")
-    numbers = F.transform(F.regexp_extract_all("location", F.lit("\\d+"), F.lit(0)), lambda x: x.cast("long"))
-    strand = F.when(F.col("location").startswith("complement"), -1).otherwise(1)
-    return out.select("path", "key", "location", (F.array_min(numbers) - 1).alias("start"), F.array_max(numbers).alias("end"), strand.alias("strand"), "qualifiers")
+    return out.select("path", "key", "location", location(F.col("location")).alias("l"), "qualifiers").select("path", "key", "location", "l.*", "qualifiers")
+
+
+def location(c: Column) -> Column:
+    """(start, end, strand, segments) of an INSDC location: `join`, `order` and `complement`, open ends and remote entries.
+
+    segments are (entry, start, end, open_start, open_end) in written order, half-open from 0; start and end span those of
+    the entry itself. strand is -1 under a complement.
+    """
+    parts = F.regexp_extract_all(c, F.lit("(?:[A-Za-z_][\\w.]*:)?<?\\d+(?:\\.\\.>?\\d+)?"), F.lit(0))
+
+    def segment(x: Column) -> Column:
+        entry = F.nullif(F.regexp_extract(x, "^([A-Za-z_][\\w.]*):", 1), F.lit(""))
+        low = F.regexp_extract(x, "(?:^|:)<?(\\d+)", 1).cast("long")
+        high = F.nullif(F.regexp_extract(x, "\\.\\.>?(\\d+)", 1), F.lit("")).cast("long")
+        return F.struct(entry.alias("entry"), (low - 1).alias("start"), F.coalesce(high, low).alias("end"), x.contains("<").alias("open_start"), x.contains(">").alias("open_end"))
+
+    segments = F.transform(parts, segment)
+    own = F.filter(segments, lambda s: s["entry"].isNull())
+    strand = F.when(c.contains("complement("), -1).otherwise(1)
+    return F.struct(F.array_min(F.transform(own, lambda s: s["start"])).alias("start"), F.array_max(F.transform(own, lambda s: s["end"])).alias("end"), strand.alias("strand"), segments.alias("segments"))
 
 
 def assemble_quantities(quants: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -120,6 +152,12 @@ def assemble_quantities(quants: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def running_phase(segments: DataFrame, model: str) -> DataFrame:
-    """Phase that each CDS segment (start, end) should have: the bases before it modulo 3."""
-    before = Window.partitionBy(model).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("expected_phase", F.pmod(-F.coalesce(F.sum(F.col("end") - F.col("start")).over(before), F.lit(0)), F.lit(3)))
+    """segments (start, end, phase, strand) with the phase that each should have: (3 - bases % 3) % 3 for the bases before it in
+    coding order, less the first segment's own phase; the first segment's stays."""
+    by = Window.partitionBy(model).orderBy("_place")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    sign = F.when(F.col("strand") < 0, -1).otherwise(1) if "strand" in segments.columns else F.lit(1)
+    s = segments.withColumn("_place", F.col("start") * sign)
+    bases = F.sum(F.col("end") - F.col("start")).over(before) - F.first("phase").over(by)
+    expected = F.when(bases.isNull(), F.col("phase")).otherwise(F.pmod(-bases, F.lit(3))).cast("int")
+    return s.withColumn("expected_phase", expected).drop("_place")

@@ -43,6 +43,15 @@ VIEWS: dict[str, str] = {
     "v_document": """
         SELECT d.doc_id, d.text, d.lang, d.source, CAST(1985 + d.doc_id % 40 AS INT) AS year, l.quality, l.toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "v_entity": """
+        SELECT 'publication' AS kind, CAST(doc_id AS BIGINT) AS id, concat('Paper ', doc_id) AS name, coalesce(text, '') AS body, CAST(1985 + doc_id % 40 AS INT) AS year, CASE WHEN doc_id % 3 = 0 THEN 1.0E0 ELSE 0.2E0 END AS evidence FROM documents
+        UNION ALL SELECT 'strain', CAST(s_suppkey AS BIGINT), s_name, concat('nation ', s_nationkey), CAST(2000 AS INT), 0.4E0 FROM supplier
+        UNION ALL SELECT 'product', CAST(p_partkey AS BIGINT), p_name, concat(p_brand, ' ', p_type, ' size ', p_size), CAST(1990 + p_size % 30 AS INT), CASE WHEN p_size > 25 THEN 0.8E0 ELSE 0.0E0 END FROM part
+        UNION ALL SELECT 'organism', CAST(n_nationkey AS BIGINT), n_name, concat('region ', n_regionkey), CAST(NULL AS INT), 0.0E0 FROM nation
+        UNION ALL SELECT 'laboratory', CAST(c_custkey AS BIGINT), c_name, concat(c_mktsegment, ' nation ', c_nationkey), CAST(2010 AS INT), 0.1E0 FROM customer
+        UNION ALL SELECT 'pathway', CAST(r_regionkey AS BIGINT), r_name, concat('region ', r_regionkey, ' brand 1'), CAST(2020 AS INT), 0.6E0 FROM region
+        UNION ALL SELECT 'protocol', CAST(item_id AS BIGINT), concat('Protocol ', item_id), text, CAST(2015 AS INT), 0.3E0 FROM benchmark
+        UNION ALL SELECT 'dataset', CAST(page_id AS BIGINT), url, '', CAST(2005 AS INT), 0.2E0 FROM pages""",
     "v_participant": """
         SELECT l_orderkey AS reaction_id, l_partkey AS metabolite_id, CASE WHEN l_returnflag = 'A' THEN 'substrate' ELSE 'product' END AS role,
           l_quantity AS coefficient, l_linenumber AS line
@@ -53,8 +62,8 @@ VIEWS: dict[str, str] = {
           o_custkey AS extraction_id, CAST(o_orderkey % 5 AS INT) AS attempts
         FROM orders""",
     "v_route_part": """
-        SELECT min(p_partkey) AS part_id, CAST(p_size % 6 AS INT) AS step_role, substr(p_brand, 1, 7) AS compartment, min(p_type) AS enzyme
-        FROM part GROUP BY CAST(p_size % 6 AS INT), substr(p_brand, 1, 7)""",
+        SELECT min(p_partkey) AS part_id, CAST(p_size % 18 % 6 AS INT) AS step_role, min(p_brand) AS compartment, min(p_type) AS enzyme
+        FROM part GROUP BY p_size % 18""",
     "v_paper": """
         SELECT doc_id, concat('Paper ', doc_id, chr(10), 'Background', chr(10), 'We ask about ', source, '.', chr(10), 'Results:', chr(10), 'It holds.', chr(10),
           CASE WHEN doc_id % 2 = 0 THEN concat('1. Introduction', chr(10)) ELSE '' END, text, chr(10),
