@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillon.llm import shared
 from quillon.llm.components import components
@@ -29,9 +30,11 @@ from quillon.llm.wordhash import chunks, shingle_sets
 #: About so many documents are looked at for the order of shingles, in a sketch of so many counters (bits).
 SAMPLE, SKETCH_BITS = 10_000, 22
 #: Nodes that a tile takes of a band, and about how many shingles together.
-TILE, TILE_SHINGLES = 512, 1 << 19
+TILE, TILE_SHINGLES = 128, 1 << 19
 #: Words of 64 bits of the filter for nodes whose texts are needed (a fixed 4 MB); from so many nodes on it isn't used.
 FILTER_BITS, FILTER_NODES = 19, 1 << 22
+#: A shingle that 2**HOT of the sampled documents have is a hot key, whose group is summed up before it is shuffled.
+HOT = 8
 #: Tiles of at most so many nodes are compared pair by pair, larger ones node by node.
 SMALL = 12
 
@@ -99,7 +102,10 @@ def _order_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, name, bitmap, keys) of every document; bitmap and keys only where a task first meets a set."""
+    """(id, n, name, bitmap, keys, hot) of every document; bitmap and keys only where a task first meets a set.
+
+    hot are those of the keys that many documents have.
+    """
     kind = docs.schema["id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(_order_sketch(docs, k))
 
@@ -107,36 +113,44 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         weight, seen = weights.value, set()
         for batch in batches:
             for first, texts in chunks(batch.column(1)):
-                n, names, maps, keys = [], [], [], []
+                n, names, maps, keys, hot = [], [], [], [], []
                 for s in shingle_sets(texts, k):
                     name = _name(s)
                     n.append(len(s))
                     names.append(name)
                     if name is None or name in seen:
-                        maps.append(None)
-                        keys.append(None)
+                        for column in (maps, keys, hot):
+                            column.append(None)
                         continue
                     if len(seen) >= 1 << 20:
                         seen.clear()
                     seen.add(name)
                     maps.append(bitmap(s))
-                    order = np.argsort(weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                    keys.append(s[order[: len(s) - least_overlap(len(s), num, den) + 1]].view(np.int64))
-                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "name", "bitmap", "keys"])
+                    own = weight[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    first_few = np.argsort(own, kind="stable")[: len(s) - least_overlap(len(s), num, den) + 1]
+                    often = own[first_few] >= HOT
+                    keys.append(s[first_few[~often]].view(np.int64))
+                    hot.append(s[first_few[often]].view(np.int64))
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (keys, hot)]
+                columns = [batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(maps, pa.binary()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "name", "bitmap", "keys", "hot"])
 
-    return shared.table(docs.mapInArrow(run, f"id {kind}, n long, name binary, bitmap binary, keys array<long>"))
+    return shared.table(docs.mapInArrow(run, f"id {kind}, n long, name binary, bitmap binary, keys array<long>, hot array<long>"))
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
     """(hub, node, n) of the groups of two nodes or more, the hub being one of them.
 
-    A key's smallest node and size are summed before the shuffle; only keys that two nodes have are joined back, the
-    largest by broadcast, so that a key which a third of all nodes have is no one task's.
+    A rare key's nodes meet in one shuffle, in which its smallest node is looked up. The smallest node of a hot key is
+    summed up before the shuffle and joined back by broadcast, so that a key which a third of all nodes have is no one
+    task's. Two nodes that share a key share it in one of the two ways, as a key is hot for all or for none.
     """
-    posts = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    hubs = posts.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    return shared.joined(posts, shared.table(hubs), ["key"], "members", "inner").select("hub", "node", "n").distinct()
+    posts = lambda c: nodes.select(F.explode(c).alias("key"), "node", "n")
+    own = Window.partitionBy("key")
+    rare = posts("keys").withColumns({"hub": F.min("node").over(own), "members": F.count("*").over(own)}).where("members > 1")
+    hubs = posts("hot").groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    often = shared.joined(posts("hot"), shared.table(hubs), ["key"], "members", "inner")
+    return rare.select("hub", "node", "n").union(often.select("hub", "node", "n")).distinct()
 
 
 def _tiled(members: DataFrame) -> DataFrame:
@@ -355,7 +369,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = _sets(rows, k, num, den)
-    distinct = sets.where("bitmap is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"))
+    distinct = sets.where("bitmap is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"), F.first("hot").alias("hot"))
     nodes = shared.table(distinct.withColumn("node", F.monotonically_increasing_id()))
     members = shared.table(_tiled(shared.table(_groups(nodes))))
     links = _tile_links(_first_tiles(members, nodes), rows, k, num, den)

@@ -100,9 +100,10 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("tile", [3, 512])
-def test_near_groups(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, hot", [(3, 8), (128, 2)])
+def test_near_groups(spark, monkeypatch, tile, hot):
     monkeypatch.setattr(near_dup, "TILE", tile)
+    monkeypatch.setattr(near_dup, "HOT", hot)
     rows = list(enumerate(random_texts()))
     # many documents that share most of a passage, none of them hub of all links
     rng = random.Random(9)
