@@ -15,33 +15,34 @@ def flush_genes(features: DataFrame, reach: int) -> DataFrame:
     """(seqid, owner, start, end, features) of genes from a stream of features (seqid, owner, start, end) in the order of
     their starts, each as soon as the stream of its sequence has gone `reach` bases beyond it.
 
-    State is the open genes of a sequence; the position in the sequence is the watermark. What is still open when a
-    sequence has been silent for a minute is given out then. A feature of a gene that was given out opens it anew.
+    State is the open genes of a sequence; the position in the sequence is the watermark. A row without an owner, which
+    stands for a line that closes all features before it, gives out all that is open. A feature of a gene that was given
+    out opens it anew.
     """
     state = "owner array<string>, start array<long>, end array<long>, n array<long>"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         genes = {o: [s, e, n] for o, s, e, n in zip(*held.get)} if held.exists else {}
-        if held.hasTimedOut:
-            done, genes = genes, {}
-        else:
-            at = 0
-            for pdf in batches:
-                for owner, start, end in zip(pdf["owner"], pdf["start"].tolist(), pdf["end"].tolist()):
-                    gene = genes.setdefault(owner, [start, end, 0])
-                    gene[:] = [min(gene[0], start), max(gene[1], end), gene[2] + 1]
-                    at = max(at, start)
-            done = {o: g for o, g in genes.items() if g[1] + reach < at}
-            genes = {o: g for o, g in genes.items() if o not in done}
+        done: dict[str, list[int]] = {}
+        at = 0
+        for pdf in batches:
+            for owner, start, end in zip(pdf["owner"], pdf["start"].tolist(), pdf["end"].tolist()):
+                if owner is None:
+                    done, genes = done | genes, {}
+                    continue
+                gene = genes.setdefault(owner, [start, end, 0])
+                gene[:] = [min(gene[0], start), max(gene[1], end), gene[2] + 1]
+                at = max(at, start)
+        done |= {o: g for o, g in genes.items() if g[1] + reach < at}
+        genes = {o: g for o, g in genes.items() if o not in done}
         if genes:
             held.update((list(genes), *([g[i] for g in genes.values()] for i in range(3))))
-            held.setTimeoutDuration(60_000)
         elif held.exists:
             held.remove()
         yield pd.DataFrame([(key[0], o, *g) for o, g in sorted(done.items())], columns=["seqid", "owner", "start", "end", "features"])
 
     out = "seqid string, owner string, start long, end long, features long"
-    return features.groupBy("seqid").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return features.groupBy("seqid").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def answer(line: str, tools: dict[str, Callable[[dict], object]]) -> str | None:

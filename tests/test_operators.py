@@ -86,19 +86,26 @@ def test_evidence_rules(spark):
     rows = [(i, a, k, "increases", g, i, "active") for i, (a, k, g) in enumerate(items)]
     ev = spark.createDataFrame(rows, "evidence_id int, assertion_id int, evidence_type string, direction string, independent_group int, publication_id int, status string")
     a = spark.createDataFrame([(i, "L3" if i == 5 else None, i == 6) for i in range(1, 8)], "assertion_id int, level_override string, open_conflict boolean")
-    got = {r.assertion_id: (r.level, r.reason) for r in E.evidence_levels(a, ev).collect()}
-    assert got == {1: ("L1", "single_direct"), 2: ("L2", "replicated_direct"), 3: ("L5", "weak"), 4: ("L4", "model_only"), 5: ("L3", "weak"), 6: (None, "direct_evidence_discordant"), 7: (None, "no_evidence")}
+    got = {r.assertion_id: (r.level, r.derived_reason) for r in E.evidence_levels(a, ev).collect()}
+    weak = "hypothesis_or_insufficient_support"
+    assert got == {1: ("L1", "direct_evidence"), 2: ("L2", "direct_evidence_replicated"), 3: ("L5", weak), 4: ("L4", "computational_only"), 5: ("L3", weak), 6: (None, "direct_evidence_discordant"), 7: (None, "no_evidence")}
 
 
 def test_codes(spark):
     df = spark.createDataFrame([("ATGCTUTGATAAX", "acgtn")], "s string, d string")
     got = df.select(Q.translate(F.col("s"), 1).alias("one"), Q.translate(F.col("s"), 3).alias("three"), Q.translate(F.col("s"), 1, True).alias("stop"), Q.reverse_complement(F.col("d")).alias("rc")).first()
     assert tuple(got) == ("ML**", "MTW*", "ML", "NACGT")
-    one, three, safe = Q.code(1), Q.code(3), Q.dual_safe()
-    assert all(one[safe[c]] == one[c] for c in one)
-    assert all(three[safe[c]] == one[c] for c in one if one[c] in {one[x] for x in one if one[x] == three[x]})
-    there = Q.recode_map(1, 3)
-    assert all(three[there[c]] == one[c] for c in one if one[c] in three.values())
+    one, three, safe = Q.code(1), Q.code(3), Q.recode_map("dual_safe")
+    assert all(one[safe[c]] == one[c] == three[safe[c]] for c in one)
+    assert not {"CGA", "CGC"} & set(safe.values()) and safe["CTG"] == "TTA" and safe["TTG"] == "TTG"
+    there = Q.recode_map("to_table3")
+    assert all(three[there[c]] == one[c] for c in one) and there["ATA"] == "ATT"
+    back = Q.recode_map("to_table1", 3)
+    assert all(one[back[c]] == three[c] for c in one)
+    r = df.select(Q.recode_report(F.lit("ATGCTTCGATGA")).alias("r")).first().r
+    assert tuple(r) == ("ATGTTAAGATAA", 3, 4, 0, 0, True)
+    with pytest.raises(ValueError):
+        Q.recode_map("nuclear")
 
 
 def test_text_normal_form(spark):
@@ -121,12 +128,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("gene\ts1\ts2\ng1\t1\t2\ng2\t0\t5\n")
     assert files.matrix_samples(spark, str(tmp_path / "m.tsv")) == ["s1", "s2"]
     assert {tuple(r) for r in files.read_matrix(spark, str(tmp_path / "m.tsv"), ["s2"]).collect()} == {("g1", "s2", 2.0), ("g2", "s2", 5.0)}
-    (tmp_path / "a.gff3").write_text("##gff-version 3\nc1\tx\tgene\t11\t40\t.\t+\t.\tID=g1;Alias=p,q\nc1\tx\tCDS\t12\t20\t.\t+\t0\tID=c;Parent=g1\n")
+    (tmp_path / "a.gff3").write_text("##gff-version 3\nc1\tx\tgene\t11\t40\t.\t+\t.\tID=g1;Alias=p,q\nc1\tx\tCDS\t12\t20\t.\t+\t0\tID=c;Parent=g1;Note=a%2Cb,\"c;Note=d+e\n")
     got = {r.id: r for r in files.read_gff3(spark, str(tmp_path / "a.gff3")).collect()}
+    assert got["c"].attributes["Note"] == ["a,b", '"c', "d+e"]
     assert got["g1"].start == 10 and got["c"].owner == "g1" and got["g1"].attributes["Alias"] == ["p", "q"]
     assert files.gene_records(files.read_gff3(spark, str(tmp_path / "a.gff3"))).first().features == 2
-    (tmp_path / "a.fa").write_text(">one first seq\nacgt\nAC\n>two\nTT\n")
-    assert {tuple(r) for r in files.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {("one", "first seq", "ACGTAC"), ("two", "", "TT")}
+    (tmp_path / "a.fa").write_text(">one first > seq\nacgt\nAC\n>two\nTT\n")
+    assert {tuple(r) for r in files.read_fasta(spark, str(tmp_path / "a.fa")).collect()} == {("one", "first > seq", "ACGTAC"), ("two", "", "TT")}
     (tmp_path / "a.gaf").write_text("!gaf-version: 2.2\n" + "\t".join(["DB", "S1", "G", "NOT|part_of", "GO:1", "PMID:1", "IMP", "", "P", "", "", "gene", "t", "d", "DB", "", ""]) + "\n")
     assert files.read_gaf(spark, str(tmp_path / "a.gaf")).first().negated
     (tmp_path / "a.gb").write_text('LOCUS X\nFEATURES             Location/Qualifiers\n     gene            complement(join(5..9,\n                     12..20))\n                     /gene="abc"\n                     /note="two words\n                     more"\nORIGIN\n')
