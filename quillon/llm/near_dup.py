@@ -6,10 +6,11 @@
     that puts frequent shingles last makes those keys rare. (Frequencies of a bounded sample set the order; any order
     gives the same links.) The nodes of a key form the group that is named by the key's smallest node, its hub.
 3.  A group is laid out in tiles: by size band, and within a band by hash, so that no tile holds more nodes than it
-    should. Each tile also gets the hub. In a tile bit counts bound all overlaps from above; the pairs that they leave
-    open are settled by intersecting the sorted arrays, best first, and pairs already in one component are left out, so a
-    tile yields no more links than it has nodes.
-4.  Tiles of one group meet afterwards, but only those nodes that aren't in their hub's component by then meet the others.
+    should. First every node stands in one group, that of its smallest hub, whose hub is in each tile. In a tile bit
+    counts bound all overlaps from above; the pairs that they leave open are settled by intersecting the sorted arrays,
+    best first, and pairs already in one component are left out, so a tile yields no more links than it has nodes.
+4.  Then all groups are looked at whose nodes aren't one component by now: the nodes outside their hub's component meet
+    all tiles of the group.
 """
 
 from __future__ import annotations
@@ -331,7 +332,7 @@ def _tile_links(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
 
 
 def _first_tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of every tile with itself, the group's hub in each tile whose sizes may fit it."""
+    """Rows of every tile with itself, and the group's hub in each tile."""
     fields = nodes.select("node", "name", "bitmap")
     tiles = members.groupBy("hub", "tile").agg(F.count("*").alias("members"), F.bool_or(F.col("node") == F.col("hub")).alias("has_hub"))
     guests = tiles.where("NOT has_hub").select("hub", "tile", F.col("hub").alias("node")).join(nodes.select("node", "n"), "node").select("hub", "node", "n", "tile")
@@ -340,17 +341,18 @@ def _first_tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _later_tiles(members: DataFrame, nodes: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of the tile pairs of a group in which a node that isn't in its hub's component meets the other tiles."""
-    several = members.groupBy("hub").agg(F.min("tile").alias("low"), F.max("tile").alias("high"), F.count("*").alias("members")).where("low < high").select("hub", "members")
-    m = shared.joined(members, shared.table(several), ["hub"], "members", "inner").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    m = shared.table(m.select("hub", "node", "n", "tile", "root"))
-    home = m.where("hub = node").select("hub", F.col("root").alias("home"))
-    counts = m.groupBy("hub").agg(F.count("*").alias("members"))
-    m = shared.table(shared.joined(m, shared.table(home.join(counts, "hub")), ["hub"], "members", "inner").withColumn("stranger", F.col("root") != F.col("home")))
-    span = m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_if("stranger").alias("strangers"))
-    span = shared.table(span)
+    """Rows of the tile pairs of a group in which nodes that aren't in their hub's component meet all that is in the group.
+
+    Groups of one component are left out before any bitmap travels.
+    """
+    m = shared.table(members.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")).select("hub", "node", "n", "tile", "root"))
+    home = F.max(F.when(F.col("hub") == F.col("node"), F.col("root"))).alias("home")
+    apart = m.groupBy("hub").agg(home, F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")).where("least < most")
+    m = shared.joined(m, shared.table(apart.select("hub", "home", "members")), ["hub"], "members", "inner")
+    m = shared.table(m.withColumn("stranger", F.col("root") != F.col("home")))
+    span = shared.table(m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_if("stranger").alias("strangers")))
     x, y = span.where("strangers > 0").toDF("hub", "t", "low", "high", "strangers"), span.toDF("hub2", "u", "low2", "high2", "strangers2")
-    fits = (F.col("hub") == F.col("hub2")) & (F.col("t") != F.col("u")) & (F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num)
+    fits = (F.col("hub") == F.col("hub2")) & (F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num)
     meet = shared.table(x.join(y, fits).select("hub", "t", "u"))
     left = m.where("stranger").join(meet.withColumnRenamed("t", "tile"), ["hub", "tile"]).select("hub", F.col("tile").alias("t"), "u", F.lit(0).alias("side"), "node", "n", "root")
     right = m.join(meet.withColumnRenamed("u", "tile"), ["hub", "tile"]).select("hub", "t", F.col("tile").alias("u"), F.lit(1).alias("side"), "node", "n", "root")
@@ -371,10 +373,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _sets(rows, k, num, den)
     distinct = sets.where("bitmap is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"), F.first("hot").alias("hot"))
     nodes = shared.table(distinct.withColumn("node", F.monotonically_increasing_id()))
-    members = shared.table(_tiled(shared.table(_groups(nodes))))
-    links = _tile_links(_first_tiles(members, nodes), rows, k, num, den)
+    groups = shared.table(_groups(nodes))
+    first = shared.table(_tiled(groups.groupBy("node").agg(F.min("hub").alias("hub"), F.first("n").alias("n"))))
+    links = _tile_links(_first_tiles(first, nodes), rows, k, num, den)
     found = components(links)
-    more = _tile_links(_later_tiles(members, nodes, found, num, den), rows, k, num, den)
+    more = _tile_links(_later_tiles(_tiled(groups), nodes, found, num, den), rows, k, num, den)
     if not more.isEmpty():
         found = components(links.union(more))
     least = sets.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
