@@ -41,6 +41,13 @@ class Table:
         self.values: list[list] = []
         self.size = 0
 
+    def add(self, h: int, text: bytes, payload: tuple) -> list:
+        """Keep a payload with a text; its size counts, so a text that many rows have fills the table too."""
+        values = self.values_of(h, text)
+        values.append(payload)
+        self.size += 48
+        return values
+
     def values_of(self, h: int, text: bytes) -> list:
         """The list kept with a text; new and empty for a new text."""
         mask = len(self.slots) - 1
@@ -86,10 +93,10 @@ def grace(records: Iterator[Record], budget: int, folder: str, level: int = 0, p
         if files is not None:
             _spill(files, level, h, text, payload)
             continue
-        values = table.values_of(h, text)
-        values.append(payload)
+        values = table.add(h, text, payload)
         if pick and len(values) > 1:
             values[:] = [pick(values)]
+            table.size -= 48
         if table.size > budget and level < LEVELS and len(table.texts) > 1:
             files = [tempfile.TemporaryFile(dir=folder) for _ in range(FAN_OUT)]
             for h, text, payloads in zip(table.hashes, table.texts, table.values):
@@ -150,8 +157,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = normalise(text.as_py())
                 h = _hash(text)
-                table.values_of(h, text).append((key, uid))
-                table.size += 16
+                table.add(h, text, (key, uid))
                 uid += 1
             if table.size > budget:
                 yield from flush(table)
@@ -199,8 +205,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay by the rules of exact_groups, with all their columns.
 
     Each task passes on one row of its own copies; rows are shuffled once, by hash, and the Grace tables keep the row
-    that stays. Columns may have any names but __h; their values are carried as they are.
+    that stays. Columns may have any names; their values are carried as they are. Of rows that share the smallest id
+    the one that a task meets first stays. An empty table gives no rows.
     """
+    own = shared.free_name(docs.columns, "h")
     at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
     first = lambda rows: min(rows, key=lambda m: _order(m[0]))
 
@@ -214,7 +222,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for batch, rows in zip(held, chosen):
                 rows.sort()
                 kept = batch.take(pa.array([i for i, _ in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([h for _, h in rows], pa.int64())], names=[*batch.schema.names, "__h"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([h for _, h in rows], pa.int64())], names=[*batch.schema.names, own])
 
         for batch in batches:
             for i, (key, text) in enumerate(zip(batch.column(at_id).to_pylist(), batch.column(at_text))):
@@ -250,8 +258,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if rows:
             yield _batch(rows, pa.schema(fields))
 
-    hashed = T.StructType([*docs.schema.fields, T.StructField("__h", T.LongType())])
-    return docs.mapInArrow(local, hashed).repartition(shared.partitions(docs.sparkSession), "__h").mapInArrow(merge, docs.schema)
+    hashed = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    return docs.mapInArrow(local, hashed).repartition(shared.partitions(docs.sparkSession), F.col(f"`{own}`")).mapInArrow(merge, docs.schema)
 
 
 ORACLE = """

@@ -49,6 +49,12 @@ def targets(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...]
     return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
+def draw(seed: int, id_col: str, text_col: str) -> Column:
+    """Seeded hash of a row: of its id, and of its text where the id is null, so that rows without an id draw apart."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    return F.md5(F.concat(F.lit(f"{seed}|"), own))
+
+
 def repetitions(docs: DataFrame, seed: int, share: float, cap: float, weights: tuple[int, ...], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
     """((id, source, size, h), (source, source_size, target, whole, cut)) of the mix.
 
@@ -56,7 +62,7 @@ def repetitions(docs: DataFrame, seed: int, share: float, cap: float, weights: t
     exact: sums of sizes by the hash's first digits find the one bucket in which the fraction ends, and only that
     bucket is ordered.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    h = draw(seed, id_col, text_col)
     base = shared.table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), h.alias("h")))
     bucket = F.substring("h", 1, 3).alias("bucket")
     sums = shared.table(base.groupBy("source", bucket).agg(F.sum("size").alias("s")))
@@ -87,7 +93,8 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, cap: float = 2.0, w
     """What the mix takes of each document: (id, size, source_size, target, taken) (operator 6).
 
     Sizes are words; a null text has 0. A null source is a source, the last. Documents without words are taken as
-    others are, with 0 words. Rows that share an id share their draw, null ids likewise; repeated rows count each.
+    others are, with 0 words. Rows that share an id share their draw; rows without one draw by their texts, and share a draw
+    only with equal texts. Repeated rows count each.
     No document is taken more than ceil(cap) times. Other columns are not read; an empty table gives no rows.
     """
     base, plan = repetitions(docs, seed, share, cap, weights, id_col, text_col, source_col)
@@ -97,9 +104,10 @@ def mix(docs: DataFrame, seed: int = 17, share: float = 1.5, cap: float = 2.0, w
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: rows of docs with all their columns, each as often as the mix takes it."""
+    """The mix itself: rows of docs with all their columns, of any names, each as often as the mix takes it; by the rules of
+    mix() for nulls, empty and long texts, ties, repeated rows and an empty table."""
     _, plan = repetitions(docs, seed, share, cap, weights, id_col, text_col, source_col)
-    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    h = draw(seed, id_col, text_col)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).alias("source"), h.alias("h"))
     out = _by_source(packed, plan, "source")
     times = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
@@ -109,7 +117,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, share: float = 1.5, cap: fl
 ORACLE = """
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('17|' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('17|' || coalesce(doc_id::VARCHAR, 'null|' || md5(coalesce(text, '')))) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 w AS (SELECT *, (CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM s),

@@ -390,20 +390,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def free_name(columns: list[str], name: str) -> str:
-    """A column name that isn't taken yet."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs whose id is their component's id, with all columns; rows without an id stay, for want of a name.
 
     Ids name documents: rows that share an id stay or go together. Null, empty and wordless texts stay; other columns may
     have any names; an empty table gives no rows.
     """
-    gone = free_name(docs.columns, "gone")
+    gone = shared.free_name(docs.columns, "gone")
     out = near_groups(docs, id_col, text_col, k, num, den).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
     return docs.join(out, docs[id_col] == out[gone], "left_anti")
 

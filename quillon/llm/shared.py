@@ -34,6 +34,13 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that isn't taken yet."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -26,8 +26,9 @@ BASE, DROP = 32, 255
 DECAY, WINDOW, PAD = 0.6, 8, 16
 #: (gap letters, offsets of the second, third and fourth letter)
 SHAPES = [(d - 3, b, c, d) for d in range(3, 6) for c in range(2, d) for b in range(1, c)]
-#: Most labelled documents of either class that a model is fitted on, landmarks of either kind, negative windows.
-PER_CLASS, LANDMARKS, NEGATIVES = 1500, 96, 20000
+#: Most labelled documents of either class that a model is fitted on, landmarks of either kind, negative windows, and most
+#: characters of a document that a fit reads, in the middle of longer ones. Scores read whole texts.
+PER_CLASS, LANDMARKS, NEGATIVES, FIT_CHARS = 1500, 96, 20000, 150_000
 CHUNK = 1 << 20
 
 _tables: dict[str, np.ndarray] = {}
@@ -297,16 +298,21 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled documents outside the held-out rows: of each class the per_class first by a hash of the id.
 
-    A label counts if it is 0 or 1; of several for an id the largest; ids without a text or label teach nothing.
+    A label counts if it is 0 or 1; of several for an id the largest; ids without a text or label teach nothing. Of rows
+    that share an id one teaches, that with the smallest text by hash; of a text of more than FIT_CHARS characters only
+    its middle FIT_CHARS do. So what comes to the driver is bounded by 2 * per_class * FIT_CHARS characters. An empty table
+    of labels gives a model that scores all alike; columns of any name may clash.
     """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label")).where(~held_out("__id"))
     picked = None
     for label in (0, 1):
         few = marks.where(F.col("__label") == label).orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(per_class)
         picked = few if picked is None else picked.union(few)
-    # at most 2 * per_class ids
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked["__id"]).select("__id", F.col(text_col).alias("text"), "__label").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["__id"], r["text"] or ""))
+    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - FIT_CHARS) / 2).cast("int") + 1), F.lit(FIT_CHARS))
+    found = docs.join(F.broadcast(picked), F.col("id") == F.col("__id")).groupBy("__id", "__label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), middle.alias("text")))["text"].alias("text"))
+    rows = found.toArrow().to_pylist()  # at most 2 * per_class short texts
+    rows.sort(key=lambda r: r["__id"])
     return fit([r["text"] or "" for r in rows], [r["__label"] for r in rows])
 
 
@@ -329,7 +335,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
 
 def harmless(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns, of any names; null and empty texts have the
+    score of an empty text, repeated rows stay or go together, texts are read whole, an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
