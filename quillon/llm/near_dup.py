@@ -10,7 +10,7 @@
     counts bound all overlaps from above; the pairs that they leave open are settled by intersecting the sorted arrays,
     best first, and pairs already in one component are left out, so a tile yields no more links than it has nodes.
 4.  Then all groups are looked at whose nodes aren't one component by now: the nodes outside their hub's component meet
-    all tiles of the group.
+    their own tiles and, after that, in the groups that are still apart, the other tiles.
 """
 
 from __future__ import annotations
@@ -326,6 +326,8 @@ def _tile_links(rows: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
         return df.repartition(shared.partitions(spark), "hub", "t", "u").sortWithinPartitions("hub", "t", "u", "side", "n", "node")
 
     left = shared.table(dealt(rows).mapInArrow(lambda x: by_tile(open_rows, x), TILES))
+    if left.isEmpty():
+        return spark.createDataFrame([], "a long, b long")
     wanted = shared.table(left.select("name").distinct())
     with_text = left.join(_texts(docs, wanted, k), "name").select(*left.columns, "text")
     return shared.table(dealt(with_text).mapInArrow(lambda x: by_tile(links, x), "a long, b long"))
@@ -340,8 +342,9 @@ def _first_tiles(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("hub", F.col("tile").alias("t"), F.col("tile").alias("u"), F.lit(0).alias("side"), "node", "n", F.col("node").alias("root"), "name", "bitmap")
 
 
-def _later_tiles(members: DataFrame, nodes: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of the tile pairs of a group in which nodes that aren't in their hub's component meet all that is in the group.
+def _later_tiles(members: DataFrame, nodes: DataFrame, found: DataFrame, num: int, den: int, across: bool) -> DataFrame:
+    """Rows of the tile pairs of a group in which nodes that aren't in their hub's component meet their own tile or, across,
+    all other tiles of the group.
 
     Groups of one component are left out before any bitmap travels.
     """
@@ -352,7 +355,8 @@ def _later_tiles(members: DataFrame, nodes: DataFrame, found: DataFrame, num: in
     m = shared.table(m.withColumn("stranger", F.col("root") != F.col("home")))
     span = shared.table(m.groupBy("hub", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_if("stranger").alias("strangers")))
     x, y = span.where("strangers > 0").toDF("hub", "t", "low", "high", "strangers"), span.toDF("hub2", "u", "low2", "high2", "strangers2")
-    fits = (F.col("hub") == F.col("hub2")) & (F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num)
+    tiles = F.col("t") != F.col("u") if across else F.col("t") == F.col("u")
+    fits = (F.col("hub") == F.col("hub2")) & tiles & (F.col("high") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low") * num)
     meet = shared.table(x.join(y, fits).select("hub", "t", "u"))
     left = m.where("stranger").join(meet.withColumnRenamed("t", "tile"), ["hub", "tile"]).select("hub", F.col("tile").alias("t"), "u", F.lit(0).alias("side"), "node", "n", "root")
     right = m.join(meet.withColumnRenamed("u", "tile"), ["hub", "tile"]).select("hub", "t", F.col("tile").alias("u"), F.lit(1).alias("side"), "node", "n", "root")
@@ -377,9 +381,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = shared.table(_tiled(groups.groupBy("node").agg(F.min("hub").alias("hub"), F.first("n").alias("n"))))
     links = _tile_links(_first_tiles(first, nodes), rows, k, num, den)
     found = components(links)
-    more = _tile_links(_later_tiles(_tiled(groups), nodes, found, num, den), rows, k, num, den)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    members = shared.table(_tiled(groups))
+    for across in (False, True):
+        more = _tile_links(_later_tiles(members, nodes, found, num, den, across), rows, k, num, den)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = components(links)
     least = sets.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     rooted = least.join(nodes.select("name", "node"), "name").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = shared.table(rooted.select("name", "root", "least", "copies"))
