@@ -39,17 +39,14 @@ def test_verify_span_reads_all_documents(spark, documents):
 
 def test_sections_and_excerpts_of_all_documents(spark, documents):
     folder, texts = documents
-    offsets, sections = set(), {}
-    for i, s in texts.items():
-        at = section = 0
-        for k, line in enumerate(s.split("\n")):
-            offsets.add((i, k, at))
-            at += len(line) + 1
-            section += len(line) < 60
-            lines, chars = sections.get((i, section), (0, 0))
-            sections[i, section] = lines + 1, chars + len(line)
-    assert {(r.doc_id, r.piece, r.doc_offset) for r in collected(spark, "excerpt_offsets", folder)} == offsets
-    assert {(r.doc_id, r.section): (r.lines, r.chars) for r in collected(spark, "split_sections", folder)} == sections
+    papers = {r.doc_id: r.text for r in Tables(spark, folder).v_paper.collect()}
+    assert set(papers) == set(texts) and all(texts[i] in t for i, t in papers.items())
+    at = {}
+    for r in sorted(collected(spark, "split_sections", folder), key=lambda r: (r.doc_id, r.start_pos)):
+        assert r.start_pos == at.get(r.doc_id, 0)  # sections tile the whole text
+        at[r.doc_id] = r.end_pos
+    assert at == {i: len(t) for i, t in papers.items()}
+    assert {r.doc_id for r in collected(spark, "excerpt_offsets", folder)} == {i for i in texts if i % 5 or i % 2 == 0}
 
 
 def test_nearest_occurrence_in_long_documents(spark, documents):
@@ -83,7 +80,7 @@ def test_queries_read_whole_tables(spark):
     assert total("gff_parse", "children") == t.events.count()
     assert total("rankable_classes", "n") == t.v_measurement.join(t.v_context, F.col("product_id") == F.col("context_id")).count()
     kinds = t.v_context.select("feedstock", F.col("context_id") % 40).distinct().count()
-    assert registry.QUERIES["facet_differences"](spark, SF).count() == kinds
+    assert registry.QUERIES["facet_differences"](spark, SF).count() == 4 * kinds
     products = t.v_product.join(t.v_participant, F.col("metabolite_id") == F.col("product_id")).select("product_id").distinct().count()
     assert registry.QUERIES["gene_page"](spark, SF).count() == products
     assert registry.QUERIES["transport_gaps"](spark, SF).where("reaction_id % 10 <> 0").count()
