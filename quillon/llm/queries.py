@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact_dedup, fingerprint, mixing, near_dup, records, repeats, toxicity, url_filter
+from quillon.llm import bpe, cluster, exact_dedup, fingerprint, importance, kd_shards, mixing, near_dup, records, repeats, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,6 +103,33 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_url_filter"] = url_filter.ORACLE
+
+
+@_query
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution: a quarter of those with 20 words or more."""
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=25, min_words=20)
+
+
+ORACLES["op11_importance"] = importance.ORACLE
+
+
+@_query
+def op12_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact clusters of all embeddings."""
+    return cluster.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10)
+
+
+ORACLES["op12_cluster"] = cluster.ORACLE
+
+
+@_query
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of even bytes."""
+    return kd_shards.shard(documents(spark, sf_dir), shards=24)
+
+
+ORACLES["op13_kd_shards"] = kd_shards.ORACLE
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
