@@ -4,7 +4,8 @@
     bits of all their hashes, are one node. Texts without words are set apart; they link with nothing.
 2.  Two sets can only be alike enough if they share a shingle among the first few of each in a common order. An order
     that puts frequent shingles last makes those keys rare. (Frequencies of a bounded sample set the order; any order
-    gives the same links.) The nodes of a key form the group that is named by the key's smallest node, its hub.
+    gives the same links.) The nodes of a key that can still be alike, by their sizes and the key's place in the order,
+    form the group that is named by the node of its smallest set, its hub.
 3.  A group is laid out in tiles: by size band, and within a band by hash, so that no tile holds more nodes than it
     should. First every node stands in one group, that of its smallest hub, whose hub is in each tile. In a tile bit
     counts bound all overlaps from above; the pairs that they leave open are settled by intersecting the sorted arrays,
@@ -105,7 +106,7 @@ def _order_sketch(docs: DataFrame, k: int) -> np.ndarray:
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(id, n, name, bitmap, keys, hot) of every document; bitmap and keys only where a task first meets a set.
 
-    hot are those of the keys that many documents have.
+    The first shingles in the common order are keys, then hot: those that many documents have come last.
     """
     kind = docs.schema["id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(_order_sketch(docs, k))
@@ -139,18 +140,37 @@ def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return shared.table(docs.mapInArrow(run, f"id {kind}, n long, name binary, bitmap binary, keys array<long>, hot array<long>"))
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
+def _groups(nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(hub, node, n) of the groups of two nodes or more, the hub being one of them.
 
-    A rare key's nodes meet in one shuffle, in which its smallest node is looked up. The smallest node of a hot key is
+    A rare key's nodes meet in one shuffle, in which its hub is looked up: the node of the smallest set, which
+    all that stay can be alike with by their sizes. What is needed of a hot key is
     summed up before the shuffle and joined back by broadcast, so that a key which a third of all nodes have is no one
     task's. Two nodes that share a key share it in one of the two ways, as a key is hot for all or for none.
+
+    A key's place says more than that it is shared: if it is the first that two sets have in common, they have at most the n
+    - place shingles from there on, so a node only links through it with sets up to a certain size (`most`). Nodes whose
+    `most` is below all sizes of the group, or whose size is above every other's `most`, leave it. A boilerplate
+    passage, the last of the keys of texts that are too different otherwise, so makes no group.
     """
-    posts = lambda c: nodes.select(F.explode(c).alias("key"), "node", "n")
+
+    def posts(column: str, before: str) -> DataFrame:
+        at = nodes.select(F.posexplode(column).alias("place", "key"), "node", "n", F.expr(before).alias("before"))
+        most = F.expr(f"({num + den} * (n - place - before)) div {num} - n").alias("most")
+        return at.select("key", "node", "n", most)
+
+    meets = (F.col("most") >= F.col("low")) & (F.col("n") <= F.col("top"))
     own = Window.partitionBy("key")
-    rare = posts("keys").withColumns({"hub": F.min("node").over(own), "members": F.count("*").over(own)}).where("members > 1")
-    hubs = posts("hot").groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    often = shared.joined(posts("hot"), shared.table(hubs), ["key"], "members", "inner")
+    rare = posts("keys", "0L")
+    for _ in range(2):  # nodes that stay only because of some that leave go in the second turn
+        rare = rare.withColumns({"low": F.min("n").over(own), "top": F.max("most").over(own)}).where(meets)
+    rare = rare.withColumns({"hub": F.min_by("node", F.struct("n", "node")).over(own), "members": F.count("*").over(own)}).where("members > 1")
+    often = posts("hot", "size(keys)")
+    for _ in range(2):
+        ends = often.groupBy("key").agg(F.min("n").alias("low"), F.max("most").alias("top"), F.count("*").alias("members"))
+        often = shared.table(shared.joined(often, shared.table(ends), ["key"], "members", "inner").where(meets).select("key", "node", "n", "most"))
+    hubs = often.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("hub"), F.count("*").alias("members")).where("members > 1")
+    often = shared.joined(often, shared.table(hubs), ["key"], "members", "inner")
     return rare.select("hub", "node", "n").union(often.select("hub", "node", "n")).distinct()
 
 
@@ -377,7 +397,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = _sets(rows, k, num, den)
     distinct = sets.where("bitmap is not null").groupBy("name").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys"), F.first("hot").alias("hot"))
     nodes = shared.table(distinct.withColumn("node", F.monotonically_increasing_id()))
-    groups = shared.table(_groups(nodes))
+    groups = shared.table(_groups(nodes, num, den))
     first = shared.table(_tiled(groups.groupBy("node").agg(F.min("hub").alias("hub"), F.first("n").alias("n"))))
     links = _tile_links(_first_tiles(first, nodes), rows, k, num, den)
     found = components(links)

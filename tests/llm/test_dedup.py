@@ -402,3 +402,33 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert abs(sum(len(r.text.split()) for r in steps[3][1]) - 1.5 * total) < 0.1 * total
     assert sorted(r.doc_id for r in steps[4][1]) == sorted(r[0] for r in steps[4][0])
     assert all(len(r.ids) == r.n_tokens for r in steps[4][1])
+
+
+@pytest.mark.parametrize("own", [lambda r: 4, lambda r: r.randint(1, 40)])
+def test_a_page_template_makes_no_more_rows_than_documents(spark, monkeypatch, own):
+    """Texts that share most of their words but are too different meet in no tile; those that link do so at once."""
+    seen, links = [], near_dup._tile_links
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return links(rows, *rest)
+
+    monkeypatch.setattr(near_dup, "_tile_links", counted)
+    size = 20 if own(random.Random(0)) == 4 else 120
+    texts = [" ".join([f"c{i}" for i in range(size)] + [str(r.random()) for _ in range(own(r))]) for r in map(random.Random, range(600))]
+    got = near_dup.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, find(i)) for i in range(len(sets))}
+    assert sum(seen) <= len(texts) + 20
