@@ -30,5 +30,5 @@ def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Tables],
 
 def load() -> None:
     """Import every module that registers queries."""
-    for m in ("relational", "aggregates", "windows", "scalars", "statistics", "search", "graph", "evidence", "workflow", "readers"):
+    for m in ("relational", "aggregates", "windows", "scalars", "statistics", "search", "graph", "balance", "evidence", "workflow", "readers"):
         importlib.import_module(f"quillon.plans.{m}")

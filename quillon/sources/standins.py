@@ -64,6 +64,24 @@ VIEWS: dict[str, str] = {
     "v_route_part": """
         SELECT min(p_partkey) AS part_id, CAST(p_size % 18 % 6 AS INT) AS step_role, min(p_brand) AS compartment, min(p_type) AS enzyme
         FROM part GROUP BY p_size % 18""",
+    "v_metabolite": """
+        SELECT p_partkey AS metabolite_id, p_name AS name, CASE WHEN p_partkey % 10 < 4 THEN 21 WHEN p_partkey % 10 < 6 THEN 10 ELSE p_size END AS carbons,
+          CASE WHEN p_partkey % 10 < 2 THEN 'nad' WHEN p_partkey % 10 < 4 THEN 'nadp' WHEN p_partkey % 10 = 9 AND p_size > 45 THEN 'fad' END AS pair,
+          CASE WHEN p_partkey % 10 IN (0, 2) OR p_partkey % 10 = 9 AND p_size > 45 THEN 'reduced' WHEN p_partkey % 10 IN (1, 3) THEN 'oxidized' END AS redox,
+          CASE p_partkey % 10 WHEN 4 THEN 'charged' WHEN 5 THEN 'discharged' END AS adenylate
+        FROM part""",
+    "v_reaction": """
+        SELECT o_orderkey AS reaction_id, CAST(floor(o_orderkey / 3.0) AS BIGINT) AS pathway_id, CAST((o_orderkey - CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END) % 6 AS INT) AS step_role, concat('G', o_orderkey % 5) AS gene, o_orderkey % 17 = 0 AS transfers FROM orders""",
+    "v_reaction_part": """
+        SELECT l_orderkey AS reaction_id, l_partkey AS metabolite_id, CASE WHEN l_orderkey % 23 = 5 AND l_linenumber = 1 THEN 'cofactor' ELSE 'substrate' END AS role, CAST(l_linenumber AS DOUBLE) AS coefficient FROM lineitem
+        UNION ALL SELECT l_orderkey, CASE WHEN l_orderkey % 17 = 0 AND l_partkey % 10 = 0 THEN l_partkey + 2 WHEN l_partkey % 10 IN (0, 2, 4) THEN l_partkey + 1 WHEN l_partkey % 10 IN (1, 3, 5) THEN l_partkey - 1 ELSE l_partkey END,
+          'product', CAST(l_linenumber + CASE WHEN l_orderkey % 13 = 5 AND l_linenumber = 1 THEN 1 ELSE 0 END AS DOUBLE) FROM lineitem WHERE NOT (l_orderkey % 11 = 3 AND l_linenumber = 2)""",
+    "v_route_step": """
+        SELECT x.pathway_id * 3 + p.strategy AS route_id, x.pathway_id, x.step_role, (x.pathway_id * 6 + x.step_role) % 97 AS part_id, CASE WHEN p.strategy = 1 OR p.strategy = 2 AND x.step_role < 3 THEN 'matrix' ELSE 'cytosol' END AS compartment,
+          CASE (x.pathway_id * 7 + x.step_role * 5 + p.strategy) % 23 WHEN 0 THEN 'unknown' WHEN 1 THEN 'either' WHEN 2 THEN 'NADPH' WHEN 3 THEN 'NADH' ELSE CASE WHEN x.nad = 0 AND x.nadp = 0 THEN 'NA' WHEN x.nad >= x.nadp THEN 'NADH' ELSE 'NADPH' END END AS cofactor,
+          concat('g', (x.pathway_id + x.step_role) % 5) AS gene
+        FROM (SELECT r.pathway_id, r.step_role, count(CASE WHEN l.l_partkey % 10 IN (0, 1) THEN 1 END) AS nad, count(CASE WHEN l.l_partkey % 10 IN (2, 3) THEN 1 END) AS nadp FROM v_reaction r JOIN lineitem l ON l.l_orderkey = r.reaction_id GROUP BY r.pathway_id, r.step_role) x
+          CROSS JOIN (SELECT DISTINCT CAST(r_regionkey % 3 AS INT) AS strategy FROM region) p""",
     "v_paper": """
         SELECT doc_id, concat('Paper ', doc_id, chr(10), 'Background', chr(10), 'We ask about ', source, '.', chr(10), 'Results:', chr(10), 'It holds.', chr(10),
           CASE WHEN doc_id % 2 = 0 THEN concat('1. Introduction', chr(10)) ELSE '' END, text, chr(10),
