@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import graph as G
+from quillon.operators import provenance as P
 from quillon.registry import query
 from quillon.sources.standins import Tables
 
@@ -137,3 +138,35 @@ def trace_breaks(t: Tables) -> DataFrame:
     j = t.v_measurement.join(o, "sample_id", "left").join(c, "o_custkey", "left").join(f, "strain_id", "left")
     tests = {"no_sample": F.col("sample_id").isNull(), "no_order": F.col("has_order").isNull(), "no_customer": F.col("has_customer").isNull(), "quarantined": F.col("held").isNotNull()}
     return j.select("measurement_id", "product_id", F.concat_ws(",", *(F.when(x, F.lit(k)) for k, x in tests.items())).alias("breaks"))
+
+
+_KINDS = {"paper": "publication", "strain": "strain", "run": "processing_run"}
+_CITED = {"publication_id": "publication", "span_id": "span", "extraction_id": "extraction", "measurement_id": "measurement", "analysis_result_id": "analysis_result", "processing_run_id": "processing_run", "strain_id": "strain"}
+
+
+@query(
+    "provenance_walk",
+    "WITH j AS (SELECT e.*, " + ", ".join(f"e.{c} IS NOT NULL AND k_{c}.id IS NOT NULL AS has_{c}, e.{c} IS NOT NULL AND k_{c}.id IS NULL AS lost_{c}" for c in _CITED) + """,
+      k_span_id.publication_id AS span_paper, sp.id IS NOT NULL AS span_paper_there, k_extraction_id.publication_id AS extraction_paper, ep.id IS NOT NULL AS extraction_paper_there,
+      k_analysis_result_id.dataset_id AS deposit, ad.id IS NOT NULL AS deposit_there, ar.id IS NOT NULL AS run_there FROM v_cited e """
+    + " ".join(f"LEFT JOIN v_citable k_{c} ON k_{c}.kind = '{k}' AND k_{c}.id = e.{c}" for c, k in _CITED.items())
+    + """ LEFT JOIN v_citable sp ON sp.kind = 'publication' AND sp.id = k_span_id.publication_id LEFT JOIN v_citable ep ON ep.kind = 'publication' AND ep.id = k_extraction_id.publication_id
+      LEFT JOIN v_citable ar ON ar.kind = 'processing_run' AND ar.id = k_analysis_result_id.processing_run_id LEFT JOIN v_citable ad ON ad.kind = 'dataset' AND ad.id = k_analysis_result_id.dataset_id WHERE e.status = 'active'),
+    b AS (SELECT *, has_span_id AND span_paper_there AND publication_id IS NOT NULL AND span_paper <> publication_id AS span_wrong, has_extraction_id AND extraction_paper_there AND publication_id IS NOT NULL AND extraction_paper <> publication_id AS extraction_wrong,
+      """ + " + ".join(f"lost_{c}::INT" for c in _CITED) + """ + (has_span_id AND NOT span_paper_there)::INT + (has_extraction_id AND NOT extraction_paper_there)::INT + (has_analysis_result_id AND NOT run_there)::INT
+      + (has_analysis_result_id AND deposit IS NOT NULL AND NOT deposit_there)::INT AS dangling FROM j),
+    c AS (SELECT *, has_publication_id OR (has_span_id AND span_paper_there AND NOT coalesce(span_wrong, false)) OR (has_extraction_id AND extraction_paper_there AND NOT coalesce(extraction_wrong, false))
+      OR CASE WHEN has_analysis_result_id THEN run_there ELSE has_processing_run_id END AS closed FROM b),
+    e AS (SELECT assertion_id, count(*) AS n_evidence, sum(dangling) AS dangling_citation, count(*) FILTER (span_wrong) AS span_publication_mismatch, count(*) FILTER (extraction_wrong) AS extraction_publication_mismatch,
+      count(*) FILTER (NOT closed AND (coalesce(publication_id, span_id, extraction_id, analysis_result_id, processing_run_id) IS NULL OR dangling = 0 AND NOT span_wrong AND NOT extraction_wrong)) AS evidence_cites_nothing,
+      count(*) FILTER ((has_analysis_result_id OR has_processing_run_id) AND NOT (has_analysis_result_id AND deposit IS NOT NULL)) AS gaps FROM c GROUP BY 1),
+    v AS (SELECT target_id, count(*) FILTER (trim(curator) <> '') AS named FROM v_curation GROUP BY 1),
+    r AS (SELECT a.assertion_id, coalesce(n_evidence, 0) AS n_evidence, coalesce(gaps, 0)::BIGINT AS gaps, (n_evidence IS NULL)::BIGINT AS no_evidence,
+      (s.id IS NULL)::BIGINT AS dangling_subject, (object_type <> 'literal' AND o.id IS NULL)::BIGINT AS dangling_object, coalesce(evidence_cites_nothing, 0) AS evidence_cites_nothing, coalesce(dangling_citation, 0)::BIGINT AS dangling_citation,
+      coalesce(span_publication_mismatch, 0) AS span_publication_mismatch, coalesce(extraction_publication_mismatch, 0) AS extraction_publication_mismatch, (v.target_id IS NULL)::BIGINT AS no_curation_event, coalesce(named = 0, false)::BIGINT AS curation_event_unnamed
+      FROM v_statement a LEFT JOIN e USING (assertion_id) LEFT JOIN v ON v.target_id = a.assertion_id
+      LEFT JOIN v_citable s ON s.id = subject_id AND s.kind = CASE subject_type WHEN 'paper' THEN 'publication' WHEN 'strain' THEN 'strain' END LEFT JOIN v_citable o ON o.id = object_id AND o.kind = 'processing_run' AND object_type = 'run' WHERE a.status = 'active')
+    SELECT *, no_evidence + dangling_subject + dangling_object + evidence_cites_nothing + dangling_citation + span_publication_mismatch + extraction_publication_mismatch + no_curation_event + curation_event_unnamed = 0 AS complete FROM r""",
+)
+def provenance_walk(t: Tables) -> DataFrame:
+    return P.walk_assertions(t.v_statement, t.v_cited, t.v_citable, t.v_curation, _KINDS, _KINDS)

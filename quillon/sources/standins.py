@@ -82,6 +82,27 @@ VIEWS: dict[str, str] = {
           concat('g', (x.pathway_id + x.step_role) % 5) AS gene
         FROM (SELECT r.pathway_id, r.step_role, count(CASE WHEN l.l_partkey % 10 IN (0, 1) THEN 1 END) AS nad, count(CASE WHEN l.l_partkey % 10 IN (2, 3) THEN 1 END) AS nadp FROM v_reaction r JOIN lineitem l ON l.l_orderkey = r.reaction_id GROUP BY r.pathway_id, r.step_role) x
           CROSS JOIN (SELECT DISTINCT CAST(r_regionkey % 3 AS INT) AS strategy FROM region) p""",
+    "v_citable": """
+        SELECT 'publication' AS kind, CAST(doc_id AS BIGINT) AS id, CAST(NULL AS BIGINT) AS publication_id, CAST(NULL AS BIGINT) AS processing_run_id, CAST(NULL AS BIGINT) AS dataset_id FROM documents
+        UNION ALL SELECT 'span', page_id, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 13 = 0 THEN -page_id ELSE page_id % 97 END, NULL, NULL FROM pages
+        UNION ALL SELECT 'extraction', o_orderkey, CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN -o_orderkey ELSE o_orderkey % 97 END, NULL, NULL FROM orders
+        UNION ALL SELECT 'analysis_result', s_suppkey, NULL, CASE WHEN s_suppkey % 9 = 1 THEN NULL ELSE s_nationkey + CASE WHEN s_suppkey % 8 = 2 THEN 100 ELSE 0 END END, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE s_suppkey % 7 END FROM supplier
+        UNION ALL SELECT 'processing_run', n_nationkey, NULL, NULL, NULL FROM nation
+        UNION ALL SELECT 'dataset', r_regionkey, NULL, NULL, NULL FROM region
+        UNION ALL SELECT 'measurement', p_partkey, NULL, NULL, NULL FROM part
+        UNION ALL SELECT 'strain', c_custkey, NULL, NULL, NULL FROM customer""",
+    "v_cited": """
+        SELECT event_id AS evidence_id, CAST(floor(event_id / 3.0) AS BIGINT) AS assertion_id, CASE WHEN event_id % 7 = 0 OR CAST(floor(event_id / 3.0) AS BIGINT) % 23 = 0 THEN 'superseded' ELSE 'active' END AS status,
+          CASE WHEN event_id % 29 = 5 THEN -event_id WHEN event_id % 6 IN (0, 1) THEN event_id % 97 END AS publication_id, CASE WHEN event_id % 6 IN (1, 2) THEN event_id % 60 END AS span_id,
+          CASE WHEN event_id % 6 = 3 THEN event_id % 1700 END AS extraction_id, CASE WHEN event_id % 5 = 0 THEN event_id % 210 END AS measurement_id, CASE WHEN event_id % 12 = 4 THEN event_id % 13 END AS analysis_result_id,
+          CASE WHEN event_id % 12 IN (4, 5) THEN event_id % 27 END AS processing_run_id, CASE WHEN event_id % 4 = 0 THEN event_id % 140 END AS strain_id
+        FROM events""",
+    "v_statement": """
+        SELECT assertion_id, CASE WHEN assertion_id % 19 = 0 THEN 'retired' ELSE 'active' END AS status, CASE assertion_id % 5 WHEN 0 THEN 'paper' WHEN 1 THEN 'gadget' ELSE 'strain' END AS subject_type, assertion_id % 150 AS subject_id,
+          CASE assertion_id % 3 WHEN 0 THEN 'literal' ELSE 'run' END AS object_type, CASE WHEN assertion_id % 3 = 0 OR assertion_id % 8 = 0 THEN NULL ELSE assertion_id % 26 END AS object_id
+        FROM (SELECT DISTINCT CAST(floor(event_id / 3.0) AS BIGINT) AS assertion_id FROM events) x""",
+    "v_curation": """
+        SELECT CAST(floor(event_id / 3.0) AS BIGINT) AS target_id, CASE WHEN event_id % 5 < 2 THEN '  ' WHEN event_id % 5 = 2 THEN NULL ELSE event_type END AS curator FROM events WHERE event_id % 4 = 1 OR event_id % 7 = 3""",
     "v_paper": """
         SELECT doc_id, concat('Paper ', doc_id, chr(10), 'Background', chr(10), 'We ask about ', source, '.', chr(10), 'Results:', chr(10), 'It holds.', chr(10),
           CASE WHEN doc_id % 2 = 0 THEN concat('1. Introduction', chr(10)) ELSE '' END, text, chr(10),
