@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.store import current_version, new_version
+
 #: Postings are partitioned by a hash of the term, so that a search reads the files of its own terms; version of the index.
-BUCKETS, BUILDER = 32, 2
+BUCKETS, BUILDER = 32, 3
 #: Weight of a word in a name; of text, evidence and recency in the final score; BM25's k1 and b; the worth of
 #: each evidence level.
 NAME_WEIGHT, TEXT, EVIDENCE, RECENCY, K1, B = 10.0, 1.0, 7.0, 0.25, 1.2, 0.75
@@ -31,11 +33,14 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
 
 
 def build_index(entities: DataFrame, path: str, source: str) -> None:
-    """Write the index of entities (kind, id, name, body, year, evidence) below path; source is their digest.
+    """Write a version of the index of entities (kind, id, name, body, year, evidence) below path; source is their digest.
+
+    It is built beside the version that searches read, and takes its place when its last table is there.
 
     A posting holds the places of a term in an entity's name and body, and beside them what a score needs of the entity,
     so a search joins nothing. The index knows the entities' number and mean length, its builder's version and source.
     """
+    path = new_version(entities.sparkSession, path)
     docs = entities.select(*KEY, "year", "evidence", terms("name").alias("n"), terms("body").alias("b"))
     docs = docs.withColumn("len", F.size("n") + F.size("b"))
     of = lambda c, field: docs.select(*KEY, "year", "evidence", "len", F.posexplode(c).alias("at", "term"), F.lit(field).alias("field"))
@@ -43,26 +48,35 @@ def build_index(entities: DataFrame, path: str, source: str) -> None:
     places = lambda f: F.array_sort(F.collect_list(F.when(F.col("field") == f, F.col("at"))))  # noqa: E731  # bounded by one text
     rows = placed.groupBy("term", *KEY, "year", "evidence", "len").agg(places("name").alias("name"), places("body").alias("body"))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     # lengths from the entities alone: the sizes of both token lists, in one narrow pass
-    stats = docs.agg(F.count("*").alias("entities"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("mean_len"))
+    by_kind = docs.groupBy("kind").agg(F.count("*").alias("n"), F.sum("len").alias("words"), F.count_if(F.col("len") > 0).alias("worded"))
+    stats = by_kind.agg(F.sum("n").alias("entities"), F.try_divide(F.sum("words"), F.sum("worded")).alias("mean_len"), F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
     meta = stats.select("*", F.lit(BUILDER).alias("builder"), F.lit(source).alias("source"), F.current_timestamp().alias("built_at"))
-    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")  # written last: an index without it isn't whole
+    meta.coalesce(1).write.json(f"{path}/meta")  # written last: an index without it isn't whole
 
 
-META = "entities long, mean_len double, builder int, source string, built_at timestamp"
+META = "entities long, mean_len double, kinds map<string, long>, builder int, source string, built_at timestamp"
 
 
 def index_status(spark: SparkSession, path: str, source: str) -> str:
     """missing, outdated (another builder made it), stale (the entities have changed since) or fresh."""
-    from quillon.sources.store import exists
-
-    if not exists(spark, f"{path}/meta/_SUCCESS"):
+    version = current_version(spark, path)
+    if version is None:
         return "missing"
-    meta = spark.read.schema(META).json(f"{path}/meta").first()
+    meta = spark.read.schema(META).json(f"{version}/meta").first()
     return "outdated" if meta["builder"] != BUILDER else "stale" if meta["source"] != source else "fresh"
 
 
+def index_report(spark: SparkSession, entities: DataFrame, path: str, source: str) -> DataFrame:
+    """(kind, indexed, present, status): entities in the index and now, by kind, and what the index is worth."""
+    version, status = current_version(spark, path), index_status(spark, path, source)
+    now = entities.groupBy("kind").agg(F.count("*").alias("present"))
+    there = spark.read.schema(META).json(f"{version}/meta").select(F.explode("kinds").alias("kind", "indexed")) if version else now.select("kind", F.lit(0).cast("long").alias("indexed")).limit(0)
+    both = there.join(now, "kind", "full").na.fill(0, ["indexed", "present"])
+    return both.select("kind", "indexed", "present", F.lit(status).alias("status"))
+
+
 def ensure_index(spark: SparkSession, entities: DataFrame, path: str, source: str) -> str:
     """Build the index unless it is fresh; returns the status it had."""
     status = index_status(spark, path, source)
@@ -72,7 +86,7 @@ def ensure_index(spark: SparkSession, entities: DataFrame, path: str, source: st
 
 
 def phrase_hits(spark: SparkSession, path: str, groups: Sequence[Sequence[str]]) -> DataFrame:
-    """(phrase, grp, kind, id, year, evidence, len, tf) of the phrases of each group; tf weighs names more.
+    """(phrase, grp, kind, id, year, evidence, len, tf) of the phrases of each group; tf weighs names more. path is a version's.
 
     Only the partitions and row groups of the phrases' terms are read. The words of a phrase must follow each other in
     one field.
@@ -98,6 +112,9 @@ def bm25(spark: SparkSession, path: str, groups: Sequence[Sequence[str]], every:
 
     A rare phrase weighs ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; an entity's length is all its words.
     """
+    path = current_version(spark, path)
+    if path is None:
+        raise ValueError("there is no whole index to search")
     hits = phrase_hits(spark, path, groups)
     n = F.broadcast(hits.groupBy("phrase").agg(F.count("*").alias("n")))  # a row a phrase
     meta = F.broadcast(spark.read.schema(META).json(f"{path}/meta").select("entities", "mean_len"))  # a single row

@@ -164,6 +164,87 @@ def moderated_t(df: DataFrame, variance: str, difference: str, residual: float,
     return out.withColumn("p", t_p_value("t", F.when(F.col("t").isNotNull(), F.col("df"))))
 
 
+def contrast_moments(long: DataFrame, gene: str, sample: str, group: str, count: str, reference: str, treatment: str, floor: float = 10.0) -> DataFrame:
+    """A row for every gene of the two groups' samples: base_mean, mean_ref, mean_trt, log2_fold_change, eligible, and of
+    log2(x + 1): difference, v_ref, v_trt; with n_ref, n_trt and underpowered, which are the contrast's.
+
+    x are counts over their sample's size factor. A cell that the long table lacks is a zero: sums over the present
+    cells and the number of samples give the same means and variances as a filled matrix, so none is filled. Means are of x,
+    tests of log2(x + 1); a gene is eligible if the larger of its groups' means reaches the floor; others keep their fold
+    change. Variances are null where a group has fewer than two samples.
+    """
+    own = long.where(F.col(group).isin(reference, treatment))
+    factors = size_factors(own, gene, sample, count)
+    x = own.join(factors, sample).withColumn("_x", F.col(count) / F.col("factor")).withColumn("_y", F.log2(F.col("_x") + 1))
+    names = {"ref": reference, "trt": treatment}
+    of = lambda g, c: F.when(F.col(group) == names[g], F.col(c))
+    sums = [f(of(g, c)).alias(f"{n}_{g}") for g in names for n, f, c in (("s", F.sum, "_x"), ("k", F.count, "_y"), ("m", F.avg, "_y"), ("d", F.var_pop, "_y"))]
+    n = own.groupBy(group).agg(F.count_distinct(sample).alias("n"))
+    n = n.agg(*(F.coalesce(F.max(F.when(F.col(group) == names[g], F.col("n"))), F.lit(0)).alias(f"n_{g}") for g in names))  # a single row
+    m = x.groupBy(gene).agg(*sums).crossJoin(F.broadcast(n)).na.fill(0)
+    for g in names:
+        k, size, mean = F.col(f"k_{g}"), F.col(f"n_{g}"), F.col(f"m_{g}")
+        # k present cells with their own mean and spread, and size - k zeros
+        m = m.withColumns({f"mean_{g}": F.try_divide(F.col(f"s_{g}"), size), f"log_{g}": F.try_divide(mean * k, size)})
+        m = m.withColumn(f"v_{g}", F.when(size > 1, (F.col(f"d_{g}") * k + mean * mean * k * (size - k) / size) / (size - 1)))
+    both = F.col("n_ref") + F.col("n_trt")
+    m = m.withColumns({"base_mean": (F.col("s_ref") + F.col("s_trt")) / both, "log2_fold_change": F.log2(F.col("mean_trt") + 1) - F.log2(F.col("mean_ref") + 1), "difference": F.col("log_trt") - F.col("log_ref")})
+    m = m.withColumns({"eligible": F.greatest("mean_ref", "mean_trt") >= floor, "underpowered": (F.col("n_ref") < 2) | (F.col("n_trt") < 2)})
+    return m.select(gene, "base_mean", "mean_ref", "mean_trt", "log2_fold_change", "difference", "v_ref", "v_trt", "n_ref", "n_trt", "eligible", "underpowered")
+
+
+#: Variances below this are rounding.
+NO_VARIANCE = 1e-18
+
+
+def welch(m: DataFrame) -> DataFrame:
+    """Rows of contrast_moments with t and df by Welch; null where a gene isn't eligible, the contrast is underpowered, or
+    neither group varies and the means agree. Groups that don't vary but differ have an infinite t on one degree."""
+    a, b = F.col("v_ref") / F.col("n_ref"), F.col("v_trt") / F.col("n_trt")
+    may = F.col("eligible") & ~F.col("underpowered")
+    still = (a + b) <= NO_VARIANCE
+    sign = F.when(F.abs("difference") > 1e-12, F.signum("difference") * F.lit(math.inf))
+    t = F.when(may & ~still, F.try_divide(F.col("difference"), F.sqrt(a + b))).when(may, sign)
+    df = F.when(still, 1.0).otherwise(F.try_divide(F.pow(a + b, F.lit(2)), F.pow(a, F.lit(2)) / (F.col("n_ref") - 1) + F.pow(b, F.lit(2)) / (F.col("n_trt") - 1)))
+    return m.withColumn("t", t).withColumn("df", F.when(F.col("t").isNotNull(), df))
+
+
+def pooled(m: DataFrame) -> DataFrame:
+    """Rows of contrast_moments with s2, the groups' pooled variance."""
+    free = F.col("n_ref") + F.col("n_trt") - 2
+    return m.withColumn("s2", F.try_divide((F.col("n_ref") - 1) * F.col("v_ref") + (F.col("n_trt") - 1) * F.col("v_trt"), free))
+
+
+def prior_moments(m: DataFrame) -> DataFrame:
+    """(mean_log, var_log, genes, eligible): moments of the logs of the eligible genes' pooled variances, those above zero."""
+    able = pooled(m.where("eligible AND NOT underpowered"))
+    log = F.when(F.col("s2") > NO_VARIANCE, F.log("s2"))
+    return able.agg(F.avg(log).alias("mean_log"), F.var_samp(log).alias("var_log"), F.count(log).alias("genes"), F.count("*").alias("eligible"))
+
+
+def differential_expression(m: DataFrame, gene: str, method: str = "moderated_t", least: int = 50) -> DataFrame:
+    """(gene, base_mean, mean_ref, mean_trt, log2_fold_change, t, df, p, q, tested, method) of every gene of contrast_moments.
+
+    Variances are moderated if at least `least` genes are eligible, else Welch's test stands; q adjusts the tested
+    genes' p by Benjamini and Hochberg. An underpowered contrast tests nothing. The prior is fitted on four numbers.
+    """
+    row = prior_moments(m).first()
+    n = m.select("n_ref", "n_trt").first()
+    keep = [gene, "base_mean", "mean_ref", "mean_trt", "log2_fold_change"]
+    if method == "moderated_t" and row["eligible"] >= least and row["genes"] >= 2:
+        free = float(n["n_ref"] + n["n_trt"] - 2)
+        prior = variance_prior(row["mean_log"], row["var_log"], free)
+        # without an own variance the prior alone decides; gene by gene that is what pooling is for
+        tests = moderated_t(pooled(m).withColumn("s2", F.when(F.col("eligible") & ~F.col("underpowered"), F.col("s2"))), "s2", "difference", free, prior, n["n_ref"], n["n_trt"])
+        tests = tests.withColumns({c: F.when(F.col("s2").isNotNull(), F.col(c)) for c in ("t", "df", "p")})
+    else:
+        method = "welch_t"
+        tests = welch(m).withColumn("p", F.when(F.isnan("t") | (F.abs("t") == math.inf), 0.0).otherwise(t_p_value("t", "df")))
+        tests = tests.withColumn("p", F.when(F.col("t").isNotNull(), F.col("p")))
+    out = tests.select(*keep, "t", "df", "p", F.col("p").isNotNull().alias("tested"), F.lit(method).alias("method"), F.lit(1).alias("_all"))
+    return benjamini_hochberg(out, ["_all"], "p", gene).drop("_all")
+
+
 def digamma(x: float) -> float:
     """By recurrence up to 12 and the asymptotic series."""
     r = 0.0

@@ -82,12 +82,11 @@ def search_entities(t: Tables) -> DataFrame:
     return L.search(t._spark, path, list(groups), groups, limit=25).select("kind", "id", "score")
 
 
-@query("index_report", "SELECT 'fresh' AS status, 'stale' AS other_source, count(*) AS entities FROM v_entity")
+@query("index_report", "SELECT kind, count(*) AS indexed, count(*) AS present, 'fresh' AS status FROM v_entity GROUP BY kind")
 def index_report(t: Tables) -> DataFrame:
-    path = _index(t, "entities", t.v_entity, t.documents, t.supplier, t.part, t.nation, t.customer, t.region, t.benchmark, t.pages)
-    source = "-".join(map(store.fingerprint, (t.documents, t.supplier, t.part, t.nation, t.customer, t.region, t.benchmark, t.pages)))
-    status = [F.lit(L.index_status(t._spark, path, x)) for x in (source, "another")]
-    return t._spark.read.schema(L.META).json(f"{path}/meta").select(status[0].alias("status"), status[1].alias("other_source"), "entities")
+    sources = (t.documents, t.supplier, t.part, t.nation, t.customer, t.region, t.benchmark, t.pages)
+    path = _index(t, "entities", t.v_entity, *sources)
+    return L.index_report(t._spark, t.v_entity, path, "-".join(map(store.fingerprint, sources)))
 
 
 @query("match_phrase_and", "SELECT doc_id FROM (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents) x WHERE contains(t, ' apache license ') AND (contains(t, ' version ') OR contains(t, ' edition '))")

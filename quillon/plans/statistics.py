@@ -20,33 +20,26 @@ def size_factors(t: Tables) -> DataFrame:
     return S.size_factors(t.v_matrix, "gene", "sample", "n").select("sample", F.round("factor", 6).alias("factor"))
 
 
-def _normalised(t: Tables) -> DataFrame:
-    factors = S.size_factors(t.v_matrix, "gene", "sample", "n")
-    return t.v_matrix.join(F.broadcast(factors), "sample").withColumn("x", F.col("n") / F.col("factor"))
-
-
 _MEANS = f"""WITH {_FACTORS},
-    x AS (SELECT v.gene, v.grp, v.n / f.factor AS x FROM v_matrix v JOIN f ON v.sample = f.sample),
+    a AS (SELECT DISTINCT gene FROM v_matrix), b AS (SELECT DISTINCT sample, grp FROM v_matrix),
+    x AS (SELECT a.gene, b.grp, coalesce(v.n, 0) / f.factor AS x, log2(coalesce(v.n, 0) / f.factor + 1) AS y FROM a CROSS JOIN b JOIN f USING (sample) LEFT JOIN v_matrix v ON v.gene = a.gene AND v.sample = b.sample),
     m AS (SELECT gene, avg(x) FILTER (grp = 'ref') AS ref, avg(x) FILTER (grp = 'trt') AS trt, avg(x) AS base, count(*) FILTER (grp = 'ref') AS n_ref, count(*) FILTER (grp = 'trt') AS n_trt,
-      var_samp(x) FILTER (grp = 'ref') AS v_ref, var_samp(x) FILTER (grp = 'trt') AS v_trt FROM x GROUP BY gene)"""
+      avg(y) FILTER (grp = 'trt') - avg(y) FILTER (grp = 'ref') AS diff, var_samp(y) FILTER (grp = 'ref') AS v_ref, var_samp(y) FILTER (grp = 'trt') AS v_trt,
+      greatest(avg(x) FILTER (grp = 'ref'), avg(x) FILTER (grp = 'trt')) >= 10 AS eligible FROM x GROUP BY gene)"""
 
 
 def _means(t: Tables) -> DataFrame:
-    of = lambda g: F.when(F.col("grp") == g, F.col("x"))
-    return _normalised(t).groupBy("gene").agg(
-        F.avg(of("ref")).alias("ref"), F.avg(of("trt")).alias("trt"), F.avg("x").alias("base"), F.count(of("ref")).alias("n_ref"), F.count(of("trt")).alias("n_trt"),
-        F.var_samp(of("ref")).alias("v_ref"), F.var_samp(of("trt")).alias("v_trt"),
-    )
+    return S.contrast_moments(t.v_matrix, "gene", "sample", "grp", "n", "ref", "trt")
 
 
-@query("log2fc", f"{_MEANS} SELECT gene, round(log2(trt + 1) - log2(ref + 1), 6) AS lfc, round(base, 6) AS base_mean FROM m WHERE base >= 10")
+@query("log2fc", f"{_MEANS} SELECT gene, round(log2(trt + 1) - log2(ref + 1), 6) AS lfc, round(base, 6) AS base_mean, eligible FROM m")
 def log2fc(t: Tables) -> DataFrame:
-    return _means(t).where("base >= 10").select("gene", F.round(F.log2(F.col("trt") + 1) - F.log2(F.col("ref") + 1), 6).alias("lfc"), F.round("base", 6).alias("base_mean"))
+    return _means(t).select("gene", F.round("log2_fold_change", 6).alias("lfc"), F.round("base_mean", 6).alias("base_mean"), "eligible")
 
 
-@query("underpowered", f"{_MEANS} SELECT gene, n_ref < 2 OR n_trt < 2 AS underpowered FROM m")
+@query("underpowered", f"{_MEANS} SELECT DISTINCT n_ref, n_trt, n_ref < 2 OR n_trt < 2 AS underpowered FROM m")
 def underpowered(t: Tables) -> DataFrame:
-    return _means(t).select("gene", ((F.col("n_ref") < 2) | (F.col("n_trt") < 2)).alias("underpowered"))
+    return _means(t).select("n_ref", "n_trt", "underpowered").distinct()
 
 
 _SE = "(v_ref / n_ref + v_trt / n_trt)"
@@ -54,35 +47,29 @@ _SE = "(v_ref / n_ref + v_trt / n_trt)"
 
 @query(
     "welch_t",
-    f"""{_MEANS} SELECT gene, round((trt - ref) / sqrt{_SE}, 5) AS t, round(pow{_SE.replace(')', ', 2)')} / (pow(v_ref / n_ref, 2) / (n_ref - 1) + pow(v_trt / n_trt, 2) / (n_trt - 1)), 5) AS df
-    FROM m WHERE n_ref >= 2 AND n_trt >= 2 AND {_SE} > 1e-9""",
+    f"""{_MEANS} SELECT gene, CASE WHEN eligible AND {_SE} > 1e-18 THEN round(diff / sqrt{_SE}, 5) END AS t,
+      CASE WHEN eligible AND {_SE} > 1e-18 THEN round(pow{_SE.replace(')', ', 2)')} / (pow(v_ref / n_ref, 2) / (n_ref - 1) + pow(v_trt / n_trt, 2) / (n_trt - 1)), 5) END AS df FROM m""",
 )
 def welch_t(t: Tables) -> DataFrame:
-    m = _means(t).where("n_ref >= 2 AND n_trt >= 2").withColumn("a", F.col("v_ref") / F.col("n_ref")).withColumn("b", F.col("v_trt") / F.col("n_trt")).where("a + b > 1e-9")
-    df = F.pow(F.col("a") + F.col("b"), 2) / (F.pow("a", F.lit(2)) / (F.col("n_ref") - 1) + F.pow("b", F.lit(2)) / (F.col("n_trt") - 1))
-    return m.select("gene", F.round((F.col("trt") - F.col("ref")) / F.sqrt(F.col("a") + F.col("b")), 5).alias("t"), F.round(df, 5).alias("df"))
+    return S.welch(_means(t)).select("gene", F.round("t", 5).alias("t"), F.round("df", 5).alias("df"))
 
 
 @query("welch_p")
 def welch_p(t: Tables) -> DataFrame:
-    return welch_t(t).select("gene", "t", "df", S.t_p_value("t", "df").alias("p"))
+    return S.differential_expression(_means(t), "gene", method="welch_t").select("gene", "t", "df", "p", "q", "tested")
 
 
 _S2 = "((n_ref - 1) * v_ref + (n_trt - 1) * v_trt) / (n_ref + n_trt - 2)"
 
 
-@query("variance_prior_moments", f"{_MEANS} SELECT round(avg(ln(s2)), 6) AS mean_log, round(var_samp(ln(s2)), 6) AS var_log, count(*) AS genes FROM (SELECT {_S2} AS s2 FROM m WHERE n_ref = 3 AND n_trt = 3) y WHERE s2 > 1e-9")
+@query("variance_prior_moments", f"{_MEANS} SELECT round(avg(ln(s2)), 6) AS mean_log, round(var_samp(ln(s2)), 6) AS var_log, count(*) AS genes FROM (SELECT {_S2} AS s2 FROM m WHERE eligible) y WHERE s2 > 1e-18")
 def variance_prior_moments(t: Tables) -> DataFrame:
-    s2 = _means(t).where("n_ref = 3 AND n_trt = 3").select(F.expr(_S2).alias("s2")).where("s2 > 1e-9")
-    return s2.agg(F.round(F.avg(F.log("s2")), 6).alias("mean_log"), F.round(F.var_samp(F.log("s2")), 6).alias("var_log"), F.count("*").alias("genes"))
+    return S.prior_moments(_means(t)).select(F.round("mean_log", 6).alias("mean_log"), F.round("var_log", 6).alias("var_log"), "genes")
 
 
 @query("moderated_t")
 def moderated_t(t: Tables) -> DataFrame:
-    m = _means(t).where("n_ref = 3 AND n_trt = 3").withColumn("s2", F.expr(_S2)).where("s2 > 1e-9")
-    moments = m.agg(F.avg(F.log("s2")), F.var_samp(F.log("s2"))).first()  # two numbers
-    prior = S.variance_prior(moments[0], moments[1], 4.0)
-    return S.moderated_t(m.withColumn("difference", F.col("trt") - F.col("ref")), "s2", "difference", 4.0, prior, 3, 3).select("gene", "t", "df", "p")
+    return S.differential_expression(_means(t), "gene").drop("mean_ref", "mean_trt")
 
 
 @query("bonferroni", "SELECT id, round(least(1.0, p * count(*) OVER ())::DOUBLE, 8) AS p_adjusted FROM (SELECT p_partkey AS id, ((p_partkey * 7919) % 10007 + 1) / 100080000.0 AS p FROM part) x")

@@ -6,10 +6,12 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from pathlib import PurePosixPath, PureWindowsPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import payload
@@ -160,5 +162,45 @@ def resolve_stored_path(value: str, data_dir: str, present: Callable[[str], bool
 
 
 def fingerprint(df: DataFrame) -> str:
-    """A digest of what a file-backed table reads: its files and its row count, both from metadata."""
-    return hashlib.sha256(json.dumps([sorted(df.inputFiles()), df.count()]).encode()).hexdigest()[:16]
+    """A digest of what a file-backed table reads: path, length and modification time of each of its files.
+
+    Tasks look at the files; one row comes to the driver. No column is read.
+    """
+    m = F.col("_metadata")
+    files = df.select(m["file_path"].alias("path"), m["file_size"].alias("size"), m["file_modification_time"].alias("time")).distinct()
+    h = F.xxhash64("path", "size", "time")
+    row = files.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(h))).first()
+    return hashlib.sha256(json.dumps(list(row)).encode()).hexdigest()[:16]
+
+
+# ---------------------------------------------------------------- versions
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, whether it is whole) of the versions below path, the oldest first."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    found = sorted((int(n[1:10]), f"{path}/{n}") for n in names if n[:1] == "v" and n[1:10].isdigit())
+    return [(number, folder, exists(spark, f"{folder}/meta/_SUCCESS")) for number, folder in found]
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Folder of the newest whole version below path; None where there is none.
+
+    A version is whole once its last table, meta, has been committed; nothing is ever written into it afterwards, so who has
+    looked it up reads it to the end while newer ones are built beside it.
+    """
+    return next((folder for _, folder, whole in reversed(versions(spark, path)) if whole), None)
+
+
+def new_version(spark: SparkSession, path: str) -> str:
+    """Folder for the next version below path. Versions before the newest two whole ones are removed, and what was left half
+    done before them."""
+    have = versions(spark, path)
+    kept = [number for number, _, whole in have if whole][-2:]
+    for number, folder, _ in have:
+        if len(kept) == 2 and number < kept[0]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return f"{path}/v{1 + max((number for number, _, _ in have), default=0):09d}-{uuid.uuid4().hex[:8]}"
