@@ -166,9 +166,8 @@ def _groups(nodes: DataFrame, num: int, den: int) -> DataFrame:
         rare = rare.withColumns({"low": F.min("n").over(own), "top": F.max("most").over(own)}).where(meets)
     rare = rare.withColumns({"hub": F.min_by("node", F.struct("n", "node")).over(own), "members": F.count("*").over(own)}).where("members > 1")
     often = posts("hot", "size(keys)")
-    for _ in range(2):
-        ends = often.groupBy("key").agg(F.min("n").alias("low"), F.max("most").alias("top"), F.count("*").alias("members"))
-        often = shared.table(shared.joined(often, shared.table(ends), ["key"], "members", "inner").where(meets).select("key", "node", "n", "most"))
+    ends = often.groupBy("key").agg(F.min("n").alias("low"), F.max("most").alias("top"), F.count("*").alias("members")).where("members > 1")
+    often = shared.table(shared.joined(often, shared.table(ends), ["key"], "members", "inner").where(meets).select("key", "node", "n"))
     hubs = often.groupBy("key").agg(F.min_by("node", F.struct("n", "node")).alias("hub"), F.count("*").alias("members")).where("members > 1")
     often = shared.joined(often, shared.table(hubs), ["key"], "members", "inner")
     return rare.select("hub", "node", "n").union(often.select("hub", "node", "n")).distinct()
@@ -405,8 +404,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for across in (False, True):
         more = _tile_links(_later_tiles(members, nodes, found, num, den, across), rows, k, num, den)
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     least = sets.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     rooted = least.join(nodes.select("name", "node"), "name").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = shared.table(rooted.select("name", "root", "least", "copies"))
