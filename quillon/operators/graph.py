@@ -87,7 +87,17 @@ def transport_gaps(steps: DataFrame, route: str, order: str, compartment: str, c
 
 
 def relational_division(have: DataFrame, want: DataFrame, owner: str, item: str, wanted_by: str) -> DataFrame:
-    """(wanted_by, owner) of owners that have every item of a wish list."""
-    size = want.groupBy(wanted_by).agg(F.count_distinct(item).alias("_need"))
-    got = want.join(have.select(owner, item).distinct(), item).groupBy(wanted_by, owner).agg(F.count_distinct(item).alias("_got"))
-    return got.join(size, wanted_by).where("_got = _need").select(wanted_by, owner)
+    """(wanted_by, owner) of owners that have every item of a wish list.
+
+    Owners with the same items are one class, and so are wishes; only a class of owners with a wish's rarest item is
+    checked against its others. So what is compared grows with different sets, not with owners times wishes.
+    """
+    sets = have.groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    classes = sets.groupBy("_items").agg(F.count("*").alias("_size"))
+    wishes = want.groupBy(wanted_by).agg(F.array_sort(F.collect_set(item)).alias("_wish"))
+    posts = classes.select("_items", "_size", F.explode("_items").alias("_item"))
+    often = posts.groupBy("_item").agg(F.sum("_size").alias("_n"))
+    asked = wishes.select("_wish").distinct().select("_wish", F.explode("_wish").alias("_item"))
+    rarest = asked.join(often, "_item", "left").groupBy("_wish").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_item"))["_item"].alias("_item"))
+    got = rarest.join(posts, "_item").where(F.size(F.array_except("_wish", "_items")) == 0).select("_wish", "_items")
+    return wishes.join(got, "_wish").join(sets, "_items").select(wanted_by, owner)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import graph as G
 from quillon.operators import provenance as P
+from quillon.operators import recall as R
 from quillon.registry import query
 from quillon.sources.standins import Tables
 
@@ -112,14 +113,47 @@ def locus_filter(t: Tables) -> DataFrame:
     return t.v_route_part.where((F.col("compartment") != "Brand#11") & ~F.col("enzyme").contains("STEEL")).select("part_id")
 
 
+@query(
+    "literature_recall",
+    """WITH e AS (SELECT DISTINCT config_id, entry, list_distinct(regexp_extract_all(lower(entry), '[a-z][a-z0-9]*')) AS toks, regexp_extract_all(lower(entry), '[a-z0-9]+') AS runs FROM v_config_entry),
+    n AS (SELECT *, list_concat(runs, list_transform(range(1, len(runs)), lambda i: runs[i] || runs[i + 1])) AS named, lower(replace(regexp_extract(entry, 'from ([A-Z](?:[a-z]+|\\.)) ([a-z]{2,})', 1), '.', '')) AS genus,
+      regexp_extract(entry, 'from ([A-Z](?:[a-z]+|\\.)) ([a-z]{2,})', 2) AS species, list_filter(toks, lambda t: t IN ('step0', 'step1', 'step2', 'step3', 'step4')) AS rt FROM e),
+    h AS (SELECT DISTINCT n.config_id, n.entry, c.part_id, c.step_role AS role, list_contains(n.named, c.designation) AS has FROM (SELECT *, unnest(toks) AS tok FROM n) n JOIN v_catalog c ON c.gene = CASE n.tok WHEN 'genz' THEN 'gen7' ELSE n.tok END),
+    g AS (SELECT config_id, entry, role, list_sort(list(part_id)) AS every, list_sort(list(part_id) FILTER (has)) AS having_it FROM h GROUP BY ALL),
+    k AS (SELECT config_id, entry, role, CASE WHEN len(every) > 1 AND len(having_it) > 1 THEN 'ambiguous_variant' WHEN len(every) > 1 AND len(having_it) = 1 THEN 'variant' ELSE 'gene' END AS outcome, CASE WHEN len(every) > 1 AND len(having_it) > 0 THEN having_it ELSE every END AS ids FROM g),
+    s AS (SELECT n.config_id, n.entry, any_value(CASE WHEN len(rt) = 1 AND NOT list_contains(toks, 'stepfamily') AND genus <> '' THEN substr(rt[1], 5)::INT END) AS role, any_value(len(rt) > 0 OR list_contains(toks, 'stepfamily')) AS names_role,
+      list_sort(list(c.part_id) FILTER (c.part_id IS NOT NULL)) AS ids FROM n LEFT JOIN v_catalog c ON len(rt) = 1 AND NOT list_contains(toks, 'stepfamily') AND genus <> '' AND c.step_role = substr(rt[1], 5)::INT
+        AND lower(split_part(c.organism, ' ', 2)) = species AND (lower(split_part(c.organism, ' ', 1)) = genus OR len(genus) = 1 AND lower(c.organism[1]) = genus)
+      WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.config_id = n.config_id AND g.entry = n.entry) GROUP BY 1, 2),
+    o AS (SELECT config_id, role, outcome, ids FROM k UNION ALL SELECT config_id, role, CASE WHEN len(ids) = 1 THEN 'source' WHEN len(ids) > 1 THEN 'ambiguous_source' WHEN names_role THEN 'role_only' ELSE 'unrecognised' END, ids FROM s),
+    f AS (SELECT config_id, role, list_distinct(flatten(list(ids))) AS ids FROM o WHERE outcome IN ('gene', 'variant', 'source') AND role < 5 GROUP BY 1, 2),
+    q AS (SELECT config_id, count(*) FILTER (outcome = 'unrecognised') AS unknown, list_distinct(list(role) FILTER (outcome = 'ambiguous_source')) AS src, list_distinct(list(role) FILTER (outcome = 'ambiguous_variant')) AS var FROM o GROUP BY 1),
+    m AS (SELECT c.config_id, r.route_id FROM v_config c JOIN f USING (config_id) JOIN v_config_route r ON r.strategy = c.strategy AND r.role = f.role AND list_contains(f.ids, r.part_id)
+      WHERE c.host IS NOT NULL AND c.host_organism = 'yeast' GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM f x WHERE x.config_id = c.config_id)),
+    w AS (SELECT config_id, count(*) AS n_routes FROM m GROUP BY 1), z AS (SELECT config_id, list(role) AS filled, list_sort(list(role) FILTER (len(ids) > 1)) AS several FROM f GROUP BY 1),
+    v AS (SELECT c.config_id, coalesce(n_routes, 0) AS n_routes, list_filter([0, 1, 2, 3, 4], lambda r: NOT list_contains(coalesce(filled, []), r)) AS unfilled, coalesce(several, []) AS several, coalesce(unknown, 0) AS unknown, src, var,
+      CASE WHEN strategy IS NULL OR strategy = 'Z' THEN 'strategy_not_enumerable' WHEN host IS NULL THEN 'host_not_recorded' WHEN host_organism <> 'yeast' THEN 'host_outside_enumeration' WHEN q.config_id IS NULL THEN 'no_enzyme_set_recorded' END AS early
+      FROM v_config c LEFT JOIN w USING (config_id) LEFT JOIN z USING (config_id) LEFT JOIN q USING (config_id)),
+    t AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN len(unfilled) = 0 AND n_routes > 0 THEN 'matched' WHEN unknown > 0 THEN 'catalog_gap' WHEN list_has_any(coalesce(src, []), unfilled) THEN 'source_organism_ambiguous'
+      WHEN list_has_any(coalesce(var, []), unfilled) THEN 'variant_designation_ambiguous' ELSE 'under_specified' END AS clause FROM v)
+    SELECT config_id, clause, CASE WHEN early IS NULL THEN n_routes ELSE 0 END AS n_routes, CASE WHEN early IS NULL THEN array_to_string(unfilled, ',') END AS unfilled, CASE WHEN early IS NULL THEN array_to_string(several, ',') END AS ambiguous,
+      clause = 'matched' OR clause = 'under_specified' AND n_routes > 0 AS partial FROM t""",
+)
+def literature_recall(t: Tables) -> DataFrame:
+    parts = t.v_catalog.select("part_id", "step_role", F.array("gene").alias("genes"), F.array_compact(F.array("designation")).alias("designations"), "organism")
+    out = R.classify(t.v_config, t.v_config_entry, parts, t.v_config_route, range(5), ["A", "B", "C"], "yeast", {"genz": "gen7"}, {f"step{r}": r for r in range(5)}, ["stepfamily"])
+    text = lambda c: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
+    return out.select("config_id", "clause", "n_routes", text("unfilled"), text("ambiguous"), "partial")
+
+
 @query(
     "relational_division",
-    """WITH w AS (SELECT l_suppkey AS wish, l_returnflag || l_linestatus AS item FROM lineitem WHERE l_suppkey < 10 AND l_quantity > 48 GROUP BY 1, 2), h AS (SELECT DISTINCT l_orderkey AS owner, l_returnflag || l_linestatus AS item FROM lineitem)
+    """WITH w AS (SELECT DISTINCT l_suppkey AS wish, l_returnflag || l_linestatus || l_linenumber AS item FROM lineitem WHERE l_quantity > 49), h AS (SELECT DISTINCT l_orderkey AS owner, l_returnflag || l_linestatus || l_linenumber AS item FROM lineitem)
     SELECT w.wish, h.owner FROM w JOIN h ON w.item = h.item GROUP BY w.wish, h.owner HAVING count(*) = (SELECT count(*) FROM w x WHERE x.wish = w.wish)""",
 )
 def relational_division(t: Tables) -> DataFrame:
-    item = F.concat("l_returnflag", "l_linestatus").alias("item")
-    want = t.lineitem.where("l_suppkey < 10 AND l_quantity > 48").select(F.col("l_suppkey").alias("wish"), item).distinct()
+    item = F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("item")
+    want = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").alias("wish"), item).distinct()
     return G.relational_division(t.lineitem.select(F.col("l_orderkey").alias("owner"), item), want, "owner", "item", "wish")
 
 

@@ -103,6 +103,24 @@ VIEWS: dict[str, str] = {
         FROM (SELECT DISTINCT CAST(floor(event_id / 3.0) AS BIGINT) AS assertion_id FROM events) x""",
     "v_curation": """
         SELECT CAST(floor(event_id / 3.0) AS BIGINT) AS target_id, CASE WHEN event_id % 5 < 2 THEN '  ' WHEN event_id % 5 = 2 THEN NULL ELSE event_type END AS curator FROM events WHERE event_id % 4 = 1 OR event_id % 7 = 3""",
+    "v_catalog": """
+        SELECT k AS part_id, CAST(k % 6 AS INT) AS step_role, concat('gen', CASE WHEN k < 42 THEN k ELSE k % 6 END) AS gene, CASE WHEN k >= 48 AND k % 2 = 1 THEN concat('w', k % 6, 'd') WHEN k >= 42 THEN concat('v', k % 6, 'd') END AS designation,
+          CASE k % 5 WHEN 0 THEN 'Aus bonus' WHEN 1 THEN 'Aus minor' ELSE 'Cetus magnus' END AS organism
+        FROM (SELECT DISTINCT p_partkey % 54 AS k FROM part) x""",
+    "v_config": """
+        SELECT o_orderkey AS config_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 = 1 THEN 'Z' WHEN o_orderkey % 3 = 0 THEN 'A' WHEN o_orderkey % 3 = 1 THEN 'B' ELSE 'C' END AS strategy,
+          CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS host, CASE WHEN o_custkey % 7 = 0 THEN 'other' ELSE 'yeast' END AS host_organism
+        FROM orders""",
+    "v_config_entry": """
+        SELECT l_orderkey AS config_id,
+          CASE WHEN l_partkey % 40 = 0 THEN 'putative oxidase' WHEN l_partkey % 20 = 1 THEN concat('Step', (l_linenumber - 1) % 5, ' enzyme from ', CASE l_suppkey % 3 WHEN 0 THEN 'Aus bonus' WHEN 1 THEN 'A. minor' ELSE 'Dux rex' END)
+            WHEN l_partkey % 40 = 2 THEN 'step1 and step2 from Aus bonus' WHEN l_partkey % 40 = 3 THEN 'Stepfamily genes from Aus bonus' WHEN l_partkey % 40 = 4 THEN 'GenZ'
+            ELSE concat('Gen', (l_linenumber - 1) % 6 + CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE 6 END, CASE WHEN l_partkey % 9 = 0 THEN concat(' V', (l_linenumber - 1) % 6, '-D') WHEN l_partkey % 9 = 1 THEN ' W1D' ELSE '' END, ' strain ', l_suppkey) END AS entry
+        FROM lineitem WHERE l_orderkey % 9 <> 4""",
+    "v_config_route": """
+        SELECT c.c_custkey AS route_id, CASE c.c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS strategy, r.role, CASE WHEN c.c_custkey % 10 = 0 THEN r.role + 42
+          ELSE r.role + 6 * (CAST(floor(c.c_custkey / CASE r.role WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 4.0 WHEN 3 THEN 8.0 ELSE 16.0 END) AS BIGINT) % 2) END AS part_id
+        FROM customer c CROSS JOIN (SELECT DISTINCT CAST(p_partkey % 5 AS INT) AS role FROM part) r""",
     "v_paper": """
         SELECT doc_id, concat('Paper ', doc_id, chr(10), 'Background', chr(10), 'We ask about ', source, '.', chr(10), 'Results:', chr(10), 'It holds.', chr(10),
           CASE WHEN doc_id % 2 = 0 THEN concat('1. Introduction', chr(10)) ELSE '' END, text, chr(10),
