@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.balance import NOT_A_POOL, POOL_UNDECLARED
+
 
 def route_product(parts: DataFrame, roles: Sequence[int], part: str, role: str) -> DataFrame:
-    """One part for every role in every combination; roles without parts give no routes. Catalogues are small."""
+    """One part for every role in every combination, which is what is asked for; roles without parts give no routes."""
     out = None
     for r in roles:
         one = parts.where(F.col(role) == r).select(F.col(part).alias(f"part_{r}"))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
+        out = one if out is None else out.crossJoin(one)
     return out
 
 
@@ -35,32 +37,68 @@ def power_set(items: DataFrame, item: str) -> DataFrame:
     return masks.select(subset.alias("subset")).select("subset", F.size("subset").alias("size")).orderBy("size", "subset")
 
 
-def enumerate_routes(parts: DataFrame, strategies: DataFrame, roles: Sequence[int], optional: int, handoffs: Sequence[tuple[int, int]], carriers: DataFrame) -> DataFrame:
-    """(route_id, strategy, parts, cycle, requirements, gaps, balance_score, transport_score, feasibility): every part of
-    each role x strategy x set of optional parts, gated and scored.
+def needs_supply(cofactor: Column, compartment: Column, pools: Mapping[str, Sequence[str]]) -> Column:
+    """Whether a cofactor names a pool that the compartment isn't recorded as supplying."""
+    known = F.create_map(*(x for c, names in pools.items() for x in (F.lit(c), F.array(*map(F.lit, names)))))
+    has = F.array_contains(F.coalesce(F.element_at(known, compartment), F.array().cast("array<string>")), cofactor)
+    return ~cofactor.isin(*NOT_A_POOL, *POOL_UNDECLARED) & ~has
+
+
+def cofactor_demand(steps: DataFrame, pools: Mapping[str, Sequence[str]], optional: int) -> DataFrame:
+    """(route_id, compartment, cofactor, demand, supplied): steps of a route that draw on a pool there, and whether the
+    compartment is recorded as supplying it. Optional steps are the supply side and ask for nothing."""
+    asks = steps.where((F.col("step_role") != optional) & ~F.col("cofactor").isin(*NOT_A_POOL, *POOL_UNDECLARED))
+    out = asks.groupBy("route_id", "compartment", "cofactor").agg(F.count("*").alias("demand"))
+    return out.withColumn("supplied", ~needs_supply(F.col("cofactor"), F.col("compartment"), pools))
+
+
+def enumerate_routes(parts: DataFrame, strategies: DataFrame, roles: Sequence[int], optional: int, handoffs: Sequence[tuple[int, int]], carriers: DataFrame, pools: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """(route_id, strategy, parts, cycle, requirements, risks, gaps, balance_score, transport_score, feasibility): every part
+    of each role x strategy x set of optional parts, gated and scored.
 
-    parts are (part_id, step_role, compartment, encoding); strategies (strategy, role, compartment, encoding,
-    feasibility) place each role; carriers (source, target) are the known ones. A role without parts is an error: an
-    empty product would read as if no routes existed. The empty set of optional parts comes first and adds nothing to a
-    route's id. A part carried in mitochondrial DNA must be recoded; a handoff between compartments without a carrier is
-    a gap; neither excludes a route.
+    parts are (part_id, step_role, cofactor); strategies (strategy, role, compartment, encoding, feasibility) place each
+    role; carriers (source, target) are the known ones; pools are the cofactors that a compartment supplies. A role without
+    parts is an error: an empty product would read as if no routes existed. The empty set of optional parts comes first
+    and adds nothing to a route's id. A part carried in mitochondrial DNA must be recoded; a step whose cofactor its
+    compartment doesn't supply is a risk; a handoff between compartments without a carrier is a gap; none excludes a
+    route. The balance score falls with the risks, the transport score with the gaps. Without pools the risks weren't looked
+    at: they and the balance score are null, never zero.
     """
     have = {r["step_role"] for r in parts.select("step_role").distinct().collect()}  # as many as there are roles
     if missing := [r for r in roles if r not in have]:
         raise ValueError(f"no part for role {', '.join(map(str, missing))}: the catalogue is incomplete")
-    product = route_product(parts, roles, "part_id", "step_role")
+    cofactor = F.col("cofactor") if "cofactor" in parts.columns else F.lit(None).cast("string").alias("cofactor")
+    product = route_product(parts.withColumn("_part", F.struct("part_id", cofactor)), roles, "_part", "step_role")
     cycles = power_set(parts.where(F.col("step_role") == optional), "part_id").withColumnRenamed("subset", "cycle").select("cycle")
     placed = strategies.groupBy("strategy").agg(F.map_from_entries(F.collect_list(F.struct("role", F.struct("compartment", "encoding")))).alias("plan"), F.first("feasibility").alias("feasibility"))
-    known = carriers.agg(F.collect_set(F.struct("source", "target")).alias("known"))  # a short list
-    routes = product.crossJoin(F.broadcast(placed)).crossJoin(F.broadcast(cycles)).crossJoin(F.broadcast(known))
+    known = carriers.agg(F.collect_set(F.struct("source", "target")).alias("known"))  # a single row
+    # gates are looked at once for parts and strategy, before the sets of optional parts multiply the rows
+    routes = product.crossJoin(placed).crossJoin(F.broadcast(known))
     at = lambda role: F.element_at(F.col("plan"), F.lit(role))
-    recode = F.array_compact(F.array(*(F.when(at(r)["encoding"] == "mitochondrial", F.concat(F.lit(f"recode role {r}: part "), F.col(f"part_{r}").cast("string"))) for r in roles)))
+    recode = F.array_compact(F.array(*(F.when(at(r)["encoding"] == "mitochondrial", F.concat(F.lit(f"recode role {r}: part "), F.col(f"part_{r}.part_id").cast("string"))) for r in roles)))
+    risks = F.lit(None).cast("array<string>") if pools is None else F.array_compact(F.array(*(F.when(needs_supply(F.col(f"part_{r}.cofactor"), at(r)["compartment"], pools), F.concat_ws(" ", F.lit(f"role {r}:"), F.col(f"part_{r}.cofactor"), F.lit("in"), at(r)["compartment"])) for r in roles)))
     hops = [F.struct(at(a)["compartment"].alias("source"), at(b)["compartment"].alias("target")) for a, b in handoffs]
     gaps = F.array_compact(F.array(*(F.when((h["source"] != h["target"]) & ~F.array_contains("known", h), F.concat_ws(">", h["source"], h["target"])) for h in hops)))
-    own = F.array(*(F.col(f"part_{r}") for r in roles))
-    route_id = F.concat(F.col("strategy"), F.lit(":"), F.array_join(F.transform(own, lambda x: x.cast("string")), "+"), F.when(F.size("cycle") > 0, F.concat(F.lit("+cycle:"), F.array_join(F.transform("cycle", lambda x: x.cast("string")), "+"))).otherwise(""))
-    out = routes.select(route_id.alias("route_id"), "strategy", own.alias("parts"), "cycle", recode.alias("requirements"), gaps.alias("gaps"), "feasibility")
-    return out.withColumns({"balance_score": 1.0 / (1 + F.size("requirements")), "transport_score": 1.0 / (1 + F.size("gaps"))})
+    own = F.array(*(F.col(f"part_{r}.part_id") for r in roles))
+    gated = routes.select("strategy", own.alias("parts"), recode.alias("requirements"), risks.alias("risks"), gaps.alias("gaps"), "feasibility")
+    gated = gated.withColumns({"balance_score": 1.0 / (1 + F.size("risks")), "transport_score": 1.0 / (1 + F.size("gaps"))})
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "+")
+    route_id = F.concat(F.col("strategy"), F.lit(":"), text("parts"), F.when(F.size("cycle") > 0, F.concat(F.lit("+cycle:"), text("cycle"))).otherwise(""))
+    return gated.crossJoin(cycles).select(route_id.alias("route_id"), "strategy", "parts", "cycle", "requirements", "risks", "gaps", "feasibility", "balance_score", "transport_score")
+
+
+def ranked_routes(routes: DataFrame, fit: Mapping[str, float] | None = None) -> DataFrame:
+    """routes with (place keys) in the order of rank: fewest gaps, then fewest risks, then feasibility, then fewest
+    requirements, then id. With `fit`, a programme's wish for a strategy, that comes before feasibility; no fit counts 0.
+
+    Never a weighted total. The order is a range-partitioned sort.
+    """
+    keys = [F.size("gaps").asc(), F.size("risks").asc()]
+    if fit is not None:
+        worth = F.create_map(*(F.lit(x) for pair in fit.items() for x in pair)) if fit else F.expr("map('', 0D)")
+        keys.append(F.coalesce(F.element_at(worth, F.col("strategy")), F.lit(0.0)).desc())
+    keys += [F.coalesce("feasibility", F.lit(0.0)).desc(), F.size("requirements").asc(), F.col("route_id").asc()]
+    return routes.orderBy(*keys)
 
 
 def insertion_plan(carried: DataFrame, loci: DataFrame) -> DataFrame:

@@ -35,21 +35,37 @@ _STRATEGIES = [(s, r, "matrix" if s == "B" or (s == "C" and r < 3) else "cytosol
 _PLAN = "(VALUES " + ", ".join(f"('{s}', {r}, '{c}', '{e}', {f})" for s, r, c, e, f in _STRATEGIES) + ") p(strategy, role, compartment, encoding, feasibility)"
 
 
-@query(
-    "route_enumerate",
-    f"""WITH c AS (SELECT a.part_id AS p0, b.part_id AS p1, c.part_id AS p2, d.part_id AS p3, e.part_id AS p4 FROM v_route_part a, v_route_part b, v_route_part c, v_route_part d, v_route_part e
-      WHERE a.step_role = 0 AND b.step_role = 1 AND c.step_role = 2 AND d.step_role = 3 AND e.step_role = 4),
-    i AS (SELECT coalesce(list_sort(list(part_id)), []) AS a FROM v_route_part WHERE step_role = 5), m AS (SELECT a, unnest(range(0, 1 << len(a))) AS mask FROM i),
+#: Cofactors that a compartment supplies.
+_POOLS = {"cytosol": ["NADH", "NADPH"], "matrix": ["NADH"]}
+_LACKS = " + ".join(f"({p}.cofactor IN ('NADH', 'NADPH') AND NOT (at{r} = 'cytosol' OR {p}.cofactor = 'NADH'))::INT" for r, p in enumerate("abcde"))
+_ROUTES = f"""WITH i AS (SELECT coalesce(list_sort(list(part_id)), []) AS a FROM v_route_part WHERE step_role = 5), m AS (SELECT a, unnest(range(0, 1 << len(a))) AS mask FROM i),
     s AS (SELECT list_filter(a, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS cycle FROM m),
-    g AS (SELECT strategy, max(feasibility)::DOUBLE AS feasibility, count(*) FILTER (encoding = 'mitochondrial') AS recodings, (max(compartment) FILTER (role = 2) <> max(compartment) FILTER (role = 3))::INT AS gaps FROM {_PLAN} GROUP BY strategy)
-    SELECT strategy || ':' || p0 || '+' || p1 || '+' || p2 || '+' || p3 || '+' || p4 || CASE WHEN len(cycle) > 0 THEN '+cycle:' || array_to_string(cycle, '+') ELSE '' END AS route_id, strategy, len(cycle)::INT AS cycle_size,
-      round(1.0 / (1 + recodings), 6)::DOUBLE AS balance_score, round(1.0 / (1 + gaps), 6)::DOUBLE AS transport_score, feasibility FROM c, s, g""",
-)
-def route_enumerate(t: Tables) -> DataFrame:
+    g AS (SELECT strategy, max(feasibility)::DOUBLE AS feasibility, count(*) FILTER (encoding = 'mitochondrial') AS recodings, (max(compartment) FILTER (role = 2) <> max(compartment) FILTER (role = 3))::INT AS gaps,
+      {", ".join(f"max(compartment) FILTER (role = {r}) AS at{r}" for r in range(5))} FROM {_PLAN} GROUP BY strategy),
+    r AS (SELECT strategy || ':' || a.part_id || '+' || b.part_id || '+' || c.part_id || '+' || d.part_id || '+' || e.part_id || CASE WHEN len(cycle) > 0 THEN '+cycle:' || array_to_string(cycle, '+') ELSE '' END AS route_id, strategy, len(cycle)::INT AS cycle_size,
+      {_LACKS} AS risks, gaps, recodings, feasibility
+      FROM v_route_part a, v_route_part b, v_route_part c, v_route_part d, v_route_part e, s, g WHERE a.step_role = 0 AND b.step_role = 1 AND c.step_role = 2 AND d.step_role = 3 AND e.step_role = 4)"""
+
+
+def _routes(t: Tables) -> DataFrame:
     strategies = t._spark.createDataFrame(_STRATEGIES, "strategy string, role int, compartment string, encoding string, feasibility double")
     carriers = t._spark.createDataFrame([("cytosol", "matrix")], "source string, target string")
-    r = G.enumerate_routes(t.v_route_part, strategies, [0, 1, 2, 3, 4], 5, [(0, 1), (1, 2), (2, 3), (3, 4)], carriers)
-    return r.select("route_id", "strategy", F.size("cycle").alias("cycle_size"), F.round("balance_score", 6).alias("balance_score"), F.round("transport_score", 6).alias("transport_score"), "feasibility")
+    return G.enumerate_routes(t.v_route_part, strategies, [0, 1, 2, 3, 4], 5, [(0, 1), (1, 2), (2, 3), (3, 4)], carriers, _POOLS)
+
+
+@query("route_enumerate", f"{_ROUTES} SELECT route_id, strategy, cycle_size, round(1.0 / (1 + risks), 6)::DOUBLE AS balance_score, round(1.0 / (1 + gaps), 6)::DOUBLE AS transport_score, feasibility FROM r")
+def route_enumerate(t: Tables) -> DataFrame:
+    return _routes(t).select("route_id", "strategy", F.size("cycle").alias("cycle_size"), F.round("balance_score", 6).alias("balance_score"), F.round("transport_score", 6).alias("transport_score"), "feasibility")
+
+
+@query("routes_easiest", f"{_ROUTES} SELECT route_id, risks::INT AS risks, gaps::INT AS gaps FROM r ORDER BY gaps, risks, feasibility DESC, recodings, route_id LIMIT 25")
+def routes_easiest(t: Tables) -> DataFrame:
+    return G.ranked_routes(_routes(t)).limit(25).select("route_id", F.size("risks").alias("risks"), F.size("gaps").alias("gaps"))
+
+
+@query("routes_for_programme", f"{_ROUTES} SELECT route_id, risks::INT AS risks, gaps::INT AS gaps FROM r ORDER BY gaps, risks, CASE strategy WHEN 'B' THEN 1.0 WHEN 'C' THEN 0.5 ELSE 0 END DESC, feasibility DESC, recodings, route_id LIMIT 25")
+def routes_for_programme(t: Tables) -> DataFrame:
+    return G.ranked_routes(_routes(t), {"B": 1.0, "C": 0.5}).limit(25).select("route_id", F.size("risks").alias("risks"), F.size("gaps").alias("gaps"))
 
 
 @query(
@@ -88,10 +104,12 @@ def transport_gaps(t: Tables) -> DataFrame:
     return G.transport_gaps(steps, "reaction_id", "place", "compartment", carriers)
 
 
-@query("cofactor_demand", "SELECT tier, family, count(*) AS demand FROM v_participant p JOIN v_product v ON v.product_id = p.metabolite_id WHERE role = 'substrate' AND carbons >= 3 GROUP BY tier, family")
+@query(
+    "cofactor_demand",
+    "SELECT route_id, compartment, cofactor, count(*) AS demand, compartment = 'cytosol' OR cofactor = 'NADH' AS supplied FROM v_route_step WHERE step_role <> 5 AND cofactor IN ('NADH', 'NADPH') GROUP BY route_id, compartment, cofactor",
+)
 def cofactor_demand(t: Tables) -> DataFrame:
-    v = t.v_product.where("carbons >= 3").select(F.col("product_id").alias("metabolite_id"), "tier", "family")
-    return t.v_participant.where("role = 'substrate'").join(v, "metabolite_id").groupBy("tier", "family").agg(F.count("*").alias("demand"))
+    return G.cofactor_demand(t.v_route_step, _POOLS, 5)
 
 
 @query("gate_rules", "SELECT s.strain_id, r.rule, r.effect FROM v_strain s JOIN (VALUES ('low_score', 'exclude', -1000.0, 0.0), ('mid_score', 'burden', 0.0, 3000.0)) r(rule, effect, lo, hi) ON s.score >= r.lo AND s.score < r.hi")

@@ -62,7 +62,8 @@ VIEWS: dict[str, str] = {
           o_custkey AS extraction_id, CAST(o_orderkey % 5 AS INT) AS attempts
         FROM orders""",
     "v_route_part": """
-        SELECT min(p_partkey) AS part_id, CAST(p_size % 18 % 6 AS INT) AS step_role, min(p_brand) AS compartment, min(p_type) AS enzyme
+        SELECT min(p_partkey) AS part_id, CAST(p_size % 18 % 6 AS INT) AS step_role, min(p_brand) AS compartment, min(p_type) AS enzyme,
+          CASE min(p_partkey) % 5 WHEN 0 THEN 'NADH' WHEN 1 THEN 'NADPH' WHEN 2 THEN 'either' ELSE 'NA' END AS cofactor
         FROM part GROUP BY p_size % 18""",
     "v_metabolite": """
         SELECT p_partkey AS metabolite_id, p_name AS name, CASE WHEN p_partkey % 10 < 4 THEN 21 WHEN p_partkey % 10 < 6 THEN 10 ELSE p_size END AS carbons,
