@@ -232,3 +232,12 @@ def corroborate(quote: Column, fields: Mapping[str, tuple[str, Column]]) -> Colu
     absent = F.array_compact(F.array(*missing))
     blank = F.coalesce(F.trim(quote) == "", F.lit(True))
     return F.struct(F.when(~blank & (F.size(absent) == 0), "accept").otherwise("review").alias("verdict"), absent.alias("absent"))
+
+
+def redundant(runs: DataFrame, unit: str) -> DataFrame:
+    """runs with `members`, each that isn't the only one of its unit: rows of one unit are no independent observations.
+
+    Units are counted in each task first and joined back, so a unit with very many runs is no one task's. Null units don't count.
+    """
+    sizes = runs.where(F.col(unit).isNotNull()).groupBy(unit).agg(F.count("*").alias("members")).where("members > 1")
+    return runs.join(sizes, unit)

@@ -24,12 +24,55 @@ def benjamini_hochberg(df: DataFrame, by: Sequence[str], p: str, tie: str) -> Da
     return out.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
-def largest_gap(df: DataFrame, by: Sequence[str], value: str, tie: str) -> DataFrame:
-    """(by, edge, gap): the value below the widest gap between sorted neighbours; of equal gaps the lowest."""
+#: Least fold between a marker's sides; robust z below which a sample is quarantined; least number of samples.
+MARKER_FOLD, MARGIN_Z, LEAST_SAMPLES = 4.0, -3.0, 4
+
+
+def largest_gap(df: DataFrame, by: Sequence[str], value: str, tie: str, fold: float = MARKER_FOLD) -> DataFrame:
+    """(by, edge, top, gap): the readings below and above the widest gap between sorted neighbours, where it is a clean split.
+
+    Gaps above readings of zero or less don't count; of equal gaps the highest is taken. A group whose `top` is less
+    than `fold` times its `edge` has no clean split and is left out: it says nothing about any side.
+    """
     w = Window.partitionBy(*by).orderBy(value, tie)
-    gaps = df.withColumn("_gap", F.lead(value).over(w) - F.col(value)).where("_gap IS NOT NULL")
-    best = gaps.groupBy(*by).agg(F.max(F.struct("_gap", (-F.col(value)).alias("_neg"))).alias("_b"))
-    return best.select(*by, (-F.col("_b._neg")).alias("edge"), F.col("_b._gap").alias("gap"))
+    gaps = df.withColumn("_top", F.lead(value).over(w)).where(F.col("_top").isNotNull() & (F.col(value) > 0))
+    best = gaps.groupBy(*by).agg(F.max(F.struct((F.col("_top") - F.col(value)).alias("gap"), F.col(value).alias("edge"), F.col("_top").alias("top"))).alias("_b"))
+    return best.where(F.col("_b.top") >= fold * F.col("_b.edge")).select(*by, F.col("_b.edge").alias("edge"), F.col("_b.top").alias("top"), F.col("_b.gap").alias("gap"))
+
+
+def marker_flags(long: DataFrame, declared: DataFrame, gene: str, sample: str, count: str, fold: float = MARKER_FOLD) -> DataFrame:
+    """(gene, sample, declared_high, observed_high) of samples that don't sit on the side that they declare.
+
+    declared are (sample, gene) pairs; only declared genes are looked at, in all samples, absent cells as zeros. A gene
+    without a clean split abstains.
+    """
+    cells = declared.select(gene).distinct().crossJoin(long.select(sample).distinct())  # markers only
+    cells = cells.join(long.select(gene, sample, count), [gene, sample], "left").na.fill(0, [count])
+    side = cells.join(largest_gap(cells, [gene], count, sample, fold), gene)
+    claims = declared.select(gene, sample).distinct().withColumn("_claims", F.lit(True))
+    out = side.join(claims, [gene, sample], "left").select(gene, sample, F.coalesce("_claims", F.lit(False)).alias("declared_high"), (F.col(count) > F.col("edge")).alias("observed_high"))
+    return out.where("declared_high <> observed_high")
+
+
+def coherence(rho: DataFrame, samples: DataFrame) -> DataFrame:
+    """(study, sample, margin, z, resembles, quarantined, fault): does a sample agree best with its own replicates?
+
+    rho are (a, b, rho), both ways; samples (study, sample, context, strain). The margin is the best correlation within a
+    sample's cell of context and strain less the best one outside, within the study; samples without either have
+    none. It is judged by its robust z among the study's margins, if there are LEAST_SAMPLES. A quarantined sample's
+    fault is the `genotype` label if what it resembles shares its context, else the `condition` label. Of equally good
+    matches the smallest sample is named.
+    """
+    mine = samples.select("study", F.col("sample").alias("a"), F.col("context").alias("_c"), F.col("strain").alias("_s"))
+    other = samples.select(F.col("study").alias("_study"), F.col("sample").alias("b"), F.col("context").alias("_oc"), F.col("strain").alias("_os"))
+    pairs = rho.join(mine, "a").join(other, "b").where(F.col("study") == F.col("_study"))
+    same = (F.col("_c") == F.col("_oc")) & (F.col("_s") == F.col("_os"))
+    best = F.min(F.when(~same, F.struct((-F.round("rho", 12)).alias("r"), "b", (F.col("_c") == F.col("_oc")).alias("context")))).alias("best")
+    m = pairs.groupBy("study", F.col("a").alias("sample")).agg(F.max(F.when(same, F.col("rho"))).alias("inside"), F.max(F.when(~same, F.col("rho"))).alias("outside"), best)
+    m = m.where("inside IS NOT NULL AND outside IS NOT NULL").withColumn("margin", F.col("inside") - F.col("outside"))
+    z = robust_z(m, ["study"], "margin").join(m.groupBy("study").agg(F.count("*").alias("_n")), "study")
+    held = (F.col("_n") >= LEAST_SAMPLES) & (F.col("z") < MARGIN_Z)
+    return z.select("study", "sample", "margin", "z", F.col("best.b").alias("resembles"), held.alias("quarantined"), F.when(held, F.when(F.col("best.context"), "genotype").otherwise("condition")).alias("fault"))
 
 
 def robust_z(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

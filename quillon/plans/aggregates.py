@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.evidence import redundant
 from quillon.registry import query
 from quillon.sources.standins import Tables
 
@@ -136,9 +137,14 @@ def ambiguous_keys(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_type").alias("key")).agg(F.count_distinct("p_brand").alias("anchors")).where("anchors > 1")
 
 
-@query("redundancy_flags", "SELECT l_orderkey, l_suppkey, count(*) AS members FROM lineitem GROUP BY l_orderkey, l_suppkey HAVING count(*) >= 2")
+@query(
+    "redundancy_flags",
+    """SELECT measurement_id, biosample, members, 'technical_replicate' AS kind, 'warn' AS severity FROM (SELECT measurement_id, experiment_id || '/' || strain_id AS biosample, count(*) OVER (PARTITION BY experiment_id, strain_id) AS members
+      FROM v_measurement WHERE experiment_id IS NOT NULL AND strain_id IS NOT NULL) x WHERE members >= 2""",
+)
 def redundancy_flags(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("members")).where("members >= 2")
+    runs = t.v_measurement.where("experiment_id IS NOT NULL AND strain_id IS NOT NULL").select("measurement_id", F.concat_ws("/", "experiment_id", "strain_id").alias("biosample"))
+    return redundant(runs, "biosample").select("measurement_id", "biosample", "members", F.lit("technical_replicate").alias("kind"), F.lit("warn").alias("severity"))
 
 
 @query(

@@ -96,27 +96,37 @@ def cohesion(t: Tables) -> DataFrame:
     return rho.groupBy(F.col("a").alias("sample")).agg(F.round(F.max("rho"), 6).alias("cohesion"))
 
 
+_CELLS = "(SELECT DISTINCT 'all' AS study, sample, sample // 4 AS context, sample // 2 % 2 AS strain FROM v_matrix)"
+
+
 @query(
     "coherence_flags",
-    f"{_RHO} SELECT a AS sample, round(max(rho) FILTER ((a < 3) = (b < 3)) - max(rho) FILTER ((a < 3) <> (b < 3)), 6) AS margin, arg_max(b, round(rho, 9)) AS resembles FROM rho GROUP BY a",
+    f"""{_RHO}, s AS {_CELLS}, q AS (SELECT r.a, r.b, r.rho, x.context = y.context AND x.strain = y.strain AS own, x.context = y.context AS near FROM rho r JOIN s x ON x.sample = r.a JOIN s y ON y.sample = r.b),
+    m AS (SELECT a AS sample, max(rho) FILTER (own) - max(rho) FILTER (NOT own) AS margin, arg_min(b, (-round(rho, 12), b)) FILTER (NOT own) AS resembles, arg_min(near, (-round(rho, 12), b)) FILTER (NOT own) AS near FROM q GROUP BY a),
+    d AS (SELECT median(margin) AS med FROM m), e AS (SELECT 1.4826 * median(abs(margin - med)) AS mad FROM m, d),
+    z AS (SELECT *, CASE WHEN mad = 0 THEN 0 ELSE (margin - med) / mad END AS z, count(*) OVER () AS n FROM m, d, e WHERE margin IS NOT NULL)
+    SELECT sample, round(margin, 6) AS margin, round(z, 4) AS z, resembles, n >= 4 AND z < -3 AS quarantined, CASE WHEN n >= 4 AND z < -3 THEN CASE WHEN near THEN 'genotype' ELSE 'condition' END END AS fault FROM z""",
 )
 def coherence_flags(t: Tables) -> DataFrame:
-    own = (F.col("a") < 3) == (F.col("b") < 3)
-    rho = S.spearman_pairs(t.v_matrix, "gene", "sample", "n")
-    margin = F.max(F.when(own, F.col("rho"))) - F.max(F.when(~own, F.col("rho")))
-    return rho.groupBy(F.col("a").alias("sample")).agg(F.round(margin, 6).alias("margin"), F.max_by("b", "rho").alias("resembles"))
+    samples = t.v_matrix.select("sample").distinct().select(F.lit("all").alias("study"), "sample", F.expr("sample div 4").alias("context"), F.expr("sample div 2 % 2").alias("strain"))
+    out = S.coherence(S.spearman_pairs(t.v_matrix, "gene", "sample", "n"), samples)
+    return out.select("sample", F.round("margin", 6).alias("margin"), F.round("z", 4).alias("z"), "resembles", "quarantined", "fault")
+
+
+_DECLARED = "(SELECT DISTINCT m.sample, m.gene FROM v_matrix m JOIN v_product p ON p.product_id = m.gene WHERE p.carbons >= 40 AND m.grp = 'trt')"
 
 
 @query(
     "marker_flags",
-    """WITH m AS (SELECT sample, grp, sum(n) AS n FROM v_matrix WHERE gene % 97 = 0 GROUP BY sample, grp), g AS (SELECT *, lead(n) OVER (ORDER BY n, sample) - n AS gap FROM m),
-    e AS (SELECT arg_max(n, gap) AS edge FROM g WHERE gap IS NOT NULL) SELECT m.sample, m.n > e.edge AS high, (m.n > e.edge) <> (m.grp = 'trt') AS flagged FROM m, e""",
+    f"""WITH d AS {_DECLARED}, c AS (SELECT g.gene, s.sample, coalesce(m.n, 0) AS n FROM (SELECT DISTINCT gene FROM d) g CROSS JOIN (SELECT DISTINCT sample FROM v_matrix) s LEFT JOIN v_matrix m ON m.gene = g.gene AND m.sample = s.sample),
+    o AS (SELECT *, lead(n) OVER (PARTITION BY gene ORDER BY n, sample) AS top FROM c), e AS (SELECT gene, max((top - n, n, top)) AS b FROM o WHERE n > 0 AND top IS NOT NULL GROUP BY gene),
+    f AS (SELECT c.gene, c.sample, d.gene IS NOT NULL AS declared_high, c.n > b[2] AS observed_high FROM c JOIN e ON e.gene = c.gene AND b[3] >= 4 * b[2] LEFT JOIN d ON d.gene = c.gene AND d.sample = c.sample)
+    SELECT * FROM f WHERE declared_high <> observed_high""",
 )
 def marker_flags(t: Tables) -> DataFrame:
-    m = t.v_matrix.where("gene % 97 = 0").groupBy("sample", "grp").agg(F.sum("n").alias("n")).withColumn("marker", F.lit(1))
-    j = m.join(F.broadcast(S.largest_gap(m, ["marker"], "n", "sample")), "marker")
-    high = F.col("n") > F.col("edge")
-    return j.select("sample", high.alias("high"), (high != (F.col("grp") == "trt")).alias("flagged"))
+    carried = t.v_product.where("carbons >= 40").select(F.col("product_id").alias("gene"))
+    declared = t.v_matrix.where("grp = 'trt'").join(carried, "gene").select("sample", "gene").distinct()
+    return S.marker_flags(t.v_matrix, declared, "gene", "sample", "n")
 
 
 @query("quarantine_exclude", "SELECT measurement_id, strain_id FROM v_measurement WHERE strain_id NOT IN (SELECT target_id FROM v_flag WHERE status IN ('active', 'confirmed'))")

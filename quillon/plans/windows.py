@@ -44,14 +44,12 @@ def bh_fdr(t: Tables) -> DataFrame:
 
 @query(
     "largest_gap_split",
-    """WITH g AS (SELECT feedstock, sugar, context_id, lead(sugar) OVER (PARTITION BY feedstock ORDER BY sugar, context_id) - sugar AS gap FROM v_context),
-    b AS (SELECT feedstock, arg_max(sugar, struct_pack(gap := gap, s := -sugar)) AS edge FROM g WHERE gap IS NOT NULL GROUP BY feedstock)
-    SELECT c.feedstock, count(*) FILTER (c.sugar <= b.edge) AS low, count(*) FILTER (c.sugar > b.edge) AS high FROM v_context c JOIN b ON c.feedstock = b.feedstock GROUP BY c.feedstock""",
+    """WITH g AS (SELECT gene, n, lead(n) OVER (PARTITION BY gene ORDER BY n, sample) AS top FROM v_matrix), b AS (SELECT gene, max((top - n, n, top)) AS b FROM g WHERE top IS NOT NULL AND n > 0 GROUP BY gene)
+    SELECT m.gene, b[2] AS edge, count(*) FILTER (m.n <= b[2]) AS low, count(*) FILTER (m.n > b[2]) AS high FROM v_matrix m JOIN b ON m.gene = b.gene WHERE b[3] >= 4 * b[2] GROUP BY m.gene, b[2]""",
 )
 def largest_gap_split(t: Tables) -> DataFrame:
-    edge = S.largest_gap(t.v_context, ["feedstock"], "sugar", "context_id")
-    j = t.v_context.join(edge, "feedstock")
-    return j.groupBy("feedstock").agg(F.count_if(F.col("sugar") <= F.col("edge")).alias("low"), F.count_if(F.col("sugar") > F.col("edge")).alias("high"))
+    j = t.v_matrix.join(S.largest_gap(t.v_matrix, ["gene"], "n", "sample"), "gene")
+    return j.groupBy("gene", "edge").agg(F.count_if(F.col("n") <= F.col("edge")).alias("low"), F.count_if(F.col("n") > F.col("edge")).alias("high"))
 
 
 @query("neighbours_range", "SELECT feature_id, count(*) OVER (PARTITION BY seqid ORDER BY start_pos RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) - 1 AS neighbours FROM v_feature")
