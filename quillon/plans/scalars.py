@@ -13,6 +13,7 @@ from quillon.functions import text as X
 from quillon.registry import query
 from quillon.sources.files import location
 from quillon.sources.landed import first_hit, go_annotations, search_ids, series
+from quillon.sources.jats import article_texts
 from quillon.sources.standins import Tables
 
 
@@ -319,6 +320,23 @@ def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.length(X.collapse(plain)).cast("long").alias("chars"))
 
 
+_XML = (
+    "concat(CASE WHEN doc_id % 11 = 3 THEN '<html>' ELSE '<article>' END, '<front><article-meta><title-group><article-title>Paper <italic>', doc_id, '</italic></article-title></title-group><abstract><p>', replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),"
+    " '</p></abstract></article-meta></front><body><sec><title>Source</title><p>It is in <table-wrap><label>Table</label><table><tr><td>', coalesce(lang, ''), '</td><td>', n_chars, '</td></tr></table></table-wrap> here.</p></sec></body>', CASE WHEN doc_id % 11 = 3 THEN '</html>' WHEN doc_id % 11 = 4 THEN '' ELSE '</article>' END)"
+)
+
+
+@query(
+    "article_text",
+    """WITH d AS (SELECT doc_id, text IS NULL OR doc_id % 11 = 4 OR regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]') AS broken, doc_id % 11 = 3 AS other, trim(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS body, lang, n_chars FROM documents)
+    SELECT doc_id, CASE WHEN broken THEN 'no_xml' WHEN other THEN 'no_article' END AS refusal, CASE WHEN NOT broken AND NOT other THEN md5('Paper ' || doc_id || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END || chr(10) || chr(10) || 'Source' || chr(10) || chr(10) || 'It is in here.'
+      || chr(10) || chr(10) || 'Table' || chr(10) || chr(10) || CASE WHEN coalesce(lang, '') = '' THEN '' ELSE lang || ' | ' END || n_chars) END AS h FROM d""",
+)
+def article_text(t: Tables) -> DataFrame:
+    out = article_texts(t.documents.select("doc_id", F.expr(_XML).alias("xml")), "doc_id", "xml")
+    return out.select("doc_id", "refusal", F.md5("text").alias("h"))
+
+
 @query("alpha_ratio", "SELECT doc_id, round(length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / nullif(length(text), 0)::DOUBLE, 6) AS ratio FROM documents")
 def alpha_ratio(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(F.try_divide(F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length("text")), 6).alias("ratio"))
