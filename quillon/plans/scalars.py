@@ -11,9 +11,11 @@ from quillon.functions import sections as SEC
 from quillon.functions import sequence as Q
 from quillon.functions import text as X
 from quillon.registry import query
+from quillon.sources import blobs as B
+from quillon.sources import store
 from quillon.sources.files import location
-from quillon.sources.landed import first_hit, go_annotations, search_ids, series
 from quillon.sources.jats import article_texts
+from quillon.sources.landed import first_hit, go_annotations, search_ids, series
 from quillon.sources.standins import Tables
 
 
@@ -353,6 +355,21 @@ def content_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", h.alias("h"), F.substr(h, F.lit(1), F.lit(2)).alias("shard"))
 
 
+@query(
+    "source_texts",
+    """WITH p AS (SELECT 'P' || page_id % 60 AS publication_id, page_id, html, sha256(html) AS h FROM pages WHERE html IS NOT NULL AND page_id % 60 <> 7), b AS (SELECT publication_id, arg_max(html, page_id) AS html, arg_max(h, page_id) AS h FROM p WHERE page_id % 7 <> 3 GROUP BY 1)
+    SELECT DISTINCT 'p' || x.page_id % 60 AS publication_id, 'fulltext/' || substr(h, 1, 2) || '/' || h || '.html' AS path, md5(b.html) AS text_md5, CASE WHEN b.html IS NULL THEN 'no_asset' END AS refusal FROM pages x LEFT JOIN b ON b.publication_id = 'P' || x.page_id % 60""",
+)
+def source_texts(t: Tables) -> DataFrame:
+    root = store.scratch(t._spark, "blobs")
+    name = lambda prefix: F.concat(F.lit(prefix), (F.col("page_id") % 60).cast("string"))
+    kept = B.store_blobs(t.pages.where("page_id % 60 <> 7").select("page_id", "html", F.lit("text/html").alias("kind")), "page_id", "html", "kind", root)
+    state = F.when(F.col("page_id") % 7 == 3, "link_only").otherwise(B.STORED)
+    assets = kept.select(name("P").alias("publication_id"), "path", "checksum", F.lit("text/html").alias("media_type"), state.alias("state"), F.col("page_id").alias("retrieved_at"))
+    out = B.source_texts(t.pages.select(name("p").alias("publication_id")).distinct(), assets, root)
+    return out.select("publication_id", "path", F.md5("text").alias("text_md5"), "refusal")
+
+
 @query("classify_payload", "SELECT page_id, CASE WHEN length(html) < 100 THEN 'too_short' WHEN lower(substr(html, 1, 200)) LIKE '%<html%' THEN 'html' WHEN substr(html, 1, 4) = '%PDF' THEN 'pdf' ELSE 'unknown' END AS kind FROM pages")
 def classify_payload(t: Tables) -> DataFrame:
     head = F.lower(F.substring("html", 1, 200))
