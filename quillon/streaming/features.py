@@ -11,35 +11,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def flush_genes(features: DataFrame, reach: int) -> DataFrame:
-    """(seqid, owner, start, end, features) of genes from a stream of features (seqid, owner, start, end) in the order of
-    their starts, each as soon as the stream of its sequence has gone `reach` bases beyond it.
-
-    State is the open genes of a sequence; the position in the sequence is the watermark. A row without an owner, which
-    stands for a line that closes all features before it, gives out all that is open. A feature of a gene that was given
-    out opens it anew.
+def flush_genes(features: DataFrame, reach: int, late: int = 0) -> DataFrame:
+    """(seqid, owner, start, end, features) of genes from a stream of lines (seqid, line, owner, start, end), each as soon as
+    its sequence's lines have gone `reach` bases beyond it.
+
+    Lines are applied by their number, in whatever order they come: a sequence's lines wait in a list until a line `late`
+    numbers further on has been seen, so those that come up to that much late still take their place; with 0, what
+    comes together is sorted. State is the waiting lines and the open genes; the position in the sequence is the
+    watermark. A line without an owner, which closes all features before it, gives out all that is open, and the lines
+    that wait before it with it. A feature of a gene that was given out opens it anew.
     """
-    state = "owner array<string>, start array<long>, end array<long>, n array<long>"
+    state = "owner array<string>, start array<long>, end array<long>, n array<long>, line array<long>, next_owner array<string>, next_start array<long>, next_end array<long>, seen long"
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        genes = {o: [s, e, n] for o, s, e, n in zip(*held.get)} if held.exists else {}
-        done: dict[str, list[int]] = {}
-        at = 0
+        *old, seen = held.get if held.exists else ([], [], [], [], [], [], [], [], -1)
+        genes = {o: [s, e, n] for o, s, e, n in zip(*old[:4])}
+        waiting = list(zip(*old[4:8]))
         for pdf in batches:
-            for owner, start, end in zip(pdf["owner"], pdf["start"].tolist(), pdf["end"].tolist()):
-                if owner is None:
-                    done, genes = done | genes, {}
-                    continue
-                gene = genes.setdefault(owner, [start, end, 0])
-                gene[:] = [min(gene[0], start), max(gene[1], end), gene[2] + 1]
-                at = max(at, start)
-        done |= {o: g for o, g in genes.items() if g[1] + reach < at}
-        genes = {o: g for o, g in genes.items() if o not in done}
-        if genes:
-            held.update((list(genes), *([g[i] for g in genes.values()] for i in range(3))))
+            owners = [None if pd.isna(o) else o for o in pdf["owner"]]
+            waiting += zip(pdf["line"].tolist(), owners, pdf["start"].fillna(-1).astype(int).tolist(), pdf["end"].fillna(-1).astype(int).tolist())
+        waiting.sort(key=lambda x: x[0])
+        seen = max([seen, *(x[0] for x in waiting)])
+        ripe = [x for x in waiting if x[0] <= seen - late]
+        waiting = waiting[len(ripe) :]
+        rows: list[tuple] = []
+        at = 0
+        for _, owner, start, end in ripe:
+            if owner is None:
+                rows += [(key[0], o, *g) for o, g in genes.items()]
+                genes = {}
+                continue
+            gone = [o for o, g in genes.items() if g[1] + reach < start and o != owner]
+            rows += [(key[0], o, *genes.pop(o)) for o in gone]
+            gene = genes.setdefault(owner, [start, end, 0])
+            gene[:] = [min(gene[0], start), max(gene[1], end), gene[2] + 1]
+            at = max(at, start)
+        rows += [(key[0], o, *genes.pop(o)) for o in [o for o, g in genes.items() if g[1] + reach < at]]
+        if genes or waiting or late:
+            lines = [list(c) for c in zip(*waiting)] if waiting else [[], [], [], []]
+            held.update((list(genes), *([g[i] for g in genes.values()] for i in range(3)), *lines, seen))
         elif held.exists:
             held.remove()
-        yield pd.DataFrame([(key[0], o, *g) for o, g in sorted(done.items())], columns=["seqid", "owner", "start", "end", "features"])
+        yield pd.DataFrame(sorted(rows), columns=["seqid", "owner", "start", "end", "features"])
 
     out = "seqid string, owner string, start long, end long, features long"
     return features.groupBy("seqid").applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)

@@ -318,14 +318,42 @@ def test_streaming_twins(spark, tmp_path):
 
 
 def test_genes_are_flushed_by_position(spark, tmp_path):
-    rows = [("c", "g1", 0, 50), ("c", "g1", 10, 90), ("c", "g2", 100, 150), ("c", "g3", 900, 950)]
-    schema = "seqid string, owner string, start long, end long"
+    rows = [("c", 1, "g1", 0, 50), ("c", 2, "g1", 10, 90), ("c", 3, "g2", 100, 150), ("c", 4, "g3", 900, 950)]
+    schema = "seqid string, line long, owner string, start long, end long"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     out = features.flush_genes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 200)
     out.writeStream.format("memory").queryName("genes").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.table("genes").collect()} == {("c", "g1", 0, 90, 2), ("c", "g2", 100, 150, 1)}
 
 
+def test_shuffled_lines_give_the_ordered_answer(spark, tmp_path):
+    """Lines of two sequences, dealt to files out of order by up to 8 numbers: every gene once, as in order."""
+    rng = random.Random(4)
+    rows, want, line = [], set(), 0
+    for seq in ("a", "b"):
+        for g in range(30):
+            parts = [(g * 1000 + i * 10, g * 1000 + i * 10 + 5) for i in range(rng.randint(1, 4))]
+            rows += [(seq, line + i, f"{seq}{g}", *p) for i, p in enumerate(parts)]
+            line += len(parts)
+            want.add((seq, f"{seq}{g}", parts[0][0], parts[-1][1], len(parts)))
+        rows.append((seq, line, None, None, None))  # closes all before it
+        line += 1
+        rows += [(seq, line + 20 + i, f"{seq} end", 90_000, 90_001) for i in range(1)]  # so that the last lines ripen
+        line += 21
+    schema = "seqid string, line long, owner string, start long, end long"
+    rows.sort(key=lambda r: r[1] + rng.random() * 8)
+    for i in range(0, len(rows), 25):
+        part = rows[i : i + 25]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    features.flush_genes(stream, 200, late=35).writeStream.format("memory").queryName("shuffled").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.table("shuffled").collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(want - set(got)) <= 2 * 10
+    features.flush_genes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 200).writeStream.format("memory").queryName("together").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert {tuple(r) for r in spark.table("together").collect()} == want
+
+
 def test_line_service(spark):
     tools_ = {"add": lambda a: a["x"] + a["y"]}
     lines = ['{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{"name":"add","arguments":{"x":1,"y":2}}}', '{"id":2,"method":"tools/list"}', "nonsense", '{"method":"note"}', '{"id":3,"method":"tools/call","params":{"name":"gone"}}', '{"id":4,"method":"tools/call","params":{"name":"add"}}', '{"id":5}']
