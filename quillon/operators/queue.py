@@ -133,3 +133,29 @@ def running_budget(calls: DataFrame, by: Sequence[str], order: Sequence[str], co
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     out = calls.withColumn("spent", F.coalesce(F.sum(cost).over(before), F.lit(0.0)))
     return out.withColumn("allowed", F.col("spent") + F.col(cost) <= limit)
+
+
+#: Judged states of a record, and the bases of a candidate, the strongest first.
+JUDGED, BASES = ("accepted", "edited"), ("same_span", "same_strain_as_reported", "unattributed")
+
+
+def context_groups(records: DataFrame, known_facets: Sequence[str]) -> DataFrame:
+    """(publication_id, task_id, key, basis, members, unknown_facet): the candidate context of each judged record.
+
+    records are (publication_id, task_id, status, span_start, span_end, strain, facet). A record goes by the strongest
+    fact that it shares with others of its publication: its span, if at least two records have it; else its reported
+    strain; else it stands alone. Each is in one candidate. `members` counts the candidate's records, of which a strain's may be
+    one. Groups are counted in each task before they are shuffled. Nothing is written: a proposal is no context.
+    """
+    r = records.where(F.col("status").isin(*JUDGED))
+    span = ["publication_id", "span_start", "span_end"]
+    shared = r.where("span_start IS NOT NULL AND span_end IS NOT NULL").groupBy(*span).agg(F.count("*").alias("_n")).where("_n > 1")
+    r = r.join(shared, span, "left")
+    by_span, strain = F.col("_n").isNotNull(), F.coalesce("strain", F.lit(""))
+    key = F.when(by_span, F.concat(F.lit("span:"), F.col("span_start").cast("string"), F.lit("-"), F.col("span_end").cast("string"))).when(strain != "", F.concat(F.lit("strain:"), strain))
+    key = F.coalesce(key, F.concat(F.lit("facet:"), F.col("task_id").cast("string")))
+    basis = F.when(by_span, BASES[0]).when(strain != "", BASES[1]).otherwise(BASES[2])
+    unknown = F.coalesce(F.col("facet") != "", F.lit(False)) & ~F.col("facet").isin(*known_facets)
+    placed = r.select("publication_id", "task_id", key.alias("key"), basis.alias("basis"), unknown.alias("unknown_facet"))
+    sizes = placed.groupBy("publication_id", "key").agg(F.count("*").alias("members"))
+    return placed.join(sizes, ["publication_id", "key"]).select("publication_id", "task_id", "key", "basis", "members", "unknown_facet")

@@ -200,11 +200,13 @@ def enqueue_idempotent(t: Tables) -> DataFrame:
 
 @query(
     "context_candidates",
-    "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_type) >= 2 THEN 'span' WHEN p_size < 10 THEN 'strain' ELSE 'unattributed' END AS basis FROM part",
+    """WITH r AS (SELECT * FROM v_facet WHERE status IN ('accepted', 'edited')), n AS (SELECT *, CASE WHEN span_start IS NOT NULL THEN count(*) OVER (PARTITION BY publication_id, span_start, span_end) ELSE 0 END AS together FROM r),
+    k AS (SELECT *, CASE WHEN together >= 2 THEN 'span:' || span_start || '-' || span_end WHEN strain <> '' THEN 'strain:' || strain ELSE 'facet:' || task_id END AS key,
+      CASE WHEN together >= 2 THEN 'same_span' WHEN strain <> '' THEN 'same_strain_as_reported' ELSE 'unattributed' END AS basis FROM n)
+    SELECT publication_id, task_id, key, basis, count(*) OVER (PARTITION BY publication_id, key) AS members, facet NOT IN ('purchase', 'click') AS unknown_facet FROM k""",
 )
 def context_candidates(t: Tables) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("p_brand", "p_type"))
-    return t.part.select("p_partkey", F.when(n >= 2, "span").when(F.col("p_size") < 10, "strain").otherwise("unattributed").alias("basis"))
+    return Q.context_groups(t.v_facet, ["purchase", "click"])
 
 
 @query(

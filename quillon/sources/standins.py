@@ -122,6 +122,10 @@ VIEWS: dict[str, str] = {
         SELECT c.c_custkey AS route_id, CASE c.c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS strategy, r.role, CASE WHEN c.c_custkey % 10 = 0 THEN r.role + 42
           ELSE r.role + 6 * (CAST(floor(c.c_custkey / CASE r.role WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 4.0 WHEN 3 THEN 8.0 ELSE 16.0 END) AS BIGINT) % 2) END AS part_id
         FROM customer c CROSS JOIN (SELECT DISTINCT CAST(p_partkey % 5 AS INT) AS role FROM part) r""",
+    "v_facet": """
+        SELECT user_id % 40 AS publication_id, event_id AS task_id, CASE event_id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'edited' ELSE 'accepted' END AS status, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 80 * 10 END AS span_start,
+          CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 80 * 10 + 7 END AS span_end, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('S', event_id % 6) END AS strain, event_type AS facet
+        FROM events""",
     "v_paper": """
         SELECT doc_id, concat('Paper ', doc_id, chr(10), 'Background', chr(10), 'We ask about ', source, '.', chr(10), 'Results:', chr(10), 'It holds.', chr(10),
           CASE WHEN doc_id % 2 = 0 THEN concat('1. Introduction', chr(10)) ELSE '' END, text, chr(10),
