@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -165,6 +166,19 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 21
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about SLICE bytes of a text column; a longer text is a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each whole text by a byte-level vocabulary and decode it again (operator 8).
 
@@ -176,7 +190,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, vocab = encoder(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids, at = pretoken.encode(texts_of(batch.column(1)), memo)
             raw = ids.astype("<u4").tobytes()
             n, digest, decoded, lists = np.diff(at), [], [], []

@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm import shared
 from quillon.llm.bpe import texts_of
 
 #: a to z are 1 to 26, other letters 27 to 31; white space is 0 and stands in no sequence.
@@ -27,8 +28,8 @@ DECAY, WINDOW, PAD = 0.6, 8, 16
 #: (gap letters, offsets of the second, third and fourth letter)
 SHAPES = [(d - 3, b, c, d) for d in range(3, 6) for c in range(2, d) for b in range(1, c)]
 #: Most labelled documents of either class that a model is fitted on, landmarks of either kind, negative windows, and most
-#: characters of a document that a fit reads, in the middle of longer ones. Scores read whole texts.
-PER_CLASS, LANDMARKS, NEGATIVES, FIT_CHARS = 1500, 96, 20000, 150_000
+#: characters of either class's documents together: the sample ends before the document that would pass it. Texts are whole.
+PER_CLASS, LANDMARKS, NEGATIVES, SAMPLE_CHARS = 1500, 96, 20000, 24_000_000
 CHUNK = 1 << 20
 
 _tables: dict[str, np.ndarray] = {}
@@ -295,13 +296,14 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on labelled documents outside the held-out rows: of each class the per_class first by a hash of the id.
 
     A label counts if it is 0 or 1; of several for an id the largest; ids without a text or label teach nothing. Of rows
-    that share an id one teaches, that with the smallest text by hash; of a text of more than FIT_CHARS characters only
-    its middle FIT_CHARS do. So what comes to the driver is bounded by 2 * per_class * FIT_CHARS characters. An empty table
-    of labels gives a model that scores all alike; columns of any name may clash.
+    that share an id one teaches, that with the smallest text by hash. Documents teach with their whole texts; of each class
+    as many as have sample_chars characters together, in the order of the hash, and one at least. So the sample of labelled rows
+    is bounded in rows and in size. An empty table of labels gives a model that scores all alike; columns of any name
+    may clash.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label")).where(~held_out("__id"))
@@ -309,9 +311,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     for label in (0, 1):
         few = marks.where(F.col("__label") == label).orderBy(F.md5(F.col("__id").cast("string")), "__id").limit(per_class)
         picked = few if picked is None else picked.union(few)
-    middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - FIT_CHARS) / 2).cast("int") + 1), F.lit(FIT_CHARS))
-    found = docs.join(F.broadcast(picked), F.col("id") == F.col("__id")).groupBy("__id", "__label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), middle.alias("text")))["text"].alias("text"))
-    rows = found.toArrow().to_pylist()  # at most 2 * per_class short texts
+    found = docs.join(F.broadcast(picked), F.col("id") == F.col("__id")).groupBy("__id", "__label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    found = shared.table(found)
+    before = Window.partitionBy("__label").orderBy(F.md5(F.col("__id").cast("string")), "__id").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.select("__id", "__label", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))  # at most per_class rows a label
+    kept = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("before") + F.col("n") <= sample_chars) | (F.col("before") == 0)).select("__id")
+    rows = found.join(F.broadcast(kept), "__id", "left_semi").toArrow().to_pylist()
     rows.sort(key=lambda r: r["__id"])
     return fit([r["text"] or "" for r in rows], [r["__label"] for r in rows])
 

@@ -181,3 +181,14 @@ def test_damage_is_found_and_reads_may_be_shuffled(spark, tmp_path):
     path.write_bytes(bytes(raw))
     with pytest.raises(Exception, match="damaged"):
         again.collect()
+
+
+def test_slices_hold_all_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "SLICE", 10)
+    texts = ["", None, "abc", "x" * 35, "de", "", "y" * 9, "z" * 10, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    parts = list(bpe.slices(batch, 1))
+    assert len(parts) > 3 and all(p.num_rows for p in parts)
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts and list(bpe.slices(batch.slice(0, 0), 1)) == []
