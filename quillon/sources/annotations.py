@@ -15,7 +15,7 @@ FEATURES = (
 
 def read_features(spark: SparkSession, path: str, aliases: bool = False) -> DataFrame:
     """Feature lines with half-open coordinates from 0, whatever the strand's order; aliases as a list if asked."""
-    rows = spark.read.option("sep", "\t").schema(FEATURES).csv(path).where("feature_id IS NOT NULL")
+    rows = spark.read.option("sep", "\t").option("quote", "").schema(FEATURES).csv(path).where("feature_id IS NOT NULL")
     out = rows.withColumns({"low": F.least("start", "stop") - 1, "high": F.greatest("start", "stop"), "forward": F.col("strand") == "W"})
     return out.withColumn("aliases", F.filter(F.split(F.coalesce("alias", F.lit("")), "\\|"), lambda x: x != "")) if aliases else out
 

@@ -23,7 +23,7 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def read_matrix(spark: SparkSession, path: str, samples: Sequence[str] | None = None) -> DataFrame:
     """(gene, sample, value) of a gene x sample text matrix, gzip or not; only the wanted samples' columns are read."""
-    wide = spark.read.option("sep", "\t").option("header", True).csv(path)
+    wide = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
     names = [c for c in wide.columns[1:] if samples is None or c in samples]
     gene = wide.columns[0]
     typed = wide.select(F.col(f"`{gene}`").alias("gene"), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in names))
@@ -32,7 +32,7 @@ def read_matrix(spark: SparkSession, path: str, samples: Sequence[str] | None =
 
 def matrix_samples(spark: SparkSession, path: str) -> list[str]:
     """Samples that a matrix holds, from its heading alone."""
-    return spark.read.option("sep", "\t").option("header", True).csv(path).columns[1:]
+    return spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path).columns[1:]
 
 
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:

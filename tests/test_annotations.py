@@ -43,3 +43,9 @@ def test_code_is_never_guessed(spark):
     assert [tuple(r.c) for r in df.select(Q.code_source(F.col("a"), F.col("g"), F.col("d")).alias("c")).collect()] == [(4, "annotation"), (3, "genome"), (1, "declared"), (None, "none")]
     s = spark.createDataFrame([("ATGTGA",), ("GCTGCT",)], "s string").select(Q.safety(F.col("s"), 1, 3).alias("x")).collect()
     assert [r.x.safe for r in s] == [False, True]
+
+
+def test_a_quote_is_a_character_like_others(spark, tmp_path):
+    line = lambda i, name: "\t".join([f"S{i}", "ORF", "", f"Y{i}", name, "", "", "", "1", "10", "20", "W", "", "", "", "d"])
+    (tmp_path / "f.tab").write_text("\n".join([line(1, '"open'), line(2, "plain"), line(3, 'also"')]) + "\n")
+    assert [r.feature_id for r in annotations.read_features(spark, str(tmp_path / "f.tab")).orderBy("feature_id").collect()] == ["S1", "S2", "S3"]
