@@ -48,4 +48,4 @@ def test_code_is_never_guessed(spark):
 def test_a_quote_is_a_character_like_others(spark, tmp_path):
     line = lambda i, name: "\t".join([f"S{i}", "ORF", "", f"Y{i}", name, "", "", "", "1", "10", "20", "W", "", "", "", "d"])
     (tmp_path / "f.tab").write_text("\n".join([line(1, '"open'), line(2, "plain"), line(3, 'also"')]) + "\n")
-    assert [r.feature_id for r in annotations.read_features(spark, str(tmp_path / "f.tab")).orderBy("feature_id").collect()] == ["S1", "S2", "S3"]
+    assert [r.feature_id for r in A.read_features(spark, str(tmp_path / "f.tab")).orderBy("feature_id").collect()] == ["S1", "S2", "S3"]
