@@ -127,15 +127,23 @@ def transport_gaps(steps: DataFrame, route: str, order: str, compartment: str, c
 def relational_division(have: DataFrame, want: DataFrame, owner: str, item: str, wanted_by: str) -> DataFrame:
     """(wanted_by, owner) of owners that have every item of a wish list.
 
-    Owners with the same items are one class, and so are wishes; only a class of owners with a wish's rarest item is
-    checked against its others. So what is compared grows with different sets, not with owners times wishes.
+    Owners with the same items are one class, and so are wishes; only a class of owners with a wish's two rarest items and
+    at least as many items as it is checked against its others. So what is compared grows with different sets, not with
+    owners times wishes. Sizes meet in bands, a wish's own and those above it.
     """
-    sets = have.groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("_items"))
+    band = lambda c: F.floor(8 * F.log2(F.size(c))).cast("int")  # noqa: E731  # sizes within 9 % share a band
+    sets = have.where(F.col(item).isNotNull()).groupBy(owner).agg(F.array_sort(F.collect_set(item)).alias("_items"))
     classes = sets.groupBy("_items").agg(F.count("*").alias("_size"))
-    wishes = want.groupBy(wanted_by).agg(F.array_sort(F.collect_set(item)).alias("_wish"))
+    wishes = want.where(F.col(item).isNotNull()).groupBy(wanted_by).agg(F.array_sort(F.collect_set(item)).alias("_wish"))
     posts = classes.select("_items", "_size", F.explode("_items").alias("_item"))
-    often = posts.groupBy("_item").agg(F.sum("_size").alias("_n"))
+    often = posts.groupBy("_item").agg(F.sum("_size").alias("_n"), F.max(band("_items")).alias("_top"))
     asked = wishes.select("_wish").distinct().select("_wish", F.explode("_wish").alias("_item"))
-    rarest = asked.join(often, "_item", "left").groupBy("_wish").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_item"))["_item"].alias("_item"))
-    got = rarest.join(posts, "_item").where(F.size(F.array_except("_wish", "_items")) == 0).select("_wish", "_items")
+    order = F.array_sort(F.collect_list(F.struct("_n", "_item")))
+    # an item that nobody has falls out of the join, and its wish with it; no class of an item is above its top band
+    known = asked.join(often, "_item").groupBy("_wish").agg(F.slice(order, 1, 2)["_item"].alias("_key"), F.count("*").alias("_known"), F.min("_top").alias("_top"))
+    known = known.where((F.col("_known") == F.size("_wish")) & (F.col("_top") >= band("_wish")))
+    rarest = known.select("_wish", "_key", F.explode(F.sequence(band("_wish"), "_top")).alias("_band"))
+    keys = rarest.select("_key", "_band").distinct().withColumns({"_item": F.col("_key")[0], "_second": F.try_element_at("_key", F.lit(2))})
+    held = posts.withColumn("_band", band("_items")).join(keys, ["_item", "_band"]).where(F.col("_second").isNull() | F.array_contains("_items", F.col("_second"))).select("_key", "_band", "_items")
+    got = rarest.join(held, ["_key", "_band"]).where((F.size("_wish") <= F.size("_items")) & (F.size(F.array_except("_wish", "_items")) == 0)).select("_wish", "_items")
     return wishes.join(got, "_wish").join(sets, "_items").select(wanted_by, owner)
