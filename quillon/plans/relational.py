@@ -281,12 +281,12 @@ def page_side_fetch(t: Tables) -> DataFrame:
 
 @query("tolerance_match", "SELECT a.context_id AS a, b.context_id AS b FROM v_context a JOIN v_context b ON a.feedstock = b.feedstock AND a.aeration = b.aeration AND a.context_id < b.context_id AND abs(a.temperature_c - b.temperature_c) <= 2 AND abs(a.sugar - b.sugar) <= 0.25 * greatest(abs(a.sugar), abs(b.sugar))")
 def tolerance_match(t: Tables) -> DataFrame:
-    # bands of the tolerance's width make it an equi-join: a row meets its own band and the two beside it
+    # windows of two bands of the tolerance's width make it an equi-join; a pair counts in the window of its higher band
     c = t.v_context.select("context_id", "feedstock", "aeration", "temperature_c", "sugar", F.floor(F.col("temperature_c") / 2).alias("band"))
-    left = c.select(*(F.col(x).alias(f"a_{x}") for x in c.columns[:-1]), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    j = left.join(c, (F.col("a_feedstock") == F.col("feedstock")) & (F.col("a_aeration") == F.col("aeration")) & (left["band"] == c["band"]) & (F.col("a_context_id") < F.col("context_id")))
-    j = j.where((F.abs(F.col("a_temperature_c") - F.col("temperature_c")) <= 2) & (F.abs(F.col("a_sugar") - F.col("sugar")) <= 0.25 * F.greatest(F.abs("a_sugar"), F.abs("sugar"))))
-    return j.select(F.col("a_context_id").alias("a"), F.col("context_id").alias("b"))
+    c = c.withColumn("window", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    p = R.pairs_within(c, ["feedstock", "aeration", "window"], "context_id").where(F.col("window") == F.greatest("x.band", "y.band"))
+    p = p.where((F.abs(F.col("x.temperature_c") - F.col("y.temperature_c")) <= 2) & (F.abs(F.col("x.sugar") - F.col("y.sugar")) <= 0.25 * F.greatest(F.abs("x.sugar"), F.abs("y.sugar"))))
+    return p.select(F.least("x.context_id", "y.context_id").alias("a"), F.greatest("x.context_id", "y.context_id").alias("b"))
 
 
 # ---------------------------------------------------------------- sorting and paging

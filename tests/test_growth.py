@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import random
 
+from quillon import registry
 from quillon.operators import graph as G
+from quillon.operators import relational as R
+from quillon.sources.standins import Tables
+
+registry.load()
 
 
 def plan(df) -> str:
@@ -19,3 +24,17 @@ def test_division_meets_by_two_items_and_size(spark):
     got = G.relational_division(frame(have, "owner int, item string"), frame(want, "wish int, item string"), "owner", "item", "wish")
     assert sorted(tuple(x) for x in got.collect()) == sorted((w, o) for w, v in want.items() for o, h in have.items() if v <= h)
     assert "_band" in plan(got) and "_key" in plan(got)
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 4)
+    rows = [("a", i, i % 3) for i in range(50)] + [("b", 1, 0), ("b", 2, 1), (None, 3, 0), (None, 4, 0), ("a", None, 0)]
+    got = R.pairs_within(spark.createDataFrame(rows, "g string, id int, v int"), ["g"], "id").where("x.v <> y.v").select("g", "x.id", "y.id").collect()
+    ids = {g: {i: v for h, i, v in rows if h == g and i is not None} for g in "ab"}
+    want = sorted((g, i, j) for g, d in ids.items() for i in d for j in d if i < j and d[i] != d[j])
+    assert sorted((g, min(i, j), max(i, j)) for g, i, j in got) == want
+
+
+def test_underpowered_has_every_gene(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert registry.QUERIES["underpowered"](spark, "/root/testdata/sf0.001").count() == t.v_matrix.select("gene").distinct().count() > 1
