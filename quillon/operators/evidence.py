@@ -132,12 +132,14 @@ def bound_check(rows: DataFrame, ceilings: DataFrame, row: str, fractions: Seque
     a product aren't evaluable. A mixture is evaluable only if each of its substrates has one usable ceiling and all are
     the same. Above the ceiling, by more than EPSILON, a row is flagged.
     """
-    c = ceilings.select("product", "substrate", "g_per_g", "usable")
-    named = rows.select(row, "product", F.explode(F.array_distinct("substrates")).alias("substrate"))
-    found = named.join(c, ["product", "substrate"], "left").groupBy(row).agg(
-        F.bool_and(F.coalesce("usable", F.lit(False)) & F.col("g_per_g").isNotNull()).alias("_all"), F.min("g_per_g").alias("_low"), F.max("g_per_g").alias("_high")
-    )
-    j = rows.join(found, row, "left").withColumn("_max", F.when(F.col("_all") & (F.col("_low") == F.col("_high")), F.col("_low")))
+    low, high = F.min("g_per_g").alias("low"), F.max("g_per_g").alias("high")
+    every = F.bool_and(F.coalesce("usable", F.lit(False)) & F.col("g_per_g").isNotNull()).alias("all")
+    # a product's ceilings are one row beside it, so a measurement is joined once and never grouped
+    c = ceilings.groupBy("product", "substrate").agg(every, low, high).groupBy("product").agg(F.collect_list(F.struct("substrate", "all", "low", "high")).alias("_ceilings"))
+    mine = F.filter("_ceilings", lambda x: F.array_contains("substrates", x["substrate"]))
+    low, high = F.array_min(F.transform("_mine", lambda x: x["low"])), F.array_max(F.transform("_mine", lambda x: x["high"]))
+    usable = (F.size("_mine") > 0) & (F.size("_mine") == F.size(F.array_distinct("substrates"))) & F.forall("_mine", lambda x: x["all"]) & (low == high)
+    j = rows.join(c, "product", "left").withColumn("_mine", mine).withColumn("_max", F.when(usable, low))
     fraction, value = F.coalesce(F.col("basis").isin(*fractions), F.lit(False)), F.col("value")
     verdict = (
         F.when((F.col("kind") == "yield") & F.col("basis").isNull(), "refused")

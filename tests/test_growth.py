@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 from quillon import registry
+from quillon.operators import evidence as E
 from quillon.operators import graph as G
 from quillon.operators import relational as R
+from quillon.operators import statistics as S
 from quillon.sources.standins import Tables
 
 registry.load()
@@ -38,3 +40,30 @@ def test_pairs_in_tiles(spark, monkeypatch):
 def test_underpowered_has_every_gene(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert registry.QUERIES["underpowered"](spark, "/root/testdata/sf0.001").count() == t.v_matrix.select("gene").distinct().count() > 1
+
+
+def test_refusals_count_without_expanding(spark):
+    assert "Expand" not in plan(registry.QUERIES["contrast_refusals"](spark, "/root/testdata/sf0.001"))
+
+
+def test_trace_spreads_rows_without_sample(spark):
+    assert "_spread" in plan(registry.QUERIES["trace_breaks"](spark, "/root/testdata/sf0.001"))
+
+
+def test_bounds_are_joined_by_product_alone(spark):
+    rows = [("a", 1, ["g"]), ("b", 1, ["g", "x"]), ("c", 1, ["g", "y"]), ("d", 1, []), ("e", 2, ["g"]), ("f", None, ["g"]), ("g", 1, ["u"]), ("h", 1, ["g", None])]
+    df = spark.createDataFrame([(i, "yield", 0.5, "g/g", "consumed", p, s) for i, p, s in rows], "id string, kind string, value double, unit string, basis string, product int, substrates array<string>")
+    c = spark.createDataFrame([(1, "g", 0.4, True), (1, "x", 0.4, True), (1, "y", 0.3, True), (1, "u", 0.4, False)], "product int, substrate string, g_per_g double, usable boolean")
+    out = E.bound_check(df, c, "id")
+    assert {r.id for r in out.collect() if r.verdict == "flag"} == {"a", "b"}
+    assert plan(out).count("Join") == 1
+
+
+def test_normal_form_takes_rows_not_arrow_batches(spark):
+    assert "BatchEvalPython" in plan(registry.QUERIES["normalize_text"](spark, "/root/testdata/sf0.001"))
+
+
+def test_ranks_of_counted_values(spark):
+    rows = [(0, v, 1) for v in (3.0, 1.0, 3.0, 8.0, -2.0)] + [(1, 5.0, 2)]
+    got = S.average_ranks(spark.createDataFrame(rows, "g int, v double, w int"), ["g"], "v", "r", "w").collect()
+    assert {tuple(r) for r in got} == {(0, -2.0, 1.0), (0, 1.0, 2.0), (0, 3.0, 3.5), (0, 8.0, 5.0), (1, 5.0, 1.5)}
