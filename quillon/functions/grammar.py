@@ -29,14 +29,18 @@ def _part(token: Column, first: Column) -> Column:
     kind = F.lit("unparsed")
     for name, pattern in reversed(NOTATION):
         kind = F.when(token.rlike(pattern), name).otherwise(kind)
-    group = lambda i: F.coalesce(*(F.when(kind == name, F.nullif(F.regexp_extract(token, pattern, i), F.lit(""))) for name, pattern in NOTATION if i == 1 or name in ("deletion_with_insertion", "deletion_with_detail", "plasmid")))
-    shown = F.when(kind == "bare", F.when(first, "background").otherwise("marker")).when(kind.startswith("deletion") & (kind != "deletion_with_insertion"), "deletion").otherwise(kind)
-    second = group(2)
-    carries = F.when((kind == "plasmid") & second.isNotNull(), F.split(second, "-")).otherwise(F.array().cast("array<string>"))
-    return F.struct(
-        token.alias("as_reported"), shown.alias("kind"), group(1).alias("target"), F.when(kind == "deletion_with_insertion", second).alias("inserted"),
-        F.when(kind == "deletion_with_detail", F.trim(second)).alias("detail"), carries.alias("carries"),
-    )
+
+    def told(kind: Column) -> Column:
+        group = lambda i: F.coalesce(*(F.when(kind == name, F.nullif(F.regexp_extract(token, pattern, i), F.lit(""))) for name, pattern in NOTATION if i == 1 or name in ("deletion_with_insertion", "deletion_with_detail", "plasmid")))
+        shown = F.when(kind == "bare", F.when(first, "background").otherwise("marker")).when(kind.startswith("deletion") & (kind != "deletion_with_insertion"), "deletion").otherwise(kind)
+        second = group(2)
+        carries = F.when((kind == "plasmid") & second.isNotNull(), F.split(second, "-")).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            token.alias("as_reported"), shown.alias("kind"), group(1).alias("target"), F.when(kind == "deletion_with_insertion", second).alias("inserted"),
+            F.when(kind == "deletion_with_detail", F.trim(second)).alias("detail"), carries.alias("carries"),
+        )
+
+    return let(kind, told)
 
 
 def parse_genotype(genotype: Column) -> Column:
@@ -88,18 +92,23 @@ def parse_construct(genotype: Column, native: Mapping[str, str], genes: Mapping[
 
     def gene(x: Column) -> Column:
         cut = F.nullif(F.regexp_extract(x["core"], _TRUNCATED, 2), F.lit("")).cast("int")
-        base = F.when(cut.isNotNull(), F.regexp_extract(x["core"], _TRUNCATED, 1)).otherwise(x["core"])
+        return let(cut, lambda cut: let(F.when(cut.isNotNull(), F.regexp_extract(x["core"], _TRUNCATED, 1)).otherwise(x["core"]), lambda base: let(called(base), lambda found: placed(x, cut, found))))
+
+    def called(base: Column) -> Column:
         found = F.lit(None).cast("struct<gene:string,organism:string,home:string>")
         for key, (symbol, organism) in reversed(genes.items()):
             one = F.struct(F.lit(symbol).alias("gene"), F.lit(organism).alias("organism"), F.lit(native.get(symbol)).cast("string").alias("home"))
             found = F.when(base.startswith(key), one).otherwise(found)
+        return found
+
+    def placed(x: Column, cut: Column, found: Column) -> Column:
         home = F.coalesce(found["home"], F.lit("unknown"))
         place = F.when(x["tagged"], "mitochondrial_matrix").when(cut.isNotNull() & (home == "mitochondrial_matrix"), "cytosol").when(cut.isNotNull(), home).when(found["organism"] != host, "cytosol").otherwise(home)
         return F.struct(found["gene"].alias("gene"), found["organism"].alias("organism"), place.alias("place"), x["core"].alias("token"), cut.alias("truncated"))
 
     named = F.filter(F.transform(cores, gene), lambda g: g["gene"].isNotNull())
-    last = F.filter(named, lambda g, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda h: h["gene"] == g["gene"]))
-    return F.array_sort(last)
+    last = lambda n: F.filter(n, lambda g, i: ~F.exists(F.slice(n, i + 2, F.size(n)), lambda h: h["gene"] == g["gene"]))
+    return F.array_sort(let(named, last))
 
 
 def parent(genotype: Column) -> Column:

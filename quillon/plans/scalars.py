@@ -194,9 +194,14 @@ _PARTS = [
 _GENOTYPE = "concat(" + ", '; ', ".join(text for _, text, _ in _PARTS).replace(", '; ', ", ", '/', ", 1) + ")"
 
 
+def _spread(t: Tables, rows: DataFrame) -> DataFrame:
+    """rows over all tasks: a small file holds many short rows, and each takes long to parse."""
+    return rows.repartition(int(t._spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 @query("genotype_parts", " UNION ALL ".join(f"SELECT p_partkey, {i} AS place, {text} AS token, '{kind}' AS kind, {target} AS target FROM part" for i, (kind, text, target) in enumerate(_PARTS)))
 def genotype_parts(t: Tables) -> DataFrame:
-    p = t.part.select("p_partkey", F.posexplode(G.parse_genotype(F.expr(_GENOTYPE))).alias("place", "p"))
+    p = _spread(t, t.part.select("p_partkey", "p_size")).select("p_partkey", F.posexplode(G.parse_genotype(F.expr(_GENOTYPE))).alias("place", "p"))
     return p.select("p_partkey", "place", F.col("p.as_reported").alias("token"), "p.kind", "p.target")
 
 
@@ -207,7 +212,7 @@ def genotype_parts(t: Tables) -> DataFrame:
 def construct_genes(t: Tables) -> DataFrame:
     said = F.expr("concat('BY', p_partkey, ' with pTEF2-CoxIV-LlAdhA29C8_ScILV2N', p_size % 90 + 1, '_EcIlvC6E6; ScILV5')")
     found = G.parse_construct(said, {"ILV2": "mitochondrial_matrix", "ILV5": "mitochondrial_matrix"})
-    g = t.part.select("p_partkey", F.explode(found).alias("g"), G.parent(said).alias("parent"))
+    g = _spread(t, t.part.select("p_partkey", "p_size")).select("p_partkey", F.explode(found).alias("g"), G.parent(said).alias("parent"))
     return g.select("p_partkey", "g.gene", "g.place", "g.truncated", "parent")
 
 
