@@ -42,8 +42,9 @@ def resolve_roles(entries: DataFrame, parts: DataFrame, aliases: Mapping[str, st
     only names a role (`role_only`) or nothing known (`unrecognised`). part_ids are sorted; outcome is `gene`,
     `variant`, `source` or one of these.
     """
-    key = ["config_id", "entry"]
-    e = entries.where("entry IS NOT NULL").select(*key).distinct().select(*key, tokens("entry").alias("tokens"), designations("entry").alias("named"))
+    said = entries.where("entry IS NOT NULL").select("config_id", "entry").distinct()
+    key = ["entry"]  # what an entry names doesn't depend on who says it, so each text is read once
+    e = said.select(*key).distinct().select(*key, tokens("entry").alias("tokens"), designations("entry").alias("named"))
     alias = F.create_map(*(F.lit(x.lower()) for pair in aliases.items() for x in pair)) if aliases else None
     by_gene = parts.select(F.explode(F.transform("genes", F.lower)).alias("gene"), "part_id", F.col("step_role").alias("role"), F.transform("designations", F.lower).alias("variants")).distinct()
     token = e.select(*key, "named", F.explode("tokens").alias("token"))
@@ -69,23 +70,24 @@ def resolve_roles(entries: DataFrame, parts: DataFrame, aliases: Mapping[str, st
     n = F.size("part_ids")
     outcome = F.when(n == 1, "source").when(n > 1, "ambiguous_source").when((F.size("roles") > 0) | F.col("family"), "role_only").otherwise("unrecognised")
     other = found.select(*key, outcome.alias("outcome"), F.when(n > 0, F.col("role")).alias("role"), F.when(n > 0, F.col("part_ids")).alias("part_ids"))
-    return known.unionByName(other)
+    return said.join(known.unionByName(other), key).select("config_id", "entry", "outcome", "role", "part_ids")
 
 
 def matching_routes(wanted: DataFrame, routes: DataFrame) -> DataFrame:
     """(signature, n_routes): routes of a strategy that have, at every role of a wish, one of its parts.
 
     wanted are (signature, strategy, role, part_id), routes (route_id, strategy, role, part_id) with one part a role.
-    Set containment by inverted lists: a wish meets only the routes of its rarest role, and these are checked against the
-    other roles. Wishes that are alike should come once.
+    Routes of a strategy with the same parts are one class, counted. Set containment by inverted lists: a wish meets only
+    the classes of its rarest role, and these are checked against the other roles. Wishes that are alike should come once.
     """
-    lists = routes.groupBy("strategy", "role", "part_id").agg(F.count("*").alias("n"))
-    sized = wanted.join(lists, ["strategy", "role", "part_id"], "left").groupBy("signature", "strategy", "role").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    rarest = sized.groupBy("signature").agg(F.min(F.struct("n", "role"))["role"].alias("role"), F.count("*").alias("roles"))
-    first = wanted.join(rarest, ["signature", "role"]).join(routes, ["strategy", "role", "part_id"]).select("signature", "roles", "route_id")
-    agree = first.join(routes.select("route_id", "role", "part_id"), "route_id").join(wanted.select("signature", "role", "part_id"), ["signature", "role", "part_id"])
-    whole = agree.groupBy("signature", "route_id", "roles").agg(F.count("*").alias("got")).where("got = roles")
-    return whole.groupBy("signature").agg(F.count("*").alias("n_routes"))
+    own = routes.groupBy("strategy", "route_id").agg(F.array_sort(F.collect_list(F.struct("role", "part_id"))).alias("_parts"))
+    posts = own.groupBy("strategy", "_parts").agg(F.count("*").alias("_many")).select("strategy", "_parts", "_many", F.inline("_parts"))
+    lists = posts.groupBy("strategy", "role", "part_id").agg(F.sum("_many").alias("n"))
+    sized = wanted.join(lists, ["strategy", "role", "part_id"], "left").groupBy("signature", "strategy", "role").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.collect_list(F.struct("role", "part_id")).alias("_any"))
+    rarest = sized.groupBy("signature").agg(F.min(F.struct("n", "role"))["role"].alias("role"), F.count("*").alias("roles"), F.flatten(F.collect_list("_any")).alias("_wish"))
+    first = wanted.join(rarest, ["signature", "role"]).join(posts, ["strategy", "role", "part_id"])
+    whole = first.where(F.size(F.array_intersect("_wish", "_parts")) == F.col("roles"))
+    return whole.groupBy("signature").agg(F.sum("_many").alias("n_routes"))
 
 
 def classify(configs: DataFrame, entries: DataFrame, parts: DataFrame, routes: DataFrame, roles: Sequence[int], strategies: Sequence[str], chassis: str | None, aliases: Mapping[str, str], role_tokens: Mapping[str, int], family_tokens: Sequence[str] = ()) -> DataFrame:
@@ -97,12 +99,13 @@ def classify(configs: DataFrame, entries: DataFrame, parts: DataFrame, routes: D
     what they say. Configurations that ask for the same parts are matched once.
     """
     resolved = resolve_roles(entries, parts, aliases, role_tokens, family_tokens)
-    fills = resolved.where(F.col("outcome").isin("gene", "variant", "source") & F.col("role").isin(*roles))
-    by_role = fills.select("config_id", "role", F.explode("part_ids").alias("part_id")).groupBy("config_id", "role").agg(F.array_sort(F.collect_set("part_id")).alias("part_ids"))
-    filled = by_role.groupBy("config_id").agg(F.array_sort(F.collect_list(F.struct("role", "part_ids"))).alias("filled"))
+    fill = F.when(F.col("outcome").isin("gene", "variant", "source") & F.col("role").isin(*roles), F.struct("role", "part_ids"))
+    at = lambda r: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("fills", lambda x: x["role"] == r), lambda x: x["part_ids"]))))
+    by_role = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), at(r).alias("part_ids")) for r in sorted(roles))), lambda x: F.size(x["part_ids"]) > 0)
     refusal = lambda name: F.array_sort(F.collect_set(F.when(F.col("outcome") == name, F.col("role")))).alias(name)
-    said = resolved.groupBy("config_id").agg(refusal("ambiguous_source"), refusal("ambiguous_variant"), F.count_if(F.col("outcome") == "unrecognised").alias("unrecognised"), F.lit(True).alias("has_entries"))
-    c = configs.join(filled, "config_id", "left").join(said, "config_id", "left")
+    said = resolved.groupBy("config_id").agg(refusal("ambiguous_source"), refusal("ambiguous_variant"), F.count_if(F.col("outcome") == "unrecognised").alias("unrecognised"), F.lit(True).alias("has_entries"), F.collect_set(fill).alias("fills"))
+    said = said.withColumn("filled", F.when(F.size("fills") > 0, by_role)).drop("fills")
+    c = configs.join(said, "config_id", "left")
     enumerable = F.coalesce(F.col("strategy").isin(*strategies), F.lit(False))
     abroad = F.lit(False) if chassis is None else ~F.col("host_organism").eqNullSafe(F.lit(chassis))
     c = c.withColumn("early", F.when(~enumerable, CLAUSES[0]).when(F.col("host").isNull(), CLAUSES[1]).when(abroad, CLAUSES[2]).when(F.col("has_entries").isNull(), CLAUSES[3]))
