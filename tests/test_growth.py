@@ -67,3 +67,12 @@ def test_ranks_of_counted_values(spark):
     rows = [(0, v, 1) for v in (3.0, 1.0, 3.0, 8.0, -2.0)] + [(1, 5.0, 2)]
     got = S.average_ranks(spark.createDataFrame(rows, "g int, v double, w int"), ["g"], "v", "r", "w").collect()
     assert {tuple(r) for r in got} == {(0, -2.0, 1.0), (0, 1.0, 2.0), (0, 3.0, 3.5), (0, 8.0, 5.0), (1, 5.0, 1.5)}
+
+
+def test_parsed_rows_are_spread(spark):
+    for name in ("construct_genes", "genotype_parts"):
+        assert "RepartitionByExpression" in plan(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_entries_are_read_once_a_text(spark):
+    assert "_parts" in plan(registry.QUERIES["literature_recall"](spark, "/root/testdata/sf0.001"))
