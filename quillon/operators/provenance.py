@@ -1,12 +1,15 @@
 """Provenance walk: from an assertion over its evidence to a publication or to an analysis, its run and its dataset.
 
 A hop that points at a row that isn't there is a break; a hop that was never recorded is a gap. Every hop is one outer
-join of all pointers at once, whatever kind of row they point at, against one table of citable rows.
+join of all pointers at once, whatever kind of row they point at, against one table of citable rows. Very many pointers
+may name one row, or none: they are spread over salted keys, so that no task gets them all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +18,33 @@ from pyspark.sql import functions as F
 BREAK_KINDS = ("no_evidence", "dangling_subject", "dangling_object", "evidence_cites_nothing", "dangling_citation", "span_publication_mismatch", "extraction_publication_mismatch", "no_curation_event", "curation_event_unnamed")
 GAP_KINDS = ("dataset_unreachable",)
 CITED = {"publication_id": "publication", "span_id": "span", "extraction_id": "extraction", "measurement_id": "measurement", "analysis_result_id": "analysis_result", "processing_run_id": "processing_run", "strain_id": "strain"}
+#: Kinds of rows that a cited row can belong to, and its columns that say to which.
+OWNERS = {"publication": "publication_id", "processing_run": "processing_run_id", "dataset": "dataset_id"}
 #: Columns by which evidence can reach a source.
 SOURCES = ("publication_id", "analysis_result_id", "processing_run_id", "extraction_id", "span_id")
 
 
-def _resolved(pointers: DataFrame, citable: DataFrame, *columns: str) -> DataFrame:
-    """pointers (kind, id, ...) with `present` and the given columns of the row they point at."""
-    rows = citable.select("kind", "id", F.lit(True).alias("present"), *columns)
-    return pointers.join(rows, ["kind", "id"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+#: Keys that pointers at one row are spread over, and those that point nowhere.
+SALTS, NOWHERE = 64, 4096
+
+
+def _spread(pointers: DataFrame, *columns: str) -> DataFrame:
+    """pointers (kind, id, ...) with a `_salt` drawn from the given columns; pointers at nothing have more of them."""
+    h = F.xxhash64(*columns)
+    nowhere = F.col("kind").isNull() | F.col("id").isNull()
+    return pointers.withColumn("_salt", F.when(nowhere, F.pmod(h, F.lit(NOWHERE))).otherwise(F.pmod(h, F.lit(SALTS))))
+
+
+def _wanted(pointers: DataFrame) -> DataFrame:
+    """The keys that salted pointers name: counted together in each task, so a row that very many point at costs little."""
+    return pointers.where("kind IS NOT NULL AND id IS NOT NULL").select("kind", "id", "_salt").distinct()
+
+
+def _resolved(pointers: DataFrame, citable: DataFrame, *spread: str) -> DataFrame:
+    """pointers (kind, id, ...), spread by the given columns, with `present`: whether the row that they point at is there."""
+    salted = _spread(pointers, *spread)
+    there = _wanted(salted).join(citable.select("kind", "id"), ["kind", "id"]).withColumn("present", F.lit(True))
+    return salted.join(there, ["kind", "id", "_salt"], "left").drop("_salt").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
 def walk_evidence(evidence: DataFrame, citable: DataFrame, cited: Mapping[str, str] = CITED) -> DataFrame:
@@ -32,47 +54,63 @@ def walk_evidence(evidence: DataFrame, citable: DataFrame, cited: Mapping[str, s
     publication_id, processing_run_id, dataset_id), each (kind, id) once. A span or an extraction reaches a publication of
     its own; where the evidence names another, that is the break. An analysis result reaches a run and a dataset. breaks are
     (kind, at), at being the column or hop; arms are those that close. A row that cites nothing has that as its break.
+
+    The rows that are cited at all follow their own pointers first, each once a salt. Evidence then meets them in a single
+    join, and what its pointers found are the bits of one number.
     """
     pointer = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("cites"), F.lit(k).alias("kind"), F.col(c).alias("id"))) for c, k in cited.items()]
-    first = evidence.select("assertion_id", "evidence_id", F.explode_outer(F.array_compact(F.array(*pointer))).alias("p")).select("assertion_id", "evidence_id", "p.*")
-    owners = ("publication_id", "processing_run_id", "dataset_id")
-    first = _resolved(first, citable, *owners)
+    names = F.col("publication_id").alias("named")
+    first = evidence.select("assertion_id", "evidence_id", names, F.explode_outer(F.array_compact(F.array(*pointer))).alias("p")).select("assertion_id", "evidence_id", "named", "p.*")
+    first = _spread(first, "assertion_id", "evidence_id")
     # what the cited rows point at themselves; a row that points nowhere stays, for its own sake
-    follow = {("span", "publication_id"): "publication", ("extraction", "publication_id"): "publication", ("analysis_result", "processing_run_id"): "processing_run", ("analysis_result", "dataset_id"): "dataset"}
-    hops = [F.when((F.col("kind") == k) & F.col("present") & F.col(c).isNotNull(), F.struct(F.lit(to).alias("kind"), F.col(c).alias("id"))) for (k, c), to in follow.items()]
-    own = F.struct("cites", F.col("id").alias("cited_id"), F.col("present").alias("cited_present"))
-    second = first.select("assertion_id", "evidence_id", own.alias("own"), F.explode_outer(F.array_compact(F.array(*hops))).alias("h")).select("assertion_id", "evidence_id", "own.*", F.col("h.kind").alias("kind"), F.col("h.id").alias("id"))
-    second = _resolved(second, citable)
-    by_column = []
+    known = _wanted(first).join(citable.select("kind", "id", *OWNERS.values()), ["kind", "id"])
+    follow = {("span", "publication"), ("extraction", "publication"), ("analysis_result", "processing_run"), ("analysis_result", "dataset")}
+    hops = [F.when((F.col("kind") == k) & F.col(OWNERS[to]).isNotNull(), F.struct(F.lit(to).alias("kind"), F.col(OWNERS[to]).alias("id"))) for k, to in sorted(follow)]
+    own = [F.col("kind").alias("cited_kind"), F.col("id").alias("cited_id"), F.col("_salt").alias("cited_salt")]
+    second = known.select(*own, F.explode_outer(F.array_compact(F.array(*hops))).alias("h")).select("cited_kind", "cited_id", "cited_salt", "h.*")
+    second = _resolved(second, citable, "cited_kind", "cited_id", "cited_salt")
+    found = []
+    for to in OWNERS:
+        there = F.col("kind") == to
+        found += [F.max(F.when(there, F.col("id"))).alias(f"{to}_id"), F.coalesce(F.bool_or(there & F.col("present")), F.lit(False)).alias(f"{to}_present")]
+    known = second.groupBy(F.col("cited_kind").alias("kind"), F.col("cited_id").alias("id"), F.col("cited_salt").alias("_salt")).agg(*found).withColumn("present", F.lit(True))
+    first = first.join(known, ["kind", "id", "_salt"], "left")
+
+    tests = {}  # name of a bit -> the pointers that set it
     for c in cited:
         mine = F.col("cites") == c
-        fields = [F.max(F.when(mine, F.col("cited_id"))).alias("id"), F.coalesce(F.bool_or(mine & F.col("cited_present")), F.lit(False)).alias("present")]
-        for to in ("publication", "processing_run", "dataset"):
-            there = mine & (F.col("kind") == to)
-            fields += [F.max(F.when(there, F.col("id"))).alias(f"{to}_id"), F.coalesce(F.bool_or(there & F.col("present")), F.lit(False)).alias(f"{to}_present")]
-        by_column.append(F.struct(*fields).alias(c))
-    e = second.groupBy("assertion_id", "evidence_id").agg(*by_column)
+        tests[f"{c} cited"], tests[f"{c} present"] = mine, mine & F.col("present")
+        if c in ("span_id", "extraction_id"):
+            tests[f"{c} owner"], tests[f"{c} differs"] = mine & F.col("publication_present"), mine & (F.col("publication_id") != F.col("named"))
+        if c == "analysis_result_id":
+            tests[f"{c} run"], tests[f"{c} deposit"], tests[f"{c} dataset"] = mine & F.col("processing_run_present"), mine & F.col("dataset_id").isNotNull(), mine & F.col("dataset_present")
+    if len(tests) > 63:
+        raise ValueError("too many columns cite for the bits of one number")
+    places = {name: 1 << i for i, name in enumerate(tests)}
+    bits = sum((F.when(test, F.lit(places[name])).otherwise(F.lit(0)).cast("long") for name, test in tests.items()), F.lit(0).cast("long"))
+    e = first.select("assertion_id", "evidence_id", bits.alias("bits")).groupBy("assertion_id", "evidence_id").agg(F.bit_or("bits").alias("bits"))
+
+    def bit(name: str) -> Column:
+        return F.col("bits").bitwiseAND(F.lit(places[name])) != 0 if name in places else F.lit(False)
 
     def has(c: str) -> Column:
-        return F.col(f"{c}.id").isNotNull() & F.col(f"{c}.present")
+        return bit(f"{c} present")
 
     broken = lambda test, kind, at: F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at")))
-    breaks = [broken(F.col(f"{c}.id").isNotNull() & ~F.col(f"{c}.present"), "dangling_citation", c) for c in cited]
-    named = F.col("publication_id.id")
+    breaks = [broken(bit(f"{c} cited") & ~has(c), "dangling_citation", c) for c in cited]
     closes = has("publication_id")
     for c, kind in (("extraction_id", "extraction"), ("span_id", "span")):
-        owner, there = F.col(f"{c}.publication_id"), F.col(f"{c}.publication_present")
-        differ = named.isNotNull() & (owner != named)
+        there, differ = bit(f"{c} owner"), bit(f"{c} differs")
         breaks += [broken(has(c) & ~there, "dangling_citation", f"{kind} to publication"), broken(has(c) & there & differ, f"{kind}_publication_mismatch", c)]
-        closes = closes | (has(c) & there & ~F.coalesce(differ, F.lit(False)))
+        closes = closes | (has(c) & there & ~differ)
     result, run = has("analysis_result_id"), has("processing_run_id")
-    breaks.append(broken(result & ~F.col("analysis_result_id.processing_run_present"), "dangling_citation", "analysis_result to processing_run"))
-    deposit = result & F.col("analysis_result_id.dataset_id").isNotNull()
-    breaks.append(broken(deposit & ~F.col("analysis_result_id.dataset_present"), "dangling_citation", "analysis_result to dataset"))
-    analysed = (result & F.col("analysis_result_id.processing_run_present")) | (~result & run)
+    breaks.append(broken(result & ~bit("analysis_result_id run"), "dangling_citation", "analysis_result to processing_run"))
+    deposit = result & bit("analysis_result_id deposit")
+    breaks.append(broken(deposit & ~bit("analysis_result_id dataset"), "dangling_citation", "analysis_result to dataset"))
+    analysed = (result & bit("analysis_result_id run")) | (~result & run)
     gaps = F.array_compact(F.array(F.when((result | run) & ~deposit, F.lit("dataset_unreachable"))))
     arms = F.array_compact(F.array(F.when(closes, F.lit("literature")), F.when(analysed, F.lit("analysis"))))
-    e = e.select("assertion_id", "evidence_id", arms.alias("arms"), F.array_compact(F.array(*breaks)).alias("breaks"), gaps.alias("gaps"), F.coalesce(*(F.col(f"{c}.id") for c in SOURCES)).isNull().alias("sourceless"))
+    e = e.select("assertion_id", "evidence_id", arms.alias("arms"), F.array_compact(F.array(*breaks)).alias("breaks"), gaps.alias("gaps"), (~reduce(or_, (bit(f"{c} cited") for c in SOURCES))).alias("sourceless"))
     nothing = (F.size("arms") == 0) & (F.col("sourceless") | (F.size("breaks") == 0))
     none = F.array(F.struct(F.lit("evidence_cites_nothing").alias("kind"), F.lit("evidence").alias("at")))
     return e.withColumn("breaks", F.when(nothing, F.concat("breaks", none)).otherwise(F.col("breaks"))).drop("sourceless")
@@ -92,7 +130,7 @@ def walk_assertions(assertions: DataFrame, evidence: DataFrame, citable: DataFra
         kind = F.element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.col(f"{end}_type"))
         ends.append(F.struct(F.lit(end).alias("end"), kind.alias("kind"), F.col(f"{end}_id").alias("id"), F.coalesce(F.col(f"{end}_type") == "literal", F.lit(False)).alias("free")))
     pointers = live.select("assertion_id", F.inline(F.array(*ends)))
-    dangling = _resolved(pointers, citable).where("NOT present AND NOT (free AND end = 'object')").groupBy("assertion_id").agg(*(F.max((F.col("end") == e).cast("long")).alias(f"dangling_{e}") for e in ("subject", "object")))
+    dangling = _resolved(pointers, citable, "assertion_id").where("NOT present AND NOT (free AND end = 'object')").groupBy("assertion_id").agg(*(F.max((F.col("end") == e).cast("long")).alias(f"dangling_{e}") for e in ("subject", "object")))
     walked = walk_evidence(evidence.where("status = 'active'"), citable)
     inner = [k for k in BREAK_KINDS if "cit" in k or "mismatch" in k]
     count = lambda k: F.sum(F.size(F.filter("breaks", lambda b: b["kind"] == k))).alias(k)

@@ -7,6 +7,7 @@ import random
 from quillon import registry
 from quillon.operators import evidence as E
 from quillon.operators import graph as G
+from quillon.operators import provenance as P
 from quillon.operators import relational as R
 from quillon.operators import statistics as S
 from quillon.sources.standins import Tables
@@ -76,3 +77,22 @@ def test_parsed_rows_are_spread(spark):
 
 def test_entries_are_read_once_a_text(spark):
     assert "_parts" in plan(registry.QUERIES["literature_recall"](spark, "/root/testdata/sf0.001"))
+
+
+def test_pointers_at_one_row_or_none_are_spread(spark):
+    citable = spark.createDataFrame([("strain", 1), ("strain", 2)], "kind string, id long")
+    end = "CASE WHEN id % 2 = 0 THEN {} END"
+    pointers = spark.range(8000).selectExpr("id AS n", f"{end.format(chr(39) + 'strain' + chr(39))} AS kind", f"{end.format('CASE WHEN id < 7000 THEN 1L ELSE 9L END')} AS id")
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        out = P._resolved(pointers, citable, "n")
+        rows = out.selectExpr("n", "present", "spark_partition_id() AS part").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.n for r in rows if r.present} == set(range(0, 7000, 2)) and len(rows) == 8000
+    sizes = [sum(r.part == k for r in rows) for k in {r.part for r in rows}]
+    assert len(sizes) == 4 and max(sizes) < 3000
