@@ -2,74 +2,81 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from quillon.llm import shared
-from quillon.llm.bpe import texts_of
+from quillon.llm.bpe import PATTERN, byte_letters, texts_of
 
 # ---------------------------------------------------------------- checksums
 
 #: Castagnoli polynomial, reflected, and the constant that masks a checksum stored beside its data (fixed values).
 POLYNOMIAL, MASK_DELTA = 0x82F63B78, 0xA282EAD8
-#: Bytes of a lane; all lanes of a batch advance together.
-LANE = 256
+#: Bytes of a lane, and lanes that advance together.
+LANE, TOGETHER = 256, 1 << 13
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """step[k, b]: state after byte b and then k zero bytes; shift[k, b]: state whose byte k was b, after LANE zeros."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """step[b]: state after byte b; half[k, x]: state whose half k was x, after four zero bytes; shift[k, b]: state whose byte k was b, after LANE zeros."""
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         t = np.where(t & 1, (t >> 1) ^ np.uint32(POLYNOMIAL), t >> 1)
-    step = np.zeros((8, 256), np.uint32)
-    step[0] = t
-    for k in range(1, 8):
-        step[k] = t[step[k - 1] & 0xFF] ^ (step[k - 1] >> 8)
+    half = np.stack([np.arange(1 << 16, dtype=np.uint32) << np.uint32(16 * k) for k in range(2)])
+    for _ in range(4):
+        half = t[half & 0xFF] ^ (half >> 8)
     shift = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
     for _ in range(LANE):
         shift = t[shift & 0xFF] ^ (shift >> 8)
-    return step, shift
+    return t, half, shift
 
 
-_STEP, _SHIFT = _tables()
+_STEP, _HALF, _SHIFT = _tables()
+
+
+def _copy(to: np.ndarray, places: np.ndarray, source: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    """Copy the slices [start, end) of a byte array to places in another."""
+    out, data = memoryview(to), memoryview(source)
+    for p, a, b in zip(places.tolist(), starts.tolist(), ends.tolist()):
+        out[p : p + b - a] = data[a:b]
 
 
 def crc32c(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """CRC-32C of the slices [start, end) of a byte array, all together.
 
     Every slice is cut into lanes, the first filled up with zeros in front, which leave the zero state alone; lanes
-    advance eight bytes at a step and are then joined in order.
+    advance four bytes at a step and are then joined in order.
     """
     n = (ends - starts).astype(np.int64)
-    lanes = np.maximum(1, -(-n // LANE))
+    longest = int(n.max(initial=0))
+    width = LANE if longest > LANE else max(4, -(-longest // 4) * 4)
+    lanes = np.maximum(1, -(-n // width))
     first = np.cumsum(lanes) - lanes
-    pad = lanes * LANE - n
-    grid = np.zeros(int(lanes.sum()) * LANE, np.uint8)
-    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    put = inside + np.repeat(first * LANE + pad, n)
-    grid[put] = data[inside + np.repeat(starts, n)]
+    front = (first + lanes) * width - n
+    grid = np.zeros(int(lanes.sum()) * width, np.uint8)
+    _copy(grid, front, data, starts, ends)
     # the initial state, all ones, is the same as inverting the first four bytes; shorter slices are done below
-    front = first * LANE + pad
     for k in range(4):
         at = front[n >= 4] + k
         grid[at] ^= 0xFF
-    words = grid.reshape(-1, LANE // 8, 8)
+    words = grid.view("<u4").reshape(-1, width // 4)
     state = np.zeros(len(words), np.uint32)
-    for i in range(LANE // 8):
-        block = words[:, i]
-        low = state ^ (block[:, 0] | block[:, 1].astype(np.uint32) << 8 | block[:, 2].astype(np.uint32) << 16 | block[:, 3].astype(np.uint32) << 24)
-        state = _STEP[7][low & 0xFF] ^ _STEP[6][low >> 8 & 0xFF] ^ _STEP[5][low >> 16 & 0xFF] ^ _STEP[4][low >> 24]
-        for k in range(4):
-            state ^= _STEP[3 - k][block[:, 4 + k]]
+    for a in range(0, len(words), TOGETHER):
+        s = state[a : a + TOGETHER]
+        for word in np.ascontiguousarray(words[a : a + TOGETHER].T):
+            s = s ^ word
+            s = _HALF[0].take(s & 0xFFFF) ^ _HALF[1].take(s >> 16)
+        state[a : a + TOGETHER] = s
     out = state[first].copy()
     todo = np.flatnonzero(lanes > 1)
     for i in range(1, int(lanes.max(initial=0))):
@@ -80,7 +87,7 @@ def crc32c(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     for i in np.flatnonzero(n < 4).tolist():
         s = 0xFFFFFFFF
         for b in data[starts[i] : ends[i]].tolist():
-            s = int(_STEP[0][(s ^ b) & 0xFF]) ^ (s >> 8)
+            s = int(_STEP[(s ^ b) & 0xFF]) ^ (s >> 8)
         out[i] = s ^ 0xFFFFFFFF
     return out
 
@@ -106,8 +113,7 @@ def frame(payload: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at8 = np.arange(len(sizes)) * 8
     heads = np.concatenate([lengths.reshape(-1, 8), masked(crc32c(lengths, at8, at8 + 8)).astype("<u4").view(np.uint8).reshape(-1, 4)], axis=1)
     out[(begins[:, None] + np.arange(HEAD)).ravel()] = heads.ravel()
-    inside = np.arange(int(sizes.sum())) - np.repeat(ends - sizes, sizes)
-    out[inside + np.repeat(begins + HEAD, sizes)] = payload
+    _copy(out, begins + HEAD, payload, ends - sizes, ends)
     tails = masked(crc32c(payload, ends - sizes, ends)).astype("<u4").view(np.uint8)
     out[(begins[:, None] + HEAD + sizes[:, None] + np.arange(TAIL)).ravel()] = tails
     return out, begins
@@ -127,34 +133,97 @@ def unframe(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, name: str)
     return starts, ends
 
 
-# ---------------------------------------------------------------- writing and reading
+# ---------------------------------------------------------------- the library's tokenizer
+
+#: Characters that plain words are made of, as ranges: neither white space nor an apostrophe is among them.
+PLAIN = (("!", "&"), ("(", "~"), ("\u00a1", "\u052f"))
+#: The file's pattern behind up to 64 plain words of at most 100 characters in a row: it cuts wherever the file's does, save inside them.
+GROUPED = "(?: ?(?>[" + "".join(f"{a}-{b}" for a, b in PLAIN) + r"]{1,100})(?!\S)){1,64}|" + PATTERN
+
+
+def uncrossed(merges: Iterable[tuple[bytes, bytes]]) -> bool:
+    """Whether no merge joins bytes across a cut that the file's pattern makes inside plain words.
+
+    Then the pieces of a group of words are merged as they would be one by one. A merge's halves meet at a cut only between
+    two characters, so the library is asked about every two plain characters that may stand there.
+    """
+    plain = {chr(c).encode() for a, b in PLAIN for c in range(ord(a), ord(b) + 1)} | {b" "}
+    pairs: set[tuple[bytes, bytes]] = set()
+    for a, b in set(merges):
+        if b[0] & 0xC0 == 0x80:
+            continue  # they meet inside a character
+        start = next((i for i in range(len(a) - 1, -1, -1) if a[i] & 0xC0 != 0x80), 0)
+        before, after = a[start:], b[: 1 + (b[0] >= 0xC0) + (b[0] >= 0xE0) + (b[0] >= 0xF0)]
+        # bytes that aren't a whole character stand for all that end or begin so
+        left = [before] if before in plain else [c for c in plain if c.endswith(before)]
+        right = [after] if after in plain else [c for c in plain if c.startswith(after)]
+        pairs.update((x, y) for x in left if x != b" " for y in right)  # groups hold no two spaces in a row
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    return all(len(cut((x + y).decode())) == 1 for x, y in pairs)
+
+
+def grouped(data: dict) -> dict | None:
+    """The tokenizer of a byte-level BPE file, spelled so that the library does less work for the same ids.
+
+    ASCII bytes are spelled as themselves and all others as the library's byte fallback has them, so texts needn't be turned
+    into letters for bytes first; whole groups of plain words are merged at once. Ids, merges, their order and special
+    strings stay the file's. None for a file that isn't of this kind or whose merges cross the cuts.
+    """
+    model, ways, letters = data["model"], data.get("pre_tokenizer") or {}, byte_letters()
+    special = {x["content"] for x in data["added_tokens"]}
+    plain_model = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain_model or data.get("normalizer") or (ways.get("type"), ways.get("add_prefix_space"), ways.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    spelled = {c: chr(b) if b < 0x80 else f"<0x{b:02X}>" for c, b in letters.items()}
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    strings = model["vocab"].keys() - special
+    if not letters.keys() <= strings or not all(letters.keys() >= set(t) for t in strings) or any(len(t) == 1 for t in special):
+        return None
+    if not all(t in strings for m in merges for t in m) or not uncrossed((bytes(letters[c] for c in a), bytes(letters[c] for c in b)) for a, b in merges):
+        return None
+
+    def spell(t: str) -> str:
+        return "".join(spelled[c] for c in t)
+
+    vocab = {t if t in special else spell(t): i for t, i in model["vocab"].items()}
+    if len(vocab) < len(model["vocab"]):
+        return None  # two strings would be spelled alike
+    split = {"type": "Split", "pattern": {"Regex": GROUPED}, "behavior": "Isolated", "invert": False}
+    return data | {"model": model | {"vocab": vocab, "merges": [[spell(a), spell(b)] for a, b in merges], "byte_fallback": True}, "pre_tokenizer": split, "decoder": None}
+
 
-#: Bytes of records that a task reads at once; characters of text that the library gets at once.
-BLOCK, CHARACTERS = 8 << 20, 1 << 18
 _libraries: dict[str, Tokenizer] = {}
 
 
 def library(path: str) -> Tokenizer:
-    """The tokenizer of this process."""
+    """The tokenizer of this process: the file's, grouped where that is proven to give the same ids."""
     if path not in _libraries:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _libraries[path] = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            data = grouped(json.load(f))
+        _libraries[path] = Tokenizer.from_str(json.dumps(data)) if data else Tokenizer.from_file(path)
     return _libraries[path]
 
 
+# ---------------------------------------------------------------- writing and reading
+
+#: Bytes of records that a task reads at once; characters of text that the library gets at once.
+BLOCK, CHARACTERS = 8 << 20, 1 << 18
+
+
 def encode(texts: list[str], tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all whole texts in a row, by the library, and len(texts) + 1 bounds."""
-    ids, sizes, at = [np.zeros(0, np.uint32)], [0], 0
+    ids, sizes, at = array("I"), [0], 0
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= CHARACTERS):
             size += len(texts[end])
             end += 1
         for e in tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False):
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(len(ids[-1]))
+            ids.fromlist(own := e.ids)
+            sizes.append(len(own))
         at = end
-    return np.concatenate(ids), np.cumsum(sizes)
+    return np.array(ids, np.uint32), np.cumsum(sizes)
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -236,10 +305,11 @@ def read_records(index: DataFrame, path: str, result: Callable[[np.ndarray, np.n
                 if name != (name := f"{folder}/part-{part[a]:05d}.rec"):
                     source = files.open_input_file(name)
                 data = np.frombuffer(source.read_at(int(offset[b - 1] + whole[b - 1] - offset[a]), int(offset[a])), np.uint8)
-                starts, _ = unframe(data, offset[a:b] - offset[a], size[a:b], name)
+                starts, ends = unframe(data, offset[a:b] - offset[a], size[a:b], name)
                 n = size[a:b]
-                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                ids = data[inside + np.repeat(starts, n)].view(f"<u{width[a]}")
+                raw = np.empty(int(n.sum()), np.uint8)
+                _copy(raw, np.cumsum(n) - n, data, starts, ends)
+                ids = raw.view(f"<u{width[a]}")
                 extra = result(ids, np.concatenate([[0], np.cumsum(n // width[a])]))
                 kept = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4), kept.column(5), *extra.values()], names=["part", "id", "first", "n_tokens", *extra])

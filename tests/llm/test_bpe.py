@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -170,6 +171,32 @@ def test_records_round_trip(spark, tmp_path):
     assert records.token_records(df.limit(0), GPT, 0, f"file://{tmp_path}/empty").count() == 0
 
 
+def test_plain_words_are_merged_in_groups_with_the_librarys_ids():
+    tokenizer, own = records.library(GPT), Tokenizer.from_file(GPT)
+    assert len(tokenizer.pre_tokenizer.pre_tokenize_str("a group of plain words, größer, 12 слов")) == 1
+    assert tokenizer.get_vocab_size() == own.get_vocab_size()
+    rng = random.Random(9)
+    more = PIECES + ["x" * 100, "y" * 101, "\u30fc", "\u30fb", "\u05d9\u05c7", "\u0627\u0600", "\x85", "\x1c", "<0xE2>", "<|endo", "ª", "²", "слово", " the", " l'été"]
+    cases = texts(2000) + ["".join(rng.choices(more, k=60)) for _ in range(500)] + [" ".join("".join(rng.choices(more, k=2)) for _ in range(300)) for _ in range(20)]
+    ids, at = records.encode(cases, tokenizer)
+    for i, e in enumerate(own.encode_batch(cases, add_special_tokens=False)):
+        assert ids[at[i] : at[i + 1]].tolist() == e.ids, cases[i]
+
+
+def test_merges_across_a_cut_keep_the_files_own_tokenizer(tmp_path):
+    assert records.uncrossed([(b"a", b"b"), (b" ", b"a"), (b"\xc3", b"\xa9"), (b" ", b"\xc3")])
+    assert not any(records.uncrossed([m]) for m in [(b"a", b" "), (b"a", b"1"), (b"a", b"."), (b"\xa9", b"1"), (b"a", b"\xc2")])
+    with open(GPT, encoding="utf-8") as f:
+        data = json.load(f)
+    data["model"]["vocab"]["aĠ"] = 50257
+    data["model"]["merges"].insert(0, ["a", "Ġ"])
+    path = tmp_path / "crossing.json"
+    path.write_text(json.dumps(data), encoding="utf-8")
+    own = Tokenizer.from_file(str(path))
+    ids, _ = records.encode(["a b a b"], records.library(str(path)))
+    assert ids.tolist() == own.encode("a b a b", add_special_tokens=False).ids
+
+
 def test_damage_is_found_and_reads_may_be_shuffled(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(40)], "doc_id long, text string")
     index = records.write_records(df, GPT, f"file://{tmp_path}/r")
