@@ -59,6 +59,44 @@ def test_underpowered_has_every_gene(spark):
     assert registry.QUERIES["underpowered"](spark, "/root/testdata/sf0.001").count() == t.v_matrix.select("gene").distinct().count() > 1
 
 
+def test_all_rules_of_a_contrast(spark):
+    # experiment, axis, contexts of the sides, samples of the sides, reasons
+    ok = ("genotype", 1, 1, [1, 2], [3, 4])
+    cases = [
+        (ok, ""),
+        (("genotype", 1, 1, [1, 2], []), "empty_side,no_strain"),
+        (("genotype", 1, 1, [1, 2], [2, 3]), "repeated_sample"),
+        (("genotype", 1, 1, [1, 98, 97, 96], [3, 95, 94]), "not_in_atlas"),
+        (("genotype", 1, 1, [1, 10], [3, 11]), "quarantined"),
+        (("genotype", 1, 1, [1, 5], [3, 4]), "no_context"),
+        (("time", None, 2, [1, 2], [3, 4]), "group_without_context"),
+        (("genotype", 1, 2, [1, 2], [3, 4]), "genotype_across_contexts"),
+        (("genotype", None, None, [1, 2], [3, 4]), "group_without_context,genotype_across_contexts"),
+        (("genotype", 1, 1, [6], [3]), "no_strain"),
+        (("genotype", 1, 1, [1], [2]), "same_strain"),
+        (("genotype", 1, 1, [1, 3], [2]), ""),
+        (("time", 1, 1, [1], [2]), "no_axis"),
+        (("time", 1, 2, [1], [2]), ""),
+        (("time", 1, 2, [1], [8]), "several_studies"),
+        (("time", 1, 2, [1], [9]), "several_organisms"),
+        (("genotype", 1, 1, [12], [3]), ""),
+    ]
+    rows = [(i, axis, rc, tc, side, n, x) for i, ((axis, rc, tc, a, b), _) in enumerate(cases) for side, ids in (("reference", a), ("treatment", b)) for n, x in enumerate(ids)]
+    members = spark.createDataFrame(rows, "e long, axis string, reference_context long, treatment_context long, side string, line int, sample_id long")
+    strain = {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: None, 8: 1, 9: 1, 10: 1, 11: 2, 12: 1}
+    samples = spark.createDataFrame([(i, None if i == 5 else 7, s) for i, s in strain.items()], "sample_id long, context_id long, strain_id long")
+    flags = spark.createDataFrame([(11, "quarantine", "confirmed", "x" * 300), (10, "quarantine", "active", "bad"), (12, "quarantine", "resolved", "old"), (12, "note", "active", "mild")], "target_id long, severity string, status string, rationale string")
+    runs = spark.createDataFrame([(i, "S2" if i == 8 else "S1", "B" if i == 9 else "A") for i in strain if i != 4], "sample_id long, study string, organism string")
+    got = {r.e: r for r in S.refusals(members, samples, flags, runs, "e").collect()}
+    assert [got[i].reasons for i in range(len(cases))] == [want for _, want in cases]
+    details = {case[1]: got[i].details for i, case in enumerate(cases)}
+    assert details["not_in_atlas"] == "not_in_atlas 5: 98, 97, 96, 95"
+    assert details["quarantined"] == "quarantined 10 bad, 11 " + "x" * 220
+    assert details["no_context"] == "no_context 1 of 4: 5"
+    assert details["group_without_context,genotype_across_contexts"] == "group_without_context reference, treatment; genotype_across_contexts ? and ?"
+    assert (details["several_studies"], details["several_organisms"], details["no_axis"]) == ("several_studies S1, S2", "several_organisms A, B", "no_axis 1")
+
+
 def test_refusals_count_without_expanding(spark):
     assert "Expand" not in plan(registry.QUERIES["contrast_refusals"](spark, "/root/testdata/sf0.001"))
 
