@@ -41,12 +41,15 @@ def test_pairs_in_tiles(spark, monkeypatch):
 
 def test_pairs_of_keys_in_few_tiles(spark, monkeypatch):
     monkeypatch.setattr(R, "KEYS", 4)
-    monkeypatch.setattr(R, "PACKED", 3)
+    monkeypatch.setattr(R, "PACKED", 8)
     monkeypatch.setattr(R, "BLOCKS", 6)
     rows = [("a", i * i % 211, "uvw"[i % 3]) for i in range(90)] + [("b", 1, "u"), ("b", 2, "v"), ("b", 2, "u"), (None, 3, "u"), (None, 4, "v"), ("a", None, "u"), ("a", 5, None)] + [("c", 7, "u"), ("c", 7, "v")] * 9
     got = R.keys_unlike(spark.createDataFrame(rows, "g string, id long, v string"), ["g"], "id", "v")
     want = sorted((g, i, j) for g, i, v in rows for h, j, w in rows if None not in (g, i, j, v, w) and g == h and i < j and v != w)
     assert sorted(map(tuple, got.collect())) == want
+    # values of one key each: rows meet
+    own = R.keys_unlike(spark.createDataFrame([(g, i, str(n)) for n, (g, i, _) in enumerate(rows)], "g string, id long, v string"), ["g"], "id", "v")
+    assert "explode(_a" not in plan(own) and sorted(map(tuple, own.collect())) == sorted((g, i, j) for g, i, _ in rows for h, j, _ in rows if None not in (g, i, j) and g == h and i < j)
     # a row is copied into one tile more than there may be blocks, and the explodes aren't compiled with the join
     tiles = {(r.g, r._low, r._high) for r in R._meet(*[R._in_blocks(spark.createDataFrame(rows, "g string, id long, v string"), ["g"], "id", 4)[0].withColumnRenamed("id", c) for c in ("a", "b")], ["g"], 4).collect()}
     assert {t for t in tiles if t[0] == "a"} == {("a", i, j) for i in range(6) for j in range(i, 6)}
